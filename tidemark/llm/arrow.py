@@ -39,15 +39,19 @@ def added(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def map_steps(
-    df: DataFrame, text: str, new: list[T.StructField], f: Callable[[pa.RecordBatch], dict[str, pa.Array]]
+    df: DataFrame, text: str, new: list[T.StructField], f: Callable[[pa.RecordBatch], dict[str, pa.Array]],
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``df`` with the columns ``new``, which ``f`` computes from slices of its rows. Nothing is shuffled."""
-    names = [x.name for x in new]
-    schema = T.StructType([x for x in df.schema.fields if x.name not in names] + new)
+    """``df`` with the columns ``new``, which ``f`` computes from slices of its rows, and without ``drop``.
+
+    Nothing is shuffled, and dropped columns aren't sent back from the Python worker.
+    """
+    gone = {*drop, *(x.name for x in new)}
+    schema = T.StructType([x for x in df.schema.fields if x.name not in gone] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, text):
-                yield added(part, f(part))
+                yield added(part.drop_columns(list(drop)), f(part))
 
     return df.mapInArrow(run, schema)

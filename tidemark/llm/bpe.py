@@ -129,8 +129,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, and SHA-256 digests of the ids (decimal, comma-joined) and of the bytes they decode to.
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, without the columns ``drop``, with n_tokens, and SHA-256 digests of the ids (decimal, comma-joined) and of the bytes they decode to.
 
     The ids and bytes stay in the task that made them, so that only digests leave it.
     """
@@ -146,4 +146,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_digest, pa.string()), "decoded_sha256": pa.array(bytes_digest, pa.string())}
 
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_steps(docs, text, new, run)
+    return map_steps(docs, text, new, run, drop)

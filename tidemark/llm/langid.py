@@ -133,8 +133,10 @@ class Classifier:
         return self.labels[best], float(1 - total[best] / (self.length * len(top)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", length: int = 400) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1: one less the distance over the largest possible one)."""
+def identify(
+    docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", length: int = 400, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """``docs``, without the columns ``drop``, with lang_pred and score (0 to 1: one less the distance over the largest possible one)."""
     classify = Classifier(profiles, length)
 
     def predict(part: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -142,4 +144,4 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
         return {"lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())}
 
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_steps(docs, text, new, predict)
+    return map_steps(docs, text, new, predict, drop)

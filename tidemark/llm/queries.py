@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing
+from tidemark.llm import bpe, langid, mixing, simhash
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,14 +19,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold("doc_id", 4, 2)
     profiles = langid.fit(docs, ~held)
-    found = langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), profiles)
+    found = langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), profiles, drop=("text",))
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id for each document; links within 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    found = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, drop=("text",))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -36,7 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_byte_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op3_language_id, op4_simhash, op6_byte_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
