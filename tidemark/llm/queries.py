@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, simhash
+from tidemark.llm import bpe, langid, mixing, secret_scan, simhash
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,14 +36,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of each document; a source is an owner and a document a repository."""
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_simhash, op6_byte_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op3_language_id, op4_simhash, op6_byte_bpe, op8_secrets, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op8_secrets": secret_scan.ORACLE, "op9_mixing": mixing.ORACLE}
