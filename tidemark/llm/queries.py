@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, secret_scan, simhash
+from tidemark.llm import ann, bpe, langid, maxscore, mixing, secret_scan, simhash
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest found for each row whose vec_id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document; learns from the rows whose fold is not 2 of 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,6 +41,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 highest scores for each row whose vec_id is divisible by 100."""
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of each document; a source is an owner and a document a repository."""
     return secret_scan.report(table(spark, sf_dir, "documents"))
@@ -47,8 +57,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_simhash, op6_byte_bpe, op8_secrets, op9_mixing)}
+    return {f.__name__: f for f in (op1_nearest, op3_language_id, op4_simhash, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secrets": secret_scan.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op7_maxscore": maxscore.ORACLE, "op8_secrets": secret_scan.ORACLE, "op9_mixing": mixing.ORACLE}
