@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, maxscore, mixing, secret_scan, simhash
+from tidemark.llm import ann, bpe, langid, maxscore, mixing, secret_scan, simhash, suffix_lm
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and suffix-tree scores of each document; learns from the rows whose fold is not 2 of 7."""
+    return suffix_lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7, 2))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,7 +62,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op3_language_id, op4_simhash, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing)}
+    return {f.__name__: f for f in (op1_nearest, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
