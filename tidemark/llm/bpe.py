@@ -129,21 +129,24 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", drop: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
     """``docs``, without the columns ``drop``, with n_tokens, and SHA-256 digests of the ids (decimal, comma-joined) and of the bytes they decode to.
 
-    The ids and bytes stay in the task that made them, so that only digests leave it.
+    Unless ``keep_ids`` asks for ``ids`` as well, ids and bytes stay in the task that made them.
     """
 
     def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
         to = codec(path, pattern)
-        counts, ids_digest, bytes_digest = [], [], []
+        counts, ids_digest, bytes_digest, kept = [], [], [], []
         for t in part.column(text).to_pylist():
             ids = to.encode(t or "")
             counts.append(len(ids))
+            if keep_ids:
+                kept.append(np.array(ids, np.int32))
             ids_digest.append(hashlib.sha256(",".join(map(to.digits.__getitem__, ids)).encode()).hexdigest())
             bytes_digest.append(hashlib.sha256(to.decode(ids)).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_digest, pa.string()), "decoded_sha256": pa.array(bytes_digest, pa.string())}
+        found = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_digest, pa.string()), "decoded_sha256": pa.array(bytes_digest, pa.string())}
+        return found | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if keep_ids else {})
 
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_steps(docs, text, new, run, drop)
+    return map_steps(docs, text, new + [IDS] * keep_ids, run, drop)

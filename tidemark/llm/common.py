@@ -16,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where it names none."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder all executors share, so that losing an executor never recomputes what precedes."""
+    """Checkpoint ``df`` in the shared folder, so that losing an executor never recomputes what precedes."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -14,7 +14,7 @@ an empty table gives an empty result; other columns are not read. Reruns agree,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, cut
@@ -22,6 +22,7 @@ from tidemark.llm.common import WORD, cut
 WEIGHTS = (5, 2, 1)
 MOST = 3
 LEVEL_BITS, LEVELS = 12, 5
+FEW = 10_000  # sources, of about 50 bytes each
 HEX = LEVEL_BITS * LEVELS // 4
 
 
@@ -50,30 +51,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken, copies) for each row of ``docs``."""
+def bucketed(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+    """``docs`` with ``size`` and ``hash``, the latter HEX hex digits of the id's MD5."""
     digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HEX)
-    rows = cut(
-        docs.select(
-            F.col(id_col), F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(digits, 16, 10).cast("long").alias("hash"),
-        )
-    )
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"size": size, "hash": F.conv(digits, 16, 10).cast("long")})
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(s, source_size, target, whole, threshold) for each source of ``rows`` (source, size, hash)."""
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    plan = plan.select(
-        "source", "source_size", "target", F.coalesce(whole, F.lit(0)).cast("long").alias("whole"),
-        (F.col("target") - F.coalesce(whole, F.lit(0)) * F.col("source_size")).alias("budget"),
-    )
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
+    plan = plan.withColumn("whole", whole)
+    plan = plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.withColumn("prefix", F.lit(0).cast("long")))
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         here = rows.select(F.col("source").alias("s"), "size", F.shiftright("hash", shift).alias("bucket"))
-        inside = (F.col("s").eqNullSafe(F.col("source"))) & (F.shiftright("bucket", LEVEL_BITS) == F.col("prefix"))
         edges = plan.select("source", "prefix", "budget")
-        sums = here if level == 0 else here.join(edges, inside, "left_semi")
-        sums = sums.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
+        if level:  # only the bucket in which the budget ends
+            inside = F.col("s").eqNullSafe(F.col("source")) & (F.shiftright("bucket", LEVEL_BITS) == F.col("prefix"))
+            here = here.join(_small(edges), inside, "left_semi")
+        sums = here.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         # the last bucket that begins within the budget is the one in which it ends
@@ -91,17 +90,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
             )
         )
     # below the threshold all, at it if taking comes nearer than leaving
-    plan = plan.select(
-        F.col("source").alias("s"), "source_size", "target", "whole",
-        (F.col("prefix") + F.when(F.col("budget") * 2 > F.col("words"), 1).otherwise(0)).alias("threshold"),
-    )
+    nearer = F.when(F.col("budget") * 2 > F.col("words"), 1).otherwise(0)
+    return _small(cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + nearer).alias("threshold"))))
+
+
+def _small(plan: DataFrame) -> DataFrame:
+    """``plan`` marked for broadcast if it has at most FEW rows; beyond that Spark shuffles and splits skewed sources."""
+    return F.broadcast(plan) if plan.limit(FEW + 1).count() <= FEW else plan
+
+
+def _copies() -> Column:
     copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    copies = F.least(copies, F.lit(MOST).cast("long"))
+    return F.least(copies, F.lit(MOST).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(id, size, source_size, target, taken, copies) for each row of ``docs``."""
+    docs = docs.select(F.col(id_col), F.col(text).alias("_text"), F.col(source).alias("source"))
+    rows = cut(bucketed(docs, id_col, "_text", "source").select(id_col, "source", "size", "hash"))
+    plan = thresholds(rows)
     return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        id_col, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
+        id_col, "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"), _copies().alias("copies")
     )
 
 
+def resample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with each row as many times as the mix takes it; columns as they are."""
+    narrow = docs.select(F.col(id_col), F.col(text).alias("_text"), F.col(source).alias("source"))
+    rows = cut(bucketed(narrow, id_col, "_text", "source").select("source", "size", "hash"))
+    plan = thresholds(rows).select("s", "whole", "threshold")
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column of docs clashes
+    inner = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    inner = bucketed(inner, names[id_col], names[text], names[source]).join(plan, F.col(names[source]).eqNullSafe(F.col("s")))
+    inner = inner.where(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), _copies())))
+    return inner.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 #: The same rule by a running sum over each source's documents in hash order.
 ORACLE = f"""
 with rows as (

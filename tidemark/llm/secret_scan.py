@@ -149,12 +149,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: s
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_masks"))
     )
     content = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(masks, F.col(id_col).eqNullSafe(F.col("_k")) & (F.xxhash64(content) == F.col("_t")), "left")
+    any_kind = F.lit(False)
+    for pattern in PATTERNS.values():
+        any_kind = any_kind | content.rlike(pattern)
+    joined = docs.where(any_kind).join(masks, F.col(id_col).eqNullSafe(F.col("_k")) & (F.xxhash64(content) == F.col("_t")), "left")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.col("_masks.end"))
     ends = F.concat(F.col("_masks.start"), F.array(F.length(content).cast("long")))
     kept = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.substring(content, (x["b"] + 1).cast("int"), (x["e"] - x["b"]).cast("int")))
     masked = F.when(F.col("_masks").isNull(), F.col(text)).otherwise(F.array_join(kept, MASK))
-    return joined.withColumn(text, masked).drop("_k", "_t", "_masks")
+    return docs.where(~any_kind).unionByName(joined.withColumn(text, masked).drop("_k", "_t", "_masks"))
 
 
 def _oracle() -> str:

@@ -201,3 +201,22 @@ def near_duplicates(
     least = named.groupBy("cluster").agg(F.min("first").alias("component_id"))
     named = named.join(least, "cluster").select(F.col("simhash").alias("print"), "cluster", "component_id")
     return rows.join(named, F.col("simhash") == F.col("print")).select(id_col, "simhash", "cluster", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id; of rows that share it, any one of equal fingerprint.
+
+    Only ids meet in the join that filters, except for rows whose id is null or repeated.
+    """
+    rows = cut(near_duplicates(docs, id_col, text, words, distance))
+    odd = cut(rows.groupBy(F.col(id_col).alias("odd")).count().where((F.col("count") > 1) | F.col("odd").isNull()).select("odd"))
+    stays = rows.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("stays"))
+    if odd.isEmpty():
+        return docs.join(stays, F.col(id_col) == F.col("stays"), "left_semi")
+    plain = stays.join(odd, F.col("stays") == F.col("odd"), "left_anti")
+    named = rows.select(F.col("simhash").alias("_print"), F.col("cluster").alias("_cluster"), F.col("component_id").alias("_first")).distinct()
+    rest = docs.join(odd, F.col(id_col).eqNullSafe(F.col("odd")), "left_semi")
+    rest = rest.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rest = fingerprints(rest, "_text", words, drop=("_text",)).join(named, F.col("simhash") == F.col("_print"))
+    rest = rest.where(F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_cluster"]).select("row.*")
+    return docs.join(plain, F.col(id_col) == F.col("stays"), "left_semi").unionByName(rest)
