@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, maxscore, mixing, secret_scan, simhash, suffix_lm
+from tidemark.llm import ann, bpe, langid, license_scan, maxscore, mixing, secret_scan, simhash, suffix_lm, token_counts
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,18 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, licence, cosine, origin, inherited_from for each document.
+
+    ``documents`` has no paths; a document lies at source/lang/b/doc_id.txt, b being its doc_id divided by 50 and rounded
+    down, so that directories are small and nested.
+    """
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.floor(F.col("doc_id") / 50).cast("string")
+    path = F.concat_ws("/", "source", "lang", shelf, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document; learns from the rows whose fold is not 2 of 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -61,8 +73,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, n_crossing and section_tokens (of each line) for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.by_lines(docs, RANKS, public_tokenizers.PATTERN, drop=("text",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
