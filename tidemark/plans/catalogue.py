@@ -5,11 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators import chains, pricing, totals, trends
+from tidemark.plans import oracle_usage
+from tidemark.plans.adapter import events_dataset, orders_dataset
+from tidemark.plans.dataset import Dataset
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+PROVIDERS = ("direct", "cloud")
+FIRST = PROVIDERS[0]
+
+
+def orders(f: Callable[[Dataset], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(orders_dataset(spark, sf_dir))
+
+
+def events(f: Callable[[Dataset], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(events_dataset(spark, sf_dir))
+
+
+TOTALS: dict[str, Query] = {
+    "summary": orders(lambda d: totals.summary(d, PROVIDERS)),
+    "by_project": orders(lambda d: totals.by_project(d, FIRST)),
+    "by_model": orders(lambda d: totals.by_model(d, FIRST)),
+    "by_token_type": orders(lambda d: totals.by_token_type(d, FIRST)),
+    "by_category": orders(lambda d: totals.by_category(d, FIRST)),
+    "input_cost": orders(lambda d: totals.input_cost(d, FIRST)),
+    "top_prompts": orders(lambda d: totals.top_prompts(d, FIRST)),
+    "sessions_table": orders(lambda d: totals.sessions_table(d, FIRST)),
+    "model_category": orders(lambda d: totals.model_category(d, FIRST, "Brand#11")),
+    "compare_providers": orders(lambda d: totals.compare_providers(d, PROVIDERS)),
+    "flat_export": orders(lambda d: totals.flat_export(d, PROVIDERS)),
+    "mini_summary": orders(lambda d: totals.mini_summary(d, PROVIDERS)),
+    "unpriced_models": orders(lambda d: pricing.unpriced(d, FIRST)),
+    "long_context_models": orders(pricing.long_context),
+}
+
+TRENDS: dict[str, Query] = {
+    **{f"timeline_{by}": orders(lambda d, by=by: trends.timeline(d, FIRST, by)) for by in trends.PERIODS},
+    "burn_rate": orders(lambda d: trends.burn_rate(d, FIRST)),
+    "break_even": orders(lambda d: trends.break_even(d, FIRST)),
+    "bundle_costs": orders(lambda d: trends.bundle_costs(d, "cloud")),
+    "impact": events(lambda d: trends.impact(d, FIRST, "2024-01-16")),
+    "top_category": orders(trends.top_category),
+    "peak_quota": orders(lambda d: trends.peak_quota(d.quota_log)),
+    "latest_quota": orders(lambda d: trends.latest_quota(d.quota_log)),
+    "daily_kpis": events(lambda d: trends.daily(d, FIRST)),
+    "cost_by_type_month": orders(lambda d: trends.cost_by_period(d, FIRST, "month", "token_type", oracle_usage.KINDS)),
+    "heat_map": events(lambda d: trends.heat_map(d, FIRST)),
+}
+
+CHAINS: dict[str, Query] = {
+    "session_depth": orders(lambda d: chains.session_depth(d, FIRST)),
+    "context_growth": events(lambda d: chains.context_growth(d, FIRST)),
+    "ttl_losses": events(lambda d: chains.ttl_losses(d, FIRST)),
+    "compactions": events(lambda d: chains.compactions(d, FIRST)),
+    "session_overhead": events(lambda d: chains.session_overhead(d, FIRST)),
+    "recommendations": events(lambda d: chains.recommendations(d, FIRST, min_prompts=8, compact_at=4)),
+    "cost_boxes": orders(lambda d: chains.cost_boxes(d.with_(prompts=d.prompts.withColumn("model", F.coalesce("model", F.lit("")))), FIRST, "model")),
+    "depth_quantiles": orders(chains.depth_quantiles),
+    "main_chain_cache": events(lambda d: chains.main_chain_cache(d, FIRST)),
+}
+
+
+def queries() -> dict[str, Query]:
+    return TOTALS | TRENDS | CHAINS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle_usage.SQL)
