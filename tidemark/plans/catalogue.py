@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import chains, pricing, totals, trends
-from tidemark.plans import oracle_usage
-from tidemark.plans.adapter import events_dataset, orders_dataset
+from tidemark.operators import apportion, chains, content, pricing, tasks, totals, trends
+from tidemark.plans import oracle_content, oracle_usage
+from tidemark.plans.adapter import element_rows, events_dataset, orders_dataset, todo_rows
 from tidemark.plans.dataset import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +69,44 @@ CHAINS: dict[str, Query] = {
 }
 
 
+def with_tasks(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The events with their tasks."""
+    data = events_dataset(spark, sf_dir)
+    found, edges = tasks.assemble(data.prompts, todo_rows(spark, sf_dir))
+    return data.with_(tasks=found, task_prompts=edges)
+
+
+def with_context(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The events with their cache tokens attributed."""
+    data = events_dataset(spark, sf_dir)
+    main = data.requests.where(F.col("is_sidechain") == 0)
+    turn = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "prompt_id", "request_index"))
+    elements = element_rows(spark, sf_dir)
+    talk = main.select("session_id", F.col("input_tokens").alias("tokens"))
+    return data.with_(context_cost=apportion.attribute(main.withColumn("turn", turn), elements), context_sources=apportion.snapshot(elements, talk))
+
+
+CONTENT: dict[str, Query] = {
+    "by_output": orders(lambda d: content.by_output(d, FIRST)),
+    "output_split": orders(lambda d: content.output_split(d, FIRST)),
+    "by_context": orders(lambda d: content.by_context(d, FIRST)),
+    "by_file": orders(lambda d: content.by_file(d, FIRST)),
+    "by_file_project": orders(lambda d: content.by_file(d, FIRST, by_project=True)),
+    "file_graph": orders(lambda d: content.file_graph(d, FIRST)[1]),
+    "context_pareto": orders(lambda d: content.context_pareto(d, FIRST)),
+    "tasks": lambda spark, sf_dir: with_tasks(spark, sf_dir).tasks,
+    "task_prompts": lambda spark, sf_dir: with_tasks(spark, sf_dir).task_prompts,
+    "by_task": lambda spark, sf_dir: content.by_task(with_tasks(spark, sf_dir), FIRST),
+    "task_graph": lambda spark, sf_dir: content.task_graph(with_tasks(spark, sf_dir), FIRST)[1],
+    "context_attribution": lambda spark, sf_dir: with_context(spark, sf_dir).context_cost,
+    "context_rent": lambda spark, sf_dir: content.by_context(with_context(spark, sf_dir), FIRST),
+    "context_snapshot": lambda spark, sf_dir: with_context(spark, sf_dir).context_sources,
+}
+
+
 def queries() -> dict[str, Query]:
-    return TOTALS | TRENDS | CHAINS
+    return TOTALS | TRENDS | CHAINS | CONTENT
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle_usage.SQL)
+    return oracle_usage.SQL | oracle_content.SQL
