@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Languages by file extension, and by whole file name.
+# Languages by file extension and by whole file name, directories and file names of tests.
 LANGUAGES = {
-    "Python": "py pyi ipynb", "JavaScript": "js jsx mjs cjs", "TypeScript": "ts tsx", "Java": "java", "Kotlin": "kt kts", "Scala": "scala", "Go": "go", "Rust": "rs",
-    "C": "c h", "C++": "cpp cc cxx hpp", "C#": "cs", "Ruby": "rb", "PHP": "php", "Swift": "swift", "R": "r", "Shell": "sh bash zsh", "PowerShell": "ps1",
-    "SQL": "sql", "HTML": "html htm", "CSS": "css scss sass less", "Vue": "vue", "Svelte": "svelte", "JSON": "json", "YAML": "yml yaml", "TOML": "toml", "XML": "xml", "Markdown": "md mdx", "Text": "txt rst",
+    "Python": "py pyi", "Jupyter Notebook": "ipynb", "TypeScript": "ts tsx", "JavaScript": "js jsx mjs cjs", "Rust": "rs", "Go": "go", "Java": "java",
+    "Kotlin": "kt", "Ruby": "rb", "PHP": "php", "C": "c h", "C++": "cpp cc cxx hpp", "C#": "cs", "Swift": "swift", "Scala": "scala",
+    "Shell": "sh bash zsh", "PowerShell": "ps1", "SQL": "sql", "HTML": "html htm", "CSS": "css scss sass", "Vue": "vue", "Svelte": "svelte",
+    "Markdown": "md markdown", "reStructuredText": "rst", "JSON": "json", "YAML": "yml yaml", "TOML": "toml", "INI": "ini cfg", "XML": "xml",
+    "Text": "txt", "CSV": "csv", "Terraform": "tf", "Lua": "lua", "R": "r", "Dart": "dart", "Elixir": "ex exs",
 }
-NAMES = {"dockerfile": "Docker", "makefile": "Make", "gemfile": "Ruby", "rakefile": "Ruby", "jenkinsfile": "Groovy"}
-TEST_DIRECTORIES = ("test", "tests", "__tests__", "spec", "specs")
-TEST_NAME = r"(?i)^(test_.*|.*_test|.*\.test|.*\.spec|.*_spec|conftest)\.[^.]+$"
-OTHER = "(other)"
+NAMES = {"dockerfile": "Dockerfile", "makefile": "Makefile"}
+TEST_DIRECTORIES = ("test", "tests", "__tests__", "spec", "specs", "testing")
+TEST_NAME = r"^(test[_-].+|.+[_-]test\.[a-z0-9]+|.+\.(test|spec)\.[a-z0-9]+|.+[_-]spec\.[a-z0-9]+|.+tests?\.(java|kt|cs|scala))$"
+OTHER = "other"
 
 
 def base_name(path: Column) -> Column:
@@ -22,20 +24,20 @@ def base_name(path: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path's extension or name; (other) if neither is known."""
+    """The language of a path's name or extension; else the bare extension, and other without any."""
     table = {e: name for name, extensions in LANGUAGES.items() for e in extensions.split()}
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     special = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     name = F.lower(base_name(path))
-    extension = F.nullif(F.regexp_extract(name, r"\.([^.]+)$", 1), F.lit(""))
-    return F.coalesce(F.element_at(special, name), F.element_at(known, F.coalesce(extension, F.lit("?"))), F.lit(OTHER))
+    extension = F.nullif(F.regexp_extract(name, r"^.+\.([^.]+)$", 1), F.lit(""))
+    return F.coalesce(F.element_at(special, name), F.element_at(known, F.coalesce(extension, F.lit("?"))), extension, F.lit(OTHER))
 
 
 def kind_of(path: Column) -> Column:
     """test for files in test directories or with a test's name, else code."""
     parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
     directories = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    test = F.arrays_overlap(directories, F.array(*map(F.lit, TEST_DIRECTORIES))) | base_name(path).rlike(TEST_NAME)
+    test = F.arrays_overlap(directories, F.array(*map(F.lit, TEST_DIRECTORIES))) | F.lower(base_name(path)).rlike(TEST_NAME)
     return F.when(test, "test").otherwise("code")
 
 
@@ -43,10 +45,10 @@ def relative(path: Column, directory: Column) -> Column:
     """``path`` below ``directory``, whole components only; the bare file name if it lies elsewhere."""
     path, directory = (F.replace(c, F.lit("\\"), F.lit("/")) for c in (path, directory))
     root = F.concat(F.regexp_replace(directory, "/+$", ""), F.lit("/"))
-    inside = (F.length(root) > 1) & F.lower(path).startswith(F.lower(root))
-    return F.when(inside, F.substr(path, F.length(root) + 1)).when(path.startswith("/") | path.rlike("^[A-Za-z]:"), base_name(path)).otherwise(path)
+    inside = (F.length(directory) > 0) & F.startswith(path, root)
+    return F.when(inside, F.substr(path, F.length(root) + 1)).otherwise(base_name(path))
 
 
 def project_name(directory: Column) -> Column:
-    """The last component of a working directory of either kind of separator."""
+    """The last component of a working directory; backslashes separate only where there are any."""
     return base_name(directory)

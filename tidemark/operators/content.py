@@ -137,12 +137,12 @@ def dominant_categories(ds: Dataset, provider: str) -> DataFrame:
 
 
 def duration(seconds: Column) -> Column:
-    """2d 3h 4m, from the first unit that isn't 0; 0m for less than a minute."""
+    """2d 3h 4m without units that are 0; 0m for less than a minute, <1m for nothing."""
     s = seconds.cast("long")
     days, hours, minutes = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60)
     part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
     text = F.concat_ws(" ", part(days, "d"), part(hours, "h"), part(minutes, "m"))
-    return F.when(F.length(text) > 0, text).otherwise("0m")
+    return F.when(s <= 0, "<1m").when(F.length(text) > 0, text).otherwise(F.when(s.isNotNull(), "0m"))
 
 
 def by_task(ds: Dataset, provider: str, top: int = 20) -> DataFrame:

@@ -83,8 +83,8 @@ ranked as (
   from tasks t left join usage u on t.task_id = u.task_id left join dominant d on t.task_id = d.task_id),
 by_task as (
   select task_id, substr(coalesce(nullif(name, ''), task_id), 1, 60) as task, origin, prompts,
-         coalesce(nullif(concat_ws(' ', case when seconds >= 86400 then (seconds // 86400) || 'd' end, case when seconds % 86400 >= 3600 then (seconds % 86400 // 3600) || 'h' end,
-                                   case when seconds % 3600 >= 60 then (seconds % 3600 // 60) || 'm' end), ''), '0m') as duration,
+         case when seconds <= 0 then '<1m' else coalesce(nullif(concat_ws(' ', case when seconds >= 86400 then (seconds // 86400) || 'd' end, case when seconds % 86400 >= 3600 then (seconds % 86400 // 3600) || 'h' end,
+                                   case when seconds % 3600 >= 60 then (seconds % 3600 // 60) || 'm' end), ''), '0m') end as duration,
          coalesce(nullif(category, ''), '(uncategorized)') as category, {share("context_units", "units")} as context_pct, {usd("units")} as cost_usd, {share("units", "all_units")} as cost_share_pct
   from ranked order by units desc, task_id limit 20)"""
 
