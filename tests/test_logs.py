@@ -61,11 +61,16 @@ def folder(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def star(spark, folder):
-    return {k: v.cache() for k, v in logs.star(logs.read(spark, folder)).items()}
+def log(spark, folder):
+    return logs.read(spark, folder).kept()
 
 
-def test_prompts_sessions_and_filtering(spark, folder, star):
+@pytest.fixture(scope="module")
+def star(log):
+    return {k: v.cache() for k, v in logs.star(log).items()}
+
+
+def test_prompts_sessions_and_filtering(log, star):
     prompts = {r.prompt_id: r for r in star["prompts"].collect()}
     assert prompts.keys() == {"p1", "p2", "p3"}
     assert prompts["p1"].session_id == prompts["p2"].session_id == "S1" and prompts["p3"].session_id == "S2"
@@ -75,7 +80,7 @@ def test_prompts_sessions_and_filtering(spark, folder, star):
     assert (p.project, p.git_branch, p.model, p.assistant_turns, p.tool_calls, p.final_stop_reason, p.char_count) == ("app", "main", "Brand#3", 2, 2, "end_turn", 18)
     assert prompts["p3"].model == "" and prompts["p2"].prompt_preview == "and now?"
     assert {(r.session_id, r.start_date) for r in star["sessions"].collect()} == {("S1", "2026-01-05"), ("S2", "2026-01-05")}
-    found = {(r.kind, r.name): r.n for r in logs.quality(logs.read(spark, folder)).collect()}
+    found = {(r.kind, r.name): r.n for r in logs.quality(log).collect()}
     assert found[("lines", "invalid")] == 2 and found[("unknown_type", "strange")] == 1 and found[("version", "2.1")] == 1
     assert {k[1]: n for k, n in found.items() if k[0] == "filtered"} == {"compact_continuation": 1, "interrupted": 1, "local_command": 1, "meta": 1}
 
@@ -111,8 +116,8 @@ def test_files_context_and_tasks(star):
     assert {r.prompt_id for r in star["task_prompts"].collect()} == {"p1", "p2", "p3"}
 
 
-def test_windows_and_privacy(spark, folder):
-    later = logs.star(logs.read(spark, folder), since="2026-01-06", keep_text=False)
+def test_windows_and_privacy(log):
+    later = logs.star(log, since="2026-01-06", keep_text=False)
     rows = later["prompts"].collect()
     assert [(r.prompt_id, r.prompt_index, r.prompt_preview) for r in rows] == [("p3", 1, "")] and "prompts_text" not in later
     assert {r.session_id for r in later["sessions"].collect()} == {"S2"}

@@ -75,6 +75,13 @@ class Log:
     events: DataFrame
     sessions: DataFrame
 
+    def kept(self) -> Log:
+        """The same log, parsed once and kept on the executors' disks for the many tables that read it."""
+        from pyspark import StorageLevel
+
+        events = self.events.persist(StorageLevel.DISK_ONLY)
+        return Log(lines=self.lines, events=events, sessions=session_rows(events).persist(StorageLevel.DISK_ONLY))
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of all *.jsonl files below ``path``."""
