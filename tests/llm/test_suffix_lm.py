@@ -115,3 +115,16 @@ def test_empty_inputs(spark):
     only_held = suffix_lm.score(frame, F.lit(True)).first()
     assert (only_held.n_known, only_held.train_tokens, only_held.base_score, only_held.score) == (0, 0, 0.0, 0.0)
     assert suffix_lm.score(frame.limit(0), fold("doc_id", 7, 2)).count() == 0
+
+
+def test_frequency_does_not_depend_on_corpus_size(spark):
+    r = random.Random(1)
+    docs = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(6000))) for i in range(100)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs += [(1000 + i, passage) for i in range(12)]  # 515,000 training tokens: at 1e-5 of them a sequence needs 6 occurrences
+    few = [i for i, t in docs if t == passage and not held(i)][4:]
+    docs = [(i, t) for i, t in docs if i not in few]
+    got = suffix_lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), fold("doc_id", 7, 2)).collect()
+    assert got[0].train_tokens > 500_000
+    for x in (x for x in got if x.doc_id >= 1000):
+        assert x.score > x.base_score / 3

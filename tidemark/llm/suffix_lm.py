@@ -1,18 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 5).
 
 Base: the unigram model with one added to every count and one unknown word. The tree adds contexts of one to ``depth``
-words. A sequence counts as frequent if it makes up at least ``SHARE`` of the training tokens (and occurs ``LEAST``
-times), so each length has at most 1/SHARE of them, whatever the corpus: this bounds the tree, which the driver builds
-and broadcasts. All counts are taken over all training documents. A context is retained if its next-symbol distribution
+words. A sequence counts as frequent if it occurs ``LEAST`` times in the training documents, whatever the corpus, so the
+tree grows with it. All counts are taken over all training documents. A context is retained if its next-symbol distribution
 diverges from that of its own longest retained suffix (Kullback-Leibler at least ``DIVERGENCE`` nats, and significant at
 0.001 by the G-test). Frequent continuations of a retained context have their discounted relative frequency; the mass
 left goes to all other symbols in proportion to the suffix's distribution, and so on to the base, so that every
 distribution sums to one. Each token is scored in the state of the longest retained suffix of what precedes it in its
 document.
 
+Nothing of the tree comes to the driver or is broadcast: frequent sequences, divergence tests and retained states are
+tables by key. A block of documents asks for its distinct sequences by hash bucket, one length after the other (only those
+whose two parts are frequent), and last for the probabilities of the frequent ones.
+
 Corpus words are counted without sending each token through a shuffle. Documents are read once into blocks of
 ``BLOCK_TOKENS`` tokens with a vocabulary of their own; a block asks for its distinct words' counts by hash bucket and
-gets them back. Words are known by 64-bit hashes: V words are confused with a probability below V²/2^65.
+gets them back. Words and
+sequences are known by 64-bit hashes: V of them are confused with a probability below V²/2^65.
 
 Defined results: a null text is the empty text, whose only token is the end; nothing to learn from makes every
 probability of the base 1 (N = V = 0); repeated rows are counted each and score equally; a null id counts as '' for the
@@ -22,20 +26,19 @@ folds; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import steps, utf8
 from tidemark.llm.common import cut
 
-SHARE, LEAST = 1e-5, 4
+LEAST = 4
 DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
 BLOCK_TOKENS = 1 << 22
 END = b""  # no word is empty
@@ -170,18 +173,6 @@ def word_counts(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
     return cut(asked.groupBy("bucket").applyInArrow(answer, schema))
 
 
-@dataclass
-class Level:
-    """Frequent sequences of one length: sorted keys (index of all but the last word, times the words, plus the last)."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    suffix: np.ndarray  # its index without the first word, in the level before
-    log_p: np.ndarray  # log10 of the last word's probability after the others, where those are retained
-    retained: np.ndarray = field(default_factory=lambda: np.array([], bool))
-    log_rest: np.ndarray = field(default_factory=lambda: np.array([], np.float64))
-
-
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted key is in sorted ``keys``, -1 if nowhere."""
     if not len(keys):
@@ -190,81 +181,38 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Tree:
-    """levels[d - 1] holds the frequent sequences of d words; as contexts, those retained are the tree's states."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        self.width = max(1, len(words))
-        self.words, self.tokens, self.distinct = words, tokens, distinct
-        base = np.log10(counts + 1) - np.log10(tokens + distinct + 1)
-        self.levels = [Level(np.arange(len(words)), counts, np.zeros(len(words), np.int64), base)]
-
-    def follow(self, tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each length the index of the frequent sequence that ends at each token within its document, or -1."""
-        ends = [tokens.astype(np.int64)]
-        for level in self.levels[1:]:
-            ends.append(self.step(ends[-1], ends[0], first, level.keys))
-        return ends
-
-    def candidates(self, ends: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose sequence of one word more can be frequent, and its key: both parts of it are."""
-        before = np.where(first, -1, np.concatenate(([-1], ends[:-1]))) if len(ends) else ends
-        places = np.flatnonzero((before >= 0) & (ends >= 0))
-        return places, before[places] * self.width + tokens[places]
-
-    def step(self, ends: np.ndarray, tokens: np.ndarray, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        places, wanted = self.candidates(ends, tokens, first)
-        out = np.full(len(ends), -1)
-        out[places] = find(keys, wanted)
-        return out
-
-    def log_after(self, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | context of ``depth`` words), by the longest retained suffix of the context."""
-        if depth == 0:
-            return self.levels[0].log_p[word]
-        level = self.levels[depth - 1]
-        shorter = self.log_after(depth - 1, level.suffix[context], word)
-        at = find(self.levels[depth].keys, context * self.width + word)
-        here = np.where(at >= 0, self.levels[depth].log_p[at] if len(self.levels[depth].keys) else 0, level.log_rest[context] + shorter)
-        return np.where(level.retained[context], here, shorter)
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Take in the frequent sequences of the next length, and decide which of their contexts are retained."""
-        depth, contexts = len(self.levels), self.levels[-1]
-        context, word = keys // self.width, keys % self.width
-        shorter = self.log_after(depth - 1, contexts.suffix[context], word)
-        p, q = counts / contexts.counts[context], 10.0**shorter
-        n = len(contexts.keys)
-        total = lambda x: np.bincount(context, x, n)
-        rest_p, rest_q = np.maximum(1 - total(p), 0), np.maximum(1 - total(q), 1e-12)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            apart = total(p * np.log(p / q)) + np.where(rest_p > 0, rest_p * np.log(rest_p / rest_q), 0)
-        kept = (apart >= DIVERGENCE) & (2 * contexts.counts * apart >= SIGNIFICANT) & (np.bincount(context, minlength=n) > 0)
-        if depth > 1:
-            kept &= self.levels[-2].retained[contexts.suffix]
-        less = (counts - DISCOUNT) / contexts.counts[context]
-        contexts.retained = kept
-        contexts.log_rest = np.log10(np.maximum(1 - total(less), 1e-12) / rest_q)
-        suffix = word if depth == 1 else find(contexts.keys, contexts.suffix[context] * self.width + word)
-        self.levels.append(Level(keys, counts, suffix, np.log10(less)))
-
-    def gains(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its state over that of the base."""
-        ends = self.follow(tokens, first)
-        gain = np.zeros(len(tokens))
-        base = self.levels[0].log_p
-        for depth in range(1, len(self.levels)):
-            contexts, level = self.levels[depth - 1], self.levels[depth]
-            before = np.concatenate(([-1], ends[depth - 1][:-1])) if len(tokens) else ends[0]
-            before[first] = -1
-            places = np.flatnonzero(before >= 0)
-            places = places[contexts.retained[before[places]]]
-            word, context = ends[0][places], before[places]
-            at = np.where(word >= 0, find(level.keys, context * self.width + word), -1)
-            hit = at >= 0
-            gain[places[~hit]] += contexts.log_rest[context[~hit]]
-            gain[places[hit]] = level.log_p[at[hit]] - base[word[hit]]
-        return gain
+def sequences(words: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each number of words up to ``length`` the key of the sequence that ends at each token (of one word: the word's)."""
+    out = [words]
+    for _ in range(length - 1):
+        x = np.empty_like(words)
+        x[:1] = 0
+        x[1:] = out[-1][:-1]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x += words
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        out.append(x ^ (x >> np.uint64(31)))
+    return out
+
+
+def candidates(lengths: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Places where a sequence of ``length`` words can be frequent: both parts of it are."""
+    part = lengths >= length - 1
+    part[1:] &= part[:-1].copy()
+    return np.flatnonzero(part & ~first)
+
+
+def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) for each bucket that sorted ``keys`` have; buckets are ranges of keys, as in ``range_of``."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bounds = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    return [(b, int(i), int(j)) for b, (i, j) in enumerate(pairwise(bounds)) if j > i]
+
+
+def range_of(key: Column, buckets: int) -> Column:
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("long"), 32).cast("int")
 
 
 def _starts(sizes) -> np.ndarray:
@@ -273,74 +221,145 @@ def _starts(sizes) -> np.ndarray:
     return first
 
 
-def frequent_sequences(known: DataFrame, tree: Tree, least: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the frequent sequences of one word more than the tree's longest."""
-    shared = known.sparkSession.sparkContext.broadcast(tree)
+def _joined(replied, column: str, kind: type) -> np.ndarray:
+    """One column of a block's replies, in the order of its sorted keys."""
+    parts = [unpacked(x[column]) for x in sorted(replied or [], key=lambda x: x["bucket"])]
+    return np.concatenate(parts) if parts else np.array([], kind)
+
+
+def longer(known: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
+    """``known`` with the places of frequent sequences of ``length`` words, and these themselves, each in one block.
+
+    Their columns are key, context (the key without the last word), suffix (without the first) and n.
+    """
 
-    def count(batches):
+    def ask(batches):
         for batch in batches:
-            for sizes, held, tokens in zip(*(batch.column(c).to_pylist() for c in ("sizes", "held", "tokens")), strict=True):
-                first, tokens = _starts(sizes), unpacked(tokens)
-                training = np.repeat(~np.array(held, bool), sizes)
-                first, tokens = first[training], tokens[training]
-                ends = shared.value.follow(tokens, first)
-                _, keys = shared.value.candidates(ends[-1], ends[0], first)
-                keys, counts = np.unique(keys, return_counts=True)
-                of = bucket_of(keys, buckets)
-                order = np.argsort(of, kind="stable")
-                bounds = np.searchsorted(of[order], np.arange(buckets + 1))
-                some = [(b, order[i:j]) for b, (i, j) in enumerate(pairwise(bounds)) if j > i]
+            columns = ("block", "sizes", "held", "tokens", "words", "lengths")
+            for block, sizes, held, *data in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                tokens, words, lengths = map(unpacked, data)
+                places = candidates(lengths, _starts(sizes), length)
+                keys, where = np.unique(sequences(words[tokens], length)[-1][places], return_inverse=True)
+                training = np.repeat(~np.array(held, bool), sizes)[places]
+                counts = np.bincount(where[training], minlength=len(keys)).astype(np.int32)
+                some = ranges(keys, buckets)
                 columns = [
-                    pa.array([b for b, _ in some], pa.int32()), pa.array([packed_keys(keys[o]) for _, o in some], pa.binary()),
-                    pa.array([packed(counts[o].astype(np.int32)) for _, o in some], pa.binary()),
+                    pa.array([b for b, *_ in some], pa.int32()), pa.array([block] * len(some), pa.int64()),
+                    *(pa.array([f(x[i:j]) for _, i, j in some], pa.binary()) for f, x in ((packed_keys, keys), (packed, counts))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys", "counts"])
 
-    def total(parts: pa.Table) -> pa.Table:
-        keys, counts, _ = summed([unpacked_keys(x) for x in parts["keys"].to_pylist()], [unpacked(x) for x in parts["counts"].to_pylist()])
-        often = counts >= least
-        return pa.table({"key": pa.array(keys[often], pa.int64()), "n": pa.array(counts[often], pa.int64())})
-
-    parts = known.select("sizes", "held", "tokens").mapInArrow(count, "bucket int, keys binary, counts binary")
-    found = parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(total, "key long, n long").toArrow()
-    keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    def answer(asked: pa.Table) -> pa.Table:
+        """For each key of a block 0, 1 (frequent) or 2 (frequent, and the block is the one to tell), and the latter's counts."""
+        asked = asked.sort_by("block")
+        keys = [unpacked_keys(x) for x in asked["keys"].to_pylist()]
+        found, total, where = summed(keys, [unpacked(x) for x in asked["counts"].to_pylist()])
+        first = np.full(len(found), len(where))
+        np.minimum.at(first, where, np.arange(len(where)))
+        flags = (total >= least).astype(np.uint8)[where]
+        flags[first[total >= least]] = 2
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        parts = [packed(x) for x in np.split(flags, ends)]
+        counts = [packed(total[x[f == 2]]) for x, f in zip(np.split(where, ends), np.split(flags, ends), strict=True)]
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "flags": pa.array(parts, pa.binary()), "n": pa.array(counts, pa.binary())})
+
+    def tell(batches):
+        for batch in batches:
+            for *kept, replied in zip(*(batch.column(c).to_pylist() for c in [*KNOWN_COLUMNS, "replies"]), strict=True):
+                row = dict(zip(KNOWN_COLUMNS, kept, strict=True))
+                tokens, words, lengths = (unpacked(row[c]) for c in ("tokens", "words", "lengths"))
+                places = candidates(lengths, _starts(row["sizes"]), length)
+                *_, parts, whole = sequences(words[tokens], length)
+                keys, at, where = np.unique(whole[places], return_index=True, return_inverse=True)
+                flags, n = _joined(replied, "flags", np.uint8), _joined(replied, "n", np.int64)
+                lengths = lengths.copy()
+                lengths[places[flags[where] > 0]] = length
+                row["lengths"] = packed(lengths)
+                own = places[at[flags == 2]]
+                told = [keys[flags == 2].view(np.int64), parts[own - 1].view(np.int64), parts[own].view(np.int64), n]
+                yield pa.RecordBatch.from_pylist([row | dict(zip(TOLD_COLUMNS, told, strict=True))], schema=LONGER_ARROW)
+
+    asked = known.select("block", "sizes", "held", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
+    schema = "block long, bucket int, flags binary, n binary"
+    replies = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, schema)
+    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("replies"))
+    joined = known.select(*KNOWN_COLUMNS).join(gathered, "block", "left")
+    return cut(joined.mapInArrow(tell, f"{KNOWN_SCHEMA}, {TOLD_SCHEMA}"))
+
+
+def decide(found: DataFrame, level: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``found`` (frequent sequences) with log_p, log10 of the last word's probability after the others, and log_rest of these if retained.
+
+    ``level`` has the same for the sequences of one word less, ``before`` the retained among their own contexts (key,
+    log_rest; None if these have no word), which a retained context's suffix must be in.
+    """
+    contexts = level.select(F.col("key").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("inner"))
+    rows = found.join(level.select(F.col("key").alias("suffix"), F.col("log_p").alias("shorter")), "suffix").join(contexts, "context")
+    p, q, less = F.col("n") / F.col("of"), F.pow(F.lit(10.0), "shorter"), (F.col("n") - DISCOUNT) / F.col("of")
+    sums = rows.groupBy("context").agg(
+        F.max("of").alias("all"), F.max("inner").alias("inner"), F.sum(p * F.log(p / q)).alias("apart"),
+        (1 - F.sum(p)).alias("rest_p"), F.greatest(1 - F.sum(q), F.lit(1e-12)).alias("rest_q"),
+        F.greatest(1 - F.sum(less), F.lit(1e-12)).alias("rest"),
+    )
+    apart = F.col("apart") + F.when(F.col("rest_p") > 0, F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q"))).otherwise(0.0)
+    states = sums.where((apart >= DIVERGENCE) & (2 * F.col("all") * apart >= SIGNIFICANT))
+    if before is not None:
+        states = states.join(before.select(F.col("key").alias("inner")), "inner", "left_semi")
+    states = states.select("context", F.log10(F.col("rest") / F.col("rest_q")).alias("log_rest"))
+    log_p = F.when(F.col("log_rest").isNotNull(), F.log10(less)).otherwise(F.col("shorter")).alias("log_p")
+    return cut(rows.join(states, "context", "left").select("key", "context", "suffix", "n", log_p, "log_rest"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to: its cleaner waits for the driver's next collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def gains(ends: list[np.ndarray], lengths: np.ndarray, first: np.ndarray, keys: np.ndarray, log_p: np.ndarray, log_rest: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability in its state over that of the base; the values of sorted ``keys`` are nan where they have none."""
+    gain = np.zeros(len(lengths))
+    base = np.zeros(len(lengths))
+    base[lengths > 0] = log_p[find(keys, ends[0][lengths > 0])]
+    for depth in range(1, len(ends)):
+        places = np.flatnonzero(~first & np.concatenate(([False], lengths[:-1] >= depth)))
+        rest = log_rest[find(keys, ends[depth - 1][places - 1])]
+        places, rest = places[~np.isnan(rest)], rest[~np.isnan(rest)]
+        hit = lengths[places] > depth
+        gain[places[~hit]] += rest[~hit]
+        places = places[hit]
+        gain[places] = log_p[find(keys, ends[depth][places])] - base[places]
+    return gain
 
 
 def score(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH,
-    share: float = SHARE, block_tokens: int = BLOCK_TOKENS,
+    least: int = LEAST, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from those not held out."""
-    context = docs.sparkSession.sparkContext
     blocks = blocks_of(docs, id_col, text, held_out, block_tokens)
     size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("training"), F.lit(0)).alias("tokens")).first()
     tokens, buckets = size["tokens"], max(8, size["blocks"])
-    least = max(LEAST, int(np.ceil(share * tokens)))
     replies = word_counts(blocks, buckets, least)
     distinct = replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    often = replies.where(F.size("frequent") > 0).select(F.inline(F.arrays_zip("frequent", "totals"))).toArrow()
-    words, counts = often["frequent"].to_numpy().view(np.uint64), often["totals"].to_numpy()
-    order = np.argsort(words)
-    tree = Tree(words[order], counts[order], tokens, distinct)
-    frequent = context.broadcast(tree.words)
+    often = replies.where(F.size("frequent") > 0).select(F.inline(F.arrays_zip("frequent", "totals"))).toDF("key", "n")
+    log_p = F.log10(F.col("n") + 1) - float(np.log10(tokens + distinct + 1))
+    level, states = often.select("key", "n", log_p.alias("log_p"), F.lit(None).cast("long").alias("suffix")), None
 
     def look_up(batches):
-        """Tokens as numbers of frequent words, -1 for others, and the base model's results for each document."""
+        """Whether each token's word is frequent, and the base model's results for each document."""
         for batch in batches:
             for block, ids, held, sizes, data, hashes, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, hashes = unpacked(data), unpacked(hashes)
+                packed_tokens, packed_words, data, hashes = data, hashes, unpacked(data), unpacked(hashes)
                 order = np.argsort(bucket_of(hashes, buckets), kind="stable")
                 counts = np.empty(len(hashes), np.int64)
                 counts[order] = np.concatenate([unpacked(x["reply"]) for x in sorted(replied, key=lambda x: x["bucket"])])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
                 base = np.add.reduceat(np.log10(counts + 1.0)[data], starts) - np.array(sizes) * np.log10(tokens + distinct + 1.0)
                 known = np.add.reduceat((counts > 0)[data], starts, dtype=np.int64)
-                numbers = np.where(counts >= least, find(frequent.value, hashes), -1).astype(np.int32)
                 columns = [
                     pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(numbers[data])], pa.binary()),
+                    pa.array([sizes], pa.list_(pa.int32())), pa.array([packed_tokens], pa.binary()), pa.array([packed_words], pa.binary()),
+                    pa.array([packed((counts >= least).astype(np.uint8)[data])], pa.binary()),
                     pa.array([base], pa.list_(pa.float64())), pa.array([known], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=KNOWN_COLUMNS)
@@ -348,14 +367,51 @@ def score(
     gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
     joined = blocks.select("block", "ids", "held", "sizes", "tokens", "words").join(gathered, "block")
     known = cut(joined.mapInArrow(look_up, KNOWN_SCHEMA))
-    for _ in range(depth):
-        tree.add(*frequent_sequences(known, tree, least, buckets))
-    shared = context.broadcast(tree)
+    none = F.lit(None).cast("double")
+    values = level.select("key", "log_p", none.alias("log_rest"))
+    for length in range(2, depth + 2):
+        known = longer(known, length, least, buckets)
+        level = decide(known.select(F.inline(F.arrays_zip(*TOLD_COLUMNS))).toDF(*TOLD_COLUMNS), level, states)
+        own = level.where(F.col("log_rest").isNotNull())
+        states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
+        values = values.unionByName(own.select("key", "log_p", none.alias("log_rest")))
+        values = values.unionByName(states.select("key", none.alias("log_p"), "log_rest"))
+        release(docs.sparkSession)
+    known = known.select(*KNOWN_COLUMNS)
+
+    def wanted(tokens, words, lengths):
+        ends = sequences(words[tokens], depth + 1)
+        return ends, np.unique(np.concatenate([x[lengths > i] for i, x in enumerate(ends)]))
+
+    def ask(batches):
+        for batch in batches:
+            for block, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, keys = wanted(*map(unpacked, data))
+                some = ranges(keys, buckets)
+                columns = [
+                    pa.array([b for b, *_ in some], pa.int32()), pa.array([block] * len(some), pa.int64()),
+                    pa.array([packed_keys(keys[i:j]) for _, i, j in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys"])
+
+    def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
+        columns = {}
+        wanted = [unpacked_keys(x) for x in asked["keys"].to_pylist()]
+        for c in ("log_p", "log_rest"):
+            some = values.select(["key", c]).drop_null()
+            keys, found = some["key"].to_numpy().view(np.uint64), np.append(some[c].to_numpy(), np.nan)
+            order = np.argsort(keys)
+            found[:-1] = found[:-1][order]
+            columns[c] = pa.array([packed(found[find(keys[order], x)]) for x in wanted], pa.binary())
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"]} | columns)
 
     def results(batches):
         for batch in batches:
-            for _, ids, held, sizes, data, base, n_known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gain = shared.value.gains(unpacked(data), _starts(sizes))
+            for _, ids, held, sizes, *data, base, n_known, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = [unpacked(x) for x in data]
+                ends, keys = wanted(*data)
+                log_p, log_rest = (np.append(_joined(replied, c, np.float64), np.nan) for c in ("log_p", "log_rest"))
+                gain = gains(ends, data[-1], _starts(sizes), keys, log_p, log_rest)
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
                 columns = [
                     pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()),
@@ -363,10 +419,20 @@ def score(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=RESULT_COLUMNS)
 
+    table = values.withColumn("bucket", range_of(F.col("key"), buckets))
+    asked = known.select("block", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary")
+    schema = "block long, bucket int, log_p binary, log_rest binary"
+    replies = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, schema)
+    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "log_p", "log_rest")).alias("replies"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.mapInArrow(results, schema).withColumnRenamed("id", id_col)
+    return known.join(gathered, "block", "left").mapInArrow(results, schema).withColumnRenamed("id", id_col)
 
 
-KNOWN_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, base array<double>, known array<long>"
+KNOWN_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, lengths binary, base array<double>, known array<long>"
 KNOWN_COLUMNS = [x.split()[0] for x in KNOWN_SCHEMA.split(", ")]
+TOLD_SCHEMA = "key array<long>, context array<long>, suffix array<long>, n array<long>"
+TOLD_COLUMNS = [x.split()[0] for x in TOLD_SCHEMA.split(", ")]
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
+          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+LONGER_ARROW = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in f"{KNOWN_SCHEMA}, {TOLD_SCHEMA}".split(", ")])
 RESULT_COLUMNS = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
