@@ -74,3 +74,21 @@ def test_nearest_has_recall_and_exact_scores(spark):
     few = spark.createDataFrame(data[:3], SCHEMA)
     assert sorted(len(x) for x in collected(ann.search(few, F.lit(True))).values()) == [2, 2, 2]
     assert ann.search(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_nearest_finds_k_rows_for_outliers_and_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = unit(r.normal(size=(12, 32)))
+    tight = unit(np.repeat(groups, 8, axis=0) + 1e-3 * r.normal(size=(96, 32)))
+    table = np.concatenate((tight, unit(r.normal(size=(10, 32)))))
+    data = [(i, v.tolist(), "x") for i, v in enumerate(table)] + [(1, table[1].tolist(), "x")] * 200
+    got = collected(ann.search(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 5 == 0, 20, list_rows=14))
+    assert len(got) == 22 and all(len(x) == 20 for x in got.values())
+    assert all(len({i for i, _ in x}) == 20 for x in got.values())
+
+
+def test_nearest_takes_the_best_row_of_a_repeated_id():
+    ids, vectors = np.array([7] * 400 + [8, 9]), np.concatenate((np.linspace(1, 2, 400), [0.5, 0.4]))[:, None]
+    found, scores = ann.top(vectors[:, 0], ids, vectors, np.ones(1), 0, 3)
+    assert found.tolist() == [7, 8, 9] and scores.tolist() == [2, 0.5, 0.4]

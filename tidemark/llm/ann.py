@@ -5,7 +5,8 @@ query 0, so that the nearest vector has the largest inner product. Centroids are
 indexed. A vector goes to its nearest centroid's list and, where it lies near a boundary, to up to ``REPLICAS`` lists, if
 a centroid is nearly as near as the nearest one and far enough from those already chosen, in relation to the vector. A query walks
 a neighbour graph of the centroids in memory and selects the lists whose centroids are within a ratio of the nearest
-distance. Lists are dealt to shards, a list beyond ``LIST_MOST`` rows in parts; a shard scores a query's lists and
+distance, and further ones in the order of distance until there are ``LISTS_LEAST`` that hold k candidates besides the
+query itself, each id counted in one list only. Lists are dealt to shards, a list beyond ``LIST_MOST`` rows in parts; a shard scores a query's lists and
 passes on its best ``k``, so nothing larger meets in the final ranking.
 
 Defined results: vectors that are null, zero, of another length than the most common one (ties: the longer), or hold null
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 LIST_ROWS, MOST_LISTS, LIST_MOST = 256, 4096, 2048
 REPLICAS, NEAR, APART, DEGREE = 4, 1.03, 0.4, 24
-RATIO = 1.16
+RATIO, LISTS_LEAST = 1.16, 4
 SHARD_ROWS, QUERY_ROWS = 16_384, 4096
 
 
@@ -59,24 +60,28 @@ class Index:
         rows, places = np.nonzero(chosen)
         return rows, near[rows, places]
 
-    def select(self, query: np.ndarray, ratio: float) -> np.ndarray:
-        """The lists whose centroids are within ``ratio`` of the nearest one's distance, found along the graph."""
+    def select(self, query: np.ndarray, ratio: float, counts: np.ndarray, least: int) -> np.ndarray:
+        """The lists whose centroids are within ``ratio`` of the nearest one's distance, found along the graph.
+
+        The nearest ``LISTS_LEAST`` come in any case, and as many as have ``least`` of the ids that ``counts`` has by list.
+        """
         q = np.append(query, 0).astype(np.float32)
         at = int(np.linspace(0, len(self.centroids) - 1, 1)[0])
         seen = np.zeros(len(self.centroids), bool)
         seen[at] = True
         first = float(np.linalg.norm(self.centroids[at] - q))
         heap, best, found = [(first, at)], first, []
-        slack = 0
+        slack = held = 0
         while heap:
             d, at = heapq.heappop(heap)
             if d > best * ratio:
                 slack += 1
-                if slack > DEGREE:  # walk on a little: another basin may be behind
+                if slack > DEGREE and held >= least and len(found) >= LISTS_LEAST:  # walk on a little: another basin may be behind
                     break
             else:
                 slack = 0
             found.append((d, at))
+            held += int(counts[at])
             fresh = self.graph[at][~seen[self.graph[at]]]
             if len(fresh):
                 seen[fresh] = True
@@ -84,7 +89,9 @@ class Index:
                 best = min(best, float(ds.min()))
                 for pair in zip(ds.tolist(), fresh.tolist(), strict=True):
                     heapq.heappush(heap, pair)
-        return np.array([i for d, i in found if d <= best * ratio], np.int32)
+        found.sort()
+        before = np.cumsum([0] + [int(counts[i]) for _, i in found[:-1]])
+        return np.array([i for n, (d, i) in enumerate(found) if d <= best * ratio or n < LISTS_LEAST or before[n] < least], np.int32)
 
 
 def fit(sample: np.ndarray, lists: int, norm: float, rounds: int = 8) -> Index:
@@ -124,12 +131,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def top(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The best ``k`` of rows that ``scores`` (any summation order, -inf: not scored) leaves in question, scored exactly."""
-    kept = min(len(scores), (k + 1) * REPLICAS)
-    least = np.partition(scores, len(scores) - kept)[len(scores) - kept]
-    rows = np.flatnonzero((scores >= least - 1e-9 * abs(least)) & (scores > -np.inf) & (ids != own)) if np.isfinite(least) else np.flatnonzero((scores > -np.inf) & (ids != own))
-    rows = rows[np.unique(ids[rows], return_index=True)[1]]
+    asked = np.flatnonzero((scores > -np.inf) & (ids != own))
+    kept, among = (k + 1) * REPLICAS, scores[asked]
+    while True:  # rows that repeat an id may fill any number of places
+        rows = asked
+        if kept < len(asked):
+            least = np.partition(among, len(asked) - kept)[len(asked) - kept]
+            rows = asked[among >= least - 1e-9 * abs(least)]
+        if len(rows) == len(asked) or len(np.unique(ids[rows])) >= k:
+            break
+        kept *= 4
     exact = (vectors[rows] * query).sum(axis=1)
-    best = np.lexsort((ids[rows], -exact))[:k]
+    order = np.lexsort((ids[rows], -exact))
+    best = order[np.sort(np.unique(ids[rows][order], return_index=True)[1])[:k]]
     return ids[rows[best]], exact[best]
 
 
@@ -171,12 +185,16 @@ def search(
 
     def probe(batches):
         for batch in batches:
-            found = [shared.value.select(q, ratio) for q in _matrix(batch.column("v"), width)]
+            found = [shared.value.select(q, ratio, counts, k + 1) for q in _matrix(batch.column("v"), width)]
             got = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))).select(["vec_id"])
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(np.concatenate(found) if found else np.array([], np.int32))], names=["query_id", "list"])
 
     posted = rows.select("vec_id", "v").mapInArrow(post, "vec_id long, v array<double>, list int")
     asked = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"])
+    # each id counts in one of its lists, so that lists hold at least as many distinct ids as their counts add up to
+    counts = np.zeros(len(index.centroids), np.int64)
+    for r in posted.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        counts[r[0]] = r[1]
     probes = asked.mapInArrow(probe, "query_id long, list int")
     # one count for each list: at most MOST_LISTS numbers
     sizes = {r[0]: r[1] for r in posted.select("vec_id", "list").groupBy("list").count().collect()}
