@@ -61,13 +61,13 @@ def folder(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def log(spark, folder):
-    return logs.read(spark, folder).kept()
+def log(spark, folder, tmp_path_factory):
+    return logs.read(spark, folder).landed(str(tmp_path_factory.mktemp("log")))
 
 
 @pytest.fixture(scope="module")
-def star(log):
-    return {k: v.cache() for k, v in logs.star(log).items()}
+def star(log, tmp_path_factory):
+    return {k: v.cache() for k, v in logs.star(log, str(tmp_path_factory.mktemp("star"))).items()}
 
 
 def test_prompts_sessions_and_filtering(log, star):
@@ -116,8 +116,8 @@ def test_files_context_and_tasks(star):
     assert {r.prompt_id for r in star["task_prompts"].collect()} == {"p1", "p2", "p3"}
 
 
-def test_windows_and_privacy(log):
-    later = logs.star(log, since="2026-01-06", keep_text=False)
+def test_windows_and_privacy(log, tmp_path):
+    later = logs.star(log, str(tmp_path), since="2026-01-06", keep_text=False)
     rows = later["prompts"].collect()
     assert [(r.prompt_id, r.prompt_index, r.prompt_preview) for r in rows] == [("p3", 1, "")] and "prompts_text" not in later
     assert {r.session_id for r in later["sessions"].collect()} == {"S2"}

@@ -75,12 +75,19 @@ class Log:
     events: DataFrame
     sessions: DataFrame
 
-    def kept(self) -> Log:
-        """The same log, parsed once and kept on the executors' disks for the many tables that read it."""
-        from pyspark import StorageLevel
+    def landed(self, folder: str) -> Log:
+        """The same log, parsed once: its lines' validity and events are written below ``folder``, which all executors
+        must share, and read from there by the many tables that need them."""
+        land = lambda name, rows: landed(rows, folder, name)
+        events = land("events", self.events)
+        lines = land("lines", self.lines.select("file", "line", "invalid"))
+        return Log(lines=lines, events=events, sessions=land("file_sessions", session_rows(events)))
 
-        events = self.events.persist(StorageLevel.DISK_ONLY)
-        return Log(lines=self.lines, events=events, sessions=session_rows(events).persist(StorageLevel.DISK_ONLY))
+
+def landed(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """``rows`` written to ``folder``/``name`` as Parquet, replacing what is there, and read again."""
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +125,7 @@ def parse(lines: DataFrame) -> Log:
     human = (F.col("type") == "user") & ~blank
     events = events.withColumn("skip", F.when(human, skip_reason())).withColumn("human", human)
     events = events.withColumn("is_prompt", human & F.col("skip").isNull())
-    return Log(lines=rows, events=with_chain(events), sessions=session_rows(events))
+    return Log(lines=rows.withColumn("invalid", v.isNull()), events=with_chain(events), sessions=session_rows(events))
 
 
 def skip_reason() -> Column:
@@ -205,7 +212,7 @@ def usage_of(log: Log) -> DataFrame:
     uses = F.filter(F.coalesce("blocks", F.array().cast("array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,input:variant,content:variant>>")), lambda b: b["type"] == "tool_use")
     inputs = F.transform(uses, lambda b: F.coalesce(get(b["input"], "$"), F.to_json(b["input"]), F.lit("")))
     rows = log.events.where((F.col("type") == "assistant") & m.isNotNull()).join(log.sessions.select("file", "session_id", "subagent"), "file").select(
-        "file", "line", "session_id", "subagent", "prompt_id", "post_compact", "is_sidechain", "timestamp", "cwd", "blocks", key.alias("key"),
+        "file", "line", "session_id", "subagent", "prompt_id", "post_compact", "is_sidechain", "timestamp", key.alias("key"),
         text_of(m, "$.model").alias("model"), text_of(m, "$.stop_reason").alias("stop_reason"), count(u, "$.input_tokens").alias("input"), count(u, "$.output_tokens").alias("output"),
         count(u, "$.cache_read_input_tokens").alias("cache_read"), F.when(split5 + split1 == 0, legacy).otherwise(split5).alias("cache_write_5m"), split1.alias("cache_write_1h"),
         calls.alias("server_tool_use"), count_tokens(F.col("text")).alias("prose"), count_tokens(F.array_join(inputs, "\n")).alias("code"), F.exists(uses, lambda b: b["id"] != "").alias("acts"),
@@ -237,11 +244,11 @@ def changed_lines(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["added", "deleted"])
 
 
-def file_edits(log: Log, prompts: DataFrame) -> DataFrame:
+def file_edits(calls: DataFrame, prompts: DataFrame) -> DataFrame:
     """``output_files``: edits and changed lines of each prompt and file; a call counts once however often it is replayed."""
     i = F.col("input")
     raw = F.coalesce(F.nullif(text_of(i, "$.file_path"), F.lit("")), F.nullif(text_of(i, "$.notebook_path"), F.lit("")))
-    rows = tool_uses(log).where(F.col("name").isin(*EDIT_TOOLS) & (F.col("id") != "") & raw.isNotNull()).join(prompts.select("prompt_id"), "prompt_id", "left_semi")
+    rows = calls.where(F.col("name").isin(*EDIT_TOOLS) & (F.col("id") != "") & raw.isNotNull()).join(prompts.select("prompt_id"), "prompt_id", "left_semi")
     rows = first_of(rows, ["id"], "place")
     pair = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
     many = F.transform(F.try_variant_get(i, "$.edits", "array<variant>"), lambda e: pair(text_of(e, "$.old_string"), text_of(e, "$.new_string")))
@@ -254,17 +261,17 @@ def file_edits(log: Log, prompts: DataFrame) -> DataFrame:
     )
 
 
-def context_items(log: Log) -> DataFrame:
+def context_items(log: Log, uses: DataFrame) -> DataFrame:
     """What enters the context besides the conversation: tool results, by the call they answer, and attachments.
 
     (session_id, prompt_id, file, line, place, source, language, path, tokens), each once; subagents' files are left out.
     """
-    main = log.events.where(~F.col("is_sidechain")).join(log.sessions.where(~F.col("subagent")).select("file", "session_id"), "file")
+    main = log.events.where(~F.col("is_sidechain")).select("file", "line", "type", "uuid", "prompt_id", "cwd", "blocks", "attachment").join(log.sessions.where(~F.col("subagent")).select("file", "session_id"), "file")
     i = F.col("input")
     raw = F.coalesce(F.nullif(text_of(i, "$.file_path"), F.lit("")), F.nullif(text_of(i, "$.notebook_path"), F.lit("")))
     reads = F.col("name").isin(*READ_TOOLS)
     known = lambda c: F.when(reads & raw.isNotNull(), c).otherwise(F.lit(NO_VALUE))
-    calls = tool_uses(log).where(F.col("id") != "").select(
+    calls = uses.where(F.col("id") != "").select(
         F.col("file").alias("f"), F.col("id").alias("call"), F.struct("line", "place").alias("called"), F.col("line").alias("call_line"),
         F.when(reads, "file_read").otherwise("tool_output").alias("source"), known(language_of(raw)).alias("language"), known(relative(raw, F.col("cwd"))).alias("path"),
     )
@@ -289,10 +296,10 @@ def context_items(log: Log) -> DataFrame:
     return first_of(both.where(F.col("once") != ""), ["once"], "place").unionByName(both.where(F.col("once") == "")).drop("once")
 
 
-def todos_of(log: Log) -> DataFrame:
+def todos_of(log: Log, calls: DataFrame) -> DataFrame:
     """(session_id, timestamp, ordinal, label): the task in progress whenever the log says so, by either family of tools."""
     i = F.col("input")
-    uses = tool_uses(log).join(log.sessions.where(~F.col("subagent")).select("file", "session_id"), "file")
+    uses = calls.join(log.sessions.where(~F.col("subagent")).select("file", "session_id"), "file")
     active = F.get(F.filter(F.transform(F.try_variant_get(i, "$.todos", "array<variant>"), lambda t: F.struct(text_of(t, "$.status").alias("status"), F.coalesce(F.nullif(text_of(t, "$.content"), F.lit("")), text_of(t, "$.activeForm")).alias("label"))), lambda t: t["status"] == "in_progress"), 0)
     columns = ["session_id", "prompt_id", "timestamp", "file", "line", "place", F.coalesce(F.nullif("id", F.lit("")), "uuid").alias("once")]
     written = uses.where(F.col("name") == "TodoWrite").select(*columns, F.trim(F.coalesce(active["label"], F.lit(""))).alias("label"))
@@ -309,21 +316,28 @@ def todos_of(log: Log) -> DataFrame:
 def quality(log: Log) -> DataFrame:
     """(kind, name, n): lines, invalid lines, unknown event types, filtered prompts and versions."""
     one = lambda frame, kind: frame.groupBy("name").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    lines = one(log.lines.select(F.when(F.col("v").isNull(), "invalid").otherwise("valid").alias("name")), "lines")
+    lines = one(log.lines.select(F.when(F.col("invalid"), "invalid").otherwise("valid").alias("name")), "lines")
     unknown = one(log.events.where(~F.col("type").isin(*KNOWN_TYPES)).select(F.col("type").alias("name")), "unknown_type")
     skipped = one(log.events.where(F.col("skip").isNotNull()).select(F.col("skip").alias("name")), "filtered")
     versions = one(log.events.where(F.length("version") > 0).select(F.col("version").alias("name")), "version")
     return lines.unionByName(unknown).unionByName(skipped).unionByName(versions)
 
 
-def star(log: Log, since: str | None = None, until: str | None = None, zone: str = "UTC", keep_text: bool = True) -> dict[str, DataFrame]:
+def star(log: Log, folder: str, since: str | None = None, until: str | None = None, zone: str = "UTC", keep_text: bool = True) -> dict[str, DataFrame]:
     """The star schema's tables: sessions, prompts, tokens, requests, output_files, output_tokens, context_sources,
     context_cost, tasks, task_prompts and prompts_text. A window keeps prompts whose time lies in it, and session overhead
-    of which any record does."""
+    of which any record does.
+
+    What several tables share is deduplicated once and landed below ``folder``, so that no table repeats the work of another
+    and a lost executor costs one table's stage. The tables themselves are lazy.
+    """
     from tidemark.operators import apportion, tasks
     from tidemark.plans.adapter import tokens_of_requests
 
-    everything, usage = prompts_of(log), usage_of(log)
+    land = lambda name, rows: landed(rows, folder, name)
+    prompt_columns = ["file", "line", "session_id", "prompt_id", "timestamp", "cwd", "git_branch", "current_mode", "entrypoint", "version", "text"]
+    everything = land("all_prompts", prompts_of(log).select(*prompt_columns))
+    usage, acts = land("usage", usage_of(log)), land("calls", tool_uses(log))
     owner = everything.select("prompt_id", F.col("session_id").alias("_owner"))
     usage = usage.join(owner, "prompt_id", "left").withColumn("real", F.col("_owner").isNotNull())
     usage = usage.withColumns({
@@ -336,11 +350,13 @@ def star(log: Log, since: str | None = None, until: str | None = None, zone: str
     kept = usage.where("real").join(prompts.select("prompt_id"), "prompt_id", "left_semi")
     kept = kept.unionByName(usage.where(~F.col("real")).join(overhead, ["session_id", "prompt_id"], "left_semi").select(kept.columns))
     in_prompt = Window.partitionBy("session_id", "prompt_id").orderBy("timestamp", *arrival())
+    prompts, kept = land("prompts", prompts), land("kept_usage", kept)
     requests = kept.where(F.col("size") > 0).select(
         "session_id", "prompt_id", F.row_number().over(in_prompt).cast("long").alias("request_index"), "timestamp", "model", "stop_reason", F.col("is_sidechain").cast("int").alias("is_sidechain"),
         F.col("post_compact").cast("int").alias("post_compact"), F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_tokens"),
         F.col("cache_write_5m").alias("cache_write_5m_tokens"), F.col("cache_write_1h").alias("cache_write_1h_tokens"), F.col("server_tool_use").alias("server_tool_use_requests"),
     )
+    requests = land("requests", requests)
     place = F.struct("timestamp", "file", "line")
     main = usage.where("real").where(~F.col("is_sidechain"))
     real_model = F.when((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL), F.col("model"))
@@ -348,33 +364,34 @@ def star(log: Log, since: str | None = None, until: str | None = None, zone: str
         F.count("*").alias("assistant_turns"), F.min_by(real_model, F.when(real_model.isNotNull(), place)).alias("model"),
         F.max_by(F.nullif("stop_reason", F.lit("")), F.when(F.col("stop_reason") != "", place)).alias("final_stop_reason"),
     )
-    calls = first_of(tool_uses(log).where(F.col("id") != ""), ["id"], "place").groupBy("prompt_id").agg(F.count("*").alias("tool_calls"))
+    calls = first_of(acts.where(F.col("id") != ""), ["id"], "place").groupBy("prompt_id").agg(F.count("*").alias("tool_calls"))
     shown = preview(F.col("text")) if keep_text else F.lit("")
     prompt_rows = prompts.join(turns, "prompt_id", "left").join(calls, "prompt_id", "left").select(
         "session_id", "prompt_id", "prompt_index", "timestamp", project_name(F.col("cwd")).alias("project"), "cwd", "git_branch", F.col("current_mode").alias("mode"), "entrypoint", "version",
         F.coalesce("model", F.lit("")).alias("model"), F.length("text").cast("long").alias("char_count"), F.coalesce("assistant_turns", F.lit(0)).alias("assistant_turns"),
         F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"), F.coalesce("final_stop_reason", F.lit("")).alias("final_stop_reason"), shown.alias("prompt_preview"),
     )
+    prompt_rows = land("prompt_rows", prompt_rows)
     weight = F.col("prose") + F.col("code")
     prose = F.when(weight > 0, F.bround(F.col("output").cast("double") * F.col("prose") / weight, 0)).otherwise(F.col("output")).cast("long")
     outputs = kept.where(F.col("real") & (F.col("output") > 0)).withColumn("p", prose).groupBy("prompt_id").agg(F.sum("p").alias("output_prose_tokens"), F.sum(F.col("output") - F.col("p")).alias("output_code_tokens"))
     files = log.sessions.groupBy("session_id").agg(F.min_by(F.struct("cwd", "git_branch"), F.when(F.length("cwd") > 0, F.col("file"))).alias("place"), F.min("first_timestamp").alias("start"))
-    active = prompts.select("session_id").unionByName(overhead.select("session_id")).distinct()
+    active = land("active", prompts.select("session_id").unionByName(overhead.select("session_id")).distinct())
     sessions = files.join(active, "session_id", "left_semi").where(F.col("place").isNotNull()).select(
         "session_id", F.coalesce(F.substring("start", 1, 10), F.lit("")).alias("start_date"), project_name(F.col("place.cwd")).alias("project"), "place.cwd", "place.git_branch"
     )
-    items = context_items(log).join(active, "session_id", "left_semi")
+    items = land("items", context_items(log, acts)).join(active, "session_id", "left_semi")
     said = everything.join(active, "session_id", "left_semi").select("session_id", "prompt_id", count_tokens(F.col("text")).alias("tokens"))
     turns_said = usage.where(~F.col("is_sidechain") & (weight > 0)).join(active, "session_id", "left_semi").select("session_id", "prompt_id", weight.alias("tokens"))
     talk = said.unionByName(turns_said)
     elements = items.groupBy("session_id", "prompt_id", "source", "language", "path").agg(F.sum("tokens").alias("tokens"))
     elements = elements.unionByName(talk.groupBy("session_id", "prompt_id").agg(F.sum("tokens").alias("tokens")).select("session_id", "prompt_id", F.lit("conversation").alias("source"), F.lit(NO_VALUE).alias("language"), F.lit(NO_VALUE).alias("path"), "tokens"))
-    elements = elements.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id", "prompt_id").orderBy("source", "language", "path")).cast("long"))
+    elements = land("elements", elements.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id", "prompt_id").orderBy("source", "language", "path")).cast("long")))
     turn = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "prompt_id", "request_index"))
     main_requests = requests.where(F.col("is_sidechain") == 0).withColumn("turn", turn)
-    made, edges = tasks.assemble(prompt_rows, todos_of(log))
+    made, edges = tasks.assemble(prompt_rows, land("todos", todos_of(log, acts)))
     out = {
-        "sessions": sessions, "prompts": prompt_rows, "requests": requests, "tokens": tokens_of_requests(requests), "output_files": file_edits(log, prompts), "output_tokens": outputs,
+        "sessions": sessions, "prompts": prompt_rows, "requests": requests, "tokens": tokens_of_requests(requests), "output_files": file_edits(acts, prompts), "output_tokens": outputs,
         "context_sources": apportion.snapshot(items, talk), "context_cost": apportion.attribute(main_requests, elements), "tasks": made, "task_prompts": edges,
     }
     return out | ({"prompts_text": prompts.select("prompt_id", F.col("text").alias("prompt_text"))} if keep_text else {})
