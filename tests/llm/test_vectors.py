@@ -41,7 +41,7 @@ def test_maxscore_equals_brute_force(spark):
     for spread in (0.2, 5000.0):
         data = rows(400, spread=spread)
         frame = spark.createDataFrame(data, SCHEMA)
-        got = collected(maxscore.search(frame, F.col("vec_id") % 20 == 0, 10, shard_rows=100, query_rows=7))
+        got = collected(maxscore.search(frame, F.col("vec_id") % 20 == 0, 10, shard_rows=100))
         assert got == brute(data, {i for i, *_ in data if i is not None and i % 20 == 0}, 10, scaled)
     assert maxscore.search(frame.limit(0), F.lit(True)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0], ""), (1, [0.0], ""), (2, [], "")], SCHEMA)
@@ -88,6 +88,39 @@ def test_nearest_finds_k_rows_for_outliers_and_repeated_ids(spark):
     assert all(len({i for i, _ in x}) == 20 for x in got.values())
 
 
+def test_nearest_prunes_lists_and_replicates_boundaries(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = unit(np.repeat(unit(r.normal(size=(60, 32))), 50, axis=0) + 0.08 * r.normal(size=(3000, 32)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<float>")
+    table = table.astype(np.float32).astype(float)
+    for flat in (ann.FLAT, 16):  # one level of lists, and lists fitted cell by cell
+        monkeypatch.setattr(ann, "FLAT", flat)
+        found, figures = ann.probed(frame, F.col("vec_id") % 20 == 0, 20, shard_rows=500, query_rows=20)
+        got = collected(found)
+        want = {q: np.lexsort((np.arange(3000), -np.where(np.arange(3000) == q, -9, table @ table[q])))[:20].tolist() for q in range(0, 3000, 20)}
+        assert got.keys() == want.keys()
+        assert np.mean([len({i for i, _ in got[q]} & set(want[q])) / 20 for q in want]) >= 0.9
+        assert figures["lists"] >= 60 and figures["share"] < 0.2 and figures["copies"] > 1.1
+
+
+def test_lists_are_balanced():
+    r = np.random.default_rng(1)
+    x = np.concatenate((r.normal(size=(1800, 8)) * 0.2, r.normal(size=(200, 8)) + 4)).astype(np.float32)
+    sizes = np.bincount(ann.squared(x, ann.balanced(x, 40)).argmin(1), minlength=40)
+    assert sizes.max() <= 4 * sizes.mean()
+
+
+def test_a_repeated_id_has_its_smallest_vector(spark):
+    data = [(i, [float(i), 1.0], "x") for i in range(8)] + [(3, [-5.0, 1.0], "x"), (3, [9.0, 9.0], "x"), (0, [0.0, -2.0], "x")]
+    frame = spark.createDataFrame(data, SCHEMA)
+    kept = {i: [float(i), 1.0] for i in range(8)} | {3: [-5.0, 1.0], 0: [0.0, -2.0]}
+    rows_ = [(i, v, "x") for i, v in kept.items()]
+    assert collected(ann.search(frame, F.col("vec_id") < 4, 20)) == brute(rows_, {0, 1, 2, 3}, 20, lambda a, b: sum(x * y for x, y in zip(a, b)))
+    scaled = lambda a, b: sum(math.floor(x * 1024) * math.floor(y * 1024) for x, y in zip(a, b))
+    assert collected(maxscore.search(frame, F.col("vec_id") < 4)) == brute(rows_, {0, 1, 2, 3}, 10, scaled)
+
+
 def test_nearest_takes_the_best_row_of_a_repeated_id():
     ids, vectors = np.array([7] * 400 + [8, 9]), np.concatenate((np.linspace(1, 2, 400), [0.5, 0.4]))[:, None]
     found, scores = ann.top(vectors[:, 0], ids, vectors, np.ones(1), 0, 3)

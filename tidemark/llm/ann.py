@@ -1,18 +1,26 @@
 """Approximate nearest neighbours by inner product with balanced posting lists (operator 1).
 
 Inner products become distances by one more component: with M the largest norm, a vector gets sqrt(M² - |v|²) and a
-query 0, so that the nearest vector has the largest inner product. Centroids are fitted on a bounded sample; every row is
-indexed. A vector goes to its nearest centroid's list and, where it lies near a boundary, to up to ``REPLICAS`` lists, if
-a centroid is nearly as near as the nearest one and far enough from those already chosen, in relation to the vector. A query walks
-a neighbour graph of the centroids in memory and selects the lists whose centroids are within a ratio of the nearest
-distance, and further ones in the order of distance until there are ``LISTS_LEAST`` that hold k candidates besides the
-query itself, each id counted in one list only. Lists are dealt to shards, a list beyond ``LIST_MOST`` rows in parts; a shard scores a query's lists and
-passes on its best ``k``, so nothing larger meets in the final ranking.
+query 0, so that the nearest vector has the largest inner product.
+
+* Centroids come from k-means whose assignment charges a list for the rows it has beyond the average, so that lists are
+  balanced. Up to ``FLAT`` lists are fitted on a sample of ``SAMPLE`` rows; beyond that the sample gives cells, and each
+  cell's lists are fitted in a task of its own on the cell's part of a larger sample, so lists grow in number with the
+  table, up to ``MOST_LISTS``. Every row is indexed.
+* A vector goes to its nearest centroid's list and, where it lies near a boundary, to up to ``REPLICAS`` lists: those whose
+  centroid is nearly as near and, in relation to the vector, far enough from those already chosen.
+* A query walks a neighbour graph of the centroids in memory, from the nearest of some lists spread over all, and selects the lists whose centroids lie within a ratio of
+  the ``LISTS_LEAST``-th nearest one's distance (the nearest may be its own copies' centroid). The ratio is the smallest that finds the share ``recall`` of the neighbours of ``ASKED`` rows in a
+  sample that the index wasn't fitted on, at the same radius as k neighbours have in the whole table; so vectors in groups need few lists and vectors
+  without structure more. There are at least ``LISTS_LEAST`` lists, and as many as hold k candidates besides the query.
+* Lists are dealt to shards of about ``SHARD_ROWS`` rows, a list beyond ``LIST_MOST`` rows in parts. Postings are shuffled
+  once; only a shard that more than ``QUERY_ROWS`` queries ask for is copied, once for each so many. A shard passes on each
+  query's best ``k``, so nothing larger meets in the final ranking.
 
 Defined results: vectors that are null, zero, of another length than the most common one (ties: the longer), or hold null
-or non-finite components take no part; ties go to the smaller id; a query with fewer candidates gets them all; rows that
-repeat an id count as one candidate and one query, never as a query's own neighbour; null ids take no part; an empty
-table gives an empty result; other columns are not read.
+or non-finite components take no part; ties go to the smaller id; a query with fewer candidates gets them all; of rows that
+repeat an id the one with the smallest vector (component by component) stands for the id; null ids take no part; ids are
+integers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,57 +32,126 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.common import cut, n_partitions
 
-SAMPLE = 20_000
-LIST_ROWS, MOST_LISTS, LIST_MOST = 256, 4096, 2048
-REPLICAS, NEAR, APART, DEGREE = 4, 1.03, 0.4, 24
-RATIO, LISTS_LEAST = 1.16, 4
+SAMPLE, CELL_SAMPLE, PER_LIST = 20_000, 20_000, 16
+LIST_ROWS, FLAT, MOST_LISTS, LIST_MOST = 32, 2048, 65_536, 2048
+REPLICAS, NEAR, APART, DEGREE = 4, 1.2, 0.4, 24
+RECALL, LISTS_LEAST, ASKED = 0.97, 4, 256
 SHARD_ROWS, QUERY_ROWS = 16_384, 4096
+CELLS_NEAR, ENTRIES, CHUNK = 4, 16, 2048
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to those of ``c``."""
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T), 0)
+
+
+def balanced(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Centroids of ``lists`` balanced groups of the distinct rows of ``x``: a full list costs more than an empty one."""
+    x = np.unique(x, axis=0)
+    lists = max(1, min(lists, len(x)))
+    c = x[np.random.default_rng(0).permutation(len(x))[:lists]].copy()
+    fine = np.zeros(lists)
+    for _ in range(rounds):
+        of, cost = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), CHUNK):
+            d = squared(x[at : at + CHUNK], c)
+            of[at : at + CHUNK] = (d + fine).argmin(1)
+            cost[at : at + CHUNK] = d.min(1)
+        n = np.bincount(of, minlength=lists)
+        fine = np.maximum(fine + 0.1 * cost.mean() * (n * lists / len(x) - 1), 0)
+        sums = np.zeros(c.shape, np.float64)
+        np.add.at(sums, of, x)
+        c = (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
+        far = np.argsort(-cost, kind="stable")
+        c[n == 0] = x[far[: int((n == 0).sum())]]
+    return c
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray  # float32, with the added component
-    graph: np.ndarray  # the DEGREE nearest centroids of each
+    cells: np.ndarray  # float32, with the added component
+    starts: np.ndarray  # where each cell's lists begin
+    centroids: np.ndarray  # float32, cell by cell
+    graph: np.ndarray  # the DEGREE nearest centroids of each, and the next one
+    gates: np.ndarray  # lists spread over all, where walks begin
     norm: float
 
+    @staticmethod
+    def of(cells: np.ndarray, parts: list[np.ndarray], norm: float) -> Index:
+        starts = np.cumsum([0, *map(len, parts)])
+        none = np.zeros((0, 0), np.int32)
+        index = Index(cells, starts, np.concatenate(parts), none, none, norm)
+        lists = len(index.centroids)
+        centres = balanced(index.centroids, int(4 * np.sqrt(lists)), rounds=4)
+        index.gates = np.unique(np.concatenate([squared(centres[i : i + CHUNK], index.centroids).argmin(1) for i in range(0, len(centres), CHUNK)]))
+        degree = min(DEGREE, lists - 1)
+        graph = np.empty((lists, degree), np.int32)
+        for at in range(0, lists, CHUNK):
+            # the nearest of all but itself, which comes first
+            ids, d = index.nearest(index.centroids[at : at + CHUNK], degree + 1)
+            own = ids == np.arange(at, at + len(ids))[:, None]
+            own[~own.any(1), -1] = True
+            graph[at : at + CHUNK] = ids[~own].reshape(len(ids), degree)
+        ring = np.roll(np.arange(lists, dtype=np.int32), -1)[:, None]  # keeps the graph in one piece
+        index.graph = np.concatenate((graph, ring), axis=1)
+        return index
+
     def entries(self, vectors: np.ndarray) -> np.ndarray:
         """``vectors`` with the component that turns inner products into distances."""
+        vectors = vectors.astype(np.float64)
         rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
         return np.concatenate((vectors, rest[:, None]), axis=1).astype(np.float32)
 
+    def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each entry the ``most`` nearest lists and their distances, looked for in the nearest cells."""
+        ids, best = np.full((len(x), most), -1, np.int32), np.full((len(x), most), np.inf, np.float32)
+        near = np.argsort(squared(x, self.cells), axis=1, kind="stable")[:, :CELLS_NEAR]
+        if len(self.cells) > 1 and np.diff(self.starts)[near].sum(1).min() < most:
+            near = np.broadcast_to(np.arange(len(self.cells)), (len(x), len(self.cells)))
+        for cell in np.unique(near):
+            rows = np.flatnonzero((near == cell).any(1))
+            a, b = self.starts[cell], self.starts[cell + 1]
+            d = np.concatenate((best[rows], squared(x[rows], self.centroids[a:b])), axis=1)
+            all_ids = np.concatenate((ids[rows], np.broadcast_to(np.arange(a, b, dtype=np.int32), (len(rows), b - a))), axis=1)
+            kept = np.argsort(d, axis=1, kind="stable")[:, :most] if most > d.shape[1] // 4 else None
+            if kept is None:
+                kept = np.argpartition(d, most - 1, axis=1)[:, :most]
+                kept = np.take_along_axis(kept, np.argsort(np.take_along_axis(d, kept, 1), axis=1, kind="stable"), 1)
+            best[rows], ids[rows] = np.take_along_axis(d, kept, 1), np.take_along_axis(all_ids, kept, 1)
+        return ids, np.sqrt(best)
+
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: nearest list and boundary replicas."""
-        x, c = self.entries(vectors), self.centroids
-        most = min(REPLICAS, len(c))
-        apart = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T), 0)
-        near = np.argpartition(apart, most - 1, axis=1)[:, :most]
-        order = np.argsort(np.take_along_axis(apart, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        d = np.sqrt(np.take_along_axis(apart, near, 1))
+        most = min(REPLICAS, len(self.centroids))
+        near, d = self.nearest(self.entries(vectors), most)
         chosen = d <= NEAR * d[:, :1]
         for i in range(1, most):
             for j in range(i):
-                between = np.sqrt(((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1))
+                between = np.sqrt(((self.centroids[near[:, i]] - self.centroids[near[:, j]]) ** 2).sum(1))
                 chosen[:, i] &= ~chosen[:, j] | (between > APART * d[:, i])
         rows, places = np.nonzero(chosen)
         return rows, near[rows, places]
 
     def select(self, query: np.ndarray, ratio: float, counts: np.ndarray, least: int) -> np.ndarray:
-        """The lists whose centroids are within ``ratio`` of the nearest one's distance, found along the graph.
+        """The lists whose centroids are within ``ratio`` of the ``LISTS_LEAST``-th nearest one's distance, found along the graph.
 
         The nearest ``LISTS_LEAST`` come in any case, and as many as have ``least`` of the ids that ``counts`` has by list.
         """
         q = np.append(query, 0).astype(np.float32)
-        at = int(np.linspace(0, len(self.centroids) - 1, 1)[0])
         seen = np.zeros(len(self.centroids), bool)
-        seen[at] = True
-        first = float(np.linalg.norm(self.centroids[at] - q))
-        heap, best, found = [(first, at)], first, []
+        ds = np.sqrt(((self.centroids[self.gates] - q) ** 2).sum(1))
+        near = np.argsort(ds, kind="stable")[:ENTRIES]
+        seen[self.gates[near]] = True
+        heap, found, nearest = list(zip(ds[near].tolist(), self.gates[near].tolist(), strict=True)), [], ds[near][:LISTS_LEAST]
         slack = held = 0
+        reach = float(nearest[-1]) * ratio if len(nearest) == LISTS_LEAST else np.inf
         while heap:
             d, at = heapq.heappop(heap)
-            if d > best * ratio:
+            if d > reach:
                 slack += 1
                 if slack > DEGREE and held >= least and len(found) >= LISTS_LEAST:  # walk on a little: another basin may be behind
                     break
@@ -82,39 +159,36 @@ class Index:
                 slack = 0
             found.append((d, at))
             held += int(counts[at])
-            fresh = self.graph[at][~seen[self.graph[at]]]
+            fresh = np.unique(self.graph[at][~seen[self.graph[at]]])
             if len(fresh):
                 seen[fresh] = True
                 ds = np.sqrt(((self.centroids[fresh] - q) ** 2).sum(1))
-                best = min(best, float(ds.min()))
+                nearest = np.sort(np.concatenate((nearest, ds)))[:LISTS_LEAST]
+                if len(nearest) == LISTS_LEAST:
+                    reach = float(nearest[-1]) * ratio
                 for pair in zip(ds.tolist(), fresh.tolist(), strict=True):
                     heapq.heappush(heap, pair)
         found.sort()
         before = np.cumsum([0] + [int(counts[i]) for _, i in found[:-1]])
-        return np.array([i for n, (d, i) in enumerate(found) if d <= best * ratio or n < LISTS_LEAST or before[n] < least], np.int32)
+        return np.array([i for n, (d, i) in enumerate(found) if d <= reach or n < LISTS_LEAST or before[n] < least], np.int32)
 
 
-def fit(sample: np.ndarray, lists: int, norm: float, rounds: int = 8) -> Index:
-    """Centroids by k-means on ``sample``, started from a spread of its rows; empty ones restart at far rows."""
-    index = Index(np.zeros((0, 0), np.float32), np.zeros((0, 0), np.int32), norm)
-    x = np.unique(index.entries(sample), axis=0)
-    lists = min(lists, len(x))
-    c = x[np.random.default_rng(0).permutation(len(x))[:lists]].copy()
-    for _ in range(rounds):
-        d = (c * c).sum(1) - 2 * (x @ c.T)
-        of = d.argmin(1)
-        sums = np.zeros(c.shape, np.float64)
-        np.add.at(sums, of, x)
-        n = np.bincount(of, minlength=lists)
-        far = np.argsort(-(d[np.arange(len(x)), of] + (x * x).sum(1)), kind="stable")
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0).astype(np.float32)
-        c[n == 0] = x[far[: int((n == 0).sum())]]
-    apart = (c * c).sum(1) - 2 * (c @ c.T)
-    np.fill_diagonal(apart, np.inf)
-    degree = min(DEGREE, lists - 1)
-    graph = np.argsort(apart, axis=1, kind="stable")[:, :degree].astype(np.int32)
-    ring = np.roll(np.arange(lists, dtype=np.int32), -1)[:, None]  # keeps the graph in one piece
-    return Index(c, np.concatenate((graph, ring), axis=1), norm)
+def calibrated(index: Index, sample: np.ndarray, near: int, recall: float) -> float:
+    """The ratio at which the share ``recall`` of the ``near`` nearest rows of the sample lie in a selected list."""
+    x = np.unique(sample, axis=0)
+    asked = x[np.random.default_rng(1).permutation(len(x))[:ASKED]]
+    rows, lists = index.assign(x)
+    needed = []
+    for q in asked:
+        scores = x @ q
+        scores[(x == q).all(1)] = -np.inf
+        top = np.argsort(-scores, kind="stable")[: min(near, len(x) - 1)]
+        d = np.sqrt(squared(np.append(q, 0).astype(np.float32)[None], index.centroids))[0]
+        each = np.full(len(x), np.inf)
+        np.minimum.at(each, rows, d[lists])
+        needed.append(each[top] / max(float(np.sort(d)[: LISTS_LEAST][-1]), 1e-12))
+    found = np.concatenate(needed) if needed else np.array([])
+    return float(np.quantile(found, recall)) if len(found) else 1.0
 
 
 def usable(vector: Column, zero: bool = False) -> Column:
@@ -124,16 +198,28 @@ def usable(vector: Column, zero: bool = False) -> Column:
     return F.coalesce(good if zero else good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def one_each(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` (vec_id, asks, ``vector``) with one row for each id, that of the smallest vector.
+
+    Only ids are shuffled to see whether any repeats; if so, vectors are, and a repeated one meets only its partial minima.
+    """
+    repeated = rows.groupBy("vec_id").count().where(F.col("count") > 1)
+    if repeated.isEmpty():
+        return rows
+    best = rows.groupBy("vec_id").agg(F.min(F.struct(vector, "asks")).alias("best"))
+    return best.select("vec_id", "best.asks", f"best.{vector}")
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
 def top(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The best ``k`` of rows that ``scores`` (any summation order, -inf: not scored) leaves in question, scored exactly."""
     asked = np.flatnonzero((scores > -np.inf) & (ids != own))
     kept, among = (k + 1) * REPLICAS, scores[asked]
-    while True:  # rows that repeat an id may fill any number of places
+    while True:  # a row may be in several lists
         rows = asked
         if kept < len(asked):
             least = np.partition(among, len(asked) - kept)[len(asked) - kept]
@@ -147,82 +233,160 @@ def top(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndar
     return ids[rows[best]], exact[best]
 
 
+def build(rows: DataFrame, n: int, width: int, norm: float, list_rows: int) -> tuple[Index, np.ndarray]:
+    """The index, and a sample that it wasn't fitted on (all rows, where there are few). ``rows`` has vec_id and v."""
+    unit, place = 1 << 30, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30))
+    drawn = rows.where(place < -(-unit * 2 * SAMPLE // n)).select("v", place.alias("place")).limit(4 * SAMPLE).toArrow()
+    if not drawn.num_rows:
+        drawn = rows.select("v", place.alias("place")).limit(SAMPLE).toArrow()
+    fitted = drawn["place"].to_numpy() < -(-unit * SAMPLE // n)
+    fitted = fitted if fitted.any() else ~fitted
+    sample, rest = matrix(drawn["v"], width)[fitted], matrix(drawn["v"], width)[~fitted]
+    rest = rest if len(rest) >= SAMPLE // 4 else np.concatenate((sample, rest))
+    lists = max(1, min(MOST_LISTS, -(-n // list_rows)))
+    empty = Index(*[np.zeros((0, 0), np.float32)] * 5, norm)
+    entries = empty.entries(sample)
+    if lists <= FLAT:
+        found = balanced(entries, lists)
+        return Index.of(found.mean(0, keepdims=True), [found], norm), rest
+    cells = balanced(entries, int(np.sqrt(lists)))
+    shared = rows.sparkSession.sparkContext.broadcast(Index(cells, np.arange(len(cells) + 1), cells, empty.graph, empty.gates, norm))
+
+    def place_in(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                of = squared(shared.value.entries(matrix(part.column("v"), width)), shared.value.cells).argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *part.select(["v", "place"]).columns], names=["cell", "v", "place"])
+
+    def fit_lists(cell: pa.Table) -> pa.Table:
+        x = shared.value.entries(matrix(cell["v"], width))
+        found = balanced(x, max(1, round(len(x) / PER_LIST)))
+        return pa.table({"cell": pa.array([cell["cell"][0].as_py()] * len(found), pa.int32()), "c": pa.array(list(found), pa.list_(pa.float32()))})
+
+    wide = rows.where(place < -(-unit * lists * PER_LIST // n)).select("v", place.alias("place"))
+    kind = dict(rows.dtypes)["v"]
+    placed = wide.mapInArrow(place_in, f"cell int, v {kind}, place long")
+    few = F.row_number().over(Window.partitionBy("cell").orderBy("place")) <= CELL_SAMPLE  # bounds the task of a crowded cell
+    placed = placed.withColumn("few", few).where("few").select("cell", "v")
+    # at most about MOST_LISTS centroids
+    made = placed.groupBy("cell").applyInArrow(fit_lists, "cell int, c array<float>").toArrow()
+    of, c = made["cell"].to_numpy(), made["c"].combine_chunks().flatten().to_numpy().reshape(-1, width + 1)
+    parts = [c[of == i] if (of == i).any() else cells[i : i + 1] for i in range(len(cells))]
+    return Index.of(cells, parts, norm), rest
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-    ratio: float = RATIO, list_rows: int = LIST_ROWS, shard_rows: int = SHARD_ROWS,
+    recall: float = RECALL, list_rows: int = LIST_ROWS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` names, its ``k`` largest inner products found."""
+    return probed(vectors, is_query, k, id_col, vector, recall, list_rows, shard_rows, query_rows)[0]
+
+
+def probed(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
+    recall: float = RECALL, list_rows: int = LIST_ROWS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
+) -> tuple[DataFrame, dict[str, float]]:
+    """What ``search`` returns, and figures: lists, copies of a vector, share of the lists that a query probes, ratio."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v")
+    single = vectors.schema[vector].dataType == T.ArrayType(T.FloatType(), True) or vectors.schema[vector].dataType == T.ArrayType(T.FloatType(), False)
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector).cast("array<double>"))).select(
+        F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).cast(kind).alias("v")
     )
-    rows = rows.where(usable(F.col("v")))
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    kinds = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.sqrt(F.max(squared)).alias("norm"), F.count_if("asks").alias("asking"))
-    kind = kinds.orderBy(F.desc("n"), F.desc("width")).first()
+    lengths = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+    kinds = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.sqrt(F.max(lengths)).alias("norm"), F.count_if("asks").alias("asking"))
+    most = kinds.orderBy(F.desc("n"), F.desc("width")).first()
     schema = "query_id long, vec_id long, score double"
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if kind is None:
+    if most is None:
         empty = spark.createDataFrame([], schema)
-        return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    width, n, norm = kind["width"], kind["n"], kind["norm"]
-    rows = rows.where(F.size("v") == width)
-    unit = 1 << 30
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(unit)) < -(-unit * SAMPLE // n)).select("v")
-    sample = np.array([r[0] for r in drawn.limit(2 * SAMPLE).collect()], np.float64).reshape(-1, width)
-    if not len(sample):
-        sample = np.array([r[0] for r in rows.select("v").limit(SAMPLE).collect()], np.float64)
-    index = fit(sample, max(1, min(MOST_LISTS, -(-n // list_rows))), norm)
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centroids and their edges
+        return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score"), {"lists": 0, "copies": 0, "share": 0, "ratio": 1}
+    width, n, norm = most["width"], most["n"], most["norm"]
+    rows = one_each(rows.where(F.size("v") == width), "v")
+    index, sample = build(rows.select("vec_id", "v"), n, width, norm, list_rows)
+    ratio = calibrated(index, sample, max(1, round(k * len(sample) / n)), recall)
+    lists = len(index.centroids)
+    shared = spark.sparkContext.broadcast(index)  # at most about MOST_LISTS centroids and their edges
 
-    def post(batches):
+    def assigned(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                places, lists = shared.value.assign(_matrix(part.column("v"), width))
-                got = part.select(["vec_id", "v"]).take(pa.array(places))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(lists.astype(np.int32))], names=["vec_id", "v", "list"])
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                places, of = shared.value.assign(matrix(part.column("v"), width))
+                yield part, places, of
+
+    def place(batches):
+        for part, places, of in assigned(batches):
+            yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(places)), pa.array(of.astype(np.int32))], names=["vec_id", "list"])
+
+    # ids and lists alone; each id counts in one of its lists, so that lists hold at least as many ids as these counts add up to
+    narrow = cut(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, list int"))
+    sizes, counts = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+    for r in narrow.groupBy("list").count().toLocalIterator():
+        sizes[r[0]] = r[1]
+    for r in narrow.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().toLocalIterator():
+        counts[r[0]] = r[1]
+    parts = np.maximum(-(-sizes // LIST_MOST), 1)
+    first = np.concatenate(([0], np.cumsum(parts)[:-1]))
+    units = np.repeat(sizes / parts, parts)
+    # lists of one cell follow one another, so that a query's lists are in few shards
+    shard_of = (np.cumsum(units) // shard_rows).astype(np.int32)
+    plan = spark.sparkContext.broadcast((sizes, counts, parts, first, shard_of))  # some numbers for each list
 
     def probe(batches):
+        sizes, counts, parts, first, shard_of = plan.value
         for batch in batches:
-            found = [shared.value.select(q, ratio, counts, k + 1) for q in _matrix(batch.column("v"), width)]
-            got = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))).select(["vec_id"])
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(np.concatenate(found) if found else np.array([], np.int32))], names=["query_id", "list"])
-
-    posted = rows.select("vec_id", "v").mapInArrow(post, "vec_id long, v array<double>, list int")
-    asked = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"])
-    # each id counts in one of its lists, so that lists hold at least as many distinct ids as their counts add up to
-    counts = np.zeros(len(index.centroids), np.int64)
-    for r in posted.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
-        counts[r[0]] = r[1]
-    probes = asked.mapInArrow(probe, "query_id long, list int")
-    # one count for each list: at most MOST_LISTS numbers
-    sizes = {r[0]: r[1] for r in posted.select("vec_id", "list").groupBy("list").count().collect()}
-    shards = max(1, -(-sum(sizes.values()) // shard_rows))
-    blocks = max(1, -(-kind["asking"] // QUERY_ROWS))
-    parts = {k: -(-v // LIST_MOST) for k, v in sizes.items()}
-    of = F.element_at(F.create_map(*[x for k, v in sorted(parts.items()) for x in (F.lit(k), F.lit(v))]), F.col("list"))
-    place = lambda part: F.pmod(F.xxhash64("list", part), F.lit(shards)).alias("shard")
-    posted = posted.withColumn("part", F.pmod(F.xxhash64("vec_id"), of.cast("long"))).select(
-        "vec_id", "v", "list", place(F.col("part")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    )
-    probes = (
-        probes.where(of.isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), of.cast("long") - 1)))
-        .select("query_id", "list", place(F.col("part"))).groupBy("query_id", "shard").agg(F.collect_set("list").alias("lists"))
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    )
+            out: tuple[list, list, list] = ([], [], [])
+            for i, q in enumerate(matrix(batch.column("v"), width)):
+                found = shared.value.select(q, ratio, counts, k + 1)
+                found = np.sort(found[sizes[found] > 0])
+                unit = np.concatenate([np.arange(first[x], first[x] + parts[x]) for x in found]) if len(found) else np.array([], np.int64)
+                named, at = np.repeat(found, parts[found]), shard_of[unit]
+                for shard in np.unique(at):
+                    for o, value in zip(out, (i, shard, np.unique(named[at == shard])), strict=True):
+                        o.append(value)
+            columns = batch.take(pa.array(out[0], pa.int64())).select(["vec_id", "v"]).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], names=["query_id", "q", "shard", "lists"])
+
+    tasks = max(n_partitions(spark), -(-most["asking"] // query_rows))
+    asked = rows.where("asks").select("vec_id", "v").repartition(tasks, "vec_id")
+    probes = cut(asked.mapInArrow(probe, f"query_id long, q {kind}, shard int, lists array<int>"))
+    blocks = np.ones(int(shard_of.max(initial=0)) + 1, np.int64)
+    probes_made = 0
+    for r in probes.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.size("lists")).alias("lists")).toLocalIterator():
+        blocks[r["shard"]] = -(-r["n"] // query_rows)
+        probes_made += r["lists"]
+    crowded = spark.sparkContext.broadcast(blocks)  # one number for each shard
+
+    def post(batches):
+        sizes, counts, parts, first, shard_of = plan.value
+        for part, places, of in assigned(batches):
+            ids = part.column("vec_id").to_numpy(zero_copy_only=False)[places]
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            shard = shard_of[first[of] + mixed % parts[of]]
+            times = crowded.value[shard]
+            again = np.repeat(np.arange(len(of)), times)
+            block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            columns = part.take(pa.array(places[again])).select(["vec_id", "v"]).columns
+            columns += [pa.array(x.astype(np.int32)) for x in (of[again], shard[again], block)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "list", "shard", "block"])
+
+    posted = rows.select("vec_id", "v").mapInArrow(post, f"vec_id long, v {kind}, list int, shard int, block int")
+    many = spark.createDataFrame([(int(s), int(b)) for s, b in enumerate(blocks) if b > 1] or [(-1, 1)], "s int, blocks int")
+    probes = probes.join(F.broadcast(many), F.col("shard") == F.col("s"), "left")  # as many rows as crowded shards
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")).drop("s", "blocks")
 
     def score(members: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
         if members.num_rows and queries.num_rows:
             members = members.sort_by("list")
-            ids, lists, v = members["vec_id"].to_numpy(), members["list"].to_numpy(), _matrix(members["v"], width)
-            names, starts = np.unique(lists, return_index=True)
-            ends, place = np.append(starts[1:], len(lists)), {int(x): i for i, x in enumerate(names)}
+            ids, of, v = members["vec_id"].to_numpy(), members["list"].to_numpy(), matrix(members["v"], width)
+            names, starts = np.unique(of, return_index=True)
+            ends, place = np.append(starts[1:], len(of)), {int(x): i for i, x in enumerate(names)}
             for at in range(0, queries.num_rows, 256):
                 part = queries.slice(at, 256)
-                q, own = _matrix(part["q"], width), part["query_id"].to_numpy()
+                q, own = matrix(part["q"], width), part["query_id"].to_numpy()
                 scores = np.full((len(q), len(ids)), -np.inf)
                 want: dict[int, list[int]] = {}
                 for i, some in enumerate(part["lists"].to_pylist()):
@@ -239,6 +403,11 @@ def search(
         return pa.table({"query_id": pa.array(joined[0], pa.int64()), "vec_id": pa.array(joined[1], pa.int64()), "score": pa.array(joined[2], pa.float64())})
 
     found = posted.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInArrow(score, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    figures = {
+        "lists": lists, "copies": float(sizes.sum()) / n, "ratio": ratio,
+        "share": probes_made / max(1, most["asking"]) / max(1, int((sizes > 0).sum())),
+    }
+    return best.select("query_id", "rank", "vec_id", "score"), figures

@@ -5,13 +5,17 @@ by a hash; a shard keeps its postings term by term with their largest and smalle
 its own weight with these bounds is the most a term can add. Terms are taken in order of what they can change. The
 threshold starts with the k-th score among rows at the head of the strongest postings. The essential terms are those
 without which the rest together could still pass the threshold: their postings are traversed for all rows. The others
-are only probed, in blocks, for rows whose score so far plus the rest's bounds still competes, and the threshold rises
-with what is completed. Shards pass on their best ``k`` and the merge ranks those.
+are only probed, in blocks, for rows whose score so far plus the rest's bounds still competes. Shards pass on their best
+``k`` and the merge ranks those.
+
+Postings are shuffled once, however many queries there are: a shard's postings come first in its partition, and its
+queries follow in a stream. Only queries are copied, once for each shard, which an exact search of all rows needs.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; components beyond a vector's
-length count as zero; an empty vector scores zero; ties go to the smaller id; null ids take no part; rows that repeat an
-id are one query and, if they repeat its vector, one candidate, never a query's own; fewer candidates than ``k`` are all
-returned; an empty table gives an empty result; other columns are not read.
+length count as zero; an empty vector scores zero; ties go to the smaller id; null ids take no part; ids are integers; of
+rows that repeat an id the one with the smallest vector (component by component) stands for the id; fewer candidates than
+``k`` are all returned; a product or sum beyond 64 bits wraps around, so components need an absolute value below about
+2**30 / 1024; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.ann import usable
+from tidemark.llm.ann import one_each, usable
+from tidemark.llm.common import n_partitions
 
-SHARD_ROWS, QUERY_ROWS, PROBE = 8192, 1024, 8
+SHARD_ROWS, SHARD_LEAST, PROBE = 32_768, 2048, 8
 SCALE = 1024
 
 
@@ -71,46 +76,64 @@ class Shard:
         return self.ids[rows[best]], scores[best].astype(np.int64)
 
 
-def _padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
-    for i, x in enumerate(column.to_pylist()):
-        out[i, : len(x)] = x
+def _padded(columns: list[pa.Array], width: int) -> np.ndarray:
+    out = np.zeros((sum(map(len, columns)), width), np.int64)
+    at = 0
+    for column in columns:
+        sizes = np.diff(column.offsets.to_numpy())
+        inside = np.arange(width) < sizes[:, None]
+        out[at : at + len(column)][inside] = column.flatten().to_numpy()
+        at += len(column)
     return out
 
 
+def searches(batches, k: int):
+    """Results of (shard, kind, vec_id, w) rows in order of shard and kind: postings of kind 0, then queries of kind 1."""
+    now, postings, shard, width = None, [], None, 0
+    for batch in batches:
+        shards, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "kind"))
+        edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+        for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if end == start:
+                continue
+            part = batch.slice(start, end - start)
+            if shards[start] != now:
+                now, postings, shard = shards[start], [], None
+            if kinds[start] == 0:
+                postings.append(part)
+                continue
+            if not postings:
+                continue
+            if shard is None:
+                width = max(int(np.diff(p.column("w").offsets.to_numpy()).max()) for p in postings)
+                ids = np.concatenate([p.column("vec_id").to_numpy() for p in postings])
+                shard = Shard(ids, _padded([p.column("w") for p in postings], width).T)
+            most = max(width, int(np.diff(part.column("w").offsets.to_numpy()).max()))
+            out: tuple[list, list, list] = ([], [], [])
+            for own, query in zip(part.column("vec_id").to_pylist(), _padded([part.column("w")], most), strict=True):
+                found, scores = shard.search(query[:width], own, k)  # what the postings lack counts as zero
+                for o, values in zip(out, (np.full(len(found), own), found, scores), strict=True):
+                    o.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
+
+
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding",
-    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
-) -> DataFrame:
+    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of ``floor(1024 x)`` for each query row."""
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector).cast("array<double>"), zero=True)).select(
-        F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"),
+        F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * SCALE)).alias("w"),
     )
-    size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).first()
-    shards, blocks = max(1, -(-size["n"] // shard_rows)), max(1, -(-size["asking"] // query_rows))
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    dealt = rows.select("vec_id", "w", F.pmod(F.xxhash64("vec_id", "w"), F.lit(shards)).cast("int").alias("shard"), each(blocks, "block"))
-    asked = rows.where("asks").dropDuplicates(["vec_id"])
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("w").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each(shards, "shard"))
-
-    def score(postings: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if postings.num_rows and queries.num_rows:
-            lengths = [len(x) for c in (postings["w"], queries["q"]) for x in c.to_pylist()]
-            width = max(lengths)
-            ids, weights = postings["vec_id"].to_numpy(), _padded(postings["w"], width)
-            first = np.unique(np.column_stack((ids, weights)), axis=0, return_index=True)[1]
-            shard = Shard(ids[first], weights[first].T)
-            for own, query in zip(queries["query_id"].to_pylist(), _padded(queries["q"], width), strict=True):
-                found, scores = shard.search(query, own, k)
-                for o, values in zip(out, (np.full(len(found), own), found, scores), strict=True):
-                    o.append(values)
-        joined = [pa.array(np.concatenate(o) if o else np.array([]), pa.int64()) for o in out]
-        return pa.table(joined, names=["query_id", "vec_id", "score"])
-
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    found = found.applyInArrow(score, "query_id long, vec_id long, score long")
+    rows = one_each(rows, "w")
+    n, spark = rows.count(), vectors.sparkSession
+    shards = max(1, -(-n // shard_rows), min(n_partitions(spark), n // SHARD_LEAST))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    dealt = rows.select(own, F.lit(0).alias("kind"), "vec_id", "w")
+    asked = rows.where("asks").select(each, F.lit(1).alias("kind"), "vec_id", "w")
+    both = dealt.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = both.mapInArrow(lambda batches: searches(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
