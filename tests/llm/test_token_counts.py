@@ -47,3 +47,8 @@ def test_lines_and_fields(spark):
     want, crossing = brute([len(codec.tokens[i]) for i in ids], [5, 1, 11])
     assert (got[1].n_tokens, got[1].section_tokens, got[1].n_crossing) == (len(ids), want, crossing)
     assert got[1].note is None and sum(got[2].section_tokens) == got[2].n_tokens
+    odd = spark.createDataFrame([(1, "user", "a b", "x"), (1, "user", "a b", "x")], "id long, role string, text string, joined string")
+    both = token_counts.by_fields(odd.withColumnRenamed("joined", "__joined"), ["role", "text"], RANKS, PATTERN).collect()
+    assert both[0] == both[1] and both[0]["__joined"] == "x" and len(both[0].section_tokens) == 2
+    again = token_counts.by_fields(odd, ["role", "joined"], RANKS, PATTERN, drop=("text",))
+    assert again.columns == ["id", "role", "joined", "n_tokens", "n_crossing", "section_tokens"] and again.first().joined == "x"

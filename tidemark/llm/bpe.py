@@ -6,7 +6,8 @@ looks back over it, so the pieces' ids joined are the whole text's ids. A stretc
 pattern's own matches, and a match of very many bytes is merged with a heap instead of tiktoken's quadratic loop.
 
 Defined results: a null text is the empty text, which has no ids; special tokens in a text are ordinary text; repeated
-rows get equal results; other columns are passed through; an empty table gives an empty result.
+rows get equal results; other columns are passed through, but for those that have a result's name, which the result
+replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations

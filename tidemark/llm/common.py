@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only on a local master whose session names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
 
 
@@ -17,8 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where it names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a local master may go without one."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
+    if folder is None:
+        master = conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = LOCAL_CHECKPOINTS
+    return folder
+
+
+def private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that nothing of ours has, by position, and what each column is called there."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ Sections are either the lines of a text (each with its line feed) or named field
 separator's bytes belong to the field before it.
 
 Defined results: a null or empty text has no section and no token; a null field is an empty one and gets no token; a
-section without a byte gets none; repeated rows count equally; other columns are passed through; an empty table gives an
-empty result.
+section without a byte gets none; repeated rows count equally; other columns are passed through, but for those that have a
+result's name, which the result replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.arrow import map_steps
 from tidemark.llm.bpe import codec
+from tidemark.llm.common import private
 
 
 def attribute(token_sizes: np.ndarray, section_sizes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -83,13 +84,15 @@ def by_fields(docs: DataFrame, fields: list[str], path: str, pattern: str, separ
 
     The fields of a row are encoded together, as they would be in a training example.
     """
-    joined = "__joined"
-    docs = docs.withColumn(joined, F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields)), separator))
+    inner, names = private(docs)
+    values = [F.coalesce(F.col(names[c]).cast("string"), F.lit("")) for c in fields]
+    inner = inner.select(*inner.columns, F.array(*values).alias("fields"), F.array_join(F.array(*values), separator).alias("joined"))
 
     def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        values = [part.column(c).cast(pa.string()).to_pylist() for c in fields]
         gap = len(separator.encode())
-        sizes = [np.array([len((v or "").encode()) + gap * (i < len(row) - 1) for i, v in enumerate(row)], np.int64) for row in zip(*values, strict=True)]
-        return _counted(part.column(joined).to_pylist(), sizes, path, pattern)
+        sizes = [np.array([len(v.encode()) + gap * (i < len(row) - 1) for i, v in enumerate(row)], np.int64) for row in part.column("fields").to_pylist()]
+        return _counted(part.column("joined").to_pylist(), sizes, path, pattern)
 
-    return map_steps(docs, joined, NEW, run, (*drop, joined))
+    kept = [c for c in docs.columns if c not in drop and c not in {x.name for x in NEW}]
+    gone = tuple(names[c] for c in docs.columns if c not in kept)
+    return map_steps(inner, "joined", NEW, run, (*gone, "fields", "joined")).toDF(*kept, *(x.name for x in NEW))
