@@ -48,11 +48,14 @@ def test_spans_equal_the_definition(spark):
 def test_ownership_separates_copies_from_owned_values(spark):
     rows = [(1, f"x {LITERAL}1 y", "a"), (2, f"{LITERAL}2", "a"), (3, f"{LITERAL}2", "b"), (4, f"{LITERAL}1", "a")]
     rows += [(i, "token = abcdefghijklmnop", f"o{i}") for i in range(10, 14)]
+    rows += [(i, f"{LITERAL}3", "c") for i in range(20, 30)]  # one owner, many repositories
+    rows += [(30, f"{LITERAL}4", None), (31, f"{LITERAL}4", "a"), (32, f"{LITERAL}4", "b")]  # a null owner is one
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in secret_scan.report(frame).collect()}
     assert got[1].spans == "literal:2:24" and got[4].n_literal == 1
-    assert got[2].spans == got[3].spans == ""
+    assert got[2].n_owned == got[3].n_owned == 1 and got[2].n_copied == 0  # of two owners: still theirs
     assert got[10].n_copied == 1 and got[10].n_owned == 0 and got[1].n_owned == 1
+    assert got[20].spans == "" and got[30].spans == "" and got[10].spans == "assign:0:24"
 
 
 def test_redaction_masks_spans_and_keeps_the_rest(spark):
@@ -62,3 +65,17 @@ def test_redaction_masks_spans_and_keeps_the_rest(spark):
     assert got[0] is None and got[1] == "" and got[2] == "nothing here"
     assert got[4] == "é token: short [REDACTED]" and got[8] == "key [REDACTED] end"
     assert got[9] == '[REDACTED]" [REDACTED]' and got[11] == "\U0001f600 [REDACTED]"
+
+
+def test_redaction_tells_examples_and_keeps_columns_of_any_name(spark, monkeypatch):
+    names = ["masks", "k", "t", "id", "tag", "value", "copied", "_0", "any", "found", "owner", "in"]
+    rows = [(i, "token = abcdefghijklmnop", f"o{i}", *["x"] * 12) for i in range(4)]
+    long = "word " * 40_000
+    rows += [(9, f"{long}token = qrstuvwxyzabcdef {long}", None, *["y"] * 12), (None, "secret: zzzzzzzzzzzzzz1 ok", None, *["z"] * 12), (None, None, None, *["n"] * 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for few in (secret_scan.FEW, 0):
+        monkeypatch.setattr(secret_scan, "FEW", few)
+        got = secret_scan.redact(frame)
+        assert got.columns == frame.columns
+        texts = sorted((str(r.doc_id), r.text or "", r["masks"], r["in"]) for r in got.collect())
+        assert texts == sorted([*((str(i), "[EXAMPLE]", "x", "x") for i in range(4)), ("9", f"{long}[REDACTED] {long}", "y", "y"), ("None", "[REDACTED] ok", "z", "z"), ("None", "", "n", "n")])
