@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -12,10 +13,11 @@ FR = "le chat et le chien sont dans la maison du roi et ils sont pour la plupart
 
 
 def documents(spark):
-    rows = [(i, (EN if i % 2 else FR) + f"word{i} " * (i + 1), "en" if i % 2 else "fr", f"s{i % 3}", 0) for i in range(30)]
+    text = lambda i: " ".join(random.Random(i).choices((EN if i % 2 else FR).split(), k=40 + i))
+    rows = [(i, text(i), "en" if i % 2 else "fr", f"s{i % 3}", 0) for i in range(30)]
     rows += [(100, rows[3][1], "en", "s1", 0), (101, rows[3][1], "fr", "s2", 0), (102, "12 34 !!", "en", "s0", 0)]
     rows += [(103, None, "en", "s0", 0), (104, EN + "token = 'abcdefghijklmnop' end", "en", "s0", 0), (5, rows[5][1], "en", "s2", 0)]
-    rows += [(None, EN + "nobody knows this number at all", None, None, None)]
+    rows += [(None, "nobody knows this number at all " + EN, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
 
 
@@ -55,3 +57,33 @@ def test_run_applies_all_stages(spark, tmp_path):
     empty = tmp_path / "empty"
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+NAMES = ["lang_pred", "score", "stays", "odd", "row", "masks", "_0", "_1", "_k", "_t", "_masks", "s", "size", "hash", "copies", "threshold", "ids", "n_tokens", "node", "Cluster"]
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    docs, rows = documents(spark)
+    docs = docs.selectExpr("*", *(f"'{c}!' as `{c}`" for c in NAMES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *NAMES], name
+        found = docs.collect()
+        assert found and all(r[c] == f"{c}!" for r in found for c in NAMES), name
+        docs = spark.createDataFrame(found, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(found)
+
+
+def test_without_labels_documents_with_a_letter_stay(spark):
+    docs, rows = documents(spark)
+    bare = docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    got = [r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()]
+    assert sorted(map(str, got)) == sorted(str(r[0]) for r in rows if r[0] not in (102, 103))
+
+
+def test_near_copies_go(spark):
+    words = [f"w{i * i % 311}" for i in range(300)]
+    rows = [(i, " ".join(w if j % 150 != 17 * i % 150 else "edited" for j, w in enumerate(words)), "en", "s", 0) for i in range(6)]
+    rows.append((50, " ".join(f"v{i * i % 311}" for i in range(300)), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 50]

@@ -63,3 +63,14 @@ def test_few_sources_and_none(spark, monkeypatch):
     assert mixing.mix(frame.limit(0)).count() == 0
     blank = frame.withColumn("text", F.lit(" "))
     assert {(r.taken, r.target) for r in mixing.mix(blank).collect()} == {(0, 0.0)}
+
+
+def test_a_repeated_id_and_long_texts_are_split_by_their_texts(spark):
+    long = "word " * 60_000
+    data = [(None, f"a b t{i}", "hot", "x") for i in range(400)] + [(7, f"{i} c", "cold", "x") for i in range(400)] + [(8, long, None, "x")]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(taken) == 3 and all(abs(taken[s] - t) <= (3 if s < 60_000 else 60_000) for s, t in target.items())

@@ -132,7 +132,7 @@ def search(
     each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     dealt = rows.select(own, F.lit(0).alias("kind"), "vec_id", "w")
     asked = rows.where("asks").select(each, F.lit(1).alias("kind"), "vec_id", "w")
-    both = dealt.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    both = dealt.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(lambda batches: searches(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,9 +7,10 @@ a threshold. The threshold comes from histograms of words by source and hash buc
 level looks only into the bucket in which the remaining budget ends. Nothing is sorted but histograms, and the texts are
 read once.
 
-Defined results: a null text has size 0 and takes 0 words; a null id has a hash of its own; rows that agree in id and
-size share a hash and are taken or left together; the last row in question is taken if that comes nearer to the target;
-an empty table gives an empty result; other columns are not read. Reruns agree, as the hash depends on the id alone.
+Defined results: a null text has size 0 and takes 0 words; a null id counts as the text 'null'; rows that agree in id and
+text share a hash and are taken or left together, so a repeated or null id is split as long as its texts differ; the last
+row in question is taken if that comes nearer to the target; an empty table gives an empty result; ``mix`` reads no other
+columns and ``resample`` passes them through. Reruns agree, as the hash depends on id and text alone.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def bucketed(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """``docs`` with ``size`` and ``hash``, the latter HEX hex digits of the id's MD5."""
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HEX)
+    """``docs`` with ``size`` and ``hash``, the latter HEX hex digits of an MD5 of the id and the text's MD5."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    digits = F.substring(F.md5(key), 1, HEX)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     return docs.withColumns({"size": size, "hash": F.conv(digits, 16, 10).cast("long")})
 
@@ -130,7 +132,7 @@ def resample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
 ORACLE = f"""
 with rows as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, {HEX}))::bigint as hash
+         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, {HEX}))::bigint as hash
   from documents),
 sizes as (select source, sum(size)::bigint as source_size from rows group by source),
 ranked as (
