@@ -1,12 +1,13 @@
 """A training-data pipeline over ``documents``: each stage applies one operator to all that the stage before has kept.
 
-1. language_id: documents without a language go; ``lang`` becomes the language found.
-2. near_duplicates: one document of each group of fingerprints linked within 4 bits stays, that of the smallest id.
-3. secrets: spans of secrets are masked in the texts.
+1. language_id: documents without a language go; ``lang`` becomes the language found. Where no row has a label to learn
+   from, documents with a letter stay as they are.
+2. near_duplicates: one document of each group of similarity 0.8 or more over five words stays, that of the smallest id.
+3. secrets: spans of secrets are masked in the texts, widely copied examples with another mask.
 4. mixing: each document occurs as often as its source's share asks for, from not at all to three times.
 5. byte_bpe: the texts become token ids.
 
-All but the last stage return the columns of ``documents``; ``n_chars`` follows the text.
+All but the last stage return the columns of ``documents``, whatever further ones there are; ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, langid, mixing, secret_scan, simhash
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import private, shared_folder, table
 from tidemark.llm.queries import RANKS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told, and sets ``lang`` to it; learns from the labelled ones."""
-    profiles = langid.fit(docs, F.lit(True))
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), profiles, drop=("text",))
-    found = found.where(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.select("row.*", "lang_pred").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    profiles = langid.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    inner, names = private(docs)
+    found = langid.identify(inner, profiles, text=names["text"]).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.select(*("lang_pred" if c == "lang" else n for c, n in names.items())).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage returns is written to the shared folder and read again by the next."""
+    """The last stage's rows; what a stage returns is written to the shared folder and read again by the next.
+
+    The result reads what the stage before the last has written, so that folder stays until its owner clears it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
