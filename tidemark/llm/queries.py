@@ -23,11 +23,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, licence, cosine, origin, inherited_from for each document.
 
     ``documents`` has no paths; a document lies at source/lang/b/doc_id.txt, b being its doc_id divided by 50 and rounded
-    down, so that directories are small and nested.
+    down, so that directories are small and nested. A null part of the path is called none.
     """
     docs = table(spark, sf_dir, "documents")
-    shelf = F.floor(F.col("doc_id") / 50).cast("string")
-    path = F.concat_ws("/", "source", "lang", shelf, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    parts = [F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 50).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))]
+    path = F.concat_ws("/", *(F.coalesce(p, F.lit("none")) for p in parts))
     return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
 
 
