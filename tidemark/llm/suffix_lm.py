@@ -15,17 +15,20 @@ whose two parts are frequent), and last for the probabilities of the frequent on
 
 Corpus words are counted without sending each token through a shuffle. Documents are read once into blocks of
 ``BLOCK_TOKENS`` tokens with a vocabulary of their own; a block asks for its distinct words' counts by hash bucket and
-gets them back. Words and
-sequences are known by 64-bit hashes: V of them are confused with a probability below V²/2^65.
+gets them back. Blocks are a table bucketed by their number, so that the replies come to them and tokens are never
+shuffled; the table lies in the shared folder and is removed when the scores are written. Words and sequences are known by 64-bit hashes: V of them are confused with a probability below V²/2^65.
 
 Defined results: a null text is the empty text, whose only token is the end; nothing to learn from makes every
 probability of the base 1 (N = V = 0); repeated rows are counted each and score equally; a null id counts as '' for the
-folds; an empty table gives an empty result; other columns are not read.
+folds; ids are integers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import steps, utf8
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shared_folder
 
 LEAST = 4
 DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
@@ -118,7 +121,21 @@ def blocks_of(docs: DataFrame, id_col: str, text: str, held: Column, block_token
             yield block.row(first + made)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(run, BLOCK_SCHEMA))
+    return rows.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """``rows`` as a table in the shared folder bucketed by ``key``, and what removes it. Joins by the key leave its rows where they are."""
+    spark, name = rows.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    rows.write.bucketBy(buckets, key).saveAsTable(name, format="parquet", compression="zstd", path=path)
+
+    def remove() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+    return spark.table(name), remove
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -227,16 +244,15 @@ def _joined(replied, column: str, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.array([], kind)
 
 
-def longer(known: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
-    """``known`` with the places of frequent sequences of ``length`` words, and these themselves, each in one block.
+def longer(blocks: DataFrame, state: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
+    """(block, lengths) with the places of frequent sequences of ``length`` words, and these themselves, each in one block.
 
     Their columns are key, context (the key without the last word), suffix (without the first) and n.
     """
 
     def ask(batches):
         for batch in batches:
-            columns = ("block", "sizes", "held", "tokens", "words", "lengths")
-            for block, sizes, held, *data in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for block, sizes, held, *data in zip(*(batch.column(c).to_pylist() for c in SEQUENCE_COLUMNS), strict=True):
                 tokens, words, lengths = map(unpacked, data)
                 places = candidates(lengths, _starts(sizes), length)
                 keys, where = np.unique(sequences(words[tokens], length)[-1][places], return_inverse=True)
@@ -265,26 +281,25 @@ def longer(known: DataFrame, length: int, least: int, buckets: int) -> DataFrame
 
     def tell(batches):
         for batch in batches:
-            for *kept, replied in zip(*(batch.column(c).to_pylist() for c in [*KNOWN_COLUMNS, "replies"]), strict=True):
-                row = dict(zip(KNOWN_COLUMNS, kept, strict=True))
-                tokens, words, lengths = (unpacked(row[c]) for c in ("tokens", "words", "lengths"))
-                places = candidates(lengths, _starts(row["sizes"]), length)
+            for block, sizes, _, *data, replied in zip(*(batch.column(c).to_pylist() for c in [*SEQUENCE_COLUMNS, "replies"]), strict=True):
+                tokens, words, lengths = map(unpacked, data)
+                places = candidates(lengths, _starts(sizes), length)
                 *_, parts, whole = sequences(words[tokens], length)
                 keys, at, where = np.unique(whole[places], return_index=True, return_inverse=True)
                 flags, n = _joined(replied, "flags", np.uint8), _joined(replied, "n", np.int64)
                 lengths = lengths.copy()
                 lengths[places[flags[where] > 0]] = length
-                row["lengths"] = packed(lengths)
                 own = places[at[flags == 2]]
                 told = [keys[flags == 2].view(np.int64), parts[own - 1].view(np.int64), parts[own].view(np.int64), n]
-                yield pa.RecordBatch.from_pylist([row | dict(zip(TOLD_COLUMNS, told, strict=True))], schema=LONGER_ARROW)
+                row = {"block": block, "lengths": packed(lengths)} | dict(zip(TOLD_COLUMNS, told, strict=True))
+                yield pa.RecordBatch.from_pylist([row], schema=LONGER_ARROW)
 
-    asked = known.select("block", "sizes", "held", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
+    known = blocks.join(state, "block").select(*SEQUENCE_COLUMNS)
+    asked = known.mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
     schema = "block long, bucket int, flags binary, n binary"
     replies = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, schema)
     gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("replies"))
-    joined = known.select(*KNOWN_COLUMNS).join(gathered, "block", "left")
-    return cut(joined.mapInArrow(tell, f"{KNOWN_SCHEMA}, {TOLD_SCHEMA}"))
+    return cut(known.join(gathered, "block", "left").mapInArrow(tell, f"block long, lengths binary, {TOLD_SCHEMA}"))
 
 
 def decide(found: DataFrame, level: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -312,6 +327,7 @@ def decide(found: DataFrame, level: DataFrame, before: DataFrame | None) -> Data
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints that nothing refers to: its cleaner waits for the driver's next collection."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -336,9 +352,9 @@ def score(
     least: int = LEAST, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from those not held out."""
-    blocks = blocks_of(docs, id_col, text, held_out, block_tokens)
-    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("training"), F.lit(0)).alias("tokens")).first()
-    tokens, buckets = size["tokens"], max(8, size["blocks"])
+    buckets = max(8, 2 * docs.select(text).rdd.getNumPartitions())
+    blocks, remove = bucketed(blocks_of(docs, id_col, text, held_out, block_tokens), "block", buckets)
+    tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
     replies = word_counts(blocks, buckets, least)
     distinct = replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     often = replies.where(F.size("frequent") > 0).select(F.inline(F.arrays_zip("frequent", "totals"))).toDF("key", "n")
@@ -348,8 +364,8 @@ def score(
     def look_up(batches):
         """Whether each token's word is frequent, and the base model's results for each document."""
         for batch in batches:
-            for block, ids, held, sizes, data, hashes, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                packed_tokens, packed_words, data, hashes = data, hashes, unpacked(data), unpacked(hashes)
+            for block, sizes, data, hashes, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, hashes = unpacked(data), unpacked(hashes)
                 order = np.argsort(bucket_of(hashes, buckets), kind="stable")
                 counts = np.empty(len(hashes), np.int64)
                 counts[order] = np.concatenate([unpacked(x["reply"]) for x in sorted(replied, key=lambda x: x["bucket"])])
@@ -357,27 +373,27 @@ def score(
                 base = np.add.reduceat(np.log10(counts + 1.0)[data], starts) - np.array(sizes) * np.log10(tokens + distinct + 1.0)
                 known = np.add.reduceat((counts > 0)[data], starts, dtype=np.int64)
                 columns = [
-                    pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([sizes], pa.list_(pa.int32())), pa.array([packed_tokens], pa.binary()), pa.array([packed_words], pa.binary()),
-                    pa.array([packed((counts >= least).astype(np.uint8)[data])], pa.binary()),
+                    pa.array([block], pa.int64()), pa.array([packed((counts >= least).astype(np.uint8)[data])], pa.binary()),
                     pa.array([base], pa.list_(pa.float64())), pa.array([known], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=KNOWN_COLUMNS)
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "lengths", "base", "known"])
 
     gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-    joined = blocks.select("block", "ids", "held", "sizes", "tokens", "words").join(gathered, "block")
-    known = cut(joined.mapInArrow(look_up, KNOWN_SCHEMA))
+    joined = blocks.select("block", "sizes", "tokens", "words").join(gathered, "block")
+    first = cut(joined.mapInArrow(look_up, "block long, lengths binary, base array<double>, known array<long>"))
+    state = first.select("block", "lengths")
     none = F.lit(None).cast("double")
     values = level.select("key", "log_p", none.alias("log_rest"))
     for length in range(2, depth + 2):
-        known = longer(known, length, least, buckets)
-        level = decide(known.select(F.inline(F.arrays_zip(*TOLD_COLUMNS))).toDF(*TOLD_COLUMNS), level, states)
+        told = longer(blocks, state, length, least, buckets)
+        state = cut(told.select("block", "lengths"))
+        level = decide(told.select(F.inline(F.arrays_zip(*TOLD_COLUMNS))).toDF(*TOLD_COLUMNS), level, states)
+        del told
         own = level.where(F.col("log_rest").isNotNull())
         states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
         values = values.unionByName(own.select("key", "log_p", none.alias("log_rest")))
         values = values.unionByName(states.select("key", none.alias("log_p"), "log_rest"))
         release(docs.sparkSession)
-    known = known.select(*KNOWN_COLUMNS)
 
     def wanted(tokens, words, lengths):
         ends = sequences(words[tokens], depth + 1)
@@ -420,19 +436,21 @@ def score(
                 yield pa.RecordBatch.from_arrays(columns, names=RESULT_COLUMNS)
 
     table = values.withColumn("bucket", range_of(F.col("key"), buckets))
-    asked = known.select("block", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary")
+    held = blocks.join(state, "block")
+    asked = held.select("block", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary")
     schema = "block long, bucket int, log_p binary, log_rest binary"
     replies = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, schema)
     gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "log_p", "log_rest")).alias("replies"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.join(gathered, "block", "left").mapInArrow(results, schema).withColumnRenamed("id", id_col)
+    whole = held.join(first.select("block", "base", "known"), "block").join(gathered, "block", "left")
+    whole = whole.select("block", "ids", "held", "sizes", "tokens", "words", "lengths", "base", "known", "replies")
+    found = cut(whole.mapInArrow(results, schema)).withColumnRenamed("id", id_col)
+    remove()
+    return found
 
 
-KNOWN_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, lengths binary, base array<double>, known array<long>"
-KNOWN_COLUMNS = [x.split()[0] for x in KNOWN_SCHEMA.split(", ")]
+SEQUENCE_COLUMNS = ["block", "sizes", "held", "tokens", "words", "lengths"]
 TOLD_SCHEMA = "key array<long>, context array<long>, suffix array<long>, n array<long>"
 TOLD_COLUMNS = [x.split()[0] for x in TOLD_SCHEMA.split(", ")]
-_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
-          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-LONGER_ARROW = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in f"{KNOWN_SCHEMA}, {TOLD_SCHEMA}".split(", ")])
+LONGER_ARROW = pa.schema([("block", pa.int64()), ("lengths", pa.binary()), *((c, pa.list_(pa.int64())) for c in TOLD_COLUMNS)])
 RESULT_COLUMNS = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
