@@ -298,7 +298,7 @@ def longer(blocks: DataFrame, state: DataFrame, length: int, least: int, buckets
     asked = known.mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
     schema = "block long, bucket int, flags binary, n binary"
     replies = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, schema)
-    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("replies"))
+    gathered = replies.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "flags", "n")).alias("replies"))
     return cut(known.join(gathered, "block", "left").mapInArrow(tell, f"block long, lengths binary, {TOLD_SCHEMA}"))
 
 
@@ -378,7 +378,7 @@ def score(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "lengths", "base", "known"])
 
-    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+    gathered = replies.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
     joined = blocks.select("block", "sizes", "tokens", "words").join(gathered, "block")
     first = cut(joined.mapInArrow(look_up, "block long, lengths binary, base array<double>, known array<long>"))
     state = first.select("block", "lengths")
@@ -440,7 +440,7 @@ def score(
     asked = held.select("block", "tokens", "words", "lengths").mapInArrow(ask, "bucket int, block long, keys binary")
     schema = "block long, bucket int, log_p binary, log_rest binary"
     replies = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, schema)
-    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "log_p", "log_rest")).alias("replies"))
+    gathered = replies.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "log_p", "log_rest")).alias("replies"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     whole = held.join(first.select("block", "base", "known"), "block").join(gathered, "block", "left")
     whole = whole.select("block", "ids", "held", "sizes", "tokens", "words", "lengths", "base", "known", "replies")
