@@ -121,19 +121,19 @@ def file_graph(ds: Dataset, provider: str, top: int = 20) -> tuple[DataFrame, Da
 
 
 def task_usage(ds: Dataset, provider: str) -> DataFrame:
-    """(task_id, units, context_units) over the tasks' prompts; usage without a task has a null task_id."""
-    rows = priced(ds.tokens, ds, provider).join(ds.task_prompts.select("task_id", "prompt_id"), "prompt_id", "left")
-    context = F.when(F.col("token_type").isin(*CONTEXT_TYPES), F.col("units")).otherwise(0)
-    return rows.groupBy("task_id").agg(F.sum("units").alias("units"), F.sum(context).alias("context_units"))
-
+    """(task_id, units, context_units, category) over the tasks' prompts, from one pass over the usage.
 
-def dominant_categories(ds: Dataset, provider: str) -> DataFrame:
-    """(task_id, category): the category of most cost, ties to the last by name; of most prompts where nothing has a price."""
-    spent = priced(ds.tokens, ds, provider).groupBy("prompt_id").agg(F.sum("units").alias("units"))
-    rows = ds.task_prompts.join(ds.categories.select("prompt_id", "category"), "prompt_id").where(F.length("category") > 0).join(spent, "prompt_id", "left")
-    per = rows.groupBy("task_id", "category").agg(F.count("*").alias("n"), zero(F.sum("units")).alias("units"))
-    by_cost, by_count = F.max_by("category", F.struct("units", "category")), F.min_by("category", F.struct(-F.col("n"), F.col("category")))
-    return per.groupBy("task_id").agg(F.when(F.sum("units") > 0, by_cost).otherwise(by_count).alias("category"))
+    The category is that of most cost, ties to the last by name; of most prompts where nothing with a category has a price.
+    """
+    context = F.when(F.col("token_type").isin(*CONTEXT_TYPES), F.col("units")).otherwise(0)
+    spent = priced(ds.tokens, ds, provider).groupBy("prompt_id").agg(F.sum("units").alias("units"), F.sum(context).alias("context_units"))
+    rows = ds.task_prompts.join(spent, "prompt_id", "left").join(ds.categories.select("prompt_id", F.nullif("category", F.lit("")).alias("category")), "prompt_id", "left")
+    per = rows.groupBy("task_id", "category").agg(F.count("*").alias("n"), zero(F.sum("units")).alias("units"), zero(F.sum("context_units")).alias("context_units"))
+    named = lambda x: F.when(F.col("category").isNotNull(), x)
+    by_cost = F.max_by("category", named(F.struct("units", "category")))
+    by_count = F.min_by("category", named(F.struct(-F.col("n"), F.col("category"))))
+    best = F.when(F.sum(named(F.col("units"))) > 0, by_cost).otherwise(by_count)
+    return per.groupBy("task_id").agg(F.sum("units").alias("units"), F.sum("context_units").alias("context_units"), best.alias("category"))
 
 
 def duration(seconds: Column) -> Column:
@@ -147,8 +147,9 @@ def duration(seconds: Column) -> Column:
 
 def by_task(ds: Dataset, provider: str, top: int = 20) -> DataFrame:
     """Cost, context share, span and main category of the costliest tasks (0: all)."""
-    rows = ds.tasks.join(task_usage(ds, provider), "task_id", "left").fillna(0, subset=["units", "context_units"]).join(dominant_categories(ds, provider), "task_id", "left")
-    rows = rows.withColumn("all_units", F.sum("units").over(whole()))
+    usage = task_usage(ds, provider)
+    rows = ds.tasks.join(usage, "task_id", "left").fillna(0, subset=["units", "context_units"])
+    rows = rows.crossJoin(usage.join(ds.tasks, "task_id", "left_semi").agg(zero(F.sum("units")).alias("all_units")))  # one row
     rows = rows.orderBy(F.desc("units"), "task_id").limit(top) if top else rows
     seconds = F.unix_seconds(F.try_to_timestamp("last_timestamp")) - F.unix_seconds(F.try_to_timestamp("first_timestamp"))
     return rows.select(
@@ -165,9 +166,22 @@ def task_graph(ds: Dataset, provider: str, top: int = 20) -> tuple[DataFrame, Da
     return tasks, edges.select("task_id", "prompt_id", filled("category", UNCATEGORIZED).alias("category"), usd(zero("units")).alias("cost_usd"))
 
 
+def running_total(rows: DataFrame, value: str, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``name``, the running sum of ``value`` in ``order``, without bringing all rows to one task.
+
+    Rows are dealt to ranges of the order; each range sums within itself and adds what the ranges before it hold. Only one
+    number for each range goes through a single task.
+    """
+    ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_range", F.spark_partition_id())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", zero(F.sum("_sum").over(before)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(sums), "_range").withColumn(name, F.sum(value).over(within) + F.col("_before")).drop("_range", "_before")  # as many rows as ranges
+
+
 def context_pareto(ds: Dataset, provider: str) -> DataFrame:
     """Files by context cost with each one's share of all attributed tokens, and the shares' running sum."""
     rows = priced_context(ds, provider).where(F.col("source") != UNATTRIBUTED).groupBy("source", "path").agg(F.sum("token_count").alias("tokens"), F.sum("units").alias("units"))
-    total = F.sum("tokens").over(whole())
-    running = F.sum("tokens").over(Window.orderBy(F.desc("tokens"), "source", "path").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("source", "path", "tokens", usd("units").alias("cost_usd"), share("tokens", total).alias("share_pct"), share(running, total).alias("cumulative_pct"))
+    running = running_total(rows, "tokens", [F.desc("tokens"), F.col("source"), F.col("path")], "running")
+    running = running.crossJoin(rows.agg(F.sum("tokens").alias("total")))  # one row
+    return running.select("source", "path", "tokens", usd("units").alias("cost_usd"), share("tokens", "total").alias("share_pct"), share("running", "total").alias("cumulative_pct"))

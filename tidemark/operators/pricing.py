@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.dataset import REQUESTS_TYPE, SYNTHETIC_MODEL, Dataset
@@ -29,19 +31,31 @@ def resolve(models: DataFrame, card: DataFrame, provider: str | None = None) ->
     return found.groupBy("provider", "model", "token_type").agg(best.alias("rate"))
 
 
-def priced(tokens: DataFrame, ds: Dataset, provider: str, model: Column | None = None) -> DataFrame:
-    """``tokens`` with ``units``, the cost in 1e-8 USD; rows without a price cost 0.
+def rates_of(ds: Dataset, providers: Sequence[str], models: DataFrame | None = None) -> DataFrame:
+    """(_m, _t, rate_<provider>...): each provider's rate of a model and token type, in one row; _m is null for requests' price."""
+    resolved = resolve(ds.models if models is None else models, ds.card).select("provider", F.col("model").alias("_m"), F.col("token_type").alias("_t"), "rate")
+    each = ds.card.where(F.col("kind") == "per_request").select("provider", F.lit(None).cast("string").alias("_m"), F.col("token_type").alias("_t"), "rate")
+    rows = resolved.unionByName(each).where(F.col("provider").isin(*providers))
+    return rows.groupBy("_m", "_t").agg(*(F.max(F.when(F.col("provider") == p, F.col("rate"))).alias(f"rate_{p}") for p in providers))
+
+
+def priced_by(tokens: DataFrame, ds: Dataset, providers: Sequence[str], model: str | None = None) -> DataFrame:
+    """``tokens`` with ``units_<provider>`` for each provider, the cost in 1e-8 USD; rows without a price cost 0.
 
     Requests (server_tool_use) have one price for all models. ``model`` prices every row as that model.
     """
-    rows = tokens.withColumn("_model", F.coalesce("model", F.lit("")) if model is None else model)
-    rates = resolve(rows.select(F.col("_model").alias("model")), ds.card, provider)
-    rates = rates.select(F.col("model").alias("_m"), F.col("token_type").alias("_t"), "rate")
-    each = ds.card.where((F.col("provider") == provider) & (F.col("kind") == "per_request"))
-    each = each.select(F.lit(None).cast("string").alias("_m"), F.col("token_type").alias("_t"), "rate")
-    key = F.when(F.col("token_type") == REQUESTS_TYPE, F.lit(None).cast("string")).otherwise(F.col("_model"))
-    joined = rows.withColumn("_key", key).join(rates.unionByName(each), F.col("_key").eqNullSafe(F.col("_m")) & (F.col("token_type") == F.col("_t")), "left")
-    return joined.withColumn("units", F.col("token_count") * F.coalesce("rate", F.lit(0))).drop("_model", "_key", "_m", "_t", "rate")
+    one = None if model is None else ds.models.sparkSession.createDataFrame([(model,)], "model string")
+    rates = rates_of(ds, providers, one)
+    name = F.coalesce("model", F.lit("")) if model is None else F.lit(model)
+    rows = tokens.withColumn("_key", F.when(F.col("token_type") == REQUESTS_TYPE, F.lit(None).cast("string")).otherwise(name))
+    joined = rows.join(rates, F.col("_key").eqNullSafe(F.col("_m")) & (F.col("token_type") == F.col("_t")), "left")
+    units = {f"units_{p}": F.col("token_count") * F.coalesce(f"rate_{p}", F.lit(0)) for p in providers}
+    return joined.withColumns(units).drop("_key", "_m", "_t", *(f"rate_{p}" for p in providers))
+
+
+def priced(tokens: DataFrame, ds: Dataset, provider: str, model: str | None = None) -> DataFrame:
+    """``tokens`` with ``units``, the cost with one provider; see ``priced_by``."""
+    return priced_by(tokens, ds, [provider], model).withColumnRenamed(f"units_{provider}", "units")
 
 
 def priced_requests(ds: Dataset, provider: str) -> DataFrame:
@@ -50,7 +64,7 @@ def priced_requests(ds: Dataset, provider: str) -> DataFrame:
     Requests' tool calls aren't priced at this grain. ``read_rate`` and ``rebuild_rate`` are the model's rates of cache
     reads and one-hour writes.
     """
-    rates = resolve(ds.requests, ds.card, provider).groupBy(F.col("model").alias("_m")).pivot("token_type", list(REQUEST_COLUMNS)).agg(F.first("rate"))
+    rates = resolve(ds.models, ds.card, provider).groupBy(F.col("model").alias("_m")).pivot("token_type", list(REQUEST_COLUMNS)).agg(F.first("rate"))
     rows = ds.requests.join(rates, F.col("model") == F.col("_m"), "left").fillna(0, subset=list(REQUEST_COLUMNS))
     cost = {t: F.coalesce(F.col(c), F.lit(0)) * F.col(t) for t, c in REQUEST_COLUMNS.items()}
     writes = F.coalesce("cache_write_5m_tokens", F.lit(0)) + F.coalesce("cache_write_1h_tokens", F.lit(0))
@@ -65,7 +79,7 @@ def unpriced(ds: Dataset, provider: str) -> DataFrame:
     """(model, tokens): models in use that the provider has no price for, other than blank and synthetic ones."""
     used = ds.tokens.where((F.col("token_type") != REQUESTS_TYPE) & (F.col("token_count") != 0))
     used = used.where((F.length("model") > 0) & (F.col("model") != SYNTHETIC_MODEL))
-    known = resolve(used, ds.card, provider).select(F.col("model").alias("_m")).distinct()
+    known = resolve(ds.models, ds.card, provider).select(F.col("model").alias("_m")).distinct()
     return used.join(known, F.col("model") == F.col("_m"), "left_anti").groupBy("model").agg(F.sum("token_count").alias("tokens"))
 
 

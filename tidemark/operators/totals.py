@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import filled, ratio, share, usd
 from tidemark.operators.filters import day
-from tidemark.operators.pricing import priced
+from tidemark.operators.pricing import priced, priced_by
 from tidemark.plans.dataset import REQUESTS_TYPE, SYNTHETIC_MODEL, TOKEN_TYPES, Dataset
 
 UNCATEGORIZED, UNKNOWN = "(uncategorized)", "(unknown)"
@@ -33,8 +33,8 @@ def tokens_of(kind: str | None = None) -> Column:
     return F.coalesce(F.sum(F.when(is_token() if kind is None else F.col("token_type") == kind, F.col("token_count"))), F.lit(0))
 
 
-def cost() -> Column:
-    return F.coalesce(F.sum("units"), F.lit(0)).cast("long")
+def cost(provider: str | None = None) -> Column:
+    return F.coalesce(F.sum("units" if provider is None else f"units_{provider}"), F.lit(0)).cast("long")
 
 
 def prompt_costs(ds: Dataset, provider: str) -> DataFrame:
@@ -56,17 +56,16 @@ def summary(ds: Dataset, providers: Sequence[str]) -> DataFrame:
         (F.datediff(last.cast("date"), first.cast("date")) + 1).cast("double").alias("Span days"),
     )
     sessions = ds.sessions.agg(F.count("*").cast("double").alias("Sessions"))
-    tokens = ds.tokens.agg(*(tokens_of(t).cast("double").alias(t) for t in TOKEN_TYPES), tokens_of().cast("double").alias("Total tokens"))
-    frames, names = [sessions, prompts, tokens], ["Sessions", "Prompts", "Projects", "Span days", *TOKEN_TYPES, "Total tokens"]
+    names, totals = ["Sessions", "Prompts", "Projects", "Span days", *TOKEN_TYPES, "Total tokens"], []
     for i, provider in enumerate(providers):
-        side = F.coalesce(F.sum(F.when(F.col("is_sidechain") == 1, F.col("units"))), F.lit(0))
-        totals = [usd(cost(), 2).alias(f"Cost ({provider})")]
+        side = F.coalesce(F.sum(F.when(F.col("is_sidechain") == 1, F.col(f"units_{provider}"))), F.lit(0))
+        totals.append(usd(cost(provider), 2).alias(f"Cost ({provider})"))
+        names.append(f"Cost ({provider})")
         if not i:
-            totals += [usd(side, 2).alias("Subagent cost"), share(side, cost()).alias("Subagent share")]
-            names += [f"Cost ({provider})", "Subagent cost", "Subagent share"]
-        else:
-            names.append(f"Cost ({provider})")
-        frames.append(priced(ds.tokens, ds, provider).agg(*totals))
+            totals += [usd(side, 2).alias("Subagent cost"), share(side, cost(provider)).alias("Subagent share")]
+            names += ["Subagent cost", "Subagent share"]
+    counts = [*(tokens_of(t).cast("double").alias(t) for t in TOKEN_TYPES), tokens_of().cast("double").alias("Total tokens")]
+    frames = [sessions, prompts, priced_by(ds.tokens, ds, providers).agg(*counts, *totals)]
     one = [f.select(F.inline(F.array(*(F.struct(F.lit(names.index(c)).alias("position"), F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in f.columns)))) for f in frames]
     out = one[0]
     for f in one[1:]:
@@ -169,7 +168,7 @@ def model_category(ds: Dataset, provider: str, target: str | None = None) -> Dat
     """Cost of each model and category; with ``target``, also what it would cost on that model."""
     rows = priced(ds.tokens.withColumn("model", filled("model", UNKNOWN)), ds, provider)
     if target is not None:
-        rows = priced(rows.withColumnRenamed("units", "_units"), ds, provider, F.lit(target)).withColumnRenamed("units", "_what_if").withColumnRenamed("_units", "units")
+        rows = priced(rows.withColumnRenamed("units", "_units"), ds, provider, target).withColumnRenamed("units", "_what_if").withColumnRenamed("_units", "units")
     named = ds.categories.select("prompt_id", "category")
     real = ds.prompts.select("prompt_id", F.col("prompt_id").alias("_real"))
     rows = rows.join(named, "prompt_id", "left").join(real, "prompt_id", "left")
@@ -183,29 +182,22 @@ def model_category(ds: Dataset, provider: str, target: str | None = None) -> Dat
 
 def compare_providers(ds: Dataset, providers: Sequence[str]) -> DataFrame:
     """Tokens of each model and its cost with each provider, and a TOTAL row."""
-    out = None
-    for i, provider in enumerate(providers):
-        name = f"cost_{provider}_usd"
-        rows = priced(ds.tokens, ds, provider).withColumn("m", filled("model", UNKNOWN)).rollup("m").agg(
-            *([tokens_of().alias("tokens"), F.count_if(is_token()).alias("n")] if not i else []), usd(cost()).alias(name), F.grouping("m").alias("g")
-        )
-        rows = rows.withColumn("model", F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("m"))).drop("m")
-        out = rows if out is None else out.join(rows, ["model", "g"], "left")
-    return out.where((F.col("n") > 0) | (F.col("g") == 1)).drop("n", "g")
+    rows = priced_by(ds.tokens, ds, providers).withColumn("m", filled("model", UNKNOWN)).rollup("m").agg(
+        tokens_of().alias("tokens"), F.count_if(is_token()).alias("n"), F.grouping("m").alias("g"), *(usd(cost(p)).alias(f"cost_{p}_usd") for p in providers)
+    )
+    rows = rows.where((F.col("n") > 0) | (F.col("g") == 1))
+    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("m")).alias("model"), "tokens", *(f"cost_{p}_usd" for p in providers))
 
 
 def flat_export(ds: Dataset, providers: Sequence[str]) -> DataFrame:
     """One row for each prompt and each pseudo-prompt, with tokens by type, costs and its session's fields."""
-    pivot = ds.tokens.groupBy("prompt_id").agg(
+    pivot = priced_by(ds.tokens, ds, providers).groupBy("prompt_id").agg(
         *(tokens_of(t).alias(f"{t}_tokens" if t != REQUESTS_TYPE else "server_tool_use_requests") for t in TOKEN_TYPES),
         tokens_of().alias("total_tokens"),
         F.coalesce(F.sum(F.when((F.col("is_sidechain") == 1) & is_token(), F.col("token_count"))), F.lit(0)).alias("subagent_tokens"),
-        F.min("session_id").alias("_session"),
+        F.min("session_id").alias("_session"), *(usd(cost(p), 6).alias(f"cost_{p}_usd") for p in providers),
         F.array_join(F.array_sort(F.collect_set(F.when((F.length("model") > 0) & (F.col("model") != SYNTHETIC_MODEL), F.col("model")))), ", ").alias("_models"),
     )
-    for provider in providers:
-        spent = priced(ds.tokens, ds, provider).groupBy("prompt_id").agg(usd(cost(), 6).alias(f"cost_{provider}_usd"))
-        pivot = pivot.join(spent, "prompt_id", "left")
     named = ds.categories.select("prompt_id", "category", "complexity")
     real = ds.prompts.select("prompt_id", "session_id", "project", "git_branch", F.col("prompt_index").cast("string").alias("prompt_index"), "timestamp", "model", *(F.col(c).cast("string").alias(c) for c in ("char_count", "assistant_turns", "tool_calls")), "prompt_preview", F.lit(True).alias("_real"))
     meta = ds.sessions.select(F.col("session_id").alias("_sid"), "start_date", F.col("project").alias("_project"), F.col("git_branch").alias("_branch"))
@@ -224,9 +216,7 @@ def flat_export(ds: Dataset, providers: Sequence[str]) -> DataFrame:
 
 def mini_summary(ds: Dataset, providers: Sequence[str], top: int = 3) -> DataFrame:
     """(kind, name, cost_usd): the total of each provider and the costliest projects with the first."""
-    out = None
-    for p in providers:
-        row = priced(ds.tokens, ds, p).agg(usd(cost(), 2).alias("cost_usd")).select(F.lit("provider").alias("kind"), F.lit(p).alias("name"), "cost_usd")
-        out = row if out is None else out.unionByName(row)
+    sums = priced_by(ds.tokens, ds, providers).agg(*(usd(cost(p), 2).alias(p) for p in providers))
+    out = sums.select(F.inline(F.array(*(F.struct(F.lit("provider").alias("kind"), F.lit(p).alias("name"), F.col(p).alias("cost_usd")) for p in providers))))
     projects = by_project(ds, providers[0]).orderBy(F.desc("cost_usd"), "project").limit(top)
     return out.unionByName(projects.select(F.lit("project").alias("kind"), F.col("project").alias("name"), "cost_usd"))

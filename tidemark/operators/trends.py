@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import filled, ratio, share, usd
-from tidemark.operators.filters import day, split_on_pivot
+from tidemark.operators.filters import day
 from tidemark.operators.pricing import priced
 from tidemark.operators.totals import UNCATEGORIZED, cost, tokens_of, whole, with_costs
 from tidemark.plans.dataset import CONTEXT_TYPES, Dataset
@@ -98,32 +98,59 @@ METRICS = (
 )
 
 
-def side_stats(ds: Dataset, provider: str) -> DataFrame:
-    """One row: ratios that don't depend on volume, and the volumes themselves."""
-    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("token_type").isin(*kinds), F.col("units"))), F.lit(0))
-    usage = priced(ds.tokens, ds, provider).agg(
-        cost().alias("units"), of("output").alias("output_units"), of(*CONTEXT_TYPES).alias("context_units"),
-        tokens_of("cache_read").alias("reads"), tokens_of("output").alias("outputs"),
+def side_stats(ds: Dataset, provider: str, pivot: str) -> DataFrame:
+    """One row for each side of a day that has prompts: ratios that don't depend on volume, and the volumes themselves.
+
+    A fact is read once for both sides: prompts with their day say on which side the rest of a dataset falls, as
+    ``filter_dates`` would have it (usage without a prompt follows its session's prompts, on both sides if it has both).
+    """
+    side = F.when(F.col("date") < pivot, "before").otherwise("after").alias("side")
+    prompts = ds.prompts.withColumn("date", day()).select("prompt_id", "session_id", "date", side)
+    of_prompt = prompts.select("prompt_id", "side")
+    of_session = prompts.groupBy("session_id").agg(F.collect_set("side").alias("sides"))
+    counts = prompts.groupBy("side").agg(
+        F.count("*").alias("prompts"), F.count_distinct("session_id").alias("sessions"),
+        (F.datediff(F.max(F.nullif("date", F.lit("")).cast("date")), F.min(F.nullif("date", F.lit("")).cast("date"))) + 1).alias("span"),
     )
-    n = lambda frame, name: frame.agg(F.count("*").alias(name))
-    one = usage.crossJoin(n(ds.prompts, "prompts")).crossJoin(n(ds.sessions, "sessions")).crossJoin(n(ds.requests, "turns"))
-    one = one.crossJoin(n(ds.tasks, "tasks")).crossJoin(span_days(ds))  # one row each
+
+    def sided(rows: DataFrame, *sums: Column) -> DataFrame:
+        """Sums by side of rows with prompt_id and session_id."""
+        found = rows.join(of_prompt, "prompt_id", "left").join(of_session, "session_id", "left")
+        sides = F.when(F.col("side").isNotNull(), F.array("side")).otherwise(F.col("sides"))
+        return found.withColumn("side", F.explode(sides)).groupBy("side").agg(*sums)
+
+    # per prompt first, so that few rows meet the sides
+    kinds = {"output_units": ["output"], "context_units": list(CONTEXT_TYPES)}
+    of = lambda value, *kind: F.coalesce(F.sum(F.when(F.col("token_type").isin(*kind), F.col(value))), F.lit(0))
+    usage = priced(ds.tokens, ds, provider).groupBy("prompt_id", "session_id").agg(
+        cost().alias("units"), *(of("units", *k).alias(n) for n, k in kinds.items()), of("token_count", "cache_read").alias("reads"), of("token_count", "output").alias("outputs")
+    )
+    names = ("units", *kinds, "reads", "outputs")
+    usage = sided(usage, *(F.sum(n).alias(n) for n in names))
+    turns = sided(ds.requests.groupBy("prompt_id", "session_id").agg(F.count("*").alias("n")), F.sum("n").alias("turns"))
+    members = ds.task_prompts.join(of_prompt, "prompt_id").groupBy("side").agg(F.count_distinct("task_id").alias("tasks"))
+    one = counts.join(usage, "side", "left").join(turns, "side", "left").join(members, "side", "left").fillna(0, subset=[*names, "turns", "tasks"])
     return one.select(
-        usd(F.try_divide(F.col("units"), F.col("prompts"))).alias("cost_per_prompt"), ratio(F.col("output_units") * 100, "units", 1).alias("output_share"),
+        "side", usd(F.try_divide(F.col("units"), F.col("prompts"))).alias("cost_per_prompt"), ratio(F.col("output_units") * 100, "units", 1).alias("output_share"),
         ratio(F.col("context_units") * 100, "units", 1).alias("context_share"), ratio("reads", "turns", 1).alias("cache_read_per_turn"),
         ratio("outputs", "prompts", 1).alias("output_per_prompt"), F.col("prompts").cast("double").alias("prompts"), usd("units", 2).alias("total_cost"),
-        F.when(F.col("prompts") > 0, F.col("span")).otherwise(0).cast("double").alias("days"), ratio("prompts", "sessions", 1).alias("prompts_per_session"),
-        F.col("tasks").cast("double").alias("tasks"),
+        F.coalesce("span", F.lit(1)).cast("double").alias("days"), ratio("prompts", "sessions", 1).alias("prompts_per_session"), F.col("tasks").cast("double").alias("tasks"),
     )
 
 
+EMPTY_SIDE = ("prompts", "total_cost", "days", "tasks")  # 0 where a side has no prompts; ratios are null
+
+
 def impact(ds: Dataset, provider: str, pivot: str) -> DataFrame:
     """(metric, before, after, change): each metric on both sides of a day; change is null where a side has none."""
-    sides = []
-    for name, part in zip(("before", "after"), split_on_pivot(ds, pivot), strict=True):
-        rows = side_stats(part, provider).select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in METRICS))))
-        sides.append(rows)
-    return sides[0].join(sides[1], "metric").withColumn("change", F.floor((F.col("after") - F.col("before")) * 10000 + 0.5) / 10000.0)
+    rows = side_stats(ds, provider, pivot)
+    rows = rows.select("side", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))))
+    at = lambda name: F.max(F.when(F.col("side") == name, F.col("value")))
+    zero = F.when(F.col("metric").isin(*EMPTY_SIDE), 0.0)
+    names = ds.prompts.sparkSession.createDataFrame([(m,) for m in METRICS], "metric string")
+    out = names.join(rows.groupBy("metric").agg(at("before").alias("before"), at("after").alias("after")), "metric", "left")
+    out = out.select("metric", F.coalesce("before", zero).alias("before"), F.coalesce("after", zero).alias("after"))
+    return out.withColumn("change", F.floor((F.col("after") - F.col("before")) * 10000 + 0.5) / 10000.0)
 
 
 def top_category(ds: Dataset) -> DataFrame:

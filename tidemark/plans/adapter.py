@@ -77,8 +77,10 @@ def orders_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     quota = table(spark, sf_dir, "events").where(F.col("event_type") == "view").select(
         iso("ts").alias("snapshot_at"), F.concat(F.lit("window_"), (F.col("user_id") % 4).cast("string")).alias("field"), F.col("value").alias("utilization_pct"), F.lit("").alias("resets_at")
     )
+    brands = parts.select(F.col("p_brand").alias("model")).distinct()
+    models = brands.unionByName(brands.select(F.concat("model", F.lit("[1m]")).alias("model")))
     return Dataset.of(
-        spark, sessions=sessions, prompts=prompts, tokens=tokens, categories=categories, output_files=output_files, output_tokens=output_tokens,
+        spark, sessions=sessions, prompts=prompts, tokens=tokens, categories=categories, output_files=output_files, output_tokens=output_tokens, models=models,
         context_sources=context_sources, context_cost=context_cost, quota_log=quota, **ratecard.tables(spark, ratecard.DEMO),
     )
 
@@ -135,7 +137,9 @@ def events_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     categories = per.where(F.col("n") % 4 != 3).select(
         "prompt_id", F.concat(F.lit("kind"), (F.col("n") % 3).cast("string")).alias("category"), (F.col("n") % 5 + 1).cast("string").alias("complexity"), F.lit("demo").alias("classifier_model"), F.lit("").alias("classified_at")
     )
-    return Dataset.of(spark, sessions=sessions, prompts=prompts, requests=requests, tokens=tokens_of_requests(requests), categories=categories, **ratecard.tables(spark, ratecard.DEMO))
+    number = F.concat(F.lit("Brand#"), (F.col("id") % 9 + 1).cast("string"))
+    models = spark.range(18).select(F.when(F.col("id") < 9, number).otherwise(F.concat(number, F.lit("[1m]"))).alias("model"))
+    return Dataset.of(spark, sessions=sessions, prompts=prompts, requests=requests, tokens=tokens_of_requests(requests), categories=categories, models=models, **ratecard.tables(spark, ratecard.DEMO))
 
 
 def todo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

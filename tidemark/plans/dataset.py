@@ -33,6 +33,7 @@ SCHEMAS = {
     "prompts_text": "prompt_id string, prompt_text string",
     "card": "provider string, kind string, key string, token_type string, rate bigint",
     "plans": "plan string, label string, kind string, monthly_units bigint, included_units bigint",
+    "models": "model string",
 }
 
 
@@ -55,11 +56,22 @@ class Dataset:
     prompts_text: DataFrame
     card: DataFrame
     plans: DataFrame
+    models: DataFrame
 
     @classmethod
     def of(cls, spark: SparkSession, **tables: DataFrame) -> Dataset:
-        """A dataset of the given tables; the others are empty."""
-        missing = {f.name: spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls) if f.name not in tables}
+        """A dataset of the given tables; the others are empty.
+
+        ``models`` names all models that tokens, requests and context_cost have, and may name more. Prices are resolved for it
+        alone, so that no fact is read for its few names; where no such dimension is given, the facts' names are gathered.
+        """
+        missing = {f.name: spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls) if f.name not in tables and f.name != "models"}
+        if "models" not in tables:
+            named = [tables[t].select("model") for t in ("tokens", "requests", "context_cost") if t in tables]
+            names = missing["tokens"].select("model")
+            for rows in named:
+                names = names.unionByName(rows)
+            missing["models"] = names.distinct()
         return cls(**tables, **missing)
 
     def with_(self, **tables: DataFrame) -> Dataset:
