@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Languages by file extension and by whole file name, directories and file names of tests.
 LANGUAGES = {
-    "Python": "py pyi", "Jupyter Notebook": "ipynb", "TypeScript": "ts tsx", "JavaScript": "js jsx mjs cjs", "Rust": "rs", "Go": "go", "Java": "java",
-    "Kotlin": "kt", "Ruby": "rb", "PHP": "php", "C": "c h", "C++": "cpp cc cxx hpp", "C#": "cs", "Swift": "swift", "Scala": "scala",
-    "Shell": "sh bash zsh", "PowerShell": "ps1", "SQL": "sql", "HTML": "html htm", "CSS": "css scss sass", "Vue": "vue", "Svelte": "svelte",
-    "Markdown": "md markdown", "reStructuredText": "rst", "JSON": "json", "YAML": "yml yaml", "TOML": "toml", "INI": "ini cfg", "XML": "xml",
-    "Text": "txt", "CSV": "csv", "Terraform": "tf", "Lua": "lua", "R": "r", "Dart": "dart", "Elixir": "ex exs",
+    "py": "Python", "pyi": "Python", "ipynb": "Jupyter Notebook", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript",
+    "mjs": "JavaScript", "cjs": "JavaScript", "rs": "Rust", "go": "Go", "java": "Java", "kt": "Kotlin", "rb": "Ruby", "php": "PHP", "c": "C",
+    "h": "C", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++", "cs": "C#", "swift": "Swift", "scala": "Scala", "sh": "Shell", "bash": "Shell",
+    "zsh": "Shell", "ps1": "PowerShell", "sql": "SQL", "html": "HTML", "htm": "HTML", "css": "CSS", "scss": "CSS", "sass": "CSS", "vue": "Vue",
+    "svelte": "Svelte", "md": "Markdown", "markdown": "Markdown", "rst": "reStructuredText", "json": "JSON", "yml": "YAML", "yaml": "YAML",
+    "toml": "TOML", "ini": "INI", "cfg": "INI", "xml": "XML", "txt": "Text", "csv": "CSV", "tf": "Terraform", "lua": "Lua", "r": "R", "dart": "Dart",
+    "ex": "Elixir", "exs": "Elixir",
 }
 NAMES = {"dockerfile": "Dockerfile", "makefile": "Makefile"}
 TEST_DIRECTORIES = ("test", "tests", "__tests__", "spec", "specs", "testing")
@@ -25,8 +27,7 @@ def base_name(path: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """The language of a path's name or extension; else the bare extension, and other without any."""
-    table = {e: name for name, extensions in LANGUAGES.items() for e in extensions.split()}
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     special = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     name = F.lower(base_name(path))
     extension = F.nullif(F.regexp_extract(name, r"^.+\.([^.]+)$", 1), F.lit(""))

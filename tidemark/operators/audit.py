@@ -17,11 +17,14 @@ LEXICAL = ("ops", "feedback")
 TERM = r"(?U)[^\W\d_]{3,}"
 # Words too common to tell clusters apart.
 STOP_WORDS = (
-    "the and for with that this you your are but not can all any from have has was will what why how when which should would could into out then than them they "
-    "there here its our use using make made get got want need like just also more most some one two now new add put let see via per yes okay "
-    "les des une que qui pour dans avec sur pas est sont fait faire fais plus moins mais donc car comme tout tous toute cette ces son ses leur vous nous elle "
-    "ici etre etait avoir deja encore bien tres peux peut veux veut oui non ton tes mon mes par aux"
-).split()
+    "the", "and", "for", "with", "that", "this", "you", "your", "are", "but", "not", "can", "all", "any", "from", "have", "has", "was", "will",
+    "what", "why", "how", "when", "which", "should", "would", "could", "into", "out", "then", "than", "them", "they", "there", "here", "its", "our",
+    "use", "using", "make", "made", "get", "got", "want", "need", "like", "just", "also", "more", "most", "some", "one", "two", "now", "new", "add",
+    "put", "let", "see", "via", "per", "yes", "okay", "les", "des", "une", "que", "qui", "pour", "dans", "avec", "sur", "pas", "est", "sont", "fait",
+    "faire", "fais", "plus", "moins", "mais", "donc", "car", "comme", "tout", "tous", "toute", "cette", "ces", "son", "ses", "leur", "vous", "nous",
+    "elle", "ici", "etre", "etait", "avoir", "deja", "encore", "bien", "tres", "peux", "peut", "veux", "veut", "oui", "non", "ton", "tes", "mon",
+    "mes", "par", "aux",
+)
 
 
 def bands(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -109,14 +112,17 @@ def themes(table: DataFrame) -> DataFrame:
     return rows.where(kind.isNotNull()).select("cluster", kind.alias("kind"), F.round("share", 6).alias("purity"))
 
 
-def semantic(prompts: DataFrame, prototypes: DataFrame, text: str, vector: str, tau: float = TAU, prime: float = PRIME_WEIGHT) -> DataFrame:
-    """``prompts`` with ``label``: the category of the nearest of the unit ``prototypes`` (category, vector), against
-    lexical evidence for some categories; other below ``tau``. Prototypes are a small table that the caller configures."""
+def semantic(prompts: DataFrame, prototypes: DataFrame, text: str, vector: str, tau: float = TAU, prime: float = PRIME_WEIGHT, top: int = 1) -> DataFrame:
+    """``prompts`` with ``label``: the category whose ``top`` nearest unit ``prototypes`` (category, vector) have the largest
+    mean cosine, against lexical evidence for some categories; other below ``tau``. Prototypes are a small table that the
+    caller configures."""
     clean = without_notes(F.col(text))
     names = [r[0] for r in prototypes.select("category").distinct().orderBy("category").collect()]
     protos = prototypes.groupBy("category").agg(F.collect_list("vector").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("category", "v"))).alias("_protos"))
     rows = prompts.crossJoin(F.broadcast(protos))  # one row
-    scores = {n: F.array_max(F.transform(F.element_at("_protos", n), lambda v: dot(v, F.col(vector)))) for n in names}
+    nearest = lambda n: F.slice(F.reverse(F.array_sort(F.transform(F.element_at("_protos", n), lambda v: dot(v, F.col(vector))))), 1, top)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x)
+    scores = {n: mean(nearest(n)) for n in names}
     for n in LEXICAL:
         evidence = lexical_evidence(clean, n)
         scores[n] = F.when(evidence > 0, evidence * prime)

@@ -14,6 +14,11 @@ from tidemark.plans.dataset import Dataset
 DEPTH_BANDS = (
     (1, 1, "1"), (2, 2, "2"), (3, 3, "3"), (4, 4, "4"), (5, 5, "5"), (6, 10, "6-10"), (11, 20, "11-20"), (21, 50, "21-50"), (51, None, "51+"),
 )
+#: The finer bands of ``depth_quantiles``.
+FINE_BANDS = (
+    (1, 1, "1"), (2, 2, "2"), (3, 3, "3"), (4, 4, "4"), (5, 5, "5"), (6, 6, "6"), (7, 7, "7"), (8, 8, "8"), (9, 9, "9"), (10, 10, "10"),
+    (11, 15, "11-15"), (16, 20, "16-20"), (21, None, "21+"),
+)
 #: Pauses in seconds [from, to), label.
 GAPS = ((0, 300, "<= 5m"), (300, 3600, "5m-1h"), (3600, 21600, "1h-6h"), (21600, None, "> 6h"))
 BASELINE_GAP = GAPS[0][2]
@@ -179,11 +184,11 @@ def cost_boxes(ds: Dataset, provider: str, of: str) -> DataFrame:
 
 
 def depth_quantiles(ds: Dataset) -> DataFrame:
-    """Quartiles of each type's tokens in a prompt by depth, prompts without that type counting 0."""
+    """Quartiles of each type's tokens in a prompt by its place in the session, prompts without that type counting 0."""
     kinds = ["input", "output", "cache_read", "cache_write_5m", "cache_write_1h"]
     per = ds.tokens.groupBy("prompt_id").pivot("token_type", kinds).agg(F.sum("token_count"))
     rows = ds.prompts.where(F.col("prompt_index") >= 1).select("prompt_id", "prompt_index").join(per, "prompt_id", "left").fillna(0, subset=kinds)
-    _, label = depth(F.col("prompt_index"))
+    _, label = banded(F.col("prompt_index"), FINE_BANDS, True)
     long_ = rows.select(label.alias("depth"), F.inline(F.array(*(F.struct(F.lit(k).alias("token_type"), F.col(k).alias("n")) for k in kinds))))
     out = long_.groupBy("depth", "token_type").agg(F.count("*").alias("prompts"), F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
     return out.select("depth", "token_type", "prompts", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import apportion, chains, content, pricing, tasks, totals, trends
-from tidemark.plans import oracle_content, oracle_usage
+from tidemark.functions.text import intent
+from tidemark.operators import apportion, audit, chains, content, explore, filters, pricing, tasks, totals, trends
+from tidemark.plans import oracle_content, oracle_explore, oracle_usage
 from tidemark.plans.adapter import element_rows, events_dataset, orders_dataset, todo_rows
 from tidemark.plans.dataset import Dataset
+from tidemark.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROVIDERS = ("direct", "cloud")
@@ -104,9 +106,92 @@ CONTENT: dict[str, Query] = {
 }
 
 
+def by_model_name(ds: Dataset) -> Dataset:
+    return ds.with_(prompts=ds.prompts.withColumn("model", F.coalesce("model", F.lit(""))))
+
+
+EXPLORE: dict[str, Query] = {
+    "type_volume": orders(lambda d: explore.type_volume(d, FIRST)),
+    "box_cap": orders(lambda d: explore.box_cap(by_model_name(d), FIRST, "model")),
+    "project_pareto": orders(lambda d: explore.project_pareto(d, FIRST)),
+    "project_sessions": orders(lambda d: explore.project_sessions(d, FIRST)),
+    "session_sizes": orders(explore.session_sizes),
+    "prompt_lengths": orders(explore.prompt_lengths),
+    "session_rollup": orders(lambda d: explore.session_rollup(d, FIRST)),
+    "session_timeline": orders(lambda d: explore.session_timeline(d, FIRST)),
+    "edited_by": orders(explore.edited_by),
+    "read_in": orders(lambda d: explore.read_in(d, FIRST)),
+    "type_costs": orders(lambda d: explore.type_costs(d, FIRST, oracle_explore.PIVOT)),
+    "language_shares": orders(lambda d: explore.language_shares(d, oracle_explore.PIVOT)),
+    "efficiency": orders(lambda d: explore.efficiency(d, FIRST)),
+    "file_population": orders(lambda d: explore.file_population(d, FIRST)),
+}
+
+
+def table_sizes(ds: Dataset) -> DataFrame:
+    """(name, n): the rows of a dataset's tables."""
+    sizes = [getattr(ds, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in oracle_explore.COUNTED]
+    out = sizes[0]
+    for x in sizes[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+FILTERS: dict[str, Query] = {
+    "project_filter": orders(lambda d: table_sizes(filters.filter_project(d, "BUILDING"))),
+    "date_filter": orders(lambda d: table_sizes(filters.filter_dates(d, "1994-01-01", "1995-12-31"))),
+    "window_filter": orders(lambda d: table_sizes(filters.window(d, oracle_explore.PIVOT, 30))),
+    "id_filter": orders(lambda d: table_sizes(filters.filter_prompt_ids(d, d.prompts.where("char_count < 300").select("prompt_id")))),
+    "all_filters": orders(lambda d: table_sizes(filters.apply_filters(
+        d, dates=("1993-01-01", "1996-12-31"), projects=("BUILDING", "MACHINERY", ""), categories=("urgent", "high", "(uncategorized)"), chars=(100, 2500), session_prompts=(2, 4)))),
+    "date_range": orders(filters.date_bounds),
+}
+
+
+def reconciliation(ds: Dataset) -> DataFrame:
+    """Tokens of each model against those of a second source, here the same without subagents and one model."""
+    sums = lambda rows: rows.groupBy("model").agg(F.sum("token_count").alias("n"))
+    return audit.reconcile(sums(ds.tokens), sums(ds.tokens.where((F.col("is_sidechain") == 0) & (F.col("model") != "Brand#11"))), ["model"], "n")
+
+
+def label_agreement(ds: Dataset) -> DataFrame:
+    """How two labellings of the same prompts agree."""
+    second = F.when(F.col("complexity") < "3", "urgent").otherwise(F.col("category")).alias("category")
+    return audit.agreement(ds.categories, ds.categories.select("prompt_id", second))
+
+
+def audited(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """``f`` of sources as categories in arbitrary clusters of documents."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("cluster"), F.col("source").alias("category"))
+        return f(audit.crosstab(docs, "cluster", "category"))
+
+    return run
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule-based intent of each turn; its patterns need look-around, which DuckDB's SQL has not."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
+
+
+AUDIT: dict[str, Query] = {
+    "reconciliation": orders(reconciliation),
+    "label_agreement": orders(label_agreement),
+    "complexity": events(lambda d: audit.complexity(totals.with_costs(d, FIRST))),
+    "audit_table": audited(lambda x: x.select("cluster", "category", "n", "size", "dominant", "share")),
+    "audit_merges": audited(audit.merges),
+    "audit_splits": audited(audit.splits),
+    "audit_themes": audited(audit.themes),
+    "top_terms": lambda spark, sf_dir: audit.top_terms(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text"), "label", "text"),
+    "representatives": lambda spark, sf_dir: audit.representatives(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"),
+    "intents": intents,
+}
+
+
 def queries() -> dict[str, Query]:
-    return TOTALS | TRENDS | CHAINS | CONTENT
+    return TOTALS | TRENDS | CHAINS | CONTENT | EXPLORE | FILTERS | AUDIT
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_usage.SQL | oracle_content.SQL
+    return oracle_usage.SQL | oracle_content.SQL | oracle_explore.SQL

@@ -219,8 +219,9 @@ from sums s join long using (session_id) left join (select session_id, project f
 select coalesce(model, '') as model, count(*) as prompts, {", ".join(usd(f"floor(quantile_cont(units, {p}) * 20 + 0.5) / 20.0") + f" as {n}" for n, p in (("p05_usd", 0.05), ("q1_usd", 0.25), ("median_usd", 0.5), ("q3_usd", 0.75), ("p95_usd", 0.95)))}
 from costed group by 1""",
     "depth_quantiles": ORDERS + f""",
+fine as (select i as lo, i as hi, i::varchar as depth from range(1, 11) r(i) union all select 11, 15, '11-15' union all select 16, 20, '16-20' union all select 21, 1000000000, '21+'),
 kinds as (select prompt_id, {", ".join(f"coalesce(sum(case when token_type = '{k}' then token_count end), 0)::bigint as {k}" for k in KINDS)} from tokens group by 1),
-long as ({" union all ".join(f"select depth, '{k}' as token_type, coalesce({k}, 0) as n from prompts p left join kinds k on p.prompt_id = k.prompt_id {BAND}" for k in KINDS)})
+long as ({" union all ".join(f"select depth, '{k}' as token_type, coalesce({k}, 0) as n from prompts p left join kinds k on p.prompt_id = k.prompt_id join fine on prompt_index between lo and hi" for k in KINDS)})
 select depth, token_type, count(*) as prompts, quantile_cont(n, 0.25) as p25, quantile_cont(n, 0.5) as median, quantile_cont(n, 0.75) as p75 from long group by 1, 2""",
     "main_chain_cache": EVENTS + "select coalesce(sum(read_units + write_units), 0)::bigint as units from priced_requests where is_sidechain = 0",
 }
