@@ -111,3 +111,54 @@ def abbreviated(n: Column) -> Column:
     """1234 as 1.2k, 5600000 as 5.6M, 1010000000 as 1.01G."""
     scaled = lambda by, digits, unit: F.concat(F.format_string(f"%.{digits}f", n / F.lit(float(by))), F.lit(unit))
     return F.when(n >= 10**9, scaled(10**9, 2, "G")).when(n >= 10**6, scaled(10**6, 1, "M")).when(n >= 1000, scaled(1000, 1, "k")).otherwise(n.cast("string"))
+
+
+def parse_reply(raw: Column, categories: tuple[str, ...] = (*INTENT_ORDER, NOTIFICATION)) -> Column:
+    """(category, complexity) of a classifier's answer ``category|complexity``: other and 3 where it has none that is known."""
+    parts = F.split(F.lower(F.trim(F.coalesce(raw, F.lit("")))), r"\|")
+    category, level = F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    return F.struct(
+        F.when(category.isin(*categories), category).otherwise(OTHER).alias("category"), F.when(level.rlike("^[1-5]$"), level).otherwise("3").alias("complexity")
+    )
+
+
+def model_label(model: Column, prefix: str, families: tuple[str, ...]) -> Column:
+    """A model's name to show: the family with its dotted version, or the cleaned words of any other name.
+
+    ``prefix`` (a vendor's) and date stamps of 6 to 8 digits go; ``families`` are looked for in order.
+    """
+    bare = F.regexp_replace(model, f"(?i)^{prefix}", "")
+    words = F.filter(F.split(bare, "-"), lambda w: (F.length(w) > 0) & ~w.rlike(r"^\d{6,8}$"))
+    version = F.array_join(F.filter(words, lambda w: w.rlike(r"^\d+$")), ".")
+    label = F.when(F.length(F.trim(F.coalesce(model, F.lit("")))) == 0, "(unknown)").when(F.size(words) == 0, model)
+    for family in families:
+        label = label.when(F.contains(F.lower(model), F.lit(family)), F.trim(F.concat(F.lit(family.capitalize() + " "), version)))
+    return label.otherwise(F.initcap(F.replace(F.array_join(words, " "), F.lit("_"), F.lit(" "))))
+
+
+def model_rank(model: Column, families: tuple[str, ...]) -> Column:
+    """A sort key: the family's place, then the name; models of no family come last."""
+    place = F
+    for i, family in enumerate(families):
+        place = place.when(F.contains(F.lower(model), F.lit(family)), i)
+    return F.struct((place.otherwise(len(families)) if families else F.lit(0)).alias("place"), model.alias("model"))
+
+
+def shown(value: Column, kind: str) -> Column:
+    """A number to show: money (4 digits), money_total (2), pct, ratio (1 digit) or int; - where there is none."""
+    text = {
+        "money": F.concat(F.lit("$"), F.format_number(value, 4)), "money_total": F.concat(F.lit("$"), F.format_number(value, 2)),
+        "pct": F.concat(F.format_string("%.1f", value), F.lit("%")), "ratio": F.format_number(value, 1), "int": F.format_number(F.floor(value), 0),
+    }[kind]
+    return F.coalesce(text, F.lit("-"))
+
+
+def shown_change(before: Column, after: Column, kind: str) -> Column:
+    """A change to show: signed, in points for shares, else with the change in percent; - where a side has none."""
+    delta = after - before
+    sign = F.when(delta >= 0, "+").otherwise("-")
+    if kind == "pct":
+        return F.coalesce(F.concat(sign, F.format_string("%.1f pp", F.abs(delta))), F.lit("-"))
+    body = F.concat(sign, F.lit("$" if kind.startswith("money") else ""), F.format_number(F.abs(delta), {"money": 4, "money_total": 2, "ratio": 1, "int": 0}[kind]))
+    relative = F.when(before != 0, F.format_string(" (%+.0f%%)", delta * 100 / before)).otherwise("")
+    return F.coalesce(F.concat(body, relative), F.lit("-"))

@@ -58,19 +58,20 @@ def by_todo(prompts: DataFrame, todos: DataFrame) -> DataFrame:
 def by_subject(prompts: DataFrame, vectors: DataFrame, gap_seconds: int = GAP_SECONDS, similarity: float = SIMILARITY) -> DataFrame:
     """Like ``by_pause``, but a prompt marked ``anchor`` also begins a segment where its unit vector's cosine to the sum of
     the segment's vectors is below ``similarity``. That sum depends on the decisions before, so each session is walked in
-    order, in one Arrow group; a session is bounded by what a person types."""
-    rows = prompts.join(vectors, "prompt_id").select("session_id", "prompt_id", F.coalesce("timestamp", F.lit("")).alias("timestamp"), _seconds(F.col("timestamp")).alias("at"), "prompt_preview", F.coalesce("anchor", F.lit(False)).alias("anchor"), "vector")
+    order, in one Arrow group; a session is bounded by what a person types. A prompt without a vector only follows pauses."""
+    rows = prompts.join(vectors.select("prompt_id", "vector", "anchor"), "prompt_id", "left").select("session_id", "prompt_id", F.coalesce("timestamp", F.lit("")).alias("timestamp"), _seconds(F.col("timestamp")).alias("at"), "prompt_preview", F.coalesce("anchor", F.lit(False)).alias("anchor"), "vector")
 
     def walk(session: pa.Table) -> pa.Table:
         session = session.sort_by([("timestamp", "ascending"), ("prompt_id", "ascending")])
         at, anchors, found = session["at"].to_numpy(), session["anchor"].to_pylist(), []
         total, segment, start = None, 1, 0
-        for i, v in enumerate(np.array(x, np.float64) for x in session["vector"].to_pylist()):
-            if total is not None:
-                norm = np.linalg.norm(total)
-                if at[i] - at[i - 1] > gap_seconds or (anchors[i] and norm > 0 and v @ total / norm < similarity):
-                    segment, total, start = segment + 1, None, i
-            total = v if total is None else total + v
+        for i, x in enumerate(session["vector"].to_pylist()):
+            v = None if x is None else np.array(x, np.float64)
+            far = anchors[i] and v is not None and total is not None and (norm := np.linalg.norm(total)) > 0 and v @ total / norm < similarity
+            if i and (at[i] - at[i - 1] > gap_seconds or far):
+                segment, total, start = segment + 1, None, i
+            if v is not None:
+                total = v if total is None else total + v
             found.append((segment, start))
         names = session["prompt_preview"].to_pylist()
         lead: dict[int, int] = {}
@@ -87,12 +88,13 @@ def clean_name(name: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), 1, 80)
 
 
-def assemble(prompts: DataFrame, todos: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(tasks, task_prompts): by todos in sessions that have a labelled one, by pauses in the others."""
+def assemble(prompts: DataFrame, todos: DataFrame, gap_seconds: int = GAP_SECONDS, vectors: DataFrame | None = None, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(tasks, task_prompts): by todos in sessions that have a labelled one, in the others by pauses, and where ``vectors``
+    (prompt_id, vector, anchor) are given by subject as well."""
     spine = by_todo(prompts, todos).withColumn("origin", F.lit("todo"))
     others = prompts.join(todos.where(F.length("label") > 0).select("session_id"), "session_id", "left_anti")
-    inferred = by_pause(others, gap_seconds).withColumn("origin", F.lit("inferred"))
-    return emit(spine.unionByName(inferred))
+    inferred = by_pause(others, gap_seconds) if vectors is None else by_subject(others, vectors, gap_seconds, similarity)
+    return emit(spine.unionByName(inferred.withColumn("origin", F.lit("inferred"))))
 
 
 def emit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,7 +68,7 @@ class Dataset:
         missing = {f.name: spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls) if f.name not in tables and f.name != "models"}
         if "models" not in tables:
             named = [tables[t].select("model") for t in ("tokens", "requests", "context_cost") if t in tables]
-            names = missing["tokens"].select("model")
+            names = spark.createDataFrame([], SCHEMAS["models"])
             for rows in named:
                 names = names.unionByName(rows)
             missing["models"] = names.distinct()

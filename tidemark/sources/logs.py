@@ -1,7 +1,6 @@
 """Session logs (one JSON object a line) as the star schema.
 
-Files are read whole and split into numbered lines, since attribution follows the order of lines within a file; a log is
-one session's, so a file is small. Lines become VARIANT, and everything but the parent chain is relational: the chain, in
+Lines are numbered within their file, since attribution follows their order. Lines become VARIANT, and everything but the parent chain is relational: the chain, in
 which each event takes its prompt from an earlier event of the same file, is walked once for each file in an Arrow group.
 
 Defined results: a leading byte-order mark and blank lines are ignored; lines that aren't JSON objects are counted as
@@ -90,11 +89,13 @@ def landed(rows: DataFrame, folder: str, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of all *.jsonl files below ``path``."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "text"))
-    return rows.where(F.length(F.trim("text")) > 0)
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, text) of all *.jsonl files below ``path``, however long: a file is read in splits, whose lines are
+    numbered in order of where the split begins."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    rows = rows.where(F.length(F.trim("text")) > 0)
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("start", "place")).alias("line"), "text")
 
 
 def read(spark: SparkSession, path: str) -> Log:

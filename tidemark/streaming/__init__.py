@@ -1 +1 @@
-
+"""The usage log as a stream."""
