@@ -45,6 +45,8 @@ EVEN = 0x5555555555555555
 SEGMENTS = 32
 BLOCK = 4096
 SMALL_CELL = 256
+#: One of so many nodes is counted to find crowded cells; so many crowded cells, of about 20 bytes each, may be broadcast.
+SEEN, FEW = 16, 100_000
 #: Bits that a two-bit segment's count tells apart among unrelated texts.
 SEGMENT_BITS = 1.415
 #: Of ``similar``: words of the deciding shingles and of the grid's, 64-bit lanes of each, differing bits that still link.
@@ -194,8 +196,13 @@ def cell_edges(prints: np.ndarray, cells: np.ndarray, distance: int) -> tuple[np
 def meet(rows: DataFrame, node: str, lanes: list[str], distance: int, block: int) -> DataFrame:
     """(a, b): edges between nodes that meet in a ``cell`` (a column of ``rows``) and differ in at most ``distance`` bits."""
     rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    heavy = cut(rows.groupBy("cell").count().where(F.col("count") > block))
-    if not heavy.isEmpty():
+    # a share of the nodes tells which cells to split; blocks needn't be of equal size
+    some = rows.where(F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.lit(SEEN)) == 0) if block >= 64 * SEEN else rows
+    counted = some.groupBy("cell").agg((F.count("*") * (SEEN if block >= 64 * SEEN else 1)).alias("count"))
+    heavy = cut(counted.where(F.col("count") > block))
+    crowded = heavy.limit(FEW + 1).count()
+    if crowded:
+        heavy = F.broadcast(heavy) if crowded <= FEW else heavy
         n = F.ceil(F.col("count") / F.lit(block)).alias("n")
         own = F.pmod(F.xxhash64(node), F.coalesce("n", F.lit(1)).cast("long")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)).cast("int") - 1))
