@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import ratio, share, usd
 from tidemark.operators.pricing import priced_requests
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.totals import tokens_of, with_costs
 from tidemark.plans.dataset import Dataset
 
@@ -73,14 +74,6 @@ def session_depth(ds: Dataset, provider: str) -> DataFrame:
     )
 
 
-def ranked_value(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
-    """One row for each group with its nearest-rank percentile; groups are sorted by Spark, not gathered in a row."""
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = F.bround((n - 1) * F.lit(p), 0) + 1
-    return rows.withColumn("_rank", F.row_number().over(order)).withColumn("_at", at).where(F.col("_rank") == F.col("_at")).select(*by, F.col(value).alias(name))
-
-
 def context_growth(ds: Dataset, provider: str) -> DataFrame:
     """Median and 90th-percentile context, reads and cost of a request by its prompt's depth."""
     index = ds.prompts.where(F.col("prompt_index") >= 1).select("prompt_id", "prompt_index")
@@ -88,9 +81,9 @@ def context_growth(ds: Dataset, provider: str) -> DataFrame:
     position, label = depth(F.col("prompt_index"))
     rows = rows.withColumns({"band": position, "depth": label})
     out = rows.groupBy("band", "depth").agg(
-        F.count("*").alias("requests"), F.floor(F.percentile("context", 0.5)).alias("median_context"), F.sum("cache_read_tokens").alias("reads"), F.sum("units").alias("units")
+        F.count("*").alias("requests"), F.sum("cache_read_tokens").alias("reads"), F.sum("units").alias("units")
     )
-    out = out.join(ranked_value(rows, ["band"], "context", 0.9, "p90_context"), "band")
+    out = out.join(quantiles(rows, ["band"], "context", {"median_context": 0.5}, {"p90_context": 0.9}), "band").withColumn("median_context", F.floor("median_context"))
     base = F.first("median_context").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("base", base).select(
         "depth", "requests", "median_context", "p90_context", F.floor(F.col("reads") / F.col("requests")).alias("cache_read_per_turn"),
@@ -104,7 +97,7 @@ def ttl_losses(ds: Dataset, provider: str) -> DataFrame:
     rows = main_chain(ds, provider).withColumn("gap_seconds", seconds("timestamp") - seconds("before_timestamp")).where(F.col("gap_seconds") >= 0)
     position, label = banded(F.col("gap_seconds"), GAPS, False)
     rows = rows.select(position.alias("position"), label.alias("gap"), "writes", "write_units")
-    short = rows.where(F.col("gap") == BASELINE_GAP).agg(F.coalesce(F.floor(F.percentile("writes", 0.5)), F.lit(0)).alias("baseline"))
+    short = quantiles(rows.where(F.col("gap") == BASELINE_GAP), [], "writes", {"median": 0.5}).select(F.coalesce(F.floor("median"), F.lit(0)).alias("baseline"))
     rows = rows.crossJoin(short)  # one row
     over = F.when((F.col("baseline") > 0) & (F.col("writes") > F.col("baseline")), F.col("write_units").cast("double") * (F.col("writes") - F.col("baseline")) / F.col("writes"))
     over = F.when((F.col("baseline") == 0) & (F.col("writes") > 0), F.col("write_units").cast("double")).otherwise(over)
@@ -153,7 +146,7 @@ def session_overhead(ds: Dataset, provider: str) -> DataFrame:
 
 def baseline(ds: Dataset, provider: str) -> DataFrame:
     """(baseline): median context after compactions, else of first requests, else a constant."""
-    median = lambda rows, name: rows.agg(F.floor(F.percentile("context", 0.5)).alias(name))
+    median = lambda rows, name: quantiles(rows, [], "context", {name: 0.5}).select(F.floor(name).alias(name))
     both = median(compaction_rows(ds, provider), "a").crossJoin(median(first_requests(ds, provider), "b"))  # one row each
     return both.select(F.coalesce("a", "b", F.lit(NO_BASELINE)).cast("long").alias("baseline"))
 
@@ -177,10 +170,11 @@ def recommendations(ds: Dataset, provider: str, min_prompts: int = 50, compact_a
 
 def cost_boxes(ds: Dataset, provider: str, of: str) -> DataFrame:
     """Count and the 5th, 25th, 50th, 75th and 95th percentiles of the cost of a prompt by a column of ``prompts``."""
-    points = [0.05, 0.25, 0.5, 0.75, 0.95]
-    out = with_costs(ds, provider).groupBy(of).agg(F.count("*").alias("prompts"), F.percentile("units", F.array(*map(F.lit, points))).alias("p"))
+    points = {"p05_usd": 0.05, "q1_usd": 0.25, "median_usd": 0.5, "q3_usd": 0.75, "p95_usd": 0.95}
+    rows = with_costs(ds, provider).select(of, "units")
+    out = rows.groupBy(of).agg(F.count("*").alias("prompts")).join(quantiles(rows, [of], "units", points), of)
     exact = lambda x: F.floor(x * 20 + 0.5) / 20.0  # noqa: E731  what interpolation between whole numbers gives at these points
-    return out.select(of, "prompts", *(usd(exact(F.col("p")[i])).alias(n) for i, n in enumerate(("p05_usd", "q1_usd", "median_usd", "q3_usd", "p95_usd"))))
+    return out.select(of, "prompts", *(usd(exact(F.col(n))).alias(n) for n in points))
 
 
 def depth_quantiles(ds: Dataset) -> DataFrame:
@@ -190,8 +184,8 @@ def depth_quantiles(ds: Dataset) -> DataFrame:
     rows = ds.prompts.where(F.col("prompt_index") >= 1).select("prompt_id", "prompt_index").join(per, "prompt_id", "left").fillna(0, subset=kinds)
     _, label = banded(F.col("prompt_index"), FINE_BANDS, True)
     long_ = rows.select(label.alias("depth"), F.inline(F.array(*(F.struct(F.lit(k).alias("token_type"), F.col(k).alias("n")) for k in kinds))))
-    out = long_.groupBy("depth", "token_type").agg(F.count("*").alias("prompts"), F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return out.select("depth", "token_type", "prompts", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))))
+    out = long_.groupBy("depth", "token_type").agg(F.count("*").alias("prompts"))
+    return out.join(quantiles(long_, ["depth", "token_type"], "n", {"p25": 0.25, "median": 0.5, "p75": 0.75}), ["depth", "token_type"])
 
 
 def main_chain_cache(ds: Dataset, provider: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import filled, ratio, share, usd
 from tidemark.operators.filters import day
 from tidemark.operators.pricing import priced, priced_by
+from tidemark.operators.quantiles import quantiles
 from tidemark.plans.dataset import REQUESTS_TYPE, SYNTHETIC_MODEL, TOKEN_TYPES, Dataset
 
 UNCATEGORIZED, UNKNOWN = "(uncategorized)", "(unknown)"
@@ -127,10 +128,9 @@ def by_category(ds: Dataset, provider: str) -> DataFrame:
     named = ds.categories.select("prompt_id", "category", "complexity")
     rows = with_costs(ds, provider).join(named, "prompt_id", "left")
     digits = F.when(F.col("complexity").rlike("^[0-9]+$"), F.try_to_number("complexity", F.lit("999999")).cast("long"))
-    out = rows.groupBy(filled("category", UNCATEGORIZED).alias("category")).agg(
-        F.count("*").alias("prompts"), F.sum(digits).alias("levels"), F.count(digits).alias("rated"),
-        F.percentile("units", 0.5).alias("median"), F.sum("units").alias("units"),
-    )
+    rows = rows.select(filled("category", UNCATEGORIZED).alias("category"), digits.alias("level"), "units")
+    out = rows.groupBy("category").agg(F.count("*").alias("prompts"), F.sum("level").alias("levels"), F.count("level").alias("rated"), F.sum("units").alias("units"))
+    out = out.join(quantiles(rows, ["category"], "units", {"median": 0.5}), "category")
     return out.select(
         "category", "prompts", share("prompts", F.sum("prompts").over(whole())).alias("share_pct"),
         ratio("levels", "rated", 1).alias("avg_complexity"), usd("median").alias("med_cost_per_prompt_usd"),
