@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.dataset import NO_VALUE, UNATTRIBUTED
@@ -60,13 +60,14 @@ def attribute(requests: DataFrame, elements: DataFrame) -> DataFrame:
     alone = turns.join(present.select("session_id", "turn").distinct(), ["session_id", "turn"], "left_anti")
 
     own = pieces.select("session_id", "prompt_id", "ordinal", *key, F.col("tokens").alias("weight"))
-    parts = [_row(rent, "rent_read_tokens", F.col("part")), _row(_unattributed(alone), "rent_read_tokens", F.col("total"))]
-    for column, name in (("cache_write_5m_tokens", "load_write_5m_tokens"), ("cache_write_1h_tokens", "load_write_1h_tokens")):
-        writes = requests.select("session_id", "prompt_id", "turn", "model", F.col(column).alias("total")).where(F.col("total") > 0)
-        met = writes.join(own, ["session_id", "prompt_id"])
-        load = split(met, ["session_id", "turn"], "total", "weight", ["ordinal", *key], "part")
-        rest = writes.join(own.select("session_id", "prompt_id").distinct(), ["session_id", "prompt_id"], "left_anti")
-        parts += [_row(load, name, F.col("part")), _row(_unattributed(rest), name, F.col("total"))]
+    parts = [_row(rent, rent_read_tokens="part"), _row(_unattributed(alone), rent_read_tokens="total")]
+    loads = {"load_write_5m_tokens": "cache_write_5m_tokens", "load_write_1h_tokens": "cache_write_1h_tokens"}
+    writes = requests.select("session_id", "prompt_id", "turn", "model", *loads.values()).where(F.greatest(*loads.values()) > 0)
+    load = writes.join(own, ["session_id", "prompt_id"])
+    for name, column in loads.items():  # in the same groups, so that rows are dealt once
+        load = split(load, ["session_id", "turn"], column, "weight", ["ordinal", *key], name)
+    rest = writes.join(own.select("session_id", "prompt_id").distinct(), ["session_id", "prompt_id"], "left_anti")
+    parts += [_row(load, **{n: n for n in loads}), _row(_unattributed(rest), **loads)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -81,8 +82,8 @@ def _unattributed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"source": F.lit(UNATTRIBUTED), "language": F.lit(NO_VALUE), "path": F.lit(NO_VALUE)})
 
 
-def _row(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    return rows.select("session_id", "source", "language", "path", "model", *((value if n == name else F.lit(0)).cast("long").alias(n) for n in NAMES))
+def _row(rows: DataFrame, **columns: str) -> DataFrame:
+    return rows.select("session_id", "source", "language", "path", "model", *((F.col(columns[n]) if n in columns else F.lit(0)).cast("long").alias(n) for n in NAMES))
 
 
 def snapshot(elements: DataFrame, conversation: DataFrame) -> DataFrame:
