@@ -84,7 +84,8 @@ def project_of(rows: DataFrame, ds: Dataset) -> DataFrame:
 
 def by_project(ds: Dataset, provider: str) -> DataFrame:
     """Cost, tokens and prompts of each project that has usage, with cumulative share by falling cost."""
-    usage = project_of(priced(ds.tokens, ds, provider), ds).groupBy("project").agg(cost().alias("units"), tokens_of().alias("tokens"))
+    usage = priced(ds.tokens, ds, provider).groupBy("prompt_id", "session_id").agg(cost().alias("units"), tokens_of().alias("tokens"))
+    usage = project_of(usage, ds).groupBy("project").agg(F.sum("units").alias("units"), F.sum("tokens").alias("tokens"))
     counts = ds.prompts.groupBy(filled("project", UNKNOWN).alias("project")).agg(F.count("*").alias("prompts"))
     by_cost = Window.orderBy(F.desc("units"), "project").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("units").over(whole())

@@ -77,8 +77,7 @@ def orders_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     quota = table(spark, sf_dir, "events").where(F.col("event_type") == "view").select(
         iso("ts").alias("snapshot_at"), F.concat(F.lit("window_"), (F.col("user_id") % 4).cast("string")).alias("field"), F.col("value").alias("utilization_pct"), F.lit("").alias("resets_at")
     )
-    brands = parts.select(F.col("p_brand").alias("model")).distinct()
-    models = brands.unionByName(brands.select(F.concat("model", F.lit("[1m]")).alias("model")))
+    models = parts.select("p_brand").distinct().select(F.explode(F.array("p_brand", F.concat("p_brand", F.lit("[1m]")))).alias("model"))
     return Dataset.of(
         spark, sessions=sessions, prompts=prompts, tokens=tokens, categories=categories, output_files=output_files, output_tokens=output_tokens, models=models,
         context_sources=context_sources, context_cost=context_cost, quota_log=quota, **ratecard.tables(spark, ratecard.DEMO),
