@@ -28,7 +28,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -43,7 +43,7 @@ from tidemark.llm.common import cut, shared_folder
 
 LEAST = 4
 DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 END = b""  # no word is empty
 
 _codec = pa.Codec("zstd", 3)
@@ -138,6 +138,12 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, Callab
     return spark.table(name), remove
 
 
+def each(batch: pa.RecordBatch, columns) -> Iterator[list]:
+    """The rows of a batch one by one: a block is large."""
+    for i in range(batch.num_rows):
+        yield [batch.column(c)[i].as_py() for c in columns]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
@@ -158,7 +164,7 @@ def word_counts(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
+            for block, words, counts in each(batch, ("block", "words", "counts")):
                 words, counts = unpacked(words), unpacked(counts)
                 of = bucket_of(words, buckets)
                 order = np.argsort(of, kind="stable")
@@ -245,14 +251,13 @@ def _joined(replied, column: str, kind: type) -> np.ndarray:
 
 
 def longer(blocks: DataFrame, state: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
-    """(block, lengths) with the places of frequent sequences of ``length`` words, and these themselves, each in one block.
-
-    Their columns are key, context (the key without the last word), suffix (without the first) and n.
+    """Rows (block, lengths) with the places of frequent sequences of ``length`` words, and rows of these themselves, each
+    told by one block: key, context (the key without the last word), suffix (without the first) and n.
     """
 
     def ask(batches):
         for batch in batches:
-            for block, sizes, held, *data in zip(*(batch.column(c).to_pylist() for c in SEQUENCE_COLUMNS), strict=True):
+            for block, sizes, held, *data in each(batch, SEQUENCE_COLUMNS):
                 tokens, words, lengths = map(unpacked, data)
                 places = candidates(lengths, _starts(sizes), length)
                 keys, where = np.unique(sequences(words[tokens], length)[-1][places], return_inverse=True)
@@ -281,7 +286,7 @@ def longer(blocks: DataFrame, state: DataFrame, length: int, least: int, buckets
 
     def tell(batches):
         for batch in batches:
-            for block, sizes, _, *data, replied in zip(*(batch.column(c).to_pylist() for c in [*SEQUENCE_COLUMNS, "replies"]), strict=True):
+            for block, sizes, _, *data, replied in each(batch, [*SEQUENCE_COLUMNS, "replies"]):
                 tokens, words, lengths = map(unpacked, data)
                 places = candidates(lengths, _starts(sizes), length)
                 *_, parts, whole = sequences(words[tokens], length)
@@ -291,8 +296,12 @@ def longer(blocks: DataFrame, state: DataFrame, length: int, least: int, buckets
                 lengths[places[flags[where] > 0]] = length
                 own = places[at[flags == 2]]
                 told = [keys[flags == 2].view(np.int64), parts[own - 1].view(np.int64), parts[own].view(np.int64), n]
-                row = {"block": block, "lengths": packed(lengths)} | dict(zip(TOLD_COLUMNS, told, strict=True))
-                yield pa.RecordBatch.from_pylist([row], schema=LONGER_ARROW)
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(lengths)], pa.binary()), *[none] * 4], schema=LONGER_ARROW)
+                for a in range(0, len(own), TOLD_ROWS):
+                    part = [pa.array(x[a : a + TOLD_ROWS], pa.int64()) for x in told]
+                    size = len(part[0])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), *part], schema=LONGER_ARROW)
 
     known = blocks.join(state, "block").select(*SEQUENCE_COLUMNS)
     asked = known.mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
@@ -364,7 +373,7 @@ def score(
     def look_up(batches):
         """Whether each token's word is frequent, and the base model's results for each document."""
         for batch in batches:
-            for block, sizes, data, hashes, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, sizes, data, hashes, replied in each(batch, batch.schema.names):
                 data, hashes = unpacked(data), unpacked(hashes)
                 order = np.argsort(bucket_of(hashes, buckets), kind="stable")
                 counts = np.empty(len(hashes), np.int64)
@@ -386,8 +395,8 @@ def score(
     values = level.select("key", "log_p", none.alias("log_rest"))
     for length in range(2, depth + 2):
         told = longer(blocks, state, length, least, buckets)
-        state = cut(told.select("block", "lengths"))
-        level = decide(told.select(F.inline(F.arrays_zip(*TOLD_COLUMNS))).toDF(*TOLD_COLUMNS), level, states)
+        state = cut(told.where(F.col("block").isNotNull()).select("block", "lengths"))
+        level = decide(told.where(F.col("block").isNull()).select(*TOLD_COLUMNS), level, states)
         del told
         own = level.where(F.col("log_rest").isNotNull())
         states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
@@ -401,7 +410,7 @@ def score(
 
     def ask(batches):
         for batch in batches:
-            for block, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, *data in each(batch, batch.schema.names):
                 _, keys = wanted(*map(unpacked, data))
                 some = ranges(keys, buckets)
                 columns = [
@@ -423,7 +432,7 @@ def score(
 
     def results(batches):
         for batch in batches:
-            for _, ids, held, sizes, *data, base, n_known, replied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, ids, held, sizes, *data, base, n_known, replied in each(batch, batch.schema.names):
                 data = [unpacked(x) for x in data]
                 ends, keys = wanted(*data)
                 log_p, log_rest = (np.append(_joined(replied, c, np.float64), np.nan) for c in ("log_p", "log_rest"))
@@ -450,7 +459,7 @@ def score(
 
 
 SEQUENCE_COLUMNS = ["block", "sizes", "held", "tokens", "words", "lengths"]
-TOLD_SCHEMA = "key array<long>, context array<long>, suffix array<long>, n array<long>"
+TOLD_SCHEMA, TOLD_ROWS = "key long, context long, suffix long, n long", 1 << 16
 TOLD_COLUMNS = [x.split()[0] for x in TOLD_SCHEMA.split(", ")]
-LONGER_ARROW = pa.schema([("block", pa.int64()), ("lengths", pa.binary()), *((c, pa.list_(pa.int64())) for c in TOLD_COLUMNS)])
+LONGER_ARROW = pa.schema([("block", pa.int64()), ("lengths", pa.binary()), *((c, pa.int64()) for c in TOLD_COLUMNS)])
 RESULT_COLUMNS = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
