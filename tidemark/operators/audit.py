@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import filled
 from tidemark.functions.text import INTENT_ORDER, is_acknowledgement, is_notification, lexical_evidence, without_notes
+from tidemark.operators.quantiles import ranks
 
 # Thresholds of the audit's findings and of the semantic classifier.
 TOP_TERMS, TOP_REPRESENTATIVES = 8, 3
@@ -27,25 +28,31 @@ STOP_WORDS = (
 )
 
 
-def bands(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, name): the quintile band of each distinct value, from a histogram, so that only distinct values are sorted."""
-    counts = rows.groupBy(F.col(value)).count()
-    total = F.sum("count").over(Window.partitionBy())
-    below = F.sum("count").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    share = below.cast("double") / total
-    same = F.min(value).over(Window.partitionBy()) == F.max(value).over(Window.partitionBy())
-    band = F.when(same, 3).when(share <= 0.2, 1).when(share <= 0.4, 2).when(share <= 0.6, 3).when(share <= 0.8, 4).otherwise(5)
-    return counts.select(F.col(value).alias(f"_{name}"), band.alias(name))
-
-
 def complexity(prompts: DataFrame) -> DataFrame:
-    """(prompt_id, complexity): the mean band of turns, tool calls, characters and units, rounded half to even."""
+    """(prompt_id, complexity): the mean band of turns, tool calls, characters and units, rounded half to even.
+
+    A value's band is 1 to 5 by the share of prompts that have no more: up to 0.2, 0.4, 0.6, 0.8 and beyond; 3 for all if there
+    is one value only. The four limits of each measure are ranks, found for all measures at once; no prompt is sorted.
+    """
     names = ("assistant_turns", "tool_calls", "char_count", "units")
-    rows = prompts.select("prompt_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
-    out = rows
-    for i, n in enumerate(names):
-        out = out.join(bands(rows, n, f"b{i}"), F.col(n) == F.col(f"_b{i}"))
-    return out.select("prompt_id", F.bround((F.col("b0") + F.col("b1") + F.col("b2") + F.col("b3")) / 4, 0).cast("int").cast("string").alias("complexity"))
+    rows = prompts.select("prompt_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
+    long_ = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in names))))
+
+    def beyond(share: float) -> Column:  # the place of the first value that more than this share don't exceed
+        near = F.floor(F.col("_n") * F.lit(share))
+        more = lambda k: (k.cast("double") / F.col("_n")) <= F.lit(share)  # noqa: E731  the comparison that defines a band
+        return F.when(more(near + 1), near + 1).when(more(near), near).otherwise(near - 1)
+
+    limits = {f"t{i}": beyond(x) for i, x in enumerate((0.2, 0.4, 0.6, 0.8))}
+    found = ranks(long_, ["measure"], "v", {"least": F.lit(0), "most": F.col("_n") - 1} | limits)
+    of = lambda n: F.max(F.when(F.col("measure") == n, F.struct("least", "most", *limits))).alias(f"_{n}")
+    out = rows.crossJoin(F.broadcast(found.agg(*map(of, names))))  # one row
+
+    def band(n: str) -> Column:
+        above = sum((F.when(F.col(n) >= F.col(f"_{n}.{t}"), 1).otherwise(0) for t in limits), F.lit(1))
+        return F.when(F.col(f"_{n}.least") == F.col(f"_{n}.most"), 3).otherwise(above)
+
+    return out.select("prompt_id", F.bround(sum(map(band, names), F.lit(0)) / 4, 0).cast("int").cast("string").alias("complexity"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
 from tidemark.functions.money import filled, share, usd
 from tidemark.functions.paths import kind_of
 from tidemark.operators.pricing import priced
@@ -166,15 +167,17 @@ def task_graph(ds: Dataset, provider: str, top: int = 20) -> tuple[DataFrame, Da
     return tasks, edges.select("task_id", "prompt_id", filled("category", UNCATEGORIZED).alias("category"), usd(zero("units")).alias("cost_usd"))
 
 
-def running_total(rows: DataFrame, value: str, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """``rows`` with ``name``, the running sum of ``value`` in ``order``, without bringing all rows to one task.
+def running_total(rows: DataFrame, value: str, order: list[Column], name: str, partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, the running sum of ``value`` in ``order``, and ``total``, the sum of all, if named.
 
-    Rows are dealt to ranges of the order; each range sums within itself and adds what the ranges before it hold. Only one
-    number for each range goes through a single task.
+    Rows are dealt to ranges of the order once and written to the shared folder with their range's number; each range sums
+    within itself and adds what the ranges before it hold. Only one number for each range goes through a single task. The order
+    should be total: rows that are equal in it fall into one range, in any order. An empty table stays empty.
     """
-    ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", zero(F.sum("_sum").over(before)).alias("_before"))
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    sums = sums.select("_range", zero(F.sum("_sum").over(before)).alias("_before"), *([F.sum("_sum").over(whole()).alias(total)] if total else []))
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.join(F.broadcast(sums), "_range").withColumn(name, F.sum(value).over(within) + F.col("_before")).drop("_range", "_before")  # as many rows as ranges
 
@@ -182,6 +185,5 @@ def running_total(rows: DataFrame, value: str, order: list[Column], name: str, p
 def context_pareto(ds: Dataset, provider: str) -> DataFrame:
     """Files by context cost with each one's share of all attributed tokens, and the shares' running sum."""
     rows = priced_context(ds, provider).where(F.col("source") != UNATTRIBUTED).groupBy("source", "path").agg(F.sum("token_count").alias("tokens"), F.sum("units").alias("units"))
-    running = running_total(rows, "tokens", [F.desc("tokens"), F.col("source"), F.col("path")], "running")
-    running = running.crossJoin(rows.agg(F.sum("tokens").alias("total")))  # one row
+    running = running_total(rows, "tokens", [F.desc("tokens"), F.col("source"), F.col("path")], "running", total="total")
     return running.select("source", "path", "tokens", usd("units").alias("cost_usd"), share("tokens", "total").alias("share_pct"), share("running", "total").alias("cumulative_pct"))

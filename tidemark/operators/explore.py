@@ -49,7 +49,7 @@ def project_pareto(ds: Dataset, provider: str) -> DataFrame:
     rows = priced(ds.tokens, ds, provider).groupBy("prompt_id").agg(cost().alias("units"))
     rows = rows.join(ds.prompts.select("prompt_id", filled("project", UNKNOWN).alias("project")), "prompt_id", "left")
     out = rows.groupBy(F.coalesce("project", F.lit(OVERHEAD)).alias("project")).agg(F.sum("units").alias("units")).where(F.col("units") > 0)
-    out = running_total(out, "units", [F.desc("units"), F.col("project")], "running").crossJoin(out.agg(F.sum("units").alias("total")))  # one row
+    out = running_total(out, "units", [F.desc("units"), F.col("project")], "running", total="total")
     return out.select("project", usd("units").alias("cost_usd"), share("units", "total").alias("share_pct"), share("running", "total").alias("cumulative_pct"))
 
 
