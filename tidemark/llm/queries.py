@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, license_scan, maxscore, mixing, secret_scan, simhash, suffix_lm, token_counts
+from tidemark.llm import ann, bpe, langid, license_scan, maxscore, merkle, mixing, secret_scan, simhash, suffix_lm, token_counts
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,8 +79,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_lines(docs, RANKS, public_tokenizers.PATTERN, drop=("text",))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for each document; a third of the rows is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(merkle.tampered(), merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.verify(docs, {"text": text}, ["doc_id", "source", "lang", "n_chars", "text"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing, op10_token_counts, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
