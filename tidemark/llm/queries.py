@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, license_scan, maxscore, merkle, mixing, quality, secret_scan, simhash, suffix_lm, token_counts
+from tidemark.llm import ann, bpe, langid, license_scan, maxscore, merkle, mixing, quality, secret_scan, simhash, spelling, suffix_lm, token_counts
 from tidemark.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,6 +79,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_lines(docs, RANKS, public_tokenizers.PATTERN, drop=("text",))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n for each word of seven letters or more that occurs twice or more in all documents."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, n_rules for each document; learns from the rows whose fold is not 1 of 3."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3, 1))
@@ -92,7 +97,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing, op10_token_counts, op12_quality, op13_merkle)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_language_id, op4_simhash, op5_suffix_tree, op6_byte_bpe, op7_maxscore, op8_secrets, op9_mixing, op10_token_counts, op11_spelling, op12_quality, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
