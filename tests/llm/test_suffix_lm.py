@@ -128,3 +128,15 @@ def test_frequency_does_not_depend_on_corpus_size(spark):
     assert got[0].train_tokens > 500_000
     for x in (x for x in got if x.doc_id >= 1000):
         assert x.score > x.base_score / 3
+
+
+def test_nothing_is_left_behind_when_a_step_fails(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words here") for i in range(5)], "doc_id long, text string")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(suffix_lm, "word_counts", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        suffix_lm.score(docs, F.lit(False))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_blocks_")]

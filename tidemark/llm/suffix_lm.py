@@ -128,13 +128,17 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, Callab
     """``rows`` as a table in the shared folder bucketed by ``key``, and what removes it. Joins by the key leave its rows where they are."""
     spark, name = rows.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    rows.write.bucketBy(buckets, key).saveAsTable(name, format="parquet", compression="zstd", path=path)
 
     def remove() -> None:
-        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
+    try:
+        rows.write.bucketBy(buckets, key).saveAsTable(name, format="parquet", compression="zstd", path=path)
+    except BaseException:
+        remove()
+        raise
     return spark.table(name), remove
 
 
@@ -363,6 +367,14 @@ def score(
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from those not held out."""
     buckets = max(8, 2 * docs.select(text).rdd.getNumPartitions())
     blocks, remove = bucketed(blocks_of(docs, id_col, text, held_out, block_tokens), "block", buckets)
+    try:
+        return scored(blocks, buckets, depth, least).withColumnRenamed("id", id_col)
+    finally:
+        remove()
+
+
+def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame:
+    """(id, held_out...) for each document of ``blocks``, written to the shared folder."""
     tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
     replies = word_counts(blocks, buckets, least)
     distinct = replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
@@ -402,7 +414,7 @@ def score(
         states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
         values = values.unionByName(own.select("key", "log_p", none.alias("log_rest")))
         values = values.unionByName(states.select("key", none.alias("log_p"), "log_rest"))
-        release(docs.sparkSession)
+        release(blocks.sparkSession)
 
     def wanted(tokens, words, lengths):
         ends = sequences(words[tokens], depth + 1)
@@ -453,9 +465,7 @@ def score(
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     whole = held.join(first.select("block", "base", "known"), "block").join(gathered, "block", "left")
     whole = whole.select("block", "ids", "held", "sizes", "tokens", "words", "lengths", "base", "known", "replies")
-    found = cut(whole.mapInArrow(results, schema)).withColumnRenamed("id", id_col)
-    remove()
-    return found
+    return cut(whole.mapInArrow(results, schema))
 
 
 SEQUENCE_COLUMNS = ["block", "sizes", "held", "tokens", "words", "lengths"]
