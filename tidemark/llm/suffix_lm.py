@@ -410,11 +410,14 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
         state = cut(told.where(F.col("block").isNotNull()).select("block", "lengths"))
         level = decide(told.where(F.col("block").isNull()).select(*TOLD_COLUMNS), level, states)
         del told
-        own = level.where(F.col("log_rest").isNotNull())
+        # only what is retained stays; the frequent sequences themselves go with the next length
+        own = cut(level.where(F.col("log_rest").isNotNull()).select("key", "context", "log_p", "log_rest"))
         states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
         values = values.unionByName(own.select("key", "log_p", none.alias("log_rest")))
         values = values.unionByName(states.select("key", none.alias("log_p"), "log_rest"))
         release(blocks.sparkSession)
+    del level
+    release(blocks.sparkSession)
 
     def wanted(tokens, words, lengths):
         ends = sequences(words[tokens], depth + 1)
