@@ -41,3 +41,27 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert got[:3] == [(1, "und"), (2, "und"), (3, "und")] and got[3] == got[4] and got[3][1] in profiles
     assert langid.fit(odd.limit(0).withColumn("lang", F.lit("")), F.lit(True)) == {}
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+
+
+def test_null_and_repeated_ids_neither_hide_a_label_nor_exceed_the_bound(spark):
+    rows = [(None, f"null ids share words {i} {chr(97 + i % 26)}", "xx") for i in range(20_000)]
+    rows += [(i, f"andere worte {i}", "yy") for i in range(200)]
+    rows += [(7, f"un identifiant commun {i}", "zz") for i in range(9000)] + [(8, "copie", "ww")] * 5000 + [(9, "unique", "ww")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    profiles = langid.fit(docs, F.lit(True), per_language=300)
+    assert set(profiles) == {"xx", "yy", "zz", "ww"}
+    sampled = docs.select("lang", F.xxhash64("doc_id", "text", F.lit(3)).alias("hash")).distinct().where(F.pmod("hash", F.lit(1 << 30)) < (1 << 30) * 300 / 20_000)
+    assert sampled.where("lang = 'xx'").count() < 400
+    whole = langid.fit(docs.where("lang = 'ww'"), F.lit(True))["ww"].tolist()
+    found = {}
+    for t, times in (("copie", 5000), ("unique", 1)):
+        for g, n in zip(*(x.tolist() for x in langid.ngrams(t)), strict=True):
+            found[g] = found.get(g, 0) + n * times
+    assert whole == sorted(found, key=lambda g: (-found[g], g))[:400]
+    assert langid.identify(spark.createDataFrame([("null ids share words",)], "text string"), profiles).first().lang_pred == "xx"
+
+
+def test_labels_of_free_text_stay_bounded(spark):
+    rows = [(i, "the same words", f"label {i}") for i in range(300)] + [(i, "frequent words", "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, F.lit(True), most_labels=3)) == {"en", "label 0", "label 1"}

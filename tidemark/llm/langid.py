@@ -5,8 +5,10 @@ with a blank on both sides). A document gets the same ranking over its whole tex
 nearest by the out-of-place distance: for each n-gram of the document the difference of the two ranks, or the profile's
 length where the profile lacks it.
 
-Training uses a sample bounded by ``per_language`` rows for each label, chosen by a hash threshold on the id; prediction
-covers every row. Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
+Training uses a sample of about ``per_language`` distinct rows for each label, chosen by a hash threshold on id and text, so
+that neither a null nor a repeated id puts a label in or out as a whole; rows equal in both are read once and count as often as they occur. The
+``most_labels`` labels of most training rows are learned (ties by label), so that a column of free text as labels stays bounded. Prediction covers
+every row. Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 there is nothing to learn from; equal distances go to the label that is first by code point. Repeated rows get equal
 results. Columns besides those named are passed through.
 """
@@ -68,28 +70,29 @@ def ranked(found: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
 
 def fit(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", label: str = "lang",
-    length: int = 400, per_language: int = 3000,
+    length: int = 400, per_language: int = 3000, most_labels: int = 200,
 ) -> dict[str, np.ndarray]:
     """A profile of ``length`` n-grams for each label among the training rows.
 
-    The driver receives one count for each label and ``length`` n-grams for each label, nothing that grows with rows.
+    The driver receives one threshold for each learned label and ``length`` n-grams for each, nothing that grows with rows.
     """
     rows = docs.where(training & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text, F.lit(3)).alias("hash"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("different"))
+    counts = counts.orderBy(F.desc("n"), "label").limit(most_labels).collect()
     if not counts:
         return {}
     unit = 1 << 30
-    below = [F.when(F.col(label) == k, min(unit, -(-unit * per_language // n))) for k, n in sorted(counts.items())]
-    sample = rows.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(unit)) < F.coalesce(*below)).select(
-        F.col(label).alias("label"), F.col(text).alias("text")
-    )
+    below = docs.sparkSession.createDataFrame([(r.label, min(unit, -(-unit * per_language // max(1, r.different)))) for r in counts], "label string, below long")
+    sample = rows.join(F.broadcast(below), "label").where(F.pmod("hash", F.lit(unit)) < F.col("below"))  # a row for each learned label
+    sample = sample.groupBy("label", "hash").agg(F.first("text").alias("text"), F.count("*").alias("times"))
 
     def count(batches):
         for batch in batches:
             by: dict[str, list] = {}
-            for k, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for k, t, times in zip(*(batch.column(c).to_pylist() for c in ("label", "text", "times")), strict=True):
                 if (found := ngrams(t)) is not None:
-                    by.setdefault(k, []).append(found)
+                    by.setdefault(k, []).append((found[0], found[1] * times))
             for k, parts in by.items():
                 grams, n = _merged(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
                 yield pa.RecordBatch.from_arrays(
@@ -99,7 +102,7 @@ def fit(
 
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
     top = (
-        sample.mapInArrow(count, "label string, gram long, n long")
+        sample.select("label", "text", "times").mapInArrow(count, "label string, gram long, n long")
         .groupBy("label", "gram").agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)
         .orderBy("label", "rank").select("label", "gram").collect()
