@@ -1,7 +1,7 @@
 """Session logs (one JSON object a line) as the star schema.
 
-Lines are numbered within their file, since attribution follows their order. Lines become VARIANT, and everything but the parent chain is relational: the chain, in
-which each event takes its prompt from an earlier event of the same file, is walked once for each file in an Arrow group.
+Lines are numbered within their file, since attribution follows their order. Lines become VARIANT, and all that follows is
+relational: the chain, in which each event takes its prompt from an earlier event of the same file, by pointer jumping.
 
 Defined results: a leading byte-order mark and blank lines are ignored; lines that aren't JSON objects are counted as
 invalid; a missing field is an empty string; a session is named after its file where no line names it.
@@ -13,11 +13,11 @@ import difflib
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.lineage import cut
 from tidemark.functions.paths import kind_of, language_of, project_name, relative
 from tidemark.functions.text import count_tokens, preview
 from tidemark.operators.filters import in_window
@@ -94,8 +94,18 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     numbered in order of where the split begins."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
-    rows = rows.where(F.length(F.trim("text")) > 0)
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("start", "place")).alias("line"), "text")
+    return numbered_lines(rows.where(F.length(F.trim("text")) > 0))
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """(file, line, text) of ``rows`` (file, start of the split, place, text): lines are numbered from 1 in order of split and
+    place. Only the number of lines of each split goes through a window, so a file may be larger than a task."""
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "start").orderBy("place"))
+    found = rows.withColumn("rank", rank).join(sizes, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    return found.select("file", (F.col("before") + F.col("rank")).cast("int").alias("line"), "text")
 
 
 def read(spark: SparkSession, path: str) -> Log:
@@ -141,28 +151,42 @@ def skip_reason() -> Column:
     )
 
 
+def parent_lines(links: DataFrame) -> DataFrame:
+    """(file, line, up) of ``links`` (file, line, uuid, parent): the last earlier line of the file that has the parent's id, null if none.
+
+    Ids and references to them meet in one window by file and id, so that an id on many lines makes no product.
+    """
+    named = links.where(F.length("uuid") > 0).select("file", F.col("uuid").alias("key"), "line", F.lit(1).alias("defines"))
+    asked = links.where(F.length("parent") > 0).select("file", F.col("parent").alias("key"), "line", F.lit(0).alias("defines"))
+    order = Window.partitionBy("file", "key").orderBy("line", "defines").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("defines") == 1, F.col("line")), ignorenulls=True).over(order)
+    found = named.unionByName(asked).withColumn("up", last).where((F.col("defines") == 0) & F.col("up").isNotNull()).select("file", "line", "up")
+    return links.select("file", "line").join(found, ["file", "line"], "left")
+
+
 def with_chain(events: DataFrame) -> DataFrame:
     """``events`` with ``prompt_id`` and ``post_compact``, each taken from the parent where an event has none of its own.
 
-    A continuation of a compacted session marks what descends from it, until the next real prompt.
+    A continuation of a compacted session marks what descends from it, until the next real prompt. Both are values of the
+    nearest ancestor that has one. Every event points to its parent; in each round an event without a value takes that of
+    the event it points to and points where that one does, so a chain of d events takes log2(d) joins, and events that have
+    both values take part no more.
     """
-    links = events.select("file", "line", "uuid", "parent", "own_prompt", "is_prompt", (F.coalesce("skip", F.lit("")) == "compact_continuation").alias("continues"))
-
-    def walk(rows: pa.Table) -> pa.Table:
-        prompts: dict[str, str] = {}
-        after: dict[str, bool] = {}
-        out: dict[str, list] = {"line": [], "prompt_id": [], "post_compact": []}
-        for r in rows.sort_by("line").to_pylist():
-            prompt = r["own_prompt"] or prompts.get(r["parent"], "")
-            inherited = after.get(r["parent"], False)
-            if r["uuid"]:
-                prompts[r["uuid"]] = prompt
-                after[r["uuid"]] = True if r["continues"] else False if r["is_prompt"] else inherited
-            for name, value in (("line", r["line"]), ("prompt_id", prompt), ("post_compact", inherited)):
-                out[name].append(value)
-        return pa.table({"file": pa.array([rows["file"][0].as_py()] * len(out["line"])), "line": pa.array(out["line"], pa.int32()), "prompt_id": pa.array(out["prompt_id"], pa.string()), "post_compact": pa.array(out["post_compact"], pa.bool_())})
-
-    chain = links.groupBy("file").applyInArrow(walk, "file string, line int, prompt_id string, post_compact boolean")
+    continues = F.coalesce("skip", F.lit("")) == "compact_continuation"
+    mark = F.when(F.col("uuid") == "", F.lit(None)).when(continues, F.lit(True)).when(F.col("is_prompt"), F.lit(False))
+    links = cut(events.select("file", "line", "uuid", "parent", F.nullif("own_prompt", F.lit("")).alias("prompt"), mark.alias("mark")))
+    parents = cut(parent_lines(links))
+    open_ = F.col("prompt").isNull() | F.col("mark").isNull()
+    now = links.select("file", "line", "prompt", "mark").join(parents, ["file", "line"])
+    now = cut(now.withColumn("up", F.when(open_, F.col("up"))))
+    while now.where(F.col("up").isNotNull()).limit(1).count():
+        above = now.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("prompt").alias("_prompt"), F.col("mark").alias("_mark"), F.col("up").alias("_up"))
+        moved = now.where(F.col("up").isNotNull()).join(above, (F.col("file") == F.col("_file")) & (F.col("up") == F.col("_line")), "left")
+        moved = moved.select("file", "line", F.coalesce("prompt", "_prompt").alias("prompt"), F.coalesce("mark", "_mark").alias("mark"), F.col("_up").alias("up"))
+        now = cut(now.where(F.col("up").isNull()).unionByName(moved.withColumn("up", F.when(open_, F.col("up")))))
+    marks = now.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("mark").alias("post_compact"))
+    after = parents.join(marks, (F.col("file") == F.col("_file")) & (F.col("up") == F.col("_line")), "left").select("file", "line", F.coalesce("post_compact", F.lit(False)).alias("post_compact"))
+    chain = now.select("file", "line", F.coalesce("prompt", F.lit("")).alias("prompt_id")).join(after, ["file", "line"])
     return events.join(chain, ["file", "line"])
 
 
