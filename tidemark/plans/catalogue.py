@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import intent
 from tidemark.operators import apportion, audit, chains, content, explore, filters, pricing, tasks, totals, trends
-from tidemark.plans import oracle_content, oracle_explore, oracle_usage
+from tidemark.plans import loglines, oracle_content, oracle_explore, oracle_logs, oracle_usage
 from tidemark.plans.adapter import element_rows, events_dataset, orders_dataset, todo_rows
 from tidemark.plans.dataset import Dataset
 from tidemark.plans.tables import table
+from tidemark.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROVIDERS = ("direct", "cloud")
@@ -189,9 +190,28 @@ AUDIT: dict[str, Query] = {
 }
 
 
+def logged(f: Callable[[logs.Star], DataFrame]) -> Query:
+    """``f`` of the star schema of the lines that the events make."""
+    return lambda spark, sf_dir: f(logs.Star(loglines.parsed(spark, sf_dir)))
+
+
+LOGS: dict[str, Query] = {
+    "log_quality": logged(lambda s: logs.quality(s.log)),
+    "log_events": logged(lambda s: loglines.event_table(s.log)),
+    "log_prompts": logged(lambda s: s.prompt_rows),
+    "log_requests": logged(lambda s: s.requests),
+    "log_tokens": logged(lambda s: s.tokens),
+    "log_sessions": logged(lambda s: s.sessions),
+    "log_files": logged(lambda s: s.output_files),
+    "log_output": logged(lambda s: s.output_tokens),
+    "log_todos": logged(lambda s: s.todos),
+    "log_context": logged(lambda s: s.context_sources),
+}
+
+
 def queries() -> dict[str, Query]:
-    return TOTALS | TRENDS | CHAINS | CONTENT | EXPLORE | FILTERS | AUDIT
+    return LOGS | TOTALS | TRENDS | CHAINS | CONTENT | EXPLORE | FILTERS | AUDIT
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_usage.SQL | oracle_content.SQL | oracle_explore.SQL
+    return oracle_logs.SQL | oracle_usage.SQL | oracle_content.SQL | oracle_explore.SQL

@@ -10,6 +10,7 @@ invalid; a missing field is an empty string; a session is named after its file w
 from __future__ import annotations
 
 import difflib
+import functools
 from dataclasses import dataclass
 
 import pandas as pd
@@ -74,6 +75,11 @@ class Log:
     events: DataFrame
     sessions: DataFrame
 
+    def checkpointed(self) -> Log:
+        """The same log, parsed once and checkpointed."""
+        events = cut(self.events)
+        return Log(lines=cut(self.lines.select("file", "line", "invalid")), events=events, sessions=cut(session_rows(events)))
+
     def landed(self, folder: str) -> Log:
         """The same log, parsed once: its lines' validity and events are written below ``folder``, which all executors
         must share, and read from there by the many tables that need them."""
@@ -348,78 +354,167 @@ def quality(log: Log) -> DataFrame:
     return lines.unionByName(unknown).unionByName(skipped).unionByName(versions)
 
 
-def star(log: Log, folder: str, since: str | None = None, until: str | None = None, zone: str = "UTC", keep_text: bool = True) -> dict[str, DataFrame]:
-    """The star schema's tables: sessions, prompts, tokens, requests, output_files, output_tokens, context_sources,
-    context_cost, tasks, task_prompts and prompts_text. A window keeps prompts whose time lies in it, and session overhead
-    of which any record does.
+@dataclass(frozen=True)
+class Star:
+    """The star schema's tables of a log, each made when it is asked for.
 
-    What several tables share is deduplicated once and landed below ``folder``, so that no table repeats the work of another
-    and a lost executor costs one table's stage. The tables themselves are lazy.
+    What several tables share is made once and written: below ``folder``, or where there is none as checkpoints, so that no table
+    repeats the work of another and a lost executor costs one table's stage. The tables themselves are lazy. A window keeps prompts whose time
+    lies in it, and session overhead of which any record does.
     """
-    from tidemark.operators import apportion, tasks
-    from tidemark.plans.adapter import tokens_of_requests
-
-    land = lambda name, rows: landed(rows, folder, name)
-    prompt_columns = ["file", "line", "session_id", "prompt_id", "timestamp", "cwd", "git_branch", "current_mode", "entrypoint", "version", "text"]
-    everything = land("all_prompts", prompts_of(log).select(*prompt_columns))
-    usage, acts = land("usage", usage_of(log)), land("calls", tool_uses(log))
-    owner = everything.select("prompt_id", F.col("session_id").alias("_owner"))
-    usage = usage.join(owner, "prompt_id", "left").withColumn("real", F.col("_owner").isNotNull())
-    usage = usage.withColumns({
-        "session_id": F.coalesce("_owner", "session_id"),
-        "prompt_id": F.when(F.col("real") | (F.col("prompt_id") != ""), F.col("prompt_id")).otherwise(F.concat("session_id", F.lit(":_continuation"))),
-    })
-    in_session = Window.partitionBy("session_id").orderBy("timestamp", *arrival())
-    prompts = everything.withColumn("prompt_index", F.row_number().over(in_session).cast("long")).where(in_window(F.col("timestamp"), since, until, zone))
-    overhead = usage.where(~F.col("real")).groupBy("session_id", "prompt_id").agg(F.max(in_window(F.col("timestamp"), since, until, zone)).alias("inside")).where("inside")
-    kept = usage.where("real").join(prompts.select("prompt_id"), "prompt_id", "left_semi")
-    kept = kept.unionByName(usage.where(~F.col("real")).join(overhead, ["session_id", "prompt_id"], "left_semi").select(kept.columns))
-    in_prompt = Window.partitionBy("session_id", "prompt_id").orderBy("timestamp", *arrival())
-    prompts, kept = land("prompts", prompts), land("kept_usage", kept)
-    requests = kept.where(F.col("size") > 0).select(
-        "session_id", "prompt_id", F.row_number().over(in_prompt).cast("long").alias("request_index"), "timestamp", "model", "stop_reason", F.col("is_sidechain").cast("int").alias("is_sidechain"),
-        F.col("post_compact").cast("int").alias("post_compact"), F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_tokens"),
-        F.col("cache_write_5m").alias("cache_write_5m_tokens"), F.col("cache_write_1h").alias("cache_write_1h_tokens"), F.col("server_tool_use").alias("server_tool_use_requests"),
-    )
-    requests = land("requests", requests)
-    place = F.struct("timestamp", "file", "line")
-    main = usage.where("real").where(~F.col("is_sidechain"))
-    real_model = F.when((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL), F.col("model"))
-    turns = main.groupBy("prompt_id").agg(
-        F.count("*").alias("assistant_turns"), F.min_by(real_model, F.when(real_model.isNotNull(), place)).alias("model"),
-        F.max_by(F.nullif("stop_reason", F.lit("")), F.when(F.col("stop_reason") != "", place)).alias("final_stop_reason"),
-    )
-    calls = first_of(acts.where(F.col("id") != ""), ["id"], "place").groupBy("prompt_id").agg(F.count("*").alias("tool_calls"))
-    shown = preview(F.col("text")) if keep_text else F.lit("")
-    prompt_rows = prompts.join(turns, "prompt_id", "left").join(calls, "prompt_id", "left").select(
-        "session_id", "prompt_id", "prompt_index", "timestamp", project_name(F.col("cwd")).alias("project"), "cwd", "git_branch", F.col("current_mode").alias("mode"), "entrypoint", "version",
-        F.coalesce("model", F.lit("")).alias("model"), F.length("text").cast("long").alias("char_count"), F.coalesce("assistant_turns", F.lit(0)).alias("assistant_turns"),
-        F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"), F.coalesce("final_stop_reason", F.lit("")).alias("final_stop_reason"), shown.alias("prompt_preview"),
-    )
-    prompt_rows = land("prompt_rows", prompt_rows)
-    weight = F.col("prose") + F.col("code")
-    prose = F.when(weight > 0, F.bround(F.col("output").cast("double") * F.col("prose") / weight, 0)).otherwise(F.col("output")).cast("long")
-    outputs = kept.where(F.col("real") & (F.col("output") > 0)).withColumn("p", prose).groupBy("prompt_id").agg(F.sum("p").alias("output_prose_tokens"), F.sum(F.col("output") - F.col("p")).alias("output_code_tokens"))
-    files = log.sessions.groupBy("session_id").agg(F.min_by(F.struct("cwd", "git_branch"), F.when(F.length("cwd") > 0, F.col("file"))).alias("place"), F.min("first_timestamp").alias("start"))
-    active = land("active", prompts.select("session_id").unionByName(overhead.select("session_id")).distinct())
-    sessions = files.join(active, "session_id", "left_semi").where(F.col("place").isNotNull()).select(
-        "session_id", F.coalesce(F.substring("start", 1, 10), F.lit("")).alias("start_date"), project_name(F.col("place.cwd")).alias("project"), "place.cwd", "place.git_branch"
-    )
-    items = land("items", context_items(log, acts)).join(active, "session_id", "left_semi")
-    said = everything.join(active, "session_id", "left_semi").select("session_id", "prompt_id", count_tokens(F.col("text")).alias("tokens"))
-    turns_said = usage.where(~F.col("is_sidechain") & (weight > 0)).join(active, "session_id", "left_semi").select("session_id", "prompt_id", weight.alias("tokens"))
-    talk = said.unionByName(turns_said)
-    elements = items.groupBy("session_id", "prompt_id", "source", "language", "path").agg(F.sum("tokens").alias("tokens"))
-    elements = elements.unionByName(talk.groupBy("session_id", "prompt_id").agg(F.sum("tokens").alias("tokens")).select("session_id", "prompt_id", F.lit("conversation").alias("source"), F.lit(NO_VALUE).alias("language"), F.lit(NO_VALUE).alias("path"), "tokens"))
-    elements = land("elements", elements.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id", "prompt_id").orderBy("source", "language", "path")).cast("long")))
-    turn = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "prompt_id", "request_index"))
-    main_requests = requests.where(F.col("is_sidechain") == 0).withColumn("turn", turn)
-    made, edges = tasks.assemble(prompt_rows, land("todos", todos_of(log, acts)))
-    out = {
-        "sessions": sessions, "prompts": prompt_rows, "requests": requests, "tokens": tokens_of_requests(requests), "output_files": file_edits(acts, prompts), "output_tokens": outputs,
-        "context_sources": apportion.snapshot(items, talk), "context_cost": apportion.attribute(main_requests, elements), "tasks": made, "task_prompts": edges,
-    }
-    return out | ({"prompts_text": prompts.select("prompt_id", F.col("text").alias("prompt_text"))} if keep_text else {})
+
+    log: Log
+    folder: str | None = None
+    since: str | None = None
+    until: str | None = None
+    zone: str = "UTC"
+    keep_text: bool = True
+
+    def land(self, name: str, rows: DataFrame) -> DataFrame:
+        return cut(rows) if self.folder is None else landed(rows, self.folder, name)
+
+    def inside(self) -> Column:
+        return in_window(F.col("timestamp"), self.since, self.until, self.zone)
+
+    @functools.cached_property
+    def all_prompts(self) -> DataFrame:
+        columns = ["file", "line", "session_id", "prompt_id", "timestamp", "cwd", "git_branch", "current_mode", "entrypoint", "version", "text"]
+        return self.land("all_prompts", prompts_of(self.log).select(*columns))
+
+    @functools.cached_property
+    def calls(self) -> DataFrame:
+        return self.land("calls", tool_uses(self.log))
+
+    @functools.cached_property
+    def usage(self) -> DataFrame:
+        """Deduplicated usage under the session of its prompt; ``real`` where the log has that prompt."""
+        owner = self.all_prompts.select("prompt_id", F.col("session_id").alias("_owner"))
+        usage = self.land("usage", usage_of(self.log)).join(owner, "prompt_id", "left").withColumn("real", F.col("_owner").isNotNull())
+        return usage.withColumns({
+            "session_id": F.coalesce("_owner", "session_id"),
+            "prompt_id": F.when(F.col("real") | (F.col("prompt_id") != ""), F.col("prompt_id")).otherwise(F.concat("session_id", F.lit(":_continuation"))),
+        })
+
+    @functools.cached_property
+    def prompts(self) -> DataFrame:
+        """Prompts in the window, numbered over their whole session."""
+        in_session = Window.partitionBy("session_id").orderBy("timestamp", *arrival())
+        return self.land("prompts", self.all_prompts.withColumn("prompt_index", F.row_number().over(in_session).cast("long")).where(self.inside()))
+
+    @functools.cached_property
+    def overhead(self) -> DataFrame:
+        return self.usage.where(~F.col("real")).groupBy("session_id", "prompt_id").agg(F.max(self.inside()).alias("inside")).where("inside")
+
+    @functools.cached_property
+    def kept(self) -> DataFrame:
+        """Usage of the prompts and of the overhead in the window."""
+        kept = self.usage.where("real").join(self.prompts.select("prompt_id"), "prompt_id", "left_semi")
+        kept = kept.unionByName(self.usage.where(~F.col("real")).join(self.overhead, ["session_id", "prompt_id"], "left_semi").select(kept.columns))
+        return self.land("kept_usage", kept)
+
+    @functools.cached_property
+    def requests(self) -> DataFrame:
+        in_prompt = Window.partitionBy("session_id", "prompt_id").orderBy("timestamp", *arrival())
+        requests = self.kept.where(F.col("size") > 0).select(
+            "session_id", "prompt_id", F.row_number().over(in_prompt).cast("long").alias("request_index"), "timestamp", "model", "stop_reason", F.col("is_sidechain").cast("int").alias("is_sidechain"),
+            F.col("post_compact").cast("int").alias("post_compact"), F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_tokens"),
+            F.col("cache_write_5m").alias("cache_write_5m_tokens"), F.col("cache_write_1h").alias("cache_write_1h_tokens"), F.col("server_tool_use").alias("server_tool_use_requests"),
+        )
+        return self.land("requests", requests)
+
+    @functools.cached_property
+    def tokens(self) -> DataFrame:
+        from tidemark.plans.adapter import tokens_of_requests
+
+        return tokens_of_requests(self.requests)
+
+    @functools.cached_property
+    def prompt_rows(self) -> DataFrame:
+        place = F.struct("timestamp", "file", "line")
+        main = self.usage.where("real").where(~F.col("is_sidechain"))
+        real_model = F.when((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL), F.col("model"))
+        turns = main.groupBy("prompt_id").agg(
+            F.count("*").alias("assistant_turns"), F.min_by(real_model, F.when(real_model.isNotNull(), place)).alias("model"),
+            F.max_by(F.nullif("stop_reason", F.lit("")), F.when(F.col("stop_reason") != "", place)).alias("final_stop_reason"),
+        )
+        calls = first_of(self.calls.where(F.col("id") != ""), ["id"], "place").groupBy("prompt_id").agg(F.count("*").alias("tool_calls"))
+        shown = preview(F.col("text")) if self.keep_text else F.lit("")
+        rows = self.prompts.join(turns, "prompt_id", "left").join(calls, "prompt_id", "left").select(
+            "session_id", "prompt_id", "prompt_index", "timestamp", project_name(F.col("cwd")).alias("project"), "cwd", "git_branch", F.col("current_mode").alias("mode"), "entrypoint", "version",
+            F.coalesce("model", F.lit("")).alias("model"), F.length("text").cast("long").alias("char_count"), F.coalesce("assistant_turns", F.lit(0)).alias("assistant_turns"),
+            F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"), F.coalesce("final_stop_reason", F.lit("")).alias("final_stop_reason"), shown.alias("prompt_preview"),
+        )
+        return self.land("prompt_rows", rows)
+
+    @functools.cached_property
+    def output_files(self) -> DataFrame:
+        return file_edits(self.calls, self.prompts)
+
+    @functools.cached_property
+    def output_tokens(self) -> DataFrame:
+        weight = F.col("prose") + F.col("code")
+        prose = F.when(weight > 0, F.bround(F.col("output").cast("double") * F.col("prose") / weight, 0)).otherwise(F.col("output")).cast("long")
+        rows = self.kept.where(F.col("real") & (F.col("output") > 0)).withColumn("p", prose)
+        return rows.groupBy("prompt_id").agg(F.sum("p").alias("output_prose_tokens"), F.sum(F.col("output") - F.col("p")).alias("output_code_tokens"))
+
+    @functools.cached_property
+    def active(self) -> DataFrame:
+        return self.land("active", self.prompts.select("session_id").unionByName(self.overhead.select("session_id")).distinct())
+
+    @functools.cached_property
+    def sessions(self) -> DataFrame:
+        files = self.log.sessions.groupBy("session_id").agg(F.min_by(F.struct("cwd", "git_branch"), F.when(F.length("cwd") > 0, F.col("file"))).alias("place"), F.min("first_timestamp").alias("start"))
+        return files.join(self.active, "session_id", "left_semi").where(F.col("place").isNotNull()).select(
+            "session_id", F.coalesce(F.substring("start", 1, 10), F.lit("")).alias("start_date"), project_name(F.col("place.cwd")).alias("project"), "place.cwd", "place.git_branch"
+        )
+
+    @functools.cached_property
+    def items(self) -> DataFrame:
+        return self.land("items", context_items(self.log, self.calls)).join(self.active, "session_id", "left_semi")
+
+    @functools.cached_property
+    def talk(self) -> DataFrame:
+        """(session_id, prompt_id, tokens) of what was said."""
+        weight = F.col("prose") + F.col("code")
+        said = self.all_prompts.join(self.active, "session_id", "left_semi").select("session_id", "prompt_id", count_tokens(F.col("text")).alias("tokens"))
+        answered = self.usage.where(~F.col("is_sidechain") & (weight > 0)).join(self.active, "session_id", "left_semi").select("session_id", "prompt_id", weight.alias("tokens"))
+        return said.unionByName(answered)
+
+    @functools.cached_property
+    def context_sources(self) -> DataFrame:
+        from tidemark.operators import apportion
+
+        return apportion.snapshot(self.items, self.talk)
+
+    @functools.cached_property
+    def context_cost(self) -> DataFrame:
+        from tidemark.operators import apportion
+
+        elements = self.items.groupBy("session_id", "prompt_id", "source", "language", "path").agg(F.sum("tokens").alias("tokens"))
+        elements = elements.unionByName(self.talk.groupBy("session_id", "prompt_id").agg(F.sum("tokens").alias("tokens")).select("session_id", "prompt_id", F.lit("conversation").alias("source"), F.lit(NO_VALUE).alias("language"), F.lit(NO_VALUE).alias("path"), "tokens"))
+        elements = self.land("elements", elements.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id", "prompt_id").orderBy("source", "language", "path")).cast("long")))
+        turn = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "prompt_id", "request_index"))
+        return apportion.attribute(self.requests.where(F.col("is_sidechain") == 0).withColumn("turn", turn), elements)
+
+    @functools.cached_property
+    def todos(self) -> DataFrame:
+        return self.land("todos", todos_of(self.log, self.calls))
+
+    def tables(self) -> dict[str, DataFrame]:
+        from tidemark.operators import tasks
+
+        made, edges = tasks.assemble(self.prompt_rows, self.todos)
+        out = {
+            "sessions": self.sessions, "prompts": self.prompt_rows, "requests": self.requests, "tokens": self.tokens, "output_files": self.output_files, "output_tokens": self.output_tokens,
+            "context_sources": self.context_sources, "context_cost": self.context_cost, "tasks": made, "task_prompts": edges,
+        }
+        return out | ({"prompts_text": self.prompts.select("prompt_id", F.col("text").alias("prompt_text"))} if self.keep_text else {})
+
+
+def star(log: Log, folder: str, since: str | None = None, until: str | None = None, zone: str = "UTC", keep_text: bool = True) -> dict[str, DataFrame]:
+    """The star schema's tables: sessions, prompts, tokens, requests, output_files, output_tokens, context_sources,
+    context_cost, tasks, task_prompts and prompts_text, what they share written below ``folder``."""
+    return Star(log, folder, since, until, zone, keep_text).tables()
 
 
 def new_files(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
