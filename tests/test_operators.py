@@ -121,3 +121,35 @@ def test_streams_equal_batches(spark, tmp_path):
     quota = spark.readStream.schema("snapshot_at string, field string").parquet(str(tmp_path / "in"))
     usage.append_quota(quota, str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log" / "quota_log")).count() == 21
+
+
+def test_sweep_equals_a_split_of_each_turn(spark):
+    r = random.Random(8)
+    turns, held, want = [], [], {}
+    for s in ("a", "b"):
+        for epoch in range(3):
+            entries = [(s, epoch, r.randint(1, 30), f"s{r.randint(0, 2)}", "-", r.choice(["p", "q", None]), r.choice([1, 7, 10**13, 1 << 61]) if s == "b" else r.randint(1, 50), i) for i in range(r.choice([0, 3, 12]))]
+            held += entries
+            for t in range(1, 31, 3):
+                model, total = r.choice(["m", "n", None]), r.choice([1, 5, 10**12 + 1])
+                turns.append((s, epoch, t, model, total))
+                weights, place = {}, {}
+                for e in entries:
+                    if e[2] <= t:
+                        k = e[3:6]
+                        weights[k] = weights.get(k, 0) + e[6]
+                        place[k] = min(place.get(k, (99, 99)), (e[2], e[7]))
+                whole = sum(weights.values())
+                parts = {k: total * w // whole for k, w in weights.items()}
+                for k in sorted(weights, key=lambda k: (-(total * weights[k] % whole), place[k]))[: total - sum(parts.values())]:
+                    parts[k] += 1
+                for k, n in parts.items() if parts else [(("(unattributed)", "-", "-"), total)]:
+                    want[s, *k, model] = want.get((s, *k, model), 0) + n
+    got = {}
+    rows = apportion.swept(
+        spark.createDataFrame(turns, "session_id string, epoch long, turn int, model string, total long"),
+        spark.createDataFrame(held, "session_id string, epoch long, entered int, source string, language string, path string, tokens long, ordinal long"),
+    ).collect()
+    for x in rows:
+        got[tuple(x)[:5]] = got.get(tuple(x)[:5], 0) + x.part
+    assert got == {k: n for k, n in want.items() if n}

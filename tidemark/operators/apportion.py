@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def attribute(requests: DataFrame, elements: DataFrame) -> DataFrame:
     writes over the prompt's own elements, whenever they entered. What meets nothing is unattributed. So each column sums
     to the requests' own, to the token.
 
-    Elements and requests meet in an equi-join on session and epoch, after elements of one key and prompt are summed; the
-    join grows with the product of a session's turns and context keys within an epoch, which no exact split avoids.
+    Reads are attributed by a sweep: elements and requests are dealt by session and epoch, sorted by turn and streamed once,
+    so what is shuffled are the events themselves, and what leaves a task is a row for each key and model of an epoch. A task
+    holds one epoch's context keys.
     """
     order = Window.partitionBy("session_id").orderBy("turn")
     begins = (F.col("post_compact") == 1) & (F.coalesce(F.lag("post_compact").over(order), F.lit(0)) == 0)
@@ -51,16 +54,12 @@ def attribute(requests: DataFrame, elements: DataFrame) -> DataFrame:
     pieces = elements.where(F.col("tokens") > 0).join(entry, ["session_id", "prompt_id"])
     key = ["source", "language", "path"]
 
-    turns = requests.select("session_id", "turn", "epoch", "model", F.col("cache_read_tokens").alias("total")).where(F.col("total") > 0)
-    held = pieces.groupBy("session_id", F.col("entry_epoch").alias("epoch"), "entered", *key).agg(F.sum("tokens").alias("tokens"), F.min("ordinal").alias("ordinal"))
-    present = turns.join(held, ["session_id", "epoch"]).where(F.col("entered") <= F.col("turn"))
-    place = F.min(F.struct("entered", "ordinal")).alias("place")  # keys keep the order in which they first came
-    present = present.groupBy("session_id", "turn", "model", "total", *key).agg(F.sum("tokens").alias("weight"), place)
-    rent = split(present, ["session_id", "turn"], "total", "weight", ["place", *key], "part")
-    alone = turns.join(present.select("session_id", "turn").distinct(), ["session_id", "turn"], "left_anti")
-
+    rent = swept(
+        requests.select("session_id", "epoch", "turn", "model", F.col("cache_read_tokens").alias("total")).where(F.col("total") > 0),
+        pieces.groupBy("session_id", F.col("entry_epoch").alias("epoch"), "entered", *key).agg(F.sum("tokens").alias("tokens"), F.min("ordinal").alias("ordinal")),
+    )
     own = pieces.select("session_id", "prompt_id", "ordinal", *key, F.col("tokens").alias("weight"))
-    parts = [_row(rent, rent_read_tokens="part"), _row(_unattributed(alone), rent_read_tokens="total")]
+    parts = [_row(rent, rent_read_tokens="part")]
     loads = {"load_write_5m_tokens": "cache_write_5m_tokens", "load_write_1h_tokens": "cache_write_1h_tokens"}
     writes = requests.select("session_id", "prompt_id", "turn", "model", *loads.values()).where(F.greatest(*loads.values()) > 0)
     load = writes.join(own, ["session_id", "prompt_id"])
@@ -75,6 +74,80 @@ def attribute(requests: DataFrame, elements: DataFrame) -> DataFrame:
     return out.where(F.greatest(*NAMES) > 0)
 
 
+class Present:
+    """What is in an epoch's context, in the order in which keys first came, and what each has been charged by model."""
+
+    def __init__(self):
+        self.place: dict[tuple, int] = {}
+        self.weights = np.zeros(16, np.int64)
+        self.charged: dict[str | None, np.ndarray] = {}
+        self.alone: dict[str | None, int] = {}
+
+    def enter(self, key: tuple, tokens: int) -> None:
+        at = self.place.setdefault(key, len(self.place))
+        if at == len(self.weights):
+            self.weights = np.concatenate((self.weights, np.zeros(at, np.int64)))
+        self.weights[at] += tokens
+
+    def charge(self, model: str | None, total: int) -> None:
+        n = len(self.place)
+        if n == 0:
+            self.alone[model] = self.alone.get(model, 0) + total
+            return
+        weights, held = self.weights[:n], self.charged.get(model, np.zeros(0, np.int64))
+        whole = int(weights.sum(dtype=object)) if int(weights.max()) > 1 << 40 else int(weights.sum())
+        if whole * total >= 1 << 62:  # beyond 64 bits in Python's whole numbers
+            weights = weights.astype(object)
+        product = weights * total
+        parts = product // whole
+        rest = product - parts * whole
+        left = total - int(parts.sum())
+        parts[np.argsort(-rest, kind="stable")[:left]] += 1
+        self.charged[model] = parts.astype(np.int64) + np.pad(held, (0, n - len(held)))
+
+    def rows(self, session: str) -> list[tuple]:
+        keys = list(self.place)
+        out = [(session, *keys[i], model, int(parts[i])) for model, parts in self.charged.items() for i in np.flatnonzero(parts)]
+        return out + [(session, UNATTRIBUTED, NO_VALUE, NO_VALUE, model, total) for model, total in self.alone.items()]
+
+
+SWEPT = "session_id string, source string, language string, path string, model string, part bigint"
+
+
+def swept(turns: DataFrame, held: DataFrame) -> DataFrame:
+    """(session_id, source, language, path, model, part): each turn's ``total`` split exactly over what ``held`` has brought in by
+    then, remainders to the largest, ties in order of entry; summed by epoch."""
+    none = lambda kind: F.lit(None).cast(kind)
+    key = ["source", "language", "path"]
+    entries = held.select("session_id", "epoch", F.col("entered").alias("at"), F.lit(0).alias("is_turn"), F.col("ordinal").cast("long").alias("ordinal"), *(F.col(c).cast("string").alias(c) for c in key), none("string").alias("model"), F.col("tokens").cast("long").alias("amount"))
+    asked = turns.select("session_id", "epoch", F.col("turn").alias("at"), F.lit(1).alias("is_turn"), none("long").alias("ordinal"), *(none("string").alias(c) for c in key), "model", F.col("total").cast("long").alias("amount"))
+    events = entries.unionByName(asked)
+    events = events.repartition("session_id", "epoch").sortWithinPartitions("session_id", "epoch", "at", "is_turn", "ordinal", *key)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, present = None, Present()
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:5]] + [pa.array(columns[5], pa.int64())], names=[x.split()[0] for x in SWEPT.split(", ")])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("session_id", "epoch", "is_turn", *key, "model", "amount"))
+            out: list[tuple] = []
+            for session, epoch, is_turn, source, language, path, model, amount in zip(*columns, strict=True):
+                if (session, epoch) != now:
+                    out += present.rows(now[0]) if now else []
+                    now, present = (session, epoch), Present()
+                if is_turn:
+                    present.charge(model, amount)
+                else:
+                    present.enter((source, language, path), amount)
+            yield told(out)
+        yield told(present.rows(now[0]) if now else [])
+
+    return events.mapInArrow(sweep, SWEPT)
+
+
 NAMES = ("rent_read_tokens", "load_write_5m_tokens", "load_write_1h_tokens")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import filled
 from tidemark.functions.text import INTENT_ORDER, is_acknowledgement, is_notification, lexical_evidence, without_notes
 from tidemark.operators.quantiles import ranks
+from tidemark.operators.semantic import PRIME_WEIGHT, TAU, labelled, scored
 
-# Thresholds of the audit's findings and of the semantic classifier.
+# Thresholds of the audit's findings.
 TOP_TERMS, TOP_REPRESENTATIVES = 8, 3
 MERGE_SHARE, SPLIT_SHARE, SPLIT_CLUSTERS, SPLIT_PROMPTS = 0.20, 0.50, 3, 12
 MIXED_PURITY, LATENT_PURITY = 0.40, 0.50
-TAU, PRIME_WEIGHT = 0.325, 0.60
 LEXICAL = ("ops", "feedback")
 TERM = r"(?U)[^\W\d_]{3,}"
 # Words too common to tell clusters apart.
@@ -123,22 +123,10 @@ def semantic(prompts: DataFrame, prototypes: DataFrame, text: str, vector: str,
     """``prompts`` with ``label``: the category whose ``top`` nearest unit ``prototypes`` (category, vector) have the largest
     mean cosine, against lexical evidence for some categories; other below ``tau``. Prototypes are a small table that the
     caller configures."""
+    rows, names = scored(prompts, prototypes, vector, top, "_scores")
     clean = without_notes(F.col(text))
-    names = [r[0] for r in prototypes.select("category").distinct().orderBy("category").collect()]
-    protos = prototypes.groupBy("category").agg(F.collect_list("vector").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("category", "v"))).alias("_protos"))
-    rows = prompts.crossJoin(F.broadcast(protos))  # one row
-    nearest = lambda n: F.slice(F.reverse(F.array_sort(F.transform(F.element_at("_protos", n), lambda v: dot(v, F.col(vector))))), 1, top)
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x)
-    scores = {n: mean(nearest(n)) for n in names}
-    for n in LEXICAL:
-        evidence = lexical_evidence(clean, n)
-        scores[n] = F.when(evidence > 0, evidence * prime)
-    order = [n for n in INTENT_ORDER if n in scores] + sorted(n for n in scores if n not in INTENT_ORDER)
-    best, label = F.greatest(*scores.values(), F.lit(-2.0)), F
-    for n in order:
-        label = label.when(scores[n] == best, n)
-    out = F.when(is_notification(F.col(text)), "notification").when(is_acknowledgement(F.col(text)), "followup").when(best >= tau, label).otherwise("other")
-    return rows.withColumn("label", out).drop("_protos")
+    shortcut = F.when(is_notification(F.col(text)), "notification").when(is_acknowledgement(F.col(text)), "followup")
+    return labelled(rows, names, "_scores", {n: lexical_evidence(clean, n) for n in LEXICAL}, shortcut, tau, prime).drop("_scores")
 
 
 def merge_categories(old: DataFrame, new: DataFrame, rank: dict[str, int]) -> DataFrame:
@@ -163,8 +151,3 @@ def reconcile(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -
     a, b = ours.select(*keys, F.col(value).alias("ours")), theirs.select(*keys, F.col(value).alias("theirs"))
     both = a.join(b, keys, "full")
     return both.select(*keys, F.coalesce("ours", F.lit(0)).alias("ours"), F.coalesce("theirs", F.lit(0)).alias("theirs"), (F.coalesce("ours", F.lit(0)) - F.coalesce("theirs", F.lit(0))).alias("difference"))
-
-
-def divergences(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return reconcile(ours, theirs, keys, value).where(F.col("difference") != 0)
-

@@ -96,22 +96,35 @@ def in_window(timestamp: Column, since: str | None, until: str | None, zone: str
     return F.coalesce(inside, F.lit(False))
 
 
+def selected(rows: DataFrame, column: str, chosen: Sequence[str] | None, available: DataFrame | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is among ``chosen``. Nothing chosen, or every value that isn't blank, means all rows, those with a
+    blank value included. ``available`` has the values to choose from, where these aren't those of ``rows``."""
+    if not chosen:
+        return rows
+    inside = F.col(column).isin(*chosen)
+    left_out = (F.length(F.trim(column)) > 0) & ~inside
+    some = (rows if available is None else available).agg(F.coalesce(F.bool_or(left_out), F.lit(False)).alias("_restricts"))
+    return rows.crossJoin(F.broadcast(some)).where(~F.col("_restricts") | F.coalesce(inside, F.lit(False))).drop("_restricts")  # one row
+
+
 def apply_filters(
     ds: Dataset, dates: tuple[str, str] | None = None, models: Sequence[str] | None = None, projects: Sequence[str] | None = None,
     categories: Sequence[str] | None = None, chars: tuple[int, int | None] | None = None, session_prompts: tuple[int, int] | None = None,
 ) -> Dataset:
-    """The conjunction of the given filters; ``session_prompts`` counts what the others leave and comes last."""
+    """The conjunction of the given filters; ``session_prompts`` counts what the others leave and comes last.
+
+    A selection of models, projects or categories filters only if it leaves a value out that the dataset has; prompts without
+    a category have ``(uncategorized)``.
+    """
     prompts = ds.prompts
     if dates:
         prompts = prompts.where(day().between(*dates))
-    if models is not None:
-        prompts = prompts.where(F.col("model").isin(*models))
-    if projects is not None:
-        prompts = prompts.where(F.col("project").isin(*projects))
-    if categories is not None:
-        named = ds.categories.where(F.col("category").isin(*categories)).select("prompt_id")
-        other = ds.prompts.join(ds.categories, "prompt_id", "left_anti").select("prompt_id") if "(uncategorized)" in categories else None
-        prompts = _keep(prompts, named if other is None else named.unionByName(other), "prompt_id")
+    prompts = selected(prompts, "model", models, ds.prompts)
+    prompts = selected(prompts, "project", projects, ds.prompts)
+    if categories:
+        named = ds.prompts.select("prompt_id").join(ds.categories.select("prompt_id", "category"), "prompt_id", "left")
+        named = named.withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("(uncategorized)")))
+        prompts = _keep(prompts, selected(named, "category", categories), "prompt_id")
     if chars is not None:
         prompts = prompts.where((F.col("char_count") >= chars[0]) & (F.lit(True) if chars[1] is None else F.col("char_count") < chars[1]))
     if session_prompts is not None:

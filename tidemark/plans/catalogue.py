@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import intent
-from tidemark.operators import apportion, audit, chains, content, explore, filters, pricing, tasks, totals, trends
+from tidemark.operators import apportion, audit, chains, content, explore, filters, pricing, semantic, tasks, totals, trends
 from tidemark.plans import loglines, oracle_content, oracle_explore, oracle_logs, oracle_usage
 from tidemark.plans.adapter import element_rows, events_dataset, orders_dataset, todo_rows
 from tidemark.plans.dataset import Dataset
@@ -111,6 +111,15 @@ def by_model_name(ds: Dataset) -> Dataset:
     return ds.with_(prompts=ds.prompts.withColumn("model", F.coalesce("model", F.lit(""))))
 
 
+def with_years(ds: Dataset) -> Dataset:
+    """The orders with the years of a session as its tasks, some without a name; every fifth order belongs to none."""
+    key = F.concat("session_id", F.lit(":"), F.substring("timestamp", 1, 4))
+    rows = ds.prompts.where(F.substring("prompt_id", 2, 20).cast("long") % 5 != 4).select("prompt_id", "session_id", "timestamp", F.concat(key, F.when(F.col("char_count") % 3 == 0, "").otherwise("+")).alias("task_id"))
+    made = rows.groupBy("task_id", "session_id").agg(F.count("*").alias("prompts"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
+    named = F.when(F.endswith("task_id", F.lit("+")), F.concat(F.lit("year "), F.substring("first_timestamp", 1, 4)))
+    return ds.with_(tasks=made.select("task_id", "session_id", named.alias("name"), F.lit("inferred").alias("origin"), "prompts", "first_timestamp", "last_timestamp"), task_prompts=rows.select("task_id", "prompt_id"))
+
+
 EXPLORE: dict[str, Query] = {
     "type_volume": orders(lambda d: explore.type_volume(d, FIRST)),
     "box_cap": orders(lambda d: explore.box_cap(by_model_name(d), FIRST, "model")),
@@ -120,7 +129,7 @@ EXPLORE: dict[str, Query] = {
     "prompt_lengths": orders(explore.prompt_lengths),
     "session_rollup": orders(lambda d: explore.session_rollup(d, FIRST)),
     "session_timeline": orders(lambda d: explore.session_timeline(d, FIRST)),
-    "edited_by": orders(explore.edited_by),
+    "edited_by": orders(lambda d: explore.edited_by(with_years(d))),
     "read_in": orders(lambda d: explore.read_in(d, FIRST)),
     "type_costs": orders(lambda d: explore.type_costs(d, FIRST, oracle_explore.PIVOT)),
     "language_shares": orders(lambda d: explore.language_shares(d, oracle_explore.PIVOT)),
@@ -146,6 +155,10 @@ FILTERS: dict[str, Query] = {
     "all_filters": orders(lambda d: table_sizes(filters.apply_filters(
         d, dates=("1993-01-01", "1996-12-31"), projects=("BUILDING", "MACHINERY", ""), categories=("urgent", "high", "(uncategorized)"), chars=(100, 2500), session_prompts=(2, 4)))),
     "date_range": orders(filters.date_bounds),
+    "select_everything": orders(lambda d: table_sizes(filters.apply_filters(
+        d, models=[f"Brand#{n}{kind}" for n in range(100) for kind in ("", "[1m]")], projects=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
+        categories=("urgent", "high", "medium", "not specified", "low", "(uncategorized)")))),
+    "select_most": orders(lambda d: table_sizes(filters.apply_filters(d, projects=("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"), categories=()))),
 }
 
 
@@ -161,11 +174,12 @@ def label_agreement(ds: Dataset) -> DataFrame:
     return audit.agreement(ds.categories, ds.categories.select("prompt_id", second))
 
 
-def audited(f: Callable[[DataFrame], DataFrame]) -> Query:
-    """``f`` of sources as categories in arbitrary clusters of documents."""
+def audited(f: Callable[[DataFrame], DataFrame], topics: int = 0) -> Query:
+    """``f`` of sources, or of so many topics by number, as categories in arbitrary clusters of documents."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("cluster"), F.col("source").alias("category"))
+        category = F.concat(F.lit("topic"), (F.col("doc_id") % 11 % topics).cast("string")) if topics else F.col("source")
+        docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("cluster"), category.alias("category"))
         return f(audit.crosstab(docs, "cluster", "category"))
 
     return run
@@ -176,17 +190,59 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
 
 
+#: The categories whose prototypes the queries take from the table, four vectors for each.
+PROTOTYPED = ("debug", "docs", "plan", "test")
+
+
+def vector_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict[str, Column], Column]:
+    """The vectors with scores against the first ones as prototypes, evidence for two lexical categories and shortcuts by
+    number, and ``gold``: the label with the usual knobs, but for every seventh vector another."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    name = F.element_at(F.array(*map(F.lit, PROTOTYPED)), (F.col("vec_id") % 4 + 1).cast("int"))
+    prototypes = vectors.where(F.col("vec_id") < 4 * len(PROTOTYPED)).select(name.alias("category"), F.col("embedding").alias("vector"))
+    rows, names = semantic.scored(vectors, prototypes, "embedding", top=2)
+    i = F.col("vec_id")
+    hits = lambda n: 1 - F.pow(F.lit(0.4), n)
+    evidence = {"ops": hits(F.when(i % 3 == 0, i % 4).otherwise(0)), "feedback": hits(F.when(i % 5 == 0, i % 3).otherwise(0))}
+    shortcut = F.when(i % 19 == 0, "notification").when(i % 17 == 0, "followup")
+    return rows.drop("embedding"), names, evidence, shortcut
+
+
+def semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names, evidence, shortcut = vector_cases(spark, sf_dir)
+    _, best = semantic.best_of(names, "scores", evidence, semantic.PRIME_WEIGHT)
+    return semantic.labelled(rows.withColumn("score", F.round(best, 6)), names, "scores", evidence, shortcut).select("vec_id", "label", "score")
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names, evidence, shortcut = vector_cases(spark, sf_dir)
+    rows = semantic.labelled(rows, names, "scores", evidence, shortcut, 0.3, 0.7)
+    i = F.col("vec_id")
+    gold = F.when(i % 7 == 0, "other").when(i % 23 != 0, F.col("label"))
+    return semantic.calibrate(rows.withColumns({"gold": gold, "judge": F.when(i % 2 == 0, "ops").otherwise("other")}), names, "scores", evidence, shortcut, "gold", "judge")
+
+
+def label_divergences(ds: Dataset) -> DataFrame:
+    """Where two labellings of the orders' prompts differ: the categories, and others by complexity."""
+    was = ds.categories.select("prompt_id", F.when(F.col("category") == "low", "other").otherwise(F.col("category")).alias("category"))
+    now = ds.categories.select("prompt_id", F.when(F.col("complexity") < "3", "urgent").otherwise(F.col("category")).alias("category"))
+    return semantic.divergences(was, now, ds.prompts.select("prompt_id", F.concat(F.lit("size "), (F.col("char_count") % 40).cast("string")).alias("text")))
+
+
 AUDIT: dict[str, Query] = {
     "reconciliation": orders(reconciliation),
     "label_agreement": orders(label_agreement),
     "complexity": events(lambda d: audit.complexity(totals.with_costs(d, FIRST))),
     "audit_table": audited(lambda x: x.select("cluster", "category", "n", "size", "dominant", "share")),
-    "audit_merges": audited(audit.merges),
+    "audit_merges": audited(audit.merges, topics=4),
     "audit_splits": audited(audit.splits),
     "audit_themes": audited(audit.themes),
     "top_terms": lambda spark, sf_dir: audit.top_terms(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text"), "label", "text"),
     "representatives": lambda spark, sf_dir: audit.representatives(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"),
     "intents": intents,
+    "semantic_labels": semantic_labels,
+    "calibration": calibration,
+    "label_divergences": orders(label_divergences),
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators.audit import STOP_WORDS
 from tidemark.operators.explore import CHARACTERS
+from tidemark.operators.semantic import PRIME_GRID, TAU_GRID
 from tidemark.plans.oracle import EVENTS, ORDERS, ratio, share, usd
 from tidemark.plans.oracle_content import CONTEXT, OUTPUT
 
@@ -35,6 +36,23 @@ FOLLOWED = counts(
 AUDIT = """with counted as (select doc_id % 7 as cluster, coalesce(nullif(source, ''), 'other') as category, count(*) as n from documents group by 1, 2),
 tabled as (select *, sum(n) over (partition by cluster)::bigint as size, first_value(category) over (partition by cluster order by n desc, category) as dominant from counted),
 crosstab as (select *, n::double / size as share from tabled)"""
+def _best(p: int) -> str:
+    """The best score and label of a case where evidence weighs ``p`` hundredths."""
+    values = {n: f"s_{n}" for n in ("debug", "docs", "test")} | {"ops": f"case when e_ops > 0 then e_ops * {p / 100} end", "plan": "s_plan", "feedback": f"case when e_feedback > 0 then e_feedback * {p / 100} end"}
+    best = f"greatest({', '.join(values.values())})"
+    return f"{best} as best_{p}, case {' '.join(f"when {x} = {best} then '{n}'" for n, x in values.items())} end as label_{p}"
+
+
+CASES = f"""with protos as (select ['debug', 'docs', 'plan', 'test'][vec_id % 4 + 1] as category, embedding::double[] as vector from embeddings where vec_id < 16),
+cosines as (
+  select e.vec_id, category, list_sum(list_reverse_sort(list(list_dot_product(e.embedding::double[], vector)))[:2]) / 2 as score
+  from embeddings e cross join protos group by e.vec_id, category),
+cases as (
+  select vec_id, {", ".join(f"max(score) filter (where category = '{c}') as s_{c}" for c in ("debug", "docs", "plan", "test"))},
+         1 - pow(0.4, case when vec_id % 3 = 0 then vec_id % 4 else 0 end) as e_ops, 1 - pow(0.4, case when vec_id % 5 = 0 then vec_id % 3 else 0 end) as e_feedback,
+         case when vec_id % 19 = 0 then 'notification' when vec_id % 17 = 0 then 'followup' end as short
+  from cosines group by vec_id),
+labelled as (select *, {", ".join(_best(round(p * 100)) for p in PRIME_GRID)} from cases)"""
 WORD = "[\\p{L}\\p{M}]{3,}"
 BAND = """case when {0} is null then null when (select min({0}) = max({0}) from effort) then 3 when cume_dist() over (order by {0}) <= 0.2 then 1 when cume_dist() over (order by {0}) <= 0.4 then 2
   when cume_dist() over (order by {0}) <= 0.6 then 3 when cume_dist() over (order by {0}) <= 0.8 then 4 else 5 end"""
@@ -74,7 +92,7 @@ marked as (select session_id, prompt_id, prompt_index, units, sum(units) over (p
 select session_id, prompt_id, prompt_index, {usd("units")} as cost_usd, {usd("so_far")} as cumulative_usd,
        concat_ws(',', case when a = 1 then 'first' end, case when b = 1 then 'costliest' end, case when c = 1 then 'last' end) as mark from marked""",
     "edited_by": ORDERS + """
-select path, f.prompt_id, f.edits, f.lines_added, f.lines_deleted, '' as task, session_id, prompt_index, coalesce(category, '') as category
+select path, f.prompt_id, f.edits, f.lines_added, f.lines_deleted, case when p.timestamp is null or substr(f.prompt_id, 2)::bigint % 5 = 4 then '' when char_count % 3 = 0 then session_id || ':' || substr(p.timestamp, 1, 4) else 'year ' || substr(p.timestamp, 1, 4) end as task, session_id, prompt_index, coalesce(category, '') as category
 from output_files f left join prompts p on f.prompt_id = p.prompt_id left join categories c on f.prompt_id = c.prompt_id""",
     "read_in": ORDERS + f""", {CONTEXT},
 both_sides as (
@@ -113,6 +131,25 @@ select (select count(*) from all_paths where path not in ('', '-')) as files, (s
 first as (select p.* from prompts p left join categories c on p.prompt_id = c.prompt_id where substr(timestamp, 1, 10) between '1993-01-01' and '1996-12-31' and project in ('BUILDING', 'MACHINERY', '')
   and (category in ('urgent', 'high') or c.prompt_id is null) and char_count >= 100 and char_count < 2500),
 kept as (select * from first where session_id in (select session_id from first group by 1 having count(*) between 2 and 4)) """ + FOLLOWED,
+    "select_everything": ORDERS + ", kept as (select * from prompts) " + FOLLOWED,
+    "select_most": ORDERS + ", kept as (select * from prompts where project in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')) " + FOLLOWED,
+    "semantic_labels": CASES + """
+select vec_id, case when short is not null then short when best_60 >= 0.325 then label_60 else 'other' end as label, round(best_60, 6) as score from labelled""",
+    "calibration": CASES + f""",
+golden as (select *, case when vec_id % 7 = 0 then 'other' when vec_id % 23 <> 0 then case when short is not null then short when best_70 >= 0.3 then label_70 else 'other' end end as gold,
+                  case when vec_id % 2 = 0 then 'ops' else 'other' end as judge from labelled),
+cells as (
+  {" union all ".join(f"select {t}::double as tau, {p}::double as prime, gold, judge, case when short is not null then short when best_{round(p * 100)} >= {t} then label_{round(p * 100)} else 'other' end as found from golden where gold is not null" for p in PRIME_GRID for t in TAU_GRID)}),
+grid as (select tau, prime, count(*) as cases, count(*) filter (where found = gold) as hits, count(*) filter (where found = judge) as judge_hits from cells group by 1, 2)
+select *, (row_number() over (order by hits desc, judge_hits desc, tau desc, prime) = 1)::integer as chosen from grid""",
+    "label_divergences": ORDERS + """,
+both_ as (
+  select c.prompt_id, case when category = 'low' then 'other' else category end as was, case when complexity < '3' then 'urgent' else category end as now, 'size ' || char_count % 40 as text
+  from categories c join prompts p on c.prompt_id = p.prompt_id),
+kinds as (
+  select *, case when was = 'other' then 'reclassified' else 'contradiction' end as kind from both_ where was <> now and now <> 'other'
+  qualify row_number() over (partition by case when was = 'other' then 'reclassified' else 'contradiction' end, text order by prompt_id) = 1)
+select kind, (row_number() over (partition by kind order by prompt_id) - 1)::integer as place, text, was, now from kinds qualify place < 12""",
     "date_range": ORDERS + "select min(d) as first, max(d) as last from (select substr(timestamp, 1, 10) as d from prompts union all select substr(start_date, 1, 10) from sessions) where d <> ''",
     "reconciliation": ORDERS + """,
 ours as (select model, sum(token_count)::bigint as ours from tokens group by 1),
@@ -125,7 +162,7 @@ effort as (select prompt_id, assistant_turns, tool_calls, char_count, units from
 banded as (select prompt_id, {BAND.format("assistant_turns")} as a, {BAND.format("tool_calls")} as b, {BAND.format("char_count")} as c, {BAND.format("units")} as d from effort)
 select prompt_id, round_even((a + b + c + d) / 4.0, 0)::integer::varchar as complexity from banded""",
     "audit_table": AUDIT + " select cluster, category, n, size, dominant, share from crosstab",
-    "audit_merges": AUDIT + " select cluster, string_agg(category, ',' order by n desc, category) as categories from crosstab where category <> 'other' and share >= 0.2 group by 1 having count(*) >= 2",
+    "audit_merges": AUDIT.replace("coalesce(nullif(source, ''), 'other')", "'topic' || doc_id % 11 % 4") + " select cluster, string_agg(category, ',' order by n desc, category) as categories from crosstab where category <> 'other' and share >= 0.2 group by 1 having count(*) >= 2",
     "audit_splits": AUDIT + """ select category, count(*) as clusters, round(max(n)::double / sum(n), 6) as top_share from crosstab where category not in ('other', 'followup', 'notification')
 group by 1 having sum(n) >= 12 and count(*) >= 3 and max(n)::double / sum(n) < 0.5""",
     "audit_themes": AUDIT + """ select cluster, case when dominant = 'other' and share >= 0.5 then 'latent-other' else 'cross-cutting' end as kind, round(share, 6) as purity from crosstab
