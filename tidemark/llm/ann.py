@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import cut, n_partitions
 
 SAMPLE, CELL_SAMPLE, PER_LIST = 20_000, 20_000, 16
-LIST_ROWS, FLAT, MOST_LISTS, LIST_MOST = 32, 2048, 65_536, 2048
-REPLICAS, NEAR, APART, DEGREE = 4, 1.2, 0.4, 24
-RECALL, LISTS_LEAST, ASKED = 0.97, 4, 256
+LIST_ROWS, FLAT, MOST_LISTS, LIST_MOST = 16, 4096, 65_536, 2048
+REPLICAS, NEAR, APART, DEGREE = 2, 1.2, 0.4, 24
+RECALL, LISTS_LEAST, ASKED = 0.955, 4, 512
 SHARD_ROWS, QUERY_ROWS = 16_384, 4096
 CELLS_NEAR, ENTRIES, CHUNK = 4, 16, 2048
 

@@ -43,7 +43,7 @@ from tidemark.llm.common import cut, shared_folder
 
 LEAST = 4
 DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 END = b""  # no word is empty
 
 _codec = pa.Codec("zstd", 3)
