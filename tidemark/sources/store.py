@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidemark.functions.lineage import FEW
 from tidemark.plans.dataset import SCHEMAS, Dataset
 from tidemark.sources import logs
+from tidemark.sources.cache import KeyedCache
 from tidemark.sources.tables import read_csv, read_dataset, write_csv
 
 NEEDED = ("sessions", "prompts", "tokens", "requests")
@@ -81,26 +83,24 @@ def load(spark: SparkSession, folder: str, log_folder: str, work: str, use_table
 
 
 def land_new(spark: SparkSession, log_folder: str, bronze: str) -> DataFrame:
-    """Appends the lines of new and changed logs to the Parquet table ``bronze``, and returns the current lines of all logs.
+    """The lines (file, line, text) of all logs, kept in the cache ``bronze``: only new and changed files are read.
 
-    A file is known by path, time and size; of a file's versions the one that the folder has counts, and files that are gone
-    don't.
+    A file is known by path, time and size. Of a changed file the lines before go, and so do those of files that are gone;
+    what they leave is removed when it is the larger part.
     """
-    schema = "file string, line int, text string, modified timestamp, size long"
-    try:
-        known = spark.read.schema(schema).parquet(bronze)
-        seen = known.select("file", "modified", "size").distinct()
-    except AnalysisException:
-        seen = spark.createDataFrame([], "file string, modified timestamp, size long")
-    now = logs.new_files(spark, log_folder, spark.createDataFrame([], seen.schema))
-    fresh = [r["file"] for r in now.join(seen, ["file", "modified", "size"], "left_anti").select("file").toLocalIterator()]
-    if fresh:
-        lines = logs.read_lines(spark, fresh).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
-        stamps = now.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).withColumnRenamed("file", "of")
-        stamped = lines.join(stamps, F.col("file") == F.col("of")).select("file", "line", "text", "modified", "size")
-        names = now.select(F.col("file").alias("whole"), F.regexp_replace("file", "^file:/+", "/").alias("of"))
-        stamped.join(names, F.col("file") == F.col("of")).select(F.col("whole").alias("file"), "line", "text", "modified", "size").write.mode("append").parquet(bronze)
-    return spark.read.schema(schema).parquet(bronze).join(now, ["file", "modified", "size"], "left_semi").select("file", "line", "text")
+    cache = KeyedCache(spark, bronze, "line int, text string")
+    now = logs.new_files(spark, log_folder, spark.createDataFrame([], "file string, modified timestamp, size long"))
+    stamp = F.concat_ws(":", F.unix_micros("modified").cast("string"), F.col("size").cast("string"))
+    current = now.select(F.col("file").alias("key"), stamp.alias("stamp"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  one reader writes file:/, the other file:///
+
+    def read(missing: DataFrame) -> DataFrame:
+        some = missing.limit(FEW + 1).collect()
+        # a few files are read by name; with more the folder is, and the others' lines are left out
+        lines = logs.read_lines(spark, [r["key"] for r in some] if len(some) <= FEW else log_folder)
+        return lines.join(missing, plain("file") == plain("key")).select("key", "stamp", "line", "text")
+
+    return cache.refresh(current, read).select(F.col("key").alias("file"), "line", "text")
 
 
 def write_audit(table: DataFrame, folder: str, categories: list[str]) -> None:
