@@ -264,15 +264,57 @@ def tool_uses(log: Log) -> DataFrame:
 CHANGES = T.StructType([T.StructField("added", T.LongType()), T.StructField("deleted", T.LongType())])
 
 
-def changed_lines(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines that a longest-common-subsequence comparison adds and deletes."""
+#: Where Python's splitlines ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
-    def one(a: str, b: str) -> tuple[int, int]:
-        codes = difflib.SequenceMatcher(None, a.splitlines(), b.splitlines(), autojunk=False).get_opcodes()
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text, without an empty one after the last line's end."""
+    pieces = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
+    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+
+
+@F.pandas_udf(CHANGES)
+def matched_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Lines that a comparison by longest matching blocks adds and deletes; nulls for null lists."""
+
+    def one(a, b) -> tuple[int | None, int | None]:
+        if a is None or b is None:
+            return None, None
+        codes = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()
         return sum(c[4] - c[3] for c in codes if c[0] != "equal"), sum(c[2] - c[1] for c in codes if c[0] != "equal")
 
-    found = [one(a or "", b or "") for a, b in zip(old, new, strict=True)]
-    return pd.DataFrame(found, columns=["added", "deleted"])
+    return pd.DataFrame([one(a, b) for a, b in zip(old, new, strict=True)], columns=["added", "deleted"]).astype("Int64")
+
+
+def with_changed_lines(rows: DataFrame, old: Column, new: Column, name: str) -> DataFrame:
+    """``rows`` with a struct ``name`` of the lines ``added`` and ``deleted`` between two texts.
+
+    Counted by expressions alone: equal texts, texts of which one is empty or that have no line in common, and texts without
+    repeated lines that differ in one stretch (with unique lines the common head and tail are part of every matching, so only what
+    lies between is compared). Only the stretch of the others goes to the block matching, or both texts where lines repeat.
+    """
+    rows = rows.withColumns({"_a": lines_of(old), "_b": lines_of(new)})
+    a, b = F.col("_a"), F.col("_b")
+    unique = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+
+    def run(x: Column, y: Column) -> Column:  # how many lines are equal from the start
+        same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+        first = F.array_position(same, F.lit(False))
+        return F.when(first == 0, F.size(same)).otherwise(first.cast("int") - 1)
+
+    rows = rows.withColumn("_head", F.when(unique, run(a, b)).otherwise(0))
+    left = lambda x: F.slice(x, F.col("_head") + 1, F.size(x))
+    rows = rows.withColumns({"_a": F.when(F.size(a) > 0, left(a)).otherwise(a), "_b": F.when(F.size(b) > 0, left(b)).otherwise(b), "_unique": unique})
+    rows = rows.withColumn("_tail", F.when(F.col("_unique"), run(F.reverse(a), F.reverse(b))).otherwise(0))
+    cut_ = lambda x: F.when(F.size(x) > 0, F.slice(x, F.lit(1), F.size(x) - F.col("_tail"))).otherwise(x)
+    rows = rows.withColumns({"_a": cut_(a), "_b": cut_(b)})
+    plain = F.when(a == b, F.struct(F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted")))
+    plain = plain.when((F.size(a) == 0) | (F.size(b) == 0) | ~F.arrays_overlap(a, b), F.struct(F.size(b).cast("long").alias("added"), F.size(a).cast("long").alias("deleted")))
+    rows = rows.withColumn("_plain", plain)
+    hard = lambda x: F.when(F.col("_plain").isNull(), x)
+    rows = rows.withColumn("_matched", matched_changes(hard(a), hard(b)))
+    return rows.withColumn(name, F.coalesce("_plain", "_matched")).drop("_a", "_b", "_head", "_tail", "_unique", "_plain", "_matched")
 
 
 def file_edits(calls: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -286,7 +328,7 @@ def file_edits(calls: DataFrame, prompts: DataFrame) -> DataFrame:
     pairs = F.when(F.col("name") == "MultiEdit", many).when(F.col("name") == "Edit", F.array(pair(text_of(i, "$.old_string"), text_of(i, "$.new_string"))))
     pairs = pairs.when(F.col("name") == "Write", F.array(pair(F.lit(""), text_of(i, "$.content")))).otherwise(F.array(pair(F.lit(""), text_of(i, "$.new_source"))))
     rows = rows.select("prompt_id", "id", relative(raw, F.col("cwd")).alias("path"), language_of(raw).alias("language"), kind_of(raw).alias("kind"), F.posexplode_outer(pairs).alias("_i", "p"))
-    rows = rows.withColumn("c", F.pandas_udf(changed_lines, CHANGES)(F.col("p.old"), F.col("p.new")))
+    rows = with_changed_lines(rows, F.col("p.old"), F.col("p.new"), "c")
     return rows.groupBy("prompt_id", "path").agg(
         F.min("language").alias("language"), F.min("kind").alias("kind"), F.count_distinct("id").alias("edits"), F.sum("c.added").alias("lines_added"), F.sum("c.deleted").alias("lines_deleted")
     )
