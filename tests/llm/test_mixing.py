@@ -74,3 +74,26 @@ def test_a_repeated_id_and_long_texts_are_split_by_their_texts(spark):
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
     assert len(taken) == 3 and all(abs(taken[s] - t) <= (3 if s < 60_000 else 60_000) for s, t in target.items())
+
+
+def test_equal_rows_are_split_where_the_budget_ends(spark):
+    rows = [(7, "one two three four five six seven eight nine ten", "a", "x")] * 900 + [(i, "w " * (1 + i % 9), "a", "x") for i in range(1000, 1100)]
+    rows += [(i, "b " * 20, s, "x") for i in range(2000, 2400) for s in ("b",)] + [(None, "c c c", "c", "x")] * 500
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = mixing.mix(frame).collect()
+    taken, target = Counter(), {}
+    names = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in ("a", "b", "c")}
+    by_size = {n: s for s, n in names.items()}
+    for r in got:
+        s = by_size[r.source_size]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+    assert len(got) == len(rows) and brute_targets(names) == pytest.approx(target)
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 10, s
+    again = mixing.mix(frame.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    kept = mixing.resample(frame)
+    words = {r.source: r.n for r in kept.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()}
+    assert words == {s: n for s, n in taken.items() if n}

@@ -8,9 +8,9 @@ level looks only into the bucket in which the remaining budget ends. Nothing is
 read once.
 
 Defined results: a null text has size 0 and takes 0 words; a null id counts as the text 'null'; rows that agree in id and
-text share a hash and are taken or left together, so a repeated or null id is split as long as its texts differ; the last
-row in question is taken if that comes nearer to the target; an empty table gives an empty result; ``mix`` reads no other
-columns and ``resample`` passes them through. Reruns agree, as the hash depends on id and text alone.
+text share a hash; where the budget ends among such rows, as many of them are taken as come nearest to the target (they are numbered
+by the part of the table that holds them, only there); an empty table gives an empty result; ``mix`` reads no other
+columns and ``resample`` passes them through. Reruns agree, as the hash depends on id and text alone, and so does the number of equal rows taken.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def bucketed(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(s, source_size, target, whole, threshold) for each source of ``rows`` (source, size, hash)."""
+    """(s, source_size, target, whole, edge, some, members) for each source of ``rows`` (source, size, hash): once more are taken
+    the rows whose hash is below ``edge``, and of the ``members`` rows at it ``some``."""
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole)
@@ -74,26 +75,28 @@ def thresholds(rows: DataFrame) -> DataFrame:
         if level:  # only the bucket in which the budget ends
             inside = F.col("s").eqNullSafe(F.col("source")) & (F.shiftright("bucket", LEVEL_BITS) == F.col("prefix"))
             here = here.join(_small(edges), inside, "left_semi")
-        sums = here.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
+        sums = here.groupBy("s", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("members"))
         before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         # the last bucket that begins within the budget is the one in which it ends
         edge = (
             sums.join(edges, F.col("s").eqNullSafe(F.col("source")))
             .where(F.col("before") <= F.col("budget"))
-            .groupBy("s").agg(F.max(F.struct("bucket", "before", "words")).alias("edge"))
+            .groupBy("s").agg(F.max(F.struct("bucket", "before", "words", "members")).alias("edge"))
         )
         plan = cut(
             plan.join(edge, F.col("s").eqNullSafe(F.col("source")), "left").select(
                 "source", "source_size", "target", "whole",
                 (F.col("budget") - F.coalesce("edge.before", F.lit(0))).alias("budget"),
                 F.coalesce("edge.bucket", F.lit(0)).alias("prefix"),
-                F.coalesce("edge.words", F.lit(0)).alias("words"),
+                F.coalesce("edge.words", F.lit(0)).alias("words"), F.coalesce("edge.members", F.lit(0)).alias("members"),
             )
         )
-    # below the threshold all, at it if taking comes nearer than leaving
-    nearer = F.when(F.col("budget") * 2 > F.col("words"), 1).otherwise(0)
-    return _small(cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + nearer).alias("threshold"))))
+    # of the rows at the edge, which are equal, as many as come nearest
+    nearest = F.ceil((2 * F.col("budget") * F.col("members") - F.col("words")) / (2 * F.col("words")))
+    some = F.when(F.col("words") > 0, nearest).otherwise(F.when(F.col("budget") > 0, F.col("members")).otherwise(0))
+    some = F.greatest(F.lit(0), F.least(some, F.col("members"))).cast("long")
+    return cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("prefix").alias("edge"), some.alias("some"), "members"))
 
 
 def _small(plan: DataFrame) -> DataFrame:
@@ -101,30 +104,46 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.limit(FEW + 1).count() <= FEW else plan
 
 
-def _copies() -> Column:
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return F.least(copies, F.lit(MOST).cast("long"))
+def with_copies(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+    """``rows`` (hash, ``source`` and more) with the plan's columns and ``copies``.
+
+    Rows at an edge are numbered only where several are there of which some but not all are taken: by the table's parts,
+    so that a hot row's copies are never in one task.
+    """
+    split = plan.where((F.col("some") > 0) & (F.col("some") < F.col("members")))
+    more = (F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & (F.col("some") > 0))
+    copies = lambda once: F.least(F.col("whole") + F.when(once, 1).otherwise(0), F.lit(MOST).cast("long"))
+    joined = rows.join(_small(plan), F.col(source).eqNullSafe(F.col("s")))
+    if split.isEmpty():
+        return joined.withColumn("copies", copies(more))
+    at_edge = (F.col("hash") == F.col("edge")) & (F.col("some") > 0) & (F.col("some") < F.col("members"))
+    equal = cut(joined.where(at_edge).withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    parts = equal.groupBy("s", "_part").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy("s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("s").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("s", "_part").orderBy("_row"))
+    equal = equal.withColumn("_place", place).join(parts, F.col("s").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    equal = equal.withColumn("copies", copies(F.col("_place") + F.col("_before") <= F.col("some"))).drop("_row", "_part", "_place", "_s", "_p", "_before")
+    return joined.where(~at_edge).withColumn("copies", copies(more)).unionByName(equal)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken, copies) for each row of ``docs``."""
     docs = docs.select(F.col(id_col), F.col(text).alias("_text"), F.col(source).alias("source"))
     rows = cut(bucketed(docs, id_col, "_text", "source").select(id_col, "source", "size", "hash"))
-    plan = thresholds(rows)
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        id_col, "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"), _copies().alias("copies")
-    )
+    found = with_copies(rows, thresholds(rows), "source")
+    return found.select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with each row as many times as the mix takes it; columns as they are."""
     narrow = docs.select(F.col(id_col), F.col(text).alias("_text"), F.col(source).alias("source"))
     rows = cut(bucketed(narrow, id_col, "_text", "source").select("source", "size", "hash"))
-    plan = thresholds(rows).select("s", "whole", "threshold")
+    plan = thresholds(rows).select("s", "whole", "edge", "some", "members")
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column of docs clashes
     inner = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
-    inner = bucketed(inner, names[id_col], names[text], names[source]).join(plan, F.col(names[source]).eqNullSafe(F.col("s")))
-    inner = inner.where(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), _copies())))
+    inner = with_copies(bucketed(inner, names[id_col], names[text], names[source]), plan, names[source])
+    inner = inner.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return inner.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
@@ -150,15 +169,19 @@ targets as (
 plan as (
   select *, case when source_size = 0 then 0 else floor(target / source_size) end::bigint as whole from targets),
 summed as (
-  select source, hash, sum(size)::bigint as words,
+  select source, hash, sum(size)::bigint as words, count(*) as k,
          coalesce(sum(sum(size)) over (partition by source order by hash rows between unbounded preceding and 1 preceding), 0)
            as before
   from rows group by source, hash),
+placed as (
+  select r.doc_id, r.size, p.source_size, p.target, p.whole, s.words, s.k, p.target - p.whole * p.source_size - s.before as budget,
+         row_number() over (partition by r.source, r.hash order by r.doc_id) as place
+  from rows r join plan p on r.source is not distinct from p.source
+  join summed s on r.source is not distinct from s.source and r.hash = s.hash),
 taken as (
-  select r.doc_id, r.size, p.source_size, p.target,
-         least({MOST}, p.whole + case when s.words < 2 * (p.target - p.whole * p.source_size - s.before) then 1 else 0 end)
+  select doc_id, size, source_size, target,
+         least({MOST}, whole + case when words = 0 then (budget > 0)::bigint when place <= ceil((2 * budget * k - words) / (2 * words)) then 1 else 0 end)
            as copies
-  from rows r join plan p on r.source is not distinct from p.source
-  join summed s on r.source is not distinct from s.source and r.hash = s.hash)
+  from placed)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::bigint as copies from taken
 """
