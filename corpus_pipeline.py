@@ -67,14 +67,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage returns is written to the shared folder and read again by the next.
+    """The last stage's rows; what a stage returns is written to the shared folder and read again by the next, and removed when
+    that one is written, or when a stage fails.
 
     The result reads what the stage before the last has written, so that folder stays until its owner clears it.
     """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    folder, before = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}", None
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
+    except BaseException:
+        remove(spark, folder)
+        raise
     return STAGES[-1][1](spark, docs, sf_dir)
