@@ -177,7 +177,8 @@ def calibrated(index: Index, sample: np.ndarray, near: int, recall: float) -> fl
     """The ratio at which the share ``recall`` of the ``near`` nearest rows of the sample lie in a selected list."""
     x = np.unique(sample, axis=0)
     asked = x[np.random.default_rng(1).permutation(len(x))[:ASKED]]
-    rows, lists = index.assign(x)
+    parts = [(index.assign(x[at : at + CHUNK]), at) for at in range(0, len(x), CHUNK)]
+    rows, lists = np.concatenate([p[0] + at for p, at in parts]), np.concatenate([p[1] for p, _ in parts])
     needed = []
     for q in asked:
         scores = x @ q

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow import map_steps
+from tidemark.llm.arrow import map_steps, steps
 
 UNDETERMINED = "und"
 PAD = 1  # a code point that is no letter; it stands for every run of non-letters
@@ -87,18 +87,22 @@ def fit(
     sample = rows.join(F.broadcast(below), "label").where(F.pmod("hash", F.lit(unit)) < F.col("below"))  # a row for each learned label
     sample = sample.groupBy("label", "hash").agg(F.first("text").alias("text"), F.count("*").alias("times"))
 
+    def told(label: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        grams, n = _merged(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["label", "gram", "n"])
+
     def count(batches):
         for batch in batches:
-            by: dict[str, list] = {}
-            for k, t, times in zip(*(batch.column(c).to_pylist() for c in ("label", "text", "times")), strict=True):
-                if (found := ngrams(t)) is not None:
-                    by.setdefault(k, []).append((found[0], found[1] * times))
-            for k, parts in by.items():
-                grams, n = _merged(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())],
-                    names=["label", "gram", "n"],
-                )
+            for part in steps(batch, "text"):
+                by, held = {}, 0  # what a step has counted goes on once it is CHUNK entries
+                for k, t, times in zip(*(part.column(c).to_pylist() for c in ("label", "text", "times")), strict=True):
+                    if (found := ngrams(t)) is not None:
+                        by.setdefault(k, []).append((found[0], found[1] * times))
+                        held += len(found[0])
+                    if held >= CHUNK:
+                        yield from (told(*x) for x in by.items())
+                        by, held = {}, 0
+                yield from (told(*x) for x in by.items())
 
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
     top = (
