@@ -148,3 +148,26 @@ def test_quota_rows_and_new_files(spark, folder, tmp_path):
     none = spark.createDataFrame([], "file string, modified timestamp, size long")
     seen = logs.new_files(spark, folder, none).cache()
     assert seen.count() == 3 and logs.new_files(spark, folder, seen).count() == 0
+
+
+def test_report_and_exit_codes(spark, log, tmp_path):
+    found = logs.Star(log)
+    rows = logs.report(found, spark.createDataFrame([("Brand#9",)], "model string"))
+    got = {(r.kind, r.name): r.n for r in rows.collect()}
+    assert got["size", "files"] == 3 and got["size", "all_prompts"] == 3 and got["size", "usage_records"] - got["size", "duplicates"] == 7
+    assert got["unpriced", "Brand#3"] == got["model", "Brand#3"] and got["warning", "unpriced_models"] == 1
+    assert got["warning", "invalid_lines"] == 2 and got["warning", "unknown_types"] == 1 and ("warning", "no_prompts") not in got
+    assert (logs.exit_code(rows), logs.exit_code(rows, strict=True)) == (0, 1)
+    (tmp_path / "a.jsonl").write_text('{"type": "system", "sessionId": "s"}\n')
+    silent = logs.report(logs.Star(logs.read(spark, str(tmp_path)).checkpointed()))
+    assert {(r.name, r.n) for r in silent.where("kind = 'warning'").collect()} == {("no_prompts", 1)} and logs.exit_code(silent) == 1
+
+
+def test_ranges_and_clipped_texts(spark):
+    from tidemark.functions.text import clipped
+    from tidemark.operators.trends import granularity
+
+    days = spark.createDataFrame([("2026-01-01", "2026-02-01"), ("2026-01-01", "2026-02-02"), ("2026-01-01", "2026-07-03"), ("2026-01-01", "2026-07-04")], "a string, b string")
+    assert [r[0] for r in days.select(granularity(F.col("a"), F.col("b"))).collect()] == ["day", "week", "week", "month"]
+    texts = spark.createDataFrame([(None,), (" a\n\tb  c ",), ("x" * 101,), ("y " * 60,)], "t string")
+    assert [r[0] for r in texts.select(clipped(F.col("t"), 100)).collect()] == ["", "a b c", "x" * 100 + "…", ("y " * 50) + "…"]

@@ -251,7 +251,13 @@ def logged(f: Callable[[logs.Star], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(logs.Star(loglines.parsed(spark, sf_dir)))
 
 
+def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model")).where(~F.endswith("model", F.lit("7"))).distinct()
+    return logs.report(logs.Star(loglines.parsed(spark, sf_dir)), priced)
+
+
 LOGS: dict[str, Query] = {
+    "log_report": log_report,
     "log_quality": logged(lambda s: logs.quality(s.log)),
     "log_events": logged(lambda s: loglines.event_table(s.log)),
     "log_prompts": logged(lambda s: s.prompt_rows),

@@ -90,12 +90,30 @@ TOKEN_COLUMNS = {
 }
 KIND = "case when t in ('purchase', 'click') then 'user' when t in ('view', 'signup') then 'assistant' when i % 5 = 1 then 'attachment' when i % 5 = 2 then 'mode' when i % 5 = 3 then 'odd' || i % 3 else 'system' end"
 
-SQL = {
-    "log_quality": LOG + f"""
+QUALITY = f"""
 select 'lines' as kind, case when invalid then 'invalid' else 'valid' end as name, count(*) as n from lines group by 1, 2
 union all select 'unknown_type', {KIND}, count(*) from ev where {KIND} like 'odd%' group by 1, 2
 union all select 'filtered', skip, count(*) from ev where skip is not null group by 1, 2
-union all select 'version', (i % 3)::varchar, count(*) from ev where named group by 1, 2""",
+union all select 'version', (i % 3)::varchar, count(*) from ev where named group by 1, 2"""
+
+SQL = {
+    "log_quality": LOG + QUALITY,
+    "log_report": LOG + f""",
+models as (select model as name, count(*) as n from requests where model <> '<synthetic>' group by 1),
+unpriced as (select * from models where name not in (select p_brand from part where p_brand not like '%7')),
+sizes as (
+  select 'files' as name, count(distinct file) as n from lines
+  union all select 'sessions', count(*) from (select session_id from ev where cwd <> '' and session_id in (select session_id from active) group by session_id)
+  union all select 'all_prompts', count(*) from all_prompts union all select 'prompts', count(*) from prompts
+  union all select 'usage_records', count(*) from inputs union all select 'duplicates', (select count(*) from inputs) - (select count(*) from unique_usage)
+  union all select 'tokens', count(*) from (select session_id, prompt_id, model, token_type, is_sidechain from (
+    {" union all ".join(f"select session_id, prompt_id, model, is_sidechain, '{k}' as token_type, {c} as n from requests" for k, c in TOKEN_COLUMNS.items())}) where n <> 0 group by all)
+  union all select 'requests', count(*) from requests),
+warned as (
+  select 'invalid_lines' as name, count(*) as n from lines where invalid union all select 'unknown_types', count(distinct {KIND}) from ev where {KIND} like 'odd%'
+  union all select 'unpriced_models', count(*) from unpriced union all select 'no_prompts', case when (select count(*) from all_prompts) = 0 then count(distinct file) else 0 end from lines)
+select * from ({QUALITY}) union all select 'model', name, n from models union all select 'unpriced', name, n from unpriced
+union all select 'size', name, n from sizes union all select 'warning', name, n from warned where n > 0""",
     "log_events": LOG + f"""
 select file, line, {KIND} as type, coalesce(skip, '') as skip, is_prompt::integer as is_prompt, prompt_id, post_compact::integer as post_compact, mode, cwd from chained""",
     "log_prompts": LOG + """,

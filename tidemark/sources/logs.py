@@ -231,9 +231,8 @@ def prompts_of(log: Log) -> DataFrame:
     return first_of(rows, ["prompt_id"])
 
 
-def usage_of(log: Log) -> DataFrame:
-    """Assistant lines with their counts, prose and code tokens, deduplicated: of lines with one key the largest snapshot,
-    the first of equals; lines without any key all stay."""
+def usage_rows(log: Log) -> DataFrame:
+    """Assistant lines with their counts, prose and code tokens, and the key that their snapshots share."""
     m, u = F.col("message"), get(F.col("message"), "$.usage", "variant")
     split5, split1, legacy = count(u, "$.cache_creation.ephemeral_5m_input_tokens"), count(u, "$.cache_creation.ephemeral_1h_input_tokens"), count(u, "$.cache_creation_input_tokens")
     server = F.map_filter(F.coalesce(F.try_variant_get(u, "$.server_tool_use", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, _: F.endswith(k, F.lit("_requests")))
@@ -249,7 +248,12 @@ def usage_of(log: Log) -> DataFrame:
         calls.alias("server_tool_use"), count_tokens(F.col("text")).alias("prose"), count_tokens(F.array_join(inputs, "\n")).alias("code"), F.exists(uses, lambda b: b["id"] != "").alias("acts"),
     )
     total = sum((F.col(t) for t in TOKEN_TYPES), F.lit(0))
-    rows = rows.withColumn("size", total).where((F.col("size") > 0) | F.col("acts") | (F.col("key") != ""))
+    return rows.withColumn("size", total).where((F.col("size") > 0) | F.col("acts") | (F.col("key") != ""))
+
+
+def usage_of(log: Log) -> DataFrame:
+    """``usage_rows`` deduplicated: of lines with one key the largest snapshot, the first of equals; lines without any key all stay."""
+    rows = usage_rows(log)
     largest = Window.partitionBy("key").orderBy(F.desc("size"), *arrival())
     kept = rows.where(F.col("key") != "").withColumn("_n", F.row_number().over(largest)).where(F.col("_n") == 1).drop("_n")
     return kept.unionByName(rows.where(F.col("key") == ""))
@@ -396,6 +400,39 @@ def quality(log: Log) -> DataFrame:
     return lines.unionByName(unknown).unionByName(skipped).unionByName(versions)
 
 
+def report(found: Star, priced: DataFrame | None = None) -> DataFrame:
+    """(kind, name, n): what ``quality`` has, the sizes of what came out, requests by model, models without a price (``priced`` has
+    the models, as column model, that have one), and warnings: lines that are no JSON objects, unknown types, unpriced models, and files without
+    any prompt, which is a sign that the format has changed. A warning is a row only where there is something to warn of."""
+    one = lambda rows, kind, name, n=F.count("*"): rows.agg(n.alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # noqa: E731, B008
+    raw = usage_rows(found.log)
+    models = found.requests.where((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL)).groupBy(F.col("model").alias("name")).agg(F.count("*").alias("n"))
+    unpriced = models.limit(0) if priced is None else models.join(priced.select(F.col("model").alias("name")), "name", "left_anti")
+    files = one(found.log.lines.select("file").distinct(), "size", "files")
+    unknown = found.log.events.where(~F.col("type").isin(*KNOWN_TYPES)).select("type").distinct()
+    sizes = [
+        files, one(found.sessions, "size", "sessions"), one(found.all_prompts, "size", "all_prompts"), one(found.prompts, "size", "prompts"), one(raw, "size", "usage_records"),
+        one(raw, "size", "duplicates", F.count_if(F.col("key") != "") - F.count_distinct(F.nullif("key", F.lit("")))), one(found.tokens, "size", "tokens"), one(found.requests, "size", "requests"),
+    ]
+    silent = files.crossJoin(found.all_prompts.agg(F.count("*").alias("p")))  # one row each
+    warnings = [
+        one(found.log.lines.where("invalid"), "warning", "invalid_lines"), one(unknown, "warning", "unknown_types"), one(unpriced, "warning", "unpriced_models"),
+        silent.select(F.lit("warning").alias("kind"), F.lit("no_prompts").alias("name"), F.when(F.col("p") == 0, F.col("n")).otherwise(0).cast("long").alias("n")),
+    ]
+    out = quality(found.log).unionByName(models.select(F.lit("model").alias("kind"), "name", "n")).unionByName(unpriced.select(F.lit("unpriced").alias("kind"), "name", "n"))
+    for x in sizes:
+        out = out.unionByName(x)
+    for x in warnings:
+        out = out.unionByName(x.where(F.col("n") > 0))
+    return out
+
+
+def exit_code(rows: DataFrame, strict: bool = False) -> int:
+    """1 for a report of files without any prompt, and with ``strict`` for any warning; else 0."""
+    bad = (F.col("kind") == "warning") & (F.lit(strict) | (F.col("name") == "no_prompts"))
+    return int(not rows.where(bad).isEmpty())
+
+
 @dataclass(frozen=True)
 class Star:
     """The star schema's tables of a log, each made when it is asked for.
