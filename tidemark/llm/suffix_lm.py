@@ -43,7 +43,7 @@ from tidemark.llm.common import cut, shared_folder
 
 LEAST = 4
 DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
-BLOCK_TOKENS = 3 << 19
+BLOCK_TOKENS = 1 << 20
 #: Blocks get their probabilities in so many rounds, so that what they ask and are told needs that part of the disk.
 ROUNDS = 2
 END = b""  # no word is empty
@@ -423,12 +423,12 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
 
     def wanted(tokens, words, lengths):
         ends = sequences(words[tokens], depth + 1)
-        return ends, np.unique(np.concatenate([x[lengths > i] for i, x in enumerate(ends)]))
+        return ends, np.unique(np.concatenate([np.unique(x[lengths > i]) for i, x in enumerate(ends)]))
 
     def ask(batches):
         for batch in batches:
             for block, *data in each(batch, batch.schema.names):
-                _, keys = wanted(*map(unpacked, data))
+                keys = wanted(*map(unpacked, data))[1]
                 some = ranges(keys, buckets)
                 columns = [
                     pa.array([b for b, *_ in some], pa.int32()), pa.array([block] * len(some), pa.int64()),
