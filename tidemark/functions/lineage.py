@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only on a local master whose session names no spark.checkpoint.dir, as in tests.
@@ -29,3 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Written:
+    """Cuts as Parquet in a folder of its own below the shared one. A checkpoint keeps its plan's size estimate, which multiplies
+    join by join; files have their real size, so many rounds of joins stay cheap to plan. ``close`` removes the folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.folder, self.count = f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def close(self, spark: SparkSession) -> None:
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import intent
-from tidemark.operators import apportion, audit, chains, content, explore, filters, pricing, semantic, tasks, totals, trends
+from tidemark.operators import apportion, audit, chains, content, density, explore, filters, pricing, semantic, tasks, totals, trends
 from tidemark.plans import loglines, oracle_content, oracle_explore, oracle_logs, oracle_usage
 from tidemark.plans.adapter import element_rows, events_dataset, orders_dataset, todo_rows
 from tidemark.plans.dataset import Dataset
@@ -190,6 +190,13 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density cluster of each vector with its label, as an audit tabulates them; SQL has no such hierarchy."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = density.density_clusters(vectors, "vec_id", "embedding")
+    return found.join(vectors.select("vec_id", "label"), found["id"] == vectors["vec_id"]).select("vec_id", "label", "cluster")
+
+
 #: The categories whose prototypes the queries take from the table, four vectors for each.
 PROTOTYPED = ("debug", "docs", "plan", "test")
 
@@ -240,6 +247,7 @@ AUDIT: dict[str, Query] = {
     "top_terms": lambda spark, sf_dir: audit.top_terms(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text"), "label", "text"),
     "representatives": lambda spark, sf_dir: audit.representatives(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"),
     "intents": intents,
+    "clusters": clusters,
     "semantic_labels": semantic_labels,
     "calibration": calibration,
     "label_divergences": orders(label_divergences),
