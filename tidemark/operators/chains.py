@@ -144,6 +144,12 @@ def session_overhead(ds: Dataset, provider: str) -> DataFrame:
     )
 
 
+def overhead_notes(ds: Dataset, provider: str) -> DataFrame:
+    """(median_tokens, p10_tokens, p90_tokens): what sessions' first requests send, in one row; of nulls without any."""
+    found = quantiles(first_requests(ds, provider), [], "context", {"median_tokens": 0.5}, {"p10_tokens": 0.1, "p90_tokens": 0.9})
+    return found.select(*(F.floor(n).cast("long").alias(n) for n in ("median_tokens", "p10_tokens", "p90_tokens")))
+
+
 def baseline(ds: Dataset, provider: str) -> DataFrame:
     """(baseline): median context after compactions, else of first requests, else a constant."""
     median = lambda rows, name: quantiles(rows, [], "context", {name: 0.5}).select(F.floor(name).alias(name))

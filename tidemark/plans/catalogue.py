@@ -65,6 +65,7 @@ CHAINS: dict[str, Query] = {
     "ttl_losses": events(lambda d: chains.ttl_losses(d, FIRST)),
     "compactions": events(lambda d: chains.compactions(d, FIRST)),
     "session_overhead": events(lambda d: chains.session_overhead(d, FIRST)),
+    "overhead_notes": events(lambda d: chains.overhead_notes(d, FIRST)),
     "recommendations": events(lambda d: chains.recommendations(d, FIRST, min_prompts=8, compact_at=4)),
     "cost_boxes": orders(lambda d: chains.cost_boxes(d.with_(prompts=d.prompts.withColumn("model", F.coalesce("model", F.lit("")))), FIRST, "model")),
     "depth_quantiles": orders(chains.depth_quantiles),
@@ -95,6 +96,7 @@ CONTENT: dict[str, Query] = {
     "by_context": orders(lambda d: content.by_context(d, FIRST)),
     "by_file": orders(lambda d: content.by_file(d, FIRST)),
     "by_file_project": orders(lambda d: content.by_file(d, FIRST, by_project=True)),
+    "file_nodes": orders(lambda d: content.file_graph(d, FIRST)[0]),
     "file_graph": orders(lambda d: content.file_graph(d, FIRST)[1]),
     "context_pareto": orders(lambda d: content.context_pareto(d, FIRST)),
     "tasks": lambda spark, sf_dir: with_tasks(spark, sf_dir).tasks,

@@ -146,6 +146,7 @@ select sum(prose)::bigint as prose_tokens, sum(code)::bigint as code_tokens, {us
     "by_context": ORDERS + f", {CONTEXT}, {BY_CONTEXT}",
     "by_file": ORDERS + f", {FILES} {files('path')}",
     "by_file_project": ORDERS + f", {FILES} {files('project, path')}",
+    "file_nodes": ORDERS + f""", {FILES}, listed as ({files("path")}) select * from listed order by context_usd desc, lines_added + lines_deleted desc, path limit 20""",
     "file_graph": ORDERS + f""", {FILES}, listed as ({files("path")}), files as (select * from listed order by context_usd desc, lines_added + lines_deleted desc, path limit 20)
 select o.prompt_id, path, coalesce(nullif(category, ''), '(uncategorized)') as category, sum(lines_added + lines_deleted)::bigint as churn
 from output_files o left join categories c on o.prompt_id = c.prompt_id where path in (select path from files) group by 1, 2, 3""",

@@ -206,6 +206,10 @@ select timestamp, c.session_id, coalesce(project, '') as project, before_context
     "session_overhead": EVENTS + f""", {FIRST}
 select substr(coalesce(nullif(prompt_timestamp, ''), timestamp), 1, 10) as started, f.session_id, coalesce(project, '') as project, model, context as overhead_tokens, writes as cache_write_tokens, {usd("units")} as first_request_cost_usd
 from firsts f left join sessions s on f.session_id = s.session_id""",
+    "overhead_notes": EVENTS + f""", {FIRST}
+select floor(quantile_cont(context, 0.5))::bigint as median_tokens,
+       (array_agg(context order by context))[round_even((count(context) - 1) * 0.1, 0)::bigint + 1]::bigint as p10_tokens,
+       (array_agg(context order by context))[round_even((count(context) - 1) * 0.9, 0)::bigint + 1]::bigint as p90_tokens from firsts where context is not null""",
     "recommendations": EVENTS + f""", {COMPACTED}, {FIRST},
 base as (select coalesce((select floor(quantile_cont(context, 0.5)) from compacted), (select floor(quantile_cont(context, 0.5)) from firsts), 20000)::bigint as baseline),
 long as (select session_id, count(*) as prompts from prompts group by 1 having count(*) > 8),
