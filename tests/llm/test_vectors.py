@@ -104,6 +104,21 @@ def test_nearest_prunes_lists_and_replicates_boundaries(spark, monkeypatch):
         assert figures["lists"] >= 60 and figures["share"] < 0.2 and figures["copies"] > 1.1
 
 
+def test_nearest_has_recall_on_groups_with_outliers_and_on_uneven_norms(spark):
+    r, n = np.random.default_rng(0), 10_000
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    loose = unit(r.normal(size=(n, 64)))
+    tight = unit(r.normal(size=(20, 64))[r.integers(0, 20, n // 2)] + 0.01 * r.normal(size=(n // 2, 64)))
+    for table in (np.concatenate((tight, loose[: n // 2])), loose * np.exp(r.normal(size=(n, 1)))):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+        got, hits = collected(ann.search(frame, F.col("vec_id") % 20 == 0, 20)), []
+        for q in range(0, n, 20):
+            scores = table @ table[q]
+            scores[q] = -np.inf
+            hits.append(np.mean([s >= np.partition(scores, n - 20)[n - 20] - 1e-12 for _, s in got[q]]))
+        assert len(got) == n // 20 and np.mean(hits) >= 0.9
+
+
 def test_lists_are_balanced():
     r = np.random.default_rng(1)
     x = np.concatenate((r.normal(size=(1800, 8)) * 0.2, r.normal(size=(200, 8)) + 4)).astype(np.float32)

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product with balanced posting lists (operator 1).
 
 Inner products become distances by one more component: with M the largest norm, a vector gets sqrt(M² - |v|²) and a
-query 0, so that the nearest vector has the largest inner product.
+query 0, so that the nearest vector has the largest inner product. Both less M, so that one long vector doesn't take the
+precision of all others. A query is scaled to the norm M, which leaves its order of vectors and makes its distances comparable to others'.
 
 * Centroids come from k-means whose assignment charges a list for the rows it has beyond the average, so that lists are
   balanced. Up to ``FLAT`` lists are fitted on a sample of ``SAMPLE`` rows; beyond that the sample gives cells, and each
@@ -9,10 +10,11 @@ query 0, so that the nearest vector has the largest inner product.
   table, up to ``MOST_LISTS``. Every row is indexed.
 * A vector goes to its nearest centroid's list and, where it lies near a boundary, to up to ``REPLICAS`` lists: those whose
   centroid is nearly as near and, in relation to the vector, far enough from those already chosen.
-* A query walks a neighbour graph of the centroids in memory, from the nearest of some lists spread over all, and selects the lists whose centroids lie within a ratio of
+* A query walks a neighbour graph of the centroids in memory, from some lists spread over all, and selects the lists whose centroids lie within a ratio of
   the ``LISTS_LEAST``-th nearest one's distance (the nearest may be its own copies' centroid). The ratio is the smallest that finds the share ``recall`` of the neighbours of ``ASKED`` rows in a
   sample that the index wasn't fitted on, at the same radius as k neighbours have in the whole table; so vectors in groups need few lists and vectors
-  without structure more. There are at least ``LISTS_LEAST`` lists, and as many as hold k candidates besides the query.
+  without structure more. There are at least ``LISTS_LEAST`` lists, and as many as hold k candidates besides the query. Edges go both
+  ways, since there are lists that are among the nearest of none. Many queries walk at once, all lists within their reach in one step.
 * Lists are dealt to shards of about ``SHARD_ROWS`` rows, a list beyond ``LIST_MOST`` rows in parts. Postings are shuffled
   once; only a shard that more than ``QUERY_ROWS`` queries ask for is copied, once for each so many. A shard passes on each
   query's best ``k``, so nothing larger meets in the final ranking.
@@ -25,7 +27,6 @@ integers; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ LIST_ROWS, FLAT, MOST_LISTS, LIST_MOST = 16, 4096, 65_536, 2048
 REPLICAS, NEAR, APART, DEGREE = 2, 1.2, 0.4, 24
 RECALL, LISTS_LEAST, ASKED = 0.955, 4, 512
 SHARD_ROWS, QUERY_ROWS = 16_384, 4096
-CELLS_NEAR, ENTRIES, CHUNK = 4, 16, 2048
+CELLS_NEAR, CHUNK, WALKED, SPARE = 4, 2048, 1 << 20, 1
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -76,7 +77,8 @@ class Index:
     cells: np.ndarray  # float32, with the added component
     starts: np.ndarray  # where each cell's lists begin
     centroids: np.ndarray  # float32, cell by cell
-    graph: np.ndarray  # the DEGREE nearest centroids of each, and the next one
+    graph: np.ndarray  # the DEGREE nearest centroids of each, the next one and all that name it as such, one after another
+    ends: np.ndarray  # where each centroid's neighbours begin and end in the graph
     gates: np.ndarray  # lists spread over all, where walks begin
     norm: float
 
@@ -84,7 +86,7 @@ class Index:
     def of(cells: np.ndarray, parts: list[np.ndarray], norm: float) -> Index:
         starts = np.cumsum([0, *map(len, parts)])
         none = np.zeros((0, 0), np.int32)
-        index = Index(cells, starts, np.concatenate(parts), none, none, norm)
+        index = Index(cells, starts, np.concatenate(parts), none, none, none, norm)
         lists = len(index.centroids)
         centres = balanced(index.centroids, int(4 * np.sqrt(lists)), rounds=4)
         index.gates = np.unique(np.concatenate([squared(centres[i : i + CHUNK], index.centroids).argmin(1) for i in range(0, len(centres), CHUNK)]))
@@ -97,15 +99,25 @@ class Index:
             own[~own.any(1), -1] = True
             graph[at : at + CHUNK] = ids[~own].reshape(len(ids), degree)
         ring = np.roll(np.arange(lists, dtype=np.int32), -1)[:, None]  # keeps the graph in one piece
-        index.graph = np.concatenate((graph, ring), axis=1)
+        to = np.concatenate((graph, ring), axis=1)
+        pair = np.repeat(np.arange(lists, dtype=np.int64), to.shape[1]) * lists + to.ravel()
+        pair = np.unique(np.concatenate((pair, pair % lists * lists + pair // lists)))
+        index.graph, index.ends = (pair % lists).astype(np.int32), np.searchsorted(pair, np.arange(lists + 1) * lists)
         return index
 
     def entries(self, vectors: np.ndarray) -> np.ndarray:
         """``vectors`` with the component that turns inner products into distances."""
         vectors = vectors.astype(np.float64)
-        rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
+        length = np.einsum("ij,ij->i", vectors, vectors)
+        rest = -length / (np.sqrt(np.maximum(self.norm**2 - length, 0)) + self.norm)
         return np.concatenate((vectors, rest[:, None]), axis=1).astype(np.float32)
 
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """``queries`` at the norm of the longest vector, with their added component."""
+        queries = queries / np.abs(queries).max(1, keepdims=True)
+        queries *= self.norm / np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+        return np.concatenate((queries, np.full((len(queries), 1), -self.norm)), axis=1)
+
     def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each entry the ``most`` nearest lists and their distances, looked for in the nearest cells."""
         ids, best = np.full((len(x), most), -1, np.int32), np.full((len(x), most), np.inf, np.float32)
@@ -136,41 +148,55 @@ class Index:
         rows, places = np.nonzero(chosen)
         return rows, near[rows, places]
 
-    def select(self, query: np.ndarray, ratio: float, counts: np.ndarray, least: int) -> np.ndarray:
-        """The lists whose centroids are within ``ratio`` of the ``LISTS_LEAST``-th nearest one's distance, found along the graph.
+    def select(self, queries: np.ndarray, ratio: float, counts: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each query the lists whose centroids are within ``ratio`` of the ``LISTS_LEAST``-th nearest one's distance, found along the graph.
 
         The nearest ``LISTS_LEAST`` come in any case, and as many as have ``least`` of the ids that ``counts`` has by list.
         """
-        q = np.append(query, 0).astype(np.float32)
-        seen = np.zeros(len(self.centroids), bool)
-        ds = np.sqrt(((self.centroids[self.gates] - q) ** 2).sum(1))
-        near = np.argsort(ds, kind="stable")[:ENTRIES]
-        seen[self.gates[near]] = True
-        heap, found, nearest = list(zip(ds[near].tolist(), self.gates[near].tolist(), strict=True)), [], ds[near][:LISTS_LEAST]
-        slack = held = 0
-        reach = float(nearest[-1]) * ratio if len(nearest) == LISTS_LEAST else np.inf
-        while heap:
-            d, at = heapq.heappop(heap)
-            if d > reach:
-                slack += 1
-                if slack > DEGREE and held >= least and len(found) >= LISTS_LEAST:  # walk on a little: another basin may be behind
-                    break
-            else:
-                slack = 0
-            found.append((d, at))
-            held += int(counts[at])
-            fresh = np.unique(self.graph[at][~seen[self.graph[at]]])
-            if len(fresh):
-                seen[fresh] = True
-                ds = np.sqrt(((self.centroids[fresh] - q) ** 2).sum(1))
-                nearest = np.sort(np.concatenate((nearest, ds)))[:LISTS_LEAST]
-                if len(nearest) == LISTS_LEAST:
-                    reach = float(nearest[-1]) * ratio
-                for pair in zip(ds.tolist(), fresh.tolist(), strict=True):
-                    heapq.heappush(heap, pair)
-        found.sort()
-        before = np.cumsum([0] + [int(counts[i]) for _, i in found[:-1]])
-        return np.array([i for n, (d, i) in enumerate(found) if d <= reach or n < LISTS_LEAST or before[n] < least], np.int32)
+        out, lists = [], len(self.centroids)
+        c = self.centroids.astype(np.float64)
+        half = np.einsum("ij,ij->i", c, c)
+        step = max(1, WALKED // lists)
+        for at in range(0, len(queries), step):
+            q = self.asked(queries[at : at + step])
+            own = np.einsum("ij,ij->i", q, q)
+            d = np.full((len(q), lists), np.inf)
+            open_ = np.zeros((len(q), lists), bool)
+            d[:, self.gates] = np.maximum(own[:, None] + half[self.gates] - 2 * (q @ c[self.gates].T), 0)
+            open_[:, self.gates] = True
+            kth, going, spare = min(LISTS_LEAST, lists) - 1, np.arange(len(q)), np.zeros(len(q), np.int64)
+            while len(going):
+                near, free = d[going], open_[going]
+                reach = np.partition(near, kth, axis=1)[:, kth] * ratio**2
+                wanted = free & (near <= reach[:, None])
+                # nothing in reach is left: walk on a little, another basin may be behind, and further if too few rows are found
+                dry = ~wanted.any(1)
+                spare[going[dry]] += 1
+                dry &= free.any(1) & ((spare[going] <= SPARE) | (np.where(np.isfinite(near) & ~free, counts, 0).sum(1) < least))
+                if dry.any():
+                    rows = np.flatnonzero(dry)
+                    outside = np.where(free[rows], near[rows], np.inf)
+                    most = min(DEGREE, lists) - 1
+                    wanted[rows] = free[rows] & (outside <= np.partition(outside, most, axis=1)[:, most, None])
+                rows, nodes = np.nonzero(wanted)
+                open_[going[rows], nodes] = False
+                size = self.ends[nodes + 1] - self.ends[nodes]
+                to = self.graph[np.repeat(self.ends[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                fresh = np.zeros((len(going), lists), bool)
+                fresh[np.repeat(rows, size), to] = True
+                rows, nodes = np.nonzero(fresh & ~np.isfinite(near))
+                for i in range(0, len(rows), WALKED // 16):
+                    r, o = going[rows[i : i + WALKED // 16]], nodes[i : i + WALKED // 16]
+                    d[r, o] = np.maximum(own[r] + half[o] - 2 * np.einsum("ij,ij->i", q[r], c[o]), 0)
+                    open_[r, o] = True
+                going = going[wanted.any(1)]
+            reach = np.partition(d, kth, axis=1)[:, kth] * ratio**2
+            for near, far in zip(d, reach, strict=True):
+                found = np.flatnonzero(np.isfinite(near))
+                found = found[np.argsort(near[found], kind="stable")]
+                before = np.cumsum(counts[found]) - counts[found]
+                out.append(found[(near[found] <= far) | (np.arange(len(found)) < LISTS_LEAST) | (before < least)].astype(np.int32))
+        return out
 
 
 def calibrated(index: Index, sample: np.ndarray, near: int, recall: float) -> float:
@@ -184,7 +210,7 @@ def calibrated(index: Index, sample: np.ndarray, near: int, recall: float) -> fl
         scores = x @ q
         scores[(x == q).all(1)] = -np.inf
         top = np.argsort(-scores, kind="stable")[: min(near, len(x) - 1)]
-        d = np.sqrt(squared(np.append(q, 0).astype(np.float32)[None], index.centroids))[0]
+        d = np.sqrt(squared(index.asked(q[None]), index.centroids.astype(np.float64)))[0]
         each = np.full(len(x), np.inf)
         np.minimum.at(each, rows, d[lists])
         needed.append(each[top] / max(float(np.sort(d)[: LISTS_LEAST][-1]), 1e-12))
@@ -245,13 +271,13 @@ def build(rows: DataFrame, n: int, width: int, norm: float, list_rows: int) -> t
     sample, rest = matrix(drawn["v"], width)[fitted], matrix(drawn["v"], width)[~fitted]
     rest = rest if len(rest) >= SAMPLE // 4 else np.concatenate((sample, rest))
     lists = max(1, min(MOST_LISTS, -(-n // list_rows)))
-    empty = Index(*[np.zeros((0, 0), np.float32)] * 5, norm)
+    empty = Index(*[np.zeros((0, 0), np.float32)] * 6, norm)
     entries = empty.entries(sample)
     if lists <= FLAT:
         found = balanced(entries, lists)
         return Index.of(found.mean(0, keepdims=True), [found], norm), rest
     cells = balanced(entries, int(np.sqrt(lists)))
-    shared = rows.sparkSession.sparkContext.broadcast(Index(cells, np.arange(len(cells) + 1), cells, empty.graph, empty.gates, norm))
+    shared = rows.sparkSession.sparkContext.broadcast(Index(cells, np.arange(len(cells) + 1), cells, empty.graph, empty.ends, empty.gates, norm))
 
     def place_in(batches):
         for batch in batches:
@@ -339,8 +365,7 @@ def probed(
         sizes, counts, parts, first, shard_of = plan.value
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for i, q in enumerate(matrix(batch.column("v"), width)):
-                found = shared.value.select(q, ratio, counts, k + 1)
+            for i, found in enumerate(shared.value.select(matrix(batch.column("v"), width), ratio, counts, k + 1)):
                 found = np.sort(found[sizes[found] > 0])
                 unit = np.concatenate([np.arange(first[x], first[x] + parts[x]) for x in found]) if len(found) else np.array([], np.int64)
                 named, at = np.repeat(found, parts[found]), shard_of[unit]
