@@ -59,6 +59,11 @@ def test_intents_equal_the_same_rules_in_python(spark):
         assert found[i][1] == pytest.approx(1 - 0.4 ** sum(bool(re.search(p, t or "", re.I)) for p in ops))
 
 
+def test_an_intent_names_each_pattern_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(text.intent(F.col("t")).alias("i"))._jdf.queryExecution().analyzed().expressions().head().sql()
+    assert 0 < plan.count("RLIKE") <= sum(len(p) for _, _, p in INTENTS) + 2
+
+
 def test_small_text_functions(spark):
     assert one(spark, "a\r\nb", text.preview) == "a  b" and one(spark, "=1", text.escape_formula) == "'=1" and one(spark, None, text.preview) == ""
     assert [one(spark, n, text.abbreviated, "long") for n in (12, 1234, 5_600_000, 1_010_000_000)] == ["12", "1.2k", "5.6M", "1.01G"]

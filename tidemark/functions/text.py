@@ -5,6 +5,8 @@ Java's regular expressions need (?U) for classes, word boundaries and case foldi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,13 +75,20 @@ def intent(raw: Column) -> Column:
     Notes go first. Nothing but a notification is that; a short text of acknowledging words is a follow-up; else the
     highest score wins, and without any a final question mark decides.
     """
-    text = without_notes(raw)
-    scores = intent_scores(text)
-    best, winner = F.greatest(*scores.values()), F
-    for name in INTENT_ORDER:
-        winner = winner.when(scores[name] == best, name)
-    plain = F.when(stripped(text).endswith("?"), QUESTION).otherwise(OTHER)
-    return F.when(is_notification(raw), NOTIFICATION).when(is_acknowledgement(raw), FOLLOWUP).when(best > 0, winner).otherwise(plain)
+    def of(text: Column) -> Column:
+        return bound(F.array(*intent_scores(text).values()), lambda scores: winner(text, scores))
+
+    def winner(text: Column, scores: Column) -> Column:
+        best = F.array_max(scores)
+        names = F.array(*map(F.lit, INTENT_ORDER))
+        return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int"))).when(stripped(text).endswith("?"), QUESTION).otherwise(OTHER)
+
+    return F.when(is_notification(raw), NOTIFICATION).when(is_acknowledgement(raw), FOLLOWUP).otherwise(bound(without_notes(raw), of))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which stands in the expression once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def lexical_evidence(text: Column, name: str) -> Column:
