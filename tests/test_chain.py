@@ -35,6 +35,21 @@ def test_chains_equal_a_walk(spark):
     assert logs.with_chain(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_chains_across_blocks_equal_a_walk_without_rounds_within_a_block(spark, monkeypatch):
+    r = random.Random(2)
+    rows = []
+    for line in range(1, 400):
+        is_prompt = r.random() < 0.03
+        rows.append((r.choice("fg"), line, r.choice(["", f"u{line}", f"u{line}", f"u{r.randint(1, line)}"]), r.choice(["", f"u{r.randint(1, 420)}", f"u{max(1, line - 1)}"]), f"p{line}" if is_prompt else "", is_prompt, None if is_prompt else r.choice([None, None, "compact_continuation"])))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for block in (7, 64, 1000):
+        monkeypatch.setattr(logs, "BLOCK", block)
+        got = logs.with_chain(frame).collect()
+        assert {(x.file, x.line): (x.prompt_id, x.post_compact) for x in got} == walk(rows) and len(got) == len(rows)
+    monkeypatch.setattr(logs, "parent_lines", None)  # one block needs no joins of parents
+    assert logs.with_chain(frame).count() == len(rows)
+
+
 def test_a_million_events_in_one_file(spark):
     n = 1_000_000
     line = (F.col("id") + 1).cast("int")

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import difflib
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.lineage import cut
+from tidemark.functions.lineage import Written, cut
 from tidemark.functions.paths import kind_of, language_of, project_name, relative
 from tidemark.functions.text import count_tokens, preview
 from tidemark.operators.filters import in_window
@@ -76,9 +78,8 @@ class Log:
     sessions: DataFrame
 
     def checkpointed(self) -> Log:
-        """The same log, parsed once and checkpointed."""
-        events = cut(self.events)
-        return Log(lines=cut(self.lines.select("file", "line", "invalid")), events=events, sessions=cut(session_rows(events)))
+        """The same log with its files' sessions checkpointed; lines and events are written when they are parsed."""
+        return Log(lines=self.lines, events=self.events, sessions=cut(self.sessions))
 
     def landed(self, folder: str) -> Log:
         """The same log, parsed once: its lines' validity and events are written below ``folder``, which all executors
@@ -121,10 +122,11 @@ def read(spark: SparkSession, path: str) -> Log:
 def parse(lines: DataFrame) -> Log:
     """``lines`` (file, line, text) as events with their prompt and whether they follow a compaction."""
     value = F.try_parse_json("text")
-    rows = lines.withColumn("v", F.when(F.schema_of_variant(value).startswith("OBJECT"), value))
+    rows = lines.withColumn("v", value)
+    rows = rows.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
     v, content = F.col("v"), F.col("content")
-    events = rows.where(v.isNotNull()).select(
-        "file", "line", text_of(v, "$.type").alias("type"), text_of(v, "$.uuid").alias("uuid"), text_of(v, "$.parentUuid").alias("parent"),
+    events = rows.select(
+        "file", "line", v.isNull().alias("invalid"), text_of(v, "$.type").alias("type"), text_of(v, "$.uuid").alias("uuid"), text_of(v, "$.parentUuid").alias("parent"),
         text_of(v, "$.sessionId").alias("own_session"), text_of(v, "$.timestamp").alias("timestamp"), text_of(v, "$.cwd").alias("cwd"), text_of(v, "$.gitBranch").alias("git_branch"),
         text_of(v, "$.version").alias("version"), text_of(v, "$.entrypoint").alias("entrypoint"), text_of(v, "$.promptId").alias("own_prompt"), text_of(v, "$.requestId").alias("request_id"),
         flag(v, "$.isSidechain").alias("is_sidechain"), flag(v, "$.isMeta").alias("is_meta"), flag(v, "$.isCompactSummary").alias("is_summary"), text_of(v, "$.mode").alias("mode"),
@@ -142,7 +144,10 @@ def parse(lines: DataFrame) -> Log:
     human = (F.col("type") == "user") & ~blank
     events = events.withColumn("skip", F.when(human, skip_reason())).withColumn("human", human)
     events = events.withColumn("is_prompt", human & F.col("skip").isNull())
-    return Log(lines=rows.withColumn("invalid", v.isNull()), events=with_chain(events), sessions=session_rows(events))
+    # parsed once; what follows reads the columns it needs
+    read = Written(lines.sparkSession)(events)
+    events = read.where(~F.col("invalid")).drop("invalid")
+    return Log(lines=read.select("file", "line", "invalid"), events=with_chain(events), sessions=session_rows(events))
 
 
 def skip_reason() -> Column:
@@ -174,26 +179,74 @@ def with_chain(events: DataFrame) -> DataFrame:
     """``events`` with ``prompt_id`` and ``post_compact``, each taken from the parent where an event has none of its own.
 
     A continuation of a compacted session marks what descends from it, until the next real prompt. Both are values of the
-    nearest ancestor that has one. Every event points to its parent; in each round an event without a value takes that of
-    the event it points to and points where that one does, so a chain of d events takes log2(d) joins, and events that have
-    both values take part no more.
+    nearest ancestor that has one. A file is followed line by line in blocks of ``BLOCK`` lines, with the ids of one block in memory.
+    A line whose parent isn't in its block is a gate: what descends from it takes what comes through the gate (``through``).
     """
     continues = F.coalesce("skip", F.lit("")) == "compact_continuation"
     mark = F.when(F.col("uuid") == "", F.lit(None)).when(continues, F.lit(True)).when(F.col("is_prompt"), F.lit(False))
-    links = cut(events.select("file", "line", "uuid", "parent", F.nullif("own_prompt", F.lit("")).alias("prompt"), mark.alias("mark")))
-    parents = cut(parent_lines(links))
+    links = events.select("file", "line", F.floor(F.col("line") / BLOCK).alias("block"), "uuid", "parent", F.nullif("own_prompt", F.lit("")).alias("prompt"), mark.alias("mark"))
+    dealt = links.repartition("file", "block").sortWithinPartitions("file", "line")
+    found = Written(events.sparkSession)(dealt.mapInArrow(follow, "file string, line int, uuid string, parent string, prompt string, mark boolean, after boolean, gate int"))
+    gates = found.where(F.col("gate") == F.col("line"))
+    if gates.isEmpty():
+        chain = found.select(F.col("file").alias("_file"), F.col("line").alias("_line"), "prompt", "after")
+    else:
+        come = through(found, gates).select(F.col("file").alias("_f"), F.col("line").alias("_g"), F.col("prompt").alias("_prompt"), F.col("mark").alias("_mark"))
+        chain = found.join(come, (F.col("file") == F.col("_f")) & (F.col("gate") == F.col("_g")), "left")
+        chain = chain.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.coalesce("prompt", "_prompt").alias("prompt"), F.coalesce("after", "_mark").alias("after"))
+    joined = events.join(chain, (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_line")))
+    return joined.withColumns({"prompt_id": F.coalesce("prompt", F.lit("")), "post_compact": F.coalesce("after", F.lit(False))}).drop("_file", "_line", "prompt", "after")
+
+
+#: Lines of a file whose ids are in memory together.
+BLOCK = 65_536
+
+
+def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines in order of file and line: the prompt and mark that hold for each within its block, the parent's mark, and the gate."""
+    here, known = None, {}
+    for batch in batches:
+        prompts, marks, afters, gates = [], [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("file", "line", "block", "uuid", "parent", "prompt", "mark")]
+        for file, line, block, uuid, parent, prompt, mark in zip(*columns, strict=True):
+            if here != (file, block):
+                here, known = (file, block), {}
+            above = known.get(parent) if parent else None
+            after = gate = None
+            if above is not None:
+                after, gate = above[1], above[2]
+                prompt = above[0] if prompt is None else prompt
+                mark = after if mark is None else mark
+            elif parent and block:
+                gate = line
+            if uuid:
+                known[uuid] = (prompt, mark, gate)
+            for out, x in zip((prompts, marks, afters, gates), (prompt, mark, after, gate), strict=True):
+                out.append(x)
+        made = [pa.array(prompts, pa.string()), pa.array(marks, pa.bool_()), pa.array(afters, pa.bool_()), pa.array(gates, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*batch.select(["file", "line", "uuid", "parent"]).columns, *made], names=["file", "line", "uuid", "parent", "prompt", "mark", "after", "gate"])
+
+
+def through(found: DataFrame, gates: DataFrame) -> DataFrame:
+    """(file, line, prompt, mark) of each gate: what holds for its parent in an earlier block.
+
+    A gate points to the gate of its parent; in each round one without a value takes that of the gate it points to and points
+    where that one does, so a chain over d blocks takes log2(d) joins.
+    """
+    asked = F.when(F.col("gate") == F.col("line"), F.col("parent")).otherwise("")
+    links = found.join(gates.select("file").distinct(), "file", "left_semi").select("file", "line", "uuid", asked.alias("parent"))
+    ups = parent_lines(links).where(F.col("up").isNotNull())
+    above = found.select(F.col("file").alias("_file"), F.col("line").alias("_line"), "prompt", "mark", F.col("gate").alias("up"))
+    write = Written(found.sparkSession)
     open_ = F.col("prompt").isNull() | F.col("mark").isNull()
-    now = links.select("file", "line", "prompt", "mark").join(parents, ["file", "line"])
-    now = cut(now.withColumn("up", F.when(open_, F.col("up"))))
-    while now.where(F.col("up").isNotNull()).limit(1).count():
+    now = ups.select("file", "line", F.col("up").alias("_up")).join(above, (F.col("file") == F.col("_file")) & (F.col("_up") == F.col("_line")))
+    now = write(now.select("file", "line", "prompt", "mark", F.when(open_, F.col("up")).alias("up")))
+    while not now.where(F.col("up").isNotNull()).isEmpty():
         above = now.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("prompt").alias("_prompt"), F.col("mark").alias("_mark"), F.col("up").alias("_up"))
-        moved = now.where(F.col("up").isNotNull()).join(above, (F.col("file") == F.col("_file")) & (F.col("up") == F.col("_line")), "left")
+        moved = now.join(above, (F.col("file") == F.col("_file")) & (F.col("up") == F.col("_line")), "left")
         moved = moved.select("file", "line", F.coalesce("prompt", "_prompt").alias("prompt"), F.coalesce("mark", "_mark").alias("mark"), F.col("_up").alias("up"))
-        now = cut(now.where(F.col("up").isNull()).unionByName(moved.withColumn("up", F.when(open_, F.col("up")))))
-    marks = now.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("mark").alias("post_compact"))
-    after = parents.join(marks, (F.col("file") == F.col("_file")) & (F.col("up") == F.col("_line")), "left").select("file", "line", F.coalesce("post_compact", F.lit(False)).alias("post_compact"))
-    chain = now.select("file", "line", F.coalesce("prompt", F.lit("")).alias("prompt_id")).join(after, ["file", "line"])
-    return events.join(chain, ["file", "line"])
+        now = write(moved.withColumn("up", F.when(open_, F.col("up"))))
+    return now
 
 
 def parent_session(file: Column) -> Column:
