@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def dealt(spark: SparkSession) -> int:
+    """Partitions for rows of few bytes that take long to work on: Spark merges partitions by their bytes alone, unless their
+    number is asked for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed: what follows reads the rows that were written, whatever is lost or planned anew."""
     context = df.sparkSession.sparkContext

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.lineage import Written, cut
+from tidemark.functions.lineage import Written, cut, dealt
 from tidemark.functions.paths import kind_of, language_of, project_name, relative
 from tidemark.functions.text import count_tokens, preview
 from tidemark.operators.filters import in_window
@@ -47,25 +47,28 @@ def text_of(value: Column, path: str) -> Column:
     return F.coalesce(get(value, path), F.lit(""))
 
 
-def flag(value: Column, path: str) -> Column:
-    return F.coalesce(get(value, path, "boolean"), F.lit(False))
-
-
 def count(value: Column, path: str) -> Column:
     return F.coalesce(get(value, path, "double").cast("long"), F.lit(0))
 
 
+#: A line's fields and a block's, each read from its variant in one pass, which a field alone costs as well.
+FIELDS = (
+    "struct<type:string,uuid:string,parentUuid:string,sessionId:string,timestamp:string,cwd:string,gitBranch:string,version:string,entrypoint:string,promptId:string,requestId:string,"
+    "isSidechain:boolean,isMeta:boolean,isCompactSummary:boolean,mode:string,message:variant,attachment:variant>"
+)
+BLOCKS = "array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,input:variant,content:variant>>"
+
+
 def blocks(content: Column) -> Column:
     """The blocks of a list-shaped content; null for any other shape."""
-    return F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda b: F.struct(
-        text_of(b, "$.type").alias("type"), text_of(b, "$.text").alias("text"), text_of(b, "$.id").alias("id"), text_of(b, "$.name").alias("name"),
-        text_of(b, "$.tool_use_id").alias("tool_use_id"), get(b, "$.input", "variant").alias("input"), get(b, "$.content", "variant").alias("content"),
+    return F.transform(F.try_variant_get(content, "$", BLOCKS), lambda b: F.struct(
+        *(F.coalesce(b[c], F.lit("")).alias(c) for c in ("type", "text", "id", "name", "tool_use_id")), b["input"].alias("input"), b["content"].alias("content"),
     ))
 
 
-def flat_text(content: Column) -> Column:
-    """A string content itself, or the text blocks of a list joined by line feeds."""
-    listed = F.filter(blocks(content), lambda b: b["type"] == "text")
+def flat_text(content: Column, listed: Column | None = None) -> Column:
+    """A string content itself, or the text blocks of a list joined by line feeds; ``listed`` has the blocks where they are known."""
+    listed = F.filter(blocks(content) if listed is None else listed, lambda b: b["type"] == "text")
     return F.coalesce(F.array_join(F.transform(listed, lambda b: b["text"]), "\n"), get(content, "$"), F.lit(""))
 
 
@@ -74,12 +77,21 @@ class Log:
     """Parsed events, and what they say: lazy tables at the grain of the log, before deduplication across files."""
 
     lines: DataFrame
-    events: DataFrame
-    sessions: DataFrame
+    said: DataFrame  # events with what their own lines say
+    files: DataFrame | None = None  # the files' sessions, where they are written already
+
+    @functools.cached_property
+    def events(self) -> DataFrame:
+        """Events with their prompt, followed when something first asks for it."""
+        return self.said if "prompt_id" in self.said.columns else with_chain(self.said)
+
+    @functools.cached_property
+    def sessions(self) -> DataFrame:
+        return cut(session_rows(self.said)) if self.files is None else self.files
 
     def checkpointed(self) -> Log:
-        """The same log with its files' sessions checkpointed; lines and events are written when they are parsed."""
-        return Log(lines=self.lines, events=self.events, sessions=cut(self.sessions))
+        """The same log with its files' sessions checkpointed now; lines and events are written when they are parsed."""
+        return Log(lines=self.lines, said=self.said, files=self.sessions)
 
     def landed(self, folder: str) -> Log:
         """The same log, parsed once: its lines' validity and events are written below ``folder``, which all executors
@@ -87,7 +99,7 @@ class Log:
         land = lambda name, rows: landed(rows, folder, name)
         events = land("events", self.events)
         lines = land("lines", self.lines.select("file", "line", "invalid"))
-        return Log(lines=lines, events=events, sessions=land("file_sessions", session_rows(events)))
+        return Log(lines=lines, said=events, files=land("file_sessions", session_rows(events)))
 
 
 def landed(rows: DataFrame, folder: str, name: str) -> DataFrame:
@@ -121,22 +133,23 @@ def read(spark: SparkSession, path: str) -> Log:
 
 def parse(lines: DataFrame) -> Log:
     """``lines`` (file, line, text) as events with their prompt and whether they follow a compaction."""
-    value = F.try_parse_json("text")
-    rows = lines.withColumn("v", value)
-    rows = rows.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
-    v, content = F.col("v"), F.col("content")
+    # what parses and opens with a brace is an object; a variant's schema would be made for every line
+    rows = lines.withColumn("v", F.when(F.startswith(F.ltrim(F.col("text"), F.lit(" \t\r\n")), F.lit("{")), F.try_parse_json("text")))
+    rows = rows.select("file", "line", F.col("v").isNull().alias("invalid"), F.try_variant_get("v", "$", FIELDS).alias("o"))
+    said = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(""))
+    marked = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(False))
     events = rows.select(
-        "file", "line", v.isNull().alias("invalid"), text_of(v, "$.type").alias("type"), text_of(v, "$.uuid").alias("uuid"), text_of(v, "$.parentUuid").alias("parent"),
-        text_of(v, "$.sessionId").alias("own_session"), text_of(v, "$.timestamp").alias("timestamp"), text_of(v, "$.cwd").alias("cwd"), text_of(v, "$.gitBranch").alias("git_branch"),
-        text_of(v, "$.version").alias("version"), text_of(v, "$.entrypoint").alias("entrypoint"), text_of(v, "$.promptId").alias("own_prompt"), text_of(v, "$.requestId").alias("request_id"),
-        flag(v, "$.isSidechain").alias("is_sidechain"), flag(v, "$.isMeta").alias("is_meta"), flag(v, "$.isCompactSummary").alias("is_summary"), text_of(v, "$.mode").alias("mode"),
-        get(v, "$.message", "variant").alias("message"), get(v, "$.message.content", "variant").alias("content"), get(v, "$.attachment", "variant").alias("attachment"),
+        "file", "line", "invalid", said("type").alias("type"), said("uuid").alias("uuid"), said("parentUuid").alias("parent"), said("sessionId").alias("own_session"),
+        said("timestamp").alias("timestamp"), said("cwd").alias("cwd"), said("gitBranch").alias("git_branch"), said("version").alias("version"), said("entrypoint").alias("entrypoint"),
+        said("promptId").alias("own_prompt"), said("requestId").alias("request_id"), marked("isSidechain").alias("is_sidechain"), marked("isMeta").alias("is_meta"),
+        marked("isCompactSummary").alias("is_summary"), said("mode").alias("mode"), "o.message", get(F.col("o.message"), "$.content", "variant").alias("content"), "o.attachment",
     )
+    content = F.col("content")
     order = Window.partitionBy("file").orderBy("line")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     named = lambda c: F.nullif(F.col(c), F.lit(""))
-    events = events.withColumns({
-        "text": flat_text(content), "blocks": blocks(content),
+    events = events.withColumn("blocks", blocks(content)).withColumns({
+        "text": flat_text(content, F.col("blocks")),
         "cwd": F.coalesce(named("cwd"), F.first(named("cwd"), ignorenulls=True).over(so_far), F.lit("")),
         "current_mode": F.coalesce(F.last(F.when(F.col("type") == "mode", named("mode")), ignorenulls=True).over(so_far), F.lit("normal")),
     })
@@ -145,9 +158,9 @@ def parse(lines: DataFrame) -> Log:
     events = events.withColumn("skip", F.when(human, skip_reason())).withColumn("human", human)
     events = events.withColumn("is_prompt", human & F.col("skip").isNull())
     # parsed once; what follows reads the columns it needs
-    read = Written(lines.sparkSession)(events)
+    read = Written(lines.sparkSession)(events.drop("content"))
     events = read.where(~F.col("invalid")).drop("invalid")
-    return Log(lines=read.select("file", "line", "invalid"), events=with_chain(events), sessions=session_rows(events))
+    return Log(lines=read.select("file", "line", "invalid"), said=events)
 
 
 def skip_reason() -> Column:
@@ -185,8 +198,8 @@ def with_chain(events: DataFrame) -> DataFrame:
     continues = F.coalesce("skip", F.lit("")) == "compact_continuation"
     mark = F.when(F.col("uuid") == "", F.lit(None)).when(continues, F.lit(True)).when(F.col("is_prompt"), F.lit(False))
     links = events.select("file", "line", F.floor(F.col("line") / BLOCK).alias("block"), "uuid", "parent", F.nullif("own_prompt", F.lit("")).alias("prompt"), mark.alias("mark"))
-    dealt = links.repartition("file", "block").sortWithinPartitions("file", "line")
-    found = Written(events.sparkSession)(dealt.mapInArrow(follow, "file string, line int, uuid string, parent string, prompt string, mark boolean, after boolean, gate int"))
+    links = links.repartition(dealt(events.sparkSession), "file", "block").sortWithinPartitions("file", "line")
+    found = Written(events.sparkSession)(links.mapInArrow(follow, "file string, line int, uuid string, parent string, prompt string, mark boolean, after boolean, gate int"))
     gates = found.where(F.col("gate") == F.col("line"))
     if gates.isEmpty():
         chain = found.select(F.col("file").alias("_file"), F.col("line").alias("_line"), "prompt", "after")
@@ -292,7 +305,7 @@ def usage_rows(log: Log) -> DataFrame:
     calls = F.aggregate(F.map_values(server), F.lit(0).cast("long"), lambda a, x: a + count(x, "$"))
     message_id, request = text_of(m, "$.id"), F.col("request_id")
     key = F.when((message_id != "") & (request != ""), F.concat_ws(":", message_id, request)).when(request != "", F.concat(F.lit("req:"), request)).when(message_id != "", F.concat(F.lit("msg:"), message_id)).otherwise("")
-    uses = F.filter(F.coalesce("blocks", F.array().cast("array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,input:variant,content:variant>>")), lambda b: b["type"] == "tool_use")
+    uses = F.filter(F.coalesce("blocks", F.array().cast(BLOCKS)), lambda b: b["type"] == "tool_use")
     inputs = F.transform(uses, lambda b: F.coalesce(get(b["input"], "$"), F.to_json(b["input"]), F.lit("")))
     rows = log.events.where((F.col("type") == "assistant") & m.isNotNull()).join(log.sessions.select("file", "session_id", "subagent"), "file").select(
         "file", "line", "session_id", "subagent", "prompt_id", "post_compact", "is_sidechain", "timestamp", key.alias("key"),
@@ -379,7 +392,7 @@ def file_edits(calls: DataFrame, prompts: DataFrame) -> DataFrame:
     i = F.col("input")
     raw = F.coalesce(F.nullif(text_of(i, "$.file_path"), F.lit("")), F.nullif(text_of(i, "$.notebook_path"), F.lit("")))
     rows = calls.where(F.col("name").isin(*EDIT_TOOLS) & (F.col("id") != "") & raw.isNotNull()).join(prompts.select("prompt_id"), "prompt_id", "left_semi")
-    rows = first_of(rows, ["id"], "place")
+    rows = first_of(rows.repartition(dealt(rows.sparkSession), "id"), ["id"], "place")
     pair = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
     many = F.transform(F.try_variant_get(i, "$.edits", "array<variant>"), lambda e: pair(text_of(e, "$.old_string"), text_of(e, "$.new_string")))
     pairs = F.when(F.col("name") == "MultiEdit", many).when(F.col("name") == "Edit", F.array(pair(text_of(i, "$.old_string"), text_of(i, "$.new_string"))))
@@ -447,9 +460,9 @@ def quality(log: Log) -> DataFrame:
     """(kind, name, n): lines, invalid lines, unknown event types, filtered prompts and versions."""
     one = lambda frame, kind: frame.groupBy("name").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
     lines = one(log.lines.select(F.when(F.col("invalid"), "invalid").otherwise("valid").alias("name")), "lines")
-    unknown = one(log.events.where(~F.col("type").isin(*KNOWN_TYPES)).select(F.col("type").alias("name")), "unknown_type")
-    skipped = one(log.events.where(F.col("skip").isNotNull()).select(F.col("skip").alias("name")), "filtered")
-    versions = one(log.events.where(F.length("version") > 0).select(F.col("version").alias("name")), "version")
+    unknown = one(log.said.where(~F.col("type").isin(*KNOWN_TYPES)).select(F.col("type").alias("name")), "unknown_type")
+    skipped = one(log.said.where(F.col("skip").isNotNull()).select(F.col("skip").alias("name")), "filtered")
+    versions = one(log.said.where(F.length("version") > 0).select(F.col("version").alias("name")), "version")
     return lines.unionByName(unknown).unionByName(skipped).unionByName(versions)
 
 
@@ -462,7 +475,7 @@ def report(found: Star, priced: DataFrame | None = None) -> DataFrame:
     models = found.requests.where((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL)).groupBy(F.col("model").alias("name")).agg(F.count("*").alias("n"))
     unpriced = models.limit(0) if priced is None else models.join(priced.select(F.col("model").alias("name")), "name", "left_anti")
     files = one(found.log.lines.select("file").distinct(), "size", "files")
-    unknown = found.log.events.where(~F.col("type").isin(*KNOWN_TYPES)).select("type").distinct()
+    unknown = found.log.said.where(~F.col("type").isin(*KNOWN_TYPES)).select("type").distinct()
     sizes = [
         files, one(found.sessions, "size", "sessions"), one(found.all_prompts, "size", "all_prompts"), one(found.prompts, "size", "prompts"), one(raw, "size", "usage_records"),
         one(raw, "size", "duplicates", F.count_if(F.col("key") != "") - F.count_distinct(F.nullif("key", F.lit("")))), one(found.tokens, "size", "tokens"), one(found.requests, "size", "requests"),
