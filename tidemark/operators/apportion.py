@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import dealt
 from tidemark.plans.dataset import NO_VALUE, UNATTRIBUTED
 
 
@@ -62,7 +63,8 @@ def attribute(requests: DataFrame, elements: DataFrame) -> DataFrame:
     parts = [_row(rent, rent_read_tokens="part")]
     loads = {"load_write_5m_tokens": "cache_write_5m_tokens", "load_write_1h_tokens": "cache_write_1h_tokens"}
     writes = requests.select("session_id", "prompt_id", "turn", "model", *loads.values()).where(F.greatest(*loads.values()) > 0)
-    load = writes.join(own, ["session_id", "prompt_id"])
+    # dealt anew, else the sorts of the join and those of the splits are in one task's memory at once
+    load = writes.join(own, ["session_id", "prompt_id"]).repartition(dealt(writes.sparkSession), "session_id", "turn")
     for name, column in loads.items():  # in the same groups, so that rows are dealt once
         load = split(load, ["session_id", "turn"], column, "weight", ["ordinal", *key], name)
     rest = writes.join(own.select("session_id", "prompt_id").distinct(), ["session_id", "prompt_id"], "left_anti")
