@@ -12,6 +12,9 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
 #: Rows of a side that may be broadcast after they have been counted.
 FEW = 10_000
 
+#: Rows of a table for each task where tasks sort or group them.
+ROWS_OF_A_TASK = 250_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Only a local master may go without one."""
@@ -31,6 +34,16 @@ def dealt(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys``. Where ``rows``, of the table that it is made from, are many, so is the number of partitions: tasks
+    that sort or group hold ``ROWS_OF_A_TASK`` rows, however well these compress. What joins or groups by ``keys`` next needs no
+    other shuffle."""
+    parts = -(-rows // ROWS_OF_A_TASK)
+    if parts <= df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed: what follows reads the rows that were written, whatever is lost or planned anew."""
     context = df.sparkSession.sparkContext

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import spread
 from tidemark.plans.dataset import Dataset
 from tidemark.plans.tables import table
 from tidemark.sources import ratecard
@@ -34,7 +35,9 @@ def orders_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     sold = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     sessions = sold.groupBy("session_id", F.col("segment").alias("project")).agg(F.min("timestamp").alias("start_date"))
     sessions = sessions.select("session_id", "start_date", "project", F.lit("/work").alias("cwd"), F.lit("main").alias("git_branch"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus", "l_extendedprice")
+    lineitem = table(spark, sf_dir, "lineitem")
+    n = lineitem.count()  # from the files' footers
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus", "l_extendedprice")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")
     model = F.concat("p_brand", F.when(F.col("l_partkey") % 20 == 0, "[1m]").otherwise(""))
     sold_lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("model", model)
@@ -49,23 +52,23 @@ def orders_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     kind = F.element_at(F.array(*map(F.lit, ("input", "output", "cache_read", "cache_write_5m", "cache_write_1h", "server_tool_use", "cache_read"))), F.col("l_linenumber"))
     owner = orders.select("o_orderkey", "session_id", F.when(F.col("o_orderkey") % 50 == 0, F.concat("session_id", F.lit(":_continuation"))).otherwise(F.col("prompt_id")).alias("prompt_id"))
     count = F.when(kind == "server_tool_use", F.col("l_quantity")).otherwise(F.col("l_quantity") * 1000).cast("long")
-    tokens = sold_lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+    owned = spread(sold_lines, n, "l_orderkey").join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+    tokens = spread(owned, n, "prompt_id").groupBy(
         "session_id", "prompt_id", "model", kind.alias("token_type"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("is_sidechain")
     ).agg(F.sum(count).alias("token_count"))
     categories = orders.where(F.col("o_orderkey") % 9 != 4).select(
         "prompt_id", F.lower(F.substring("o_orderpriority", 3, 20)).alias("category"), F.substring("o_orderpriority", 1, 1).alias("complexity"),
         F.lit("demo").alias("classifier_model"), F.lit("").alias("classified_at"),
     )
-    edits = sold_lines.where(F.col("l_linenumber") <= 3).join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
-    output_files = edits.groupBy("prompt_id", F.concat("p_name", F.lit(".x")).alias("path")).agg(
+    edits = owned.where(F.col("l_linenumber") <= 3)
+    output_files = spread(edits, n, "prompt_id").groupBy("prompt_id", F.concat("p_name", F.lit(".x")).alias("path")).agg(
         F.min("p_type").alias("language"), F.min(F.when(F.col("p_size") % 2 == 0, "test").otherwise("code")).alias("kind"),
         F.count("*").alias("edits"), F.sum(F.col("l_quantity").cast("long")).alias("lines_added"), F.sum(F.col("p_size").cast("long") % 5).alias("lines_deleted"),
     )
     outputs = tokens.where(F.col("token_type") == "output").groupBy("prompt_id").agg(F.sum("token_count").alias("n"))
     prose = F.col("n") - F.floor(F.col("n") / 3)
     output_tokens = outputs.select("prompt_id", prose.alias("output_prose_tokens"), (F.col("n") - prose).alias("output_code_tokens"))
-    reads = sold_lines.where(F.col("l_linenumber").isin(4, 5)).join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
-    reads = reads.withColumns({
+    reads = spread(owned.where(F.col("l_linenumber").isin(4, 5)), n, "session_id").withColumns({
         "source": F.when(F.col("p_size") % 4 == 0, "tool_output").otherwise("file_read"),
         "path": F.when(F.col("p_size") % 4 == 0, "-").otherwise(F.concat("p_name", F.lit(".x"))), "language": F.when(F.col("p_size") % 4 == 0, "-").otherwise(F.col("p_type")),
     })
