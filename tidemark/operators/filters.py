@@ -33,10 +33,17 @@ def filter_project(ds: Dataset, project: str) -> Dataset:
 
 
 def _usage(table: DataFrame, ds: Dataset, prompts: DataFrame) -> DataFrame:
-    """Usage of kept prompts, and of kept sessions where it belongs to no prompt at all."""
-    real = _keep(table, prompts, "prompt_id")
-    rest = table.join(ds.prompts.select("prompt_id"), "prompt_id", "left_anti")
-    return real.unionByName(_keep(rest, prompts.select("session_id"), "session_id").select(real.columns))
+    """Usage of kept prompts, and of kept sessions where it belongs to no prompt at all.
+
+    Both sides ask for rows with an id and no other condition, so that they read one shuffle of the usage: an equality of sessions
+    would ask the second for a session too. All prompts' ids are made distinct, so that nothing is joined to them for columns that go.
+    """
+    named = table.where(F.col("prompt_id").isNotNull())
+    real = _keep(named, prompts, "prompt_id")
+    rest = named.join(ds.prompts.select("prompt_id").distinct(), "prompt_id", "left_anti").unionByName(table.where(F.col("prompt_id").isNull()))
+    kept = prompts.where(F.col("session_id").isNotNull()).select(F.col("session_id").alias("_kept"))
+    rest = rest.join(kept, F.col("session_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return real.unionByName(rest.select(real.columns))
 
 
 def _follow(ds: Dataset, prompts: DataFrame) -> Dataset:
