@@ -48,7 +48,8 @@ def priced_by(tokens: DataFrame, ds: Dataset, providers: Sequence[str], model: s
     rates = rates_of(ds, providers, one)
     name = F.coalesce("model", F.lit("")) if model is None else F.lit(model)
     rows = tokens.withColumn("_key", F.when(F.col("token_type") == REQUESTS_TYPE, F.lit(None).cast("string")).otherwise(name))
-    joined = rows.join(rates, F.col("_key").eqNullSafe(F.col("_m")) & (F.col("token_type") == F.col("_t")), "left")
+    # one row for each model and type: a shuffle by these few keys would undo how the tokens are dealt
+    joined = rows.join(F.broadcast(rates), F.col("_key").eqNullSafe(F.col("_m")) & (F.col("token_type") == F.col("_t")), "left")
     units = {f"units_{p}": F.col("token_count") * F.coalesce(f"rate_{p}", F.lit(0)) for p in providers}
     return joined.withColumns(units).drop("_key", "_m", "_t", *(f"rate_{p}" for p in providers))
 
