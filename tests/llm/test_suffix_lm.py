@@ -141,3 +141,12 @@ def test_nothing_is_left_behind_when_a_step_fails(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="lost"):
         suffix_lm.score(docs, F.lit(False))
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_blocks_")]
+
+
+def test_slices_of_a_block_score_as_the_whole(spark, monkeypatch):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string").coalesce(1)
+    score = lambda: sorted(tuple(r) for r in suffix_lm.score(frame.where("doc_id is not null"), fold("doc_id", 7, 2)).collect())
+    whole = score()
+    monkeypatch.setattr(suffix_lm, "SLICE_TOKENS", 50)
+    assert score() == whole
+    assert list(suffix_lm.document_slices(np.array([60, 20, 30, 1, 90]), 50)) == [(0, 1), (1, 3), (3, 5)]

@@ -46,6 +46,8 @@ DEPTH, DISCOUNT, DIVERGENCE, SIGNIFICANT = 3, 0.5, 0.01, 10.83
 BLOCK_TOKENS = 1 << 20
 #: Blocks get their probabilities in so many rounds, so that what they ask and are told needs that part of the disk.
 ROUNDS = 2
+#: Tokens of a block that are scored at once.
+SLICE_TOKENS = 1 << 17
 END = b""  # no word is empty
 
 _codec = pa.Codec("zstd", 1)
@@ -337,7 +339,7 @@ def decide(found: DataFrame, level: DataFrame, before: DataFrame | None) -> Data
         states = states.join(before.select(F.col("key").alias("inner")), "inner", "left_semi")
     states = states.select("context", F.log10(F.col("rest") / F.col("rest_q")).alias("log_rest"))
     log_p = F.when(F.col("log_rest").isNotNull(), F.log10(less)).otherwise(F.col("shorter")).alias("log_p")
-    return cut(rows.join(states, "context", "left").select("key", "context", "suffix", "n", log_p, "log_rest"))
+    return cut(rows.join(states, "context", "left").select("key", "context", "suffix", "n", "of", log_p, "log_rest"))
 
 
 def release(spark: SparkSession) -> None:
@@ -346,19 +348,49 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting takes a tenth of what the hash table behind ``np.unique`` does."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def frequent_keys(tokens: np.ndarray, words: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
+    """The distinct keys of a block's frequent sequences of up to ``length`` words, in order."""
+    often = np.zeros(len(words), bool)
+    often[tokens[lengths > 0]] = True
+    found = [words[often]]
+    for i, x in enumerate(sequences(words[tokens], length)[1:], 1):
+        found.append(distinct(x[lengths > i]))
+    return distinct(np.concatenate(found))
+
+
+def document_slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of documents of about ``most`` tokens."""
+    ends, at = np.concatenate(([0], np.cumsum(sizes))), 0
+    while at < len(sizes):
+        to = min(max(int(np.searchsorted(ends, ends[at] + most)), at + 1), len(sizes))
+        yield at, to
+        at = to
+
+
 def gains(ends: list[np.ndarray], lengths: np.ndarray, first: np.ndarray, keys: np.ndarray, log_p: np.ndarray, log_rest: np.ndarray) -> np.ndarray:
     """log10 of each token's probability in its state over that of the base; the values of sorted ``keys`` are nan where they have none."""
-    gain = np.zeros(len(lengths))
-    base = np.zeros(len(lengths))
-    base[lengths > 0] = log_p[find(keys, ends[0][lengths > 0])]
-    for depth in range(1, len(ends)):
+    gain, base = np.zeros(len(lengths)), np.zeros(len(lengths))
+    at = np.full(len(lengths), -1)  # where the sequences of one word less are among the keys
+    for depth, x in enumerate(ends):
+        last, at = at, np.full(len(lengths), -1)
+        some = np.flatnonzero(lengths > depth)
+        at[some] = find(keys, x[some])
+        if not depth:
+            base[some] = log_p[at[some]]
+            continue
         places = np.flatnonzero(~first & np.concatenate(([False], lengths[:-1] >= depth)))
-        rest = log_rest[find(keys, ends[depth - 1][places - 1])]
+        rest = log_rest[last[places - 1]]
         places, rest = places[~np.isnan(rest)], rest[~np.isnan(rest)]
         hit = lengths[places] > depth
         gain[places[~hit]] += rest[~hit]
         places = places[hit]
-        gain[places] = log_p[find(keys, ends[depth][places])] - base[places]
+        gain[places] = log_p[at[places]] - base[places]
     return gain
 
 
@@ -379,9 +411,9 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
     """(id, held_out...) for each document of ``blocks``, written to the shared folder."""
     tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
     replies = word_counts(blocks, buckets, least)
-    distinct = replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    distinct_words = replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     often = replies.where(F.size("frequent") > 0).select(F.inline(F.arrays_zip("frequent", "totals"))).toDF("key", "n")
-    log_p = F.log10(F.col("n") + 1) - float(np.log10(tokens + distinct + 1))
+    log_p = F.log10(F.col("n") + 1) - float(np.log10(tokens + distinct_words + 1))
     level, states = often.select("key", "n", log_p.alias("log_p"), F.lit(None).cast("long").alias("suffix")), None
 
     def look_up(batches):
@@ -393,7 +425,7 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
                 counts = np.empty(len(hashes), np.int64)
                 counts[order] = np.concatenate([unpacked(x["reply"]) for x in sorted(replied, key=lambda x: x["bucket"])])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-                base = np.add.reduceat(np.log10(counts + 1.0)[data], starts) - np.array(sizes) * np.log10(tokens + distinct + 1.0)
+                base = np.add.reduceat(np.log10(counts + 1.0)[data], starts) - np.array(sizes) * np.log10(tokens + distinct_words + 1.0)
                 known = np.add.reduceat((counts > 0)[data], starts, dtype=np.int64)
                 columns = [
                     pa.array([block], pa.int64()), pa.array([packed((counts >= least).astype(np.uint8)[data])], pa.binary()),
@@ -406,29 +438,26 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
     first = cut(joined.mapInArrow(look_up, "block long, lengths binary, base array<double>, known array<long>"))
     state = first.select("block", "lengths")
     none = F.lit(None).cast("double")
-    values = level.select("key", "log_p", none.alias("log_rest"))
+    # probabilities are told as two small counts, which compress: n of a sequence, and n of its context (none for words)
+    values = level.select("key", "n", F.lit(0).cast("long").alias("of"), none.alias("log_rest"))
     for length in range(2, depth + 2):
         told = longer(blocks, state, length, least, buckets)
         state = cut(told.where(F.col("block").isNotNull()).select("block", "lengths"))
         level = decide(told.where(F.col("block").isNull()).select(*TOLD_COLUMNS), level, states)
         del told
         # only what is retained stays; the frequent sequences themselves go with the next length
-        own = cut(level.where(F.col("log_rest").isNotNull()).select("key", "context", "log_p", "log_rest"))
+        own = cut(level.where(F.col("log_rest").isNotNull()).select("key", "context", "n", "of", "log_rest"))
         states = own.groupBy(F.col("context").alias("key")).agg(F.max("log_rest").alias("log_rest"))
-        values = values.unionByName(own.select("key", "log_p", none.alias("log_rest")))
-        values = values.unionByName(states.select("key", none.alias("log_p"), "log_rest"))
+        values = values.unionByName(own.select("key", "n", "of", none.alias("log_rest")))
+        values = values.unionByName(states.select("key", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("of"), "log_rest"))
         release(blocks.sparkSession)
     del level
     release(blocks.sparkSession)
 
-    def wanted(tokens, words, lengths):
-        ends = sequences(words[tokens], depth + 1)
-        return ends, np.unique(np.concatenate([np.unique(x[lengths > i]) for i, x in enumerate(ends)]))
-
     def ask(batches):
         for batch in batches:
             for block, *data in each(batch, batch.schema.names):
-                keys = wanted(*map(unpacked, data))[1]
+                keys = frequent_keys(*map(unpacked, data), depth + 1)
                 some = ranges(keys, buckets)
                 columns = [
                     pa.array([b for b, *_ in some], pa.int32()), pa.array([block] * len(some), pa.int64()),
@@ -437,39 +466,52 @@ def scored(blocks: DataFrame, buckets: int, depth: int, least: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys"])
 
     def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
-        columns = {}
         wanted = [unpacked_keys(x) for x in asked["keys"].to_pylist()]
-        for c in ("log_p", "log_rest"):
-            some = values.select(["key", c]).drop_null()
-            keys, found = some["key"].to_numpy().view(np.uint64), np.append(some[c].to_numpy(), np.nan)
+        columns = {}
+        for names in (("n", "of"), ("log_rest",)):
+            some = values.select(["key", *names]).drop_null()
+            keys = some["key"].to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            found[:-1] = found[:-1][order]
-            columns[c] = pa.array([packed(found[find(keys[order], x)]) for x in wanted], pa.binary())
+            at = [find(keys[order], x) for x in wanted]
+            for c in names:
+                found = some[c].to_numpy()[order]
+                found = np.append(found, np.nan if c == "log_rest" else 0).astype(found.dtype)
+                columns[c] = pa.array([packed(found[x]) for x in at], pa.binary())
         return pa.table({"block": asked["block"], "bucket": asked["bucket"]} | columns)
 
     def results(batches):
         for batch in batches:
             for _, ids, held, sizes, *data, base, n_known, replied in each(batch, batch.schema.names):
-                data = [unpacked(x) for x in data]
-                ends, keys = wanted(*data)
-                log_p, log_rest = (np.append(_joined(replied, c, np.float64), np.nan) for c in ("log_p", "log_rest"))
-                gain = gains(ends, data[-1], _starts(sizes), keys, log_p, log_rest)
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+                data, sizes = [unpacked(x) for x in data], np.array(sizes, np.int64)
+                keys = frequent_keys(*data, depth + 1)
+                n, of = (_joined(replied, c, np.int64) for c in ("n", "of"))
+                log_rest = np.append(_joined(replied, "log_rest", np.float64), np.nan)
+                log_p = np.full(len(keys) + 1, np.nan)
+                word, more = np.flatnonzero((n > 0) & (of == 0)), np.flatnonzero(of > 0)
+                log_p[word] = np.log10(n[word] + 1.0) - np.log10(tokens + distinct_words + 1.0)
+                log_p[more] = np.log10((n[more] - DISCOUNT) / of[more])
+                del replied, n, of
+                ends, score = np.concatenate(([0], np.cumsum(sizes))), np.array(base)
+                for a, b in document_slices(sizes, SLICE_TOKENS):
+                    here, starts = slice(ends[a], ends[b]), ends[a:b] - ends[a]
+                    x = sequences(data[1][data[0][here]], depth + 1)
+                    score[a:b] += np.add.reduceat(gains(x, data[2][here], _starts(sizes[a:b]), keys, log_p, log_rest), starts)
                 columns = [
                     pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array([tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(base) + np.add.reduceat(gain, starts)),
+                    pa.array([tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(score),
                 ]
+                del data, keys, log_p, log_rest
                 yield pa.RecordBatch.from_arrays(columns, names=RESULT_COLUMNS)
 
     table = values.withColumn("bucket", range_of(F.col("key"), buckets))
-    asks, answers = "bucket int, block long, keys binary", "block long, bucket int, log_p binary, log_rest binary"
+    asks, answers = "bucket int, block long, keys binary", "block long, bucket int, n binary, of binary, log_rest binary"
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     found = None
     for part in range(ROUNDS):
         held = blocks.join(state, "block").where(F.pmod("block", F.lit(ROUNDS)) == part)
         asked = held.select("block", "tokens", "words", "lengths").mapInArrow(ask, asks)
         replies = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, answers)
-        gathered = replies.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "log_p", "log_rest")).alias("replies"))
+        gathered = replies.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "of", "log_rest")).alias("replies"))
         whole = held.join(first.select("block", "base", "known"), "block").join(gathered, "block", "left")
         whole = whole.select("block", "ids", "held", "sizes", "tokens", "words", "lengths", "base", "known", "replies")
         scores = cut(whole.mapInArrow(results, schema))
