@@ -24,3 +24,12 @@ def test_blocks_that_are_no_objects_are_kept_as_empty_ones(spark):
     text = '{"type":"user","message":{"content":["x",{"type":"text","text":"hello","id":7},{"type":"text","text":{"no":1}}]}}'
     row = logs.parse(spark.createDataFrame([("a.jsonl", 1, text)], "file string, line int, text string")).said.select("text", "blocks.type", "blocks.id").first()
     assert row == ('hello\n{"no":1}', ["", "text", "text"], ["", "7", ""])
+
+
+def test_prompts_and_raw_usage_follow_no_chains(spark, monkeypatch):
+    log = logs.parse(loglines.event_lines(spark, SMALL))
+    prompts, raw = logs.prompts_of(log).count(), logs.usage_rows(log).count()
+    log = logs.Log(lines=log.lines, said=log.said)
+    monkeypatch.setattr(logs, "with_chain", lambda events: 1 / 0)
+    assert prompts and logs.prompts_of(log).count() == prompts
+    assert raw and logs.counted(log.said).count() == raw

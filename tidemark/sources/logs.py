@@ -290,15 +290,20 @@ def first_of(rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
 
 
 def prompts_of(log: Log) -> DataFrame:
-    """Each real prompt once, where it first occurs."""
-    rows = log.events.where("is_prompt").withColumn("prompt_id", F.coalesce(F.nullif("own_prompt", F.lit("")), F.col("uuid")))
+    """Each real prompt once, where it first occurs. Its id is its own, so no chain is followed."""
+    rows = log.said.where("is_prompt").withColumn("prompt_id", F.coalesce(F.nullif("own_prompt", F.lit("")), F.col("uuid")))
     rows = rows.where(F.length("prompt_id") > 0).join(log.sessions.select("file", "session_id", F.col("git_branch").alias("_branch")), "file")
     rows = rows.withColumn("git_branch", F.coalesce(F.nullif("git_branch", F.lit("")), "_branch", F.lit("")))
     return first_of(rows, ["prompt_id"])
 
 
 def usage_rows(log: Log) -> DataFrame:
-    """Assistant lines with their counts, prose and code tokens, and the key that their snapshots share."""
+    """Assistant lines with their prompt and session, counts, prose and code tokens, and the key that their snapshots share."""
+    return counted(log.events.join(log.sessions.select("file", "session_id", "subagent"), "file"), "session_id", "subagent", "prompt_id", "post_compact")
+
+
+def counted(events: DataFrame, *more: str) -> DataFrame:
+    """The assistant lines of ``events`` that say something of usage, with its counts and the columns ``more``."""
     m, u = F.col("message"), get(F.col("message"), "$.usage", "variant")
     split5, split1, legacy = count(u, "$.cache_creation.ephemeral_5m_input_tokens"), count(u, "$.cache_creation.ephemeral_1h_input_tokens"), count(u, "$.cache_creation_input_tokens")
     server = F.map_filter(F.coalesce(F.try_variant_get(u, "$.server_tool_use", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, _: F.endswith(k, F.lit("_requests")))
@@ -307,8 +312,8 @@ def usage_rows(log: Log) -> DataFrame:
     key = F.when((message_id != "") & (request != ""), F.concat_ws(":", message_id, request)).when(request != "", F.concat(F.lit("req:"), request)).when(message_id != "", F.concat(F.lit("msg:"), message_id)).otherwise("")
     uses = F.filter(F.coalesce("blocks", F.array().cast(BLOCKS)), lambda b: b["type"] == "tool_use")
     inputs = F.transform(uses, lambda b: F.coalesce(get(b["input"], "$"), F.to_json(b["input"]), F.lit("")))
-    rows = log.events.where((F.col("type") == "assistant") & m.isNotNull()).join(log.sessions.select("file", "session_id", "subagent"), "file").select(
-        "file", "line", "session_id", "subagent", "prompt_id", "post_compact", "is_sidechain", "timestamp", key.alias("key"),
+    rows = events.where((F.col("type") == "assistant") & m.isNotNull()).select(
+        "file", "line", *more, "is_sidechain", "timestamp", key.alias("key"),
         text_of(m, "$.model").alias("model"), text_of(m, "$.stop_reason").alias("stop_reason"), count(u, "$.input_tokens").alias("input"), count(u, "$.output_tokens").alias("output"),
         count(u, "$.cache_read_input_tokens").alias("cache_read"), F.when(split5 + split1 == 0, legacy).otherwise(split5).alias("cache_write_5m"), split1.alias("cache_write_1h"),
         calls.alias("server_tool_use"), count_tokens(F.col("text")).alias("prose"), count_tokens(F.array_join(inputs, "\n")).alias("code"), F.exists(uses, lambda b: b["id"] != "").alias("acts"),
@@ -471,7 +476,7 @@ def report(found: Star, priced: DataFrame | None = None) -> DataFrame:
     the models, as column model, that have one), and warnings: lines that are no JSON objects, unknown types, unpriced models, and files without
     any prompt, which is a sign that the format has changed. A warning is a row only where there is something to warn of."""
     one = lambda rows, kind, name, n=F.count("*"): rows.agg(n.alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # noqa: E731, B008
-    raw = usage_rows(found.log)
+    raw = counted(found.log.said)  # prompts and sessions of the rows do not matter
     models = found.requests.where((F.col("model") != "") & (F.col("model") != SYNTHETIC_MODEL)).groupBy(F.col("model").alias("name")).agg(F.count("*").alias("n"))
     unpriced = models.limit(0) if priced is None else models.join(priced.select(F.col("model").alias("name")), "name", "left_anti")
     files = one(found.log.lines.select("file").distinct(), "size", "files")
