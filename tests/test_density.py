@@ -106,3 +106,22 @@ def test_few_odd_and_repeated_rows(spark):
     few = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (2, [1.0]), (None, [1.0]), (3, None), (4, [None]), (5, [math.inf]), (6, [1.0, 2.0]), (7, [])], schema)
     assert {r.id: r.cluster for r in density.density_clusters(few, "id", "v").collect()} == dict.fromkeys(range(1, 8), -1)
     assert set(found(spark, {i: [1.0, 2.0] for i in range(12)}, 9).values()) == {-1}  # one cluster is none
+
+
+def test_vectors_are_written_a_few_times_however_many_cells_they_look_into(spark, monkeypatch):
+    monkeypatch.setattr(density, "PART", 8)
+    monkeypatch.setattr(density, "CHUNK", 8)
+    written = []
+
+    class Counted(density.Written):
+        def __call__(self, df):
+            out = super().__call__(df)
+            if "vector" in df.columns:
+                written.append(out.count())
+            return out
+
+    monkeypatch.setattr(density, "Written", Counted)
+    r = np.random.default_rng(5)
+    points = {i: [float(x) for x in r.normal(size=8)] for i in range(160)}  # without structure: no cell is ruled out
+    assert found(spark, points, 4) == brute(points, 4)
+    assert sum(written) <= 4 * len(points)

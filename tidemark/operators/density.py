@@ -1,149 +1,302 @@
 """Density clusters of vectors: a hierarchy of mutual reachability, of which the most stable clusters are taken.
 
-Neighbours are found exactly in cells around pivots, of which the triangle inequality rules out those too far away. The spanning tree grows in
-Borůvka rounds: every component but the largest takes its lightest edge out, among the neighbours known or, where a lighter one may
-exist, by another search of the cells. Points are folded into leaf clusters in about as many rounds as a cluster has points at
+Neighbours are found exactly. Vectors are packed into blocks, one row each, and blocks of seekers meet blocks of all vectors in a Cartesian
+product, which reads blocks again and again but writes them once; the triangle inequality rules out those too far away, by cells around pivots. The
+spanning tree grows in Borůvka rounds: every component but the largest takes its lightest edge out, among the neighbours known or, where a
+lighter one may exist, by another search of the blocks. Points are folded into leaf clusters in about as many rounds as a cluster has points at
 least. Only the tree of those leaf clusters, at most ``MOST_LEAVES``, is walked on the driver; points stay in Spark.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import Written
+from tidemark.functions.lineage import FEW, Written, dealt
 from tidemark.functions.lineage import cut as checkpointed
 
-#: Rows of a cell's part, pivots at most, and rows that meet a part in one task.
-PART, PIVOTS, CHUNK = 2_048, 1_024, 4_096
+#: Rows of a block, pivots at most, and rows of a block of seekers.
+PART, PIVOTS, CHUNK = 4_096, 1_024, 4_096
+#: Bytes of blocks that seekers meet in one task, and blocks of seekers that do so one after the other.
+HELD, QUEUE = 64 << 20, 8
+#: Rows that meet a block at once, and pairs whose distances are computed at once from their differences.
+STRIP, PAIRS = 512, 16_384
 #: Leaf clusters whose tree the driver walks.
 MOST_LEAVES = 100_000
 NEAREST = 1e-9  # smaller distances count as this much in densities
-SLACK = 1e-6  # of bounds, against rounding
 PLACES = 12  # decimals of distances
 NOISE = -1
 FIXED = 2**20  # sums of densities don't depend on order
 
 
 class Cells:
-    """Points dealt to the nearest of some pivots; large cells are parts, by a hash of the id."""
+    """Points dealt to the nearest of some pivots, and packed into blocks of a few cells or of a part of one."""
 
-    def __init__(self, points: DataFrame, n: int, cut: Written):
-        self.cut = cut
+    def __init__(self, points: DataFrame, n: int, most: int, cut: Written):
+        self.spark = points.sparkSession
         rows = points.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.ceil(n / PART))).select("vector").collect()  # at most PIVOTS
         self.pivots = pivots = np.array([r[0] for r in rows], np.float64)
 
         def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                gaps = far(np.stack(f["vector"]), pivots) if len(f) else np.zeros((0, len(pivots)))
-                yield f.assign(cell=gaps.argmin(axis=1).astype(np.int32), gap=gaps.min(axis=1))
+                v = np.stack(f["vector"]) if len(f) else np.zeros((0, pivots.shape[1]))
+                cell = squares(v, pivots).argmin(axis=1).astype(np.int32)
+                yield f.assign(cell=cell, gap=np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1)))
 
-        dealt = cut(points.mapInPandas(nearest, "id long, vector array<double>, cell int, gap double"))
-        sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()  # at most PIVOTS
+        self.members = cut(points.mapInPandas(nearest, "id long, vector array<double>, cell int, gap double"))
         self.radius = np.full(len(pivots), -np.inf)
-        for r in sizes:
-            self.radius[r.cell] = r.radius
-        self.parts = points.sparkSession.createDataFrame([(r.cell, math.ceil(r.n / PART)) for r in sizes], "cell int, parts int")
-        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-        self.members = dealt.join(F.broadcast(self.parts), "cell").select("id", "vector", "cell", part)
-
-    def visits(self, seekers: DataFrame, own: bool | None = None) -> DataFrame:
-        """``seekers`` (vector, bound, ..., and cell where ``own`` is asked for) with each ``cell`` that may hold a vector within the bound;
-        with ``own`` false but not the seeker's."""
+        for r in self.members.groupBy("cell").agg(F.max("gap").alias("radius")).collect():  # at most PIVOTS
+            self.radius[r.cell] = r.radius * (1 + 1e-12)
+        self.scale = float(2 * (np.sqrt(squares(pivots[:1], pivots).max()) + self.radius.max())) or 1.0  # no two are farther apart
+        rows, self.count = self.placed(self.members.select("id", "vector", "cell"), PART)
+        self.blocks, self.block = cut(self.packed(rows, most)), rows.select("id", "block")
+        self.bytes = self.blocks.agg(F.sum(F.length("vectors") + 4 * F.length("ids")).alias("n")).first().n
+
+    def placed(self, rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        """``rows`` with their ``block`` of about ``size``, and the number of blocks."""
+        blocks, held, deal = 0, size, []
+        for cell, n in sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()):  # at most PIVOTS
+            if held + n > size:
+                parts = math.ceil(n / size)
+                deal.append((cell, blocks, parts))
+                blocks, held = blocks + parts, n if parts == 1 else size
+            else:
+                deal.append((cell, blocks - 1, 1))
+                held += n
+        deals = F.broadcast(self.spark.createDataFrame(deal, "cell int, first int, parts int"))
+        block = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block")
+        return rows.join(deals, "cell").select(*rows.columns, block), blocks
+
+    def packed(self, rows: DataFrame, most: int = 0) -> DataFrame:
+        """``rows`` (id, vector, cell, block, and of seekers core, comp, bound) as one row for each block: ids in order, the rest likewise, the
+        cells that they are from and those that they may reach within their bounds. With ``most`` these are the distances of so many
+        neighbours in the block."""
+        pivots, radius, scale = self.pivots, self.radius, self.scale
+        more = [c for c in ("core", "comp") if c in rows.columns]
+
+        def pack(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("id")
+            v, ids = np.stack(f["vector"]), f["id"].to_numpy()
+            if most:
+                home = Nearest(ids, v, np.full(len(ids), np.inf), scale, most)
+                home.meet(ids, v, np.arange(len(ids)))
+                home.shrink()
+                bound = home.bound
+            else:
+                bound = f["bound"].to_numpy()
+            reach = (beyond(v, pivots, radius) <= wider(bound)[:, None]).any(axis=0)
+            short = v.astype(np.float32)
+            held = {"vectors": short if (short == v).all() else v, "ids": ids, "bound": bound} | {c: f[c].to_numpy() for c in more}
+            return pd.DataFrame([{"block": f["block"].iloc[0], "cells": np.unique(f["cell"]), "reach": np.nonzero(reach)[0]} | {c: x.tobytes() for c, x in held.items()}])
+
+        fields = "block int, cells array<int>, reach array<int>" + "".join(f", {c} binary" for c in ["vectors", "ids", "bound", *more])
+        return rows.repartition(dealt(self.spark), "block").groupBy("block").applyInPandas(pack, fields)
+
+    def meet(self, seekers: DataFrame, lots: int, members: DataFrame, kernel: Callable[[pa.RecordBatch], Seekers], schema: str) -> DataFrame:
+        """What is ``found`` for ``lots`` blocks of seekers, each of which ``kernel`` makes, after they met the blocks of ``members`` that they may reach."""
+        tasks = max(4 * self.spark.sparkContext.defaultParallelism, math.ceil(lots / QUEUE))
+        a = seekers.toDF(*(f"a_{c}" for c in seekers.columns)).repartition(min(lots, tasks))
+        b = members.repartition(math.ceil(self.bytes / HELD))
         pivots, radius = self.pivots, self.radius
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seekers.schema if f.name != "cell")
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for at in range(0, len(f), 512):
-                    some = f.iloc[at : at + 512]
-                    reached = far(np.stack(some["vector"]), pivots) - radius <= some["bound"].to_numpy()[:, None] + SLACK
-                    if own is False:
-                        reached[np.arange(len(some)), some["cell"].to_numpy()] = False
-                    i, cells = np.nonzero(reached)
-                    yield some.drop(columns="cell", errors="ignore").iloc[i].assign(cell=cells.astype(np.int32))
-
-        return seekers.mapInPandas(run, f"{fields}, cell int")
-
-    def meet(self, visitors: DataFrame, members: DataFrame, kernel, schema: str) -> DataFrame:
-        """``kernel`` of visitors and members (cell, part) of every part; visitors of a part come in bounded lots."""
-        visitors = self.cut(visitors)
-        counts = visitors.groupBy("cell").agg(F.count("*").alias("n"))  # at most PIVOTS rows
-        lots = F.broadcast(self.parts.join(counts, "cell").select("cell", "parts", F.ceil(F.col("n") / CHUNK).cast("int").alias("lots")))
-        lot = F.pmod(F.xxhash64("id", F.lit(1)), F.col("lots")).cast("int")
-        a = visitors.join(lots, "cell").withColumn("lot", lot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("lots", "parts")
-        b = members.join(lots, "cell").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots", "parts")
-        keys = ["cell", "part", "lot"]
-        a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # columns of their own, both may come from the same rows
-        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernel, schema)
-
-
-def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances of ``a`` and ``b``, to about 1e-7; ``exact`` has them to ``PLACES``."""
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0))
-
-
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(((a - b) ** 2).sum(axis=1)), PLACES)
-
-
-def nearest_kernel(most: int):
-    """(id, other, d): the ``most`` nearest members of a part for each visitor."""
-
-    def run(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(visitors) and len(members):
-            b, other = np.stack(members["vector"]), members["id"].to_numpy()
-            for at in range(0, len(visitors), 1024):
-                some = visitors.iloc[at : at + 1024]
-                a, ids = np.stack(some["vector"]), some["id"].to_numpy()
-                d = far(a, b)
-                d[ids[:, None] == other] = np.inf
-                k = min(most, len(members))
-                best = np.argpartition(d, k - 1, axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(some)), k), best.ravel()
-                keep = np.isfinite(d[i, j])
-                i, j = i[keep], j[keep]
-                out.append(pd.DataFrame({"id": ids[i], "other": other[j], "d": exact(a[i], b[j])}))
-        return pd.concat(out) if out else pd.DataFrame({"id": np.array([], np.int64), "other": np.array([], np.int64), "d": np.array([])})
-
-    return run
-
-
-def outside_kernel(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, w): for each visitor the member of a part that is nearest to it by mutual reachability and of another component."""
-    out = []
-    if len(visitors) and len(members):
-        b, other, core, comp = np.stack(members["vector"]), members["id"].to_numpy(), members["core"].to_numpy(), members["comp"].to_numpy()
-        for at in range(0, len(visitors), 1024):
-            some = visitors.iloc[at : at + 1024]
-            a, ids, own = np.stack(some["vector"]), some["id"].to_numpy(), some["core"].to_numpy()
-            w = np.maximum(np.maximum(far(a, b), core), own[:, None])
-            w[some["comp"].to_numpy()[:, None] == comp] = np.inf
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, now = None, None
+            for batch in batches:
+                for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                    if row["a_block"][0].as_py() != at:
+                        if now is not None:
+                            yield now.found()
+                        at, now = row["a_block"][0].as_py(), kernel(row)
+                        gaps = beyond(now.v, pivots, radius)
+                    ids = numbers(row, "ids", np.int64)
+                    reached = gaps[:, row["cells"][0].values.to_numpy()] <= wider(now.bound)[:, None]
+                    now.meet(ids, vectors(row, "vectors", len(ids), pivots.shape[1]), np.nonzero(reached.any(axis=1))[0], row)
+            if now is not None:
+                yield now.found()
+
+        pairs = a.join(b.hint("shuffle_replicate_nl"), F.arrays_overlap("a_reach", "cells"))
+        return pairs.drop("a_reach", "a_cells").mapInArrow(run, schema)
+
+
+def numbers(row: pa.RecordBatch, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(row[column][0].as_buffer(), kind)
+
+
+def vectors(row: pa.RecordBatch, column: str, n: int, length: int) -> np.ndarray:
+    """Packed vectors, in single precision where that has all of their digits."""
+    short = row[column][0].as_buffer().size == 4 * n * length
+    return numbers(row, column, np.float32 if short else np.float64).reshape(n, length).astype(np.float64)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All squared distances of ``a`` and ``b``, less what rounding may have added."""
+    error = (2 * a.shape[1] + 16) * 2.0**-53
+    return np.maximum(((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)) * (1 - error) - 2 * (a @ b.T), 0)
+
+
+def beyond(v: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How far the members of each cell are from ``v`` at least."""
+    return np.sqrt(squares(v, pivots)) - radius
+
+
+def wider(bound: np.ndarray) -> np.ndarray:
+    return bound * (1 + 1e-9) + 1e-11  # against rounding
+
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs of rows, to ``PLACES``."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        x = slice(at, at + PAIRS)
+        out[x] = np.sqrt(((a[i[x]] - b[j[x]]) ** 2).sum(axis=1))
+    return np.round(out, PLACES)
+
+
+class Seekers:
+    """A block of vectors that look for others within a bound each. Those farther away are told by products in single precision, less what
+    rounding may have added; the distances of the rest are exact."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray, scale: float):
+        self.ids, self.v, self.bound, self.scale, self.mean = ids, v, bound.copy(), scale, v.mean(axis=0)
+        self.rest = 1 - (2 * v.shape[1] + 16) * 2.0**-24
+        a = self.centred(v)
+        self.left = np.concatenate([-2 * a, np.ones((len(a), 1), np.float32)], axis=1)
+        self.own = self.rest * (a.astype(np.float64) ** 2).sum(axis=1)
+
+    def centred(self, v: np.ndarray) -> np.ndarray:
+        return ((v - self.mean) / self.scale).astype(np.float32)
+
+    def near(self, v: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of ``rows`` and of ``v`` that may be within the rows' bounds, and few others; bounds may shrink on the way."""
+        b, width = self.centred(v), -(-len(v) // 8) * 8
+        right = np.zeros((b.shape[1] + 1, width), np.float32)
+        right[:-1, : len(v)] = b.T
+        right[-1, : len(v)] = self.rest * (b.astype(np.float64) ** 2).sum(axis=1)
+        right[-1, len(v) :] = np.nan
+        for at in range(0, len(rows), STRIP):
+            i = rows[at : at + STRIP]
+            with np.errstate(over="ignore"):
+                limit = ((wider(self.bound[i]) / self.scale) ** 2 * (1 + 1e-6) - self.own[i] + 1e-37).astype(np.float32)
+            within = (self.left[i] @ right <= limit[:, None]).ravel()
+            eights = np.flatnonzero(within.view(np.uint64))  # few hold any
+            some = np.flatnonzero(within.reshape(-1, 8)[eights])
+            some = eights[some // 8] * 8 + some % 8
+            yield i[some // width], some % width
+
+
+class Nearest(Seekers):
+    """Their ``most`` nearest others (id, other, d)."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray, scale: float, most: int):
+        super().__init__(ids, v, bound, scale)
+        self.most, self.new, self.full = most, 0, np.zeros(len(ids), bool)
+        self.held = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray, row: pa.RecordBatch | None = None) -> None:
+        rows = rows[~(self.full[rows] & (self.bound[rows] == 0))]
+        some = v[: max(STRIP, 4 * self.most)]
+        lost = rows[np.isinf(self.bound[rows])] if len(some) > self.most else rows[:0]
+        for at in range(0, len(lost), STRIP):  # a first bound, by a few of the block
+            i = lost[at : at + STRIP]
+            place = np.argpartition(squares(self.v[i], some), self.most, axis=1)[:, : self.most + 1]  # it may be among them itself
+            self.bound[i] = exact(self.v, some, np.repeat(i, self.most + 1), place.ravel()).reshape(place.shape).max(axis=1)
+        for i, j in self.near(v, rows):
+            other = ids[j] != self.ids[i]
+            i, j = i[other], j[other]
+            d = exact(self.v, v, i, j)
+            closer = (d < self.bound[i]) | (d == self.bound[i]) & ~self.full[i]
+            self.held.append((i[closer], ids[j[closer]], d[closer]))
+            self.new += int(closer.sum())
+            if self.new > self.most * len(self.ids):
+                self.shrink()
+
+    def shrink(self) -> None:
+        i, other, d = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((other, d, i))
+        i, other, d = i[order], other[order], d[order]
+        start = np.searchsorted(i, np.arange(len(self.ids) + 1))
+        self.full = np.diff(start) >= self.most
+        self.bound[self.full] = d[start[:-1][self.full] + self.most - 1]
+        keep = np.arange(len(i)) - start[i] < self.most
+        self.held, self.new = [(i[keep], other[keep], d[keep])], 0
+
+    def found(self) -> pa.RecordBatch:
+        self.shrink()
+        i, other, d = self.held[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(other), pa.array(d)], names=["id", "other", "d"])
+
+
+class Outside(Seekers):
+    """The member of another component that is nearest to each by mutual reachability, if that is below its bound (a, b, w)."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray, scale: float, core: np.ndarray, comp: np.ndarray):
+        super().__init__(ids, v, bound, scale)
+        self.core, self.comp, self.best = core, comp, np.full(len(ids), -1, np.int64)
+        self.any = np.zeros(len(ids), bool)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray, row: pa.RecordBatch) -> None:
+        core, comp = row["cores"][0].values.to_numpy(), row["comps"][0].values.to_numpy()
+        if (comp == comp[0]).all():
+            rows = rows[self.comp[rows] != comp[0]]
+        lost = rows[np.isinf(self.bound[rows])]
+        for at in range(0, len(lost), STRIP):  # a first bound
+            i = lost[at : at + STRIP]
+            w = np.maximum(np.sqrt(squares(self.v[i], v)), core)
+            w[self.comp[i][:, None] == comp] = np.inf
             j = w.argmin(axis=1)
-            i = np.nonzero(np.isfinite(w[np.arange(len(some)), j]))[0]
-            j = j[i]
-            out.append(pd.DataFrame({"a": ids[i], "b": other[j], "w": np.maximum(np.maximum(exact(a[i], b[j]), core[j]), own[i])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "w": np.array([])})
+            some = np.isfinite(w[np.arange(len(i)), j])
+            self.take(i[some], j[some], ids, v, core)
+        for i, j in self.near(v, rows):
+            out = (self.comp[i] != comp[j]) & (core[j] < self.bound[i])
+            self.take(i[out], j[out], ids, v, core)
+
+    def take(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, v: np.ndarray, core: np.ndarray) -> None:
+        w = np.maximum(np.maximum(exact(self.v, v, i, j), core[j]), self.core[i])
+        order = np.lexsort((ids[j], w, i))
+        i, j, w = i[order], j[order], w[order]
+        first = np.ones(len(i), bool)
+        first[1:] = i[1:] != i[:-1]
+        first &= w < self.bound[i]
+        self.bound[i[first]], self.best[i[first]], self.any[i[first]] = w[first], ids[j[first]], True
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[self.any]) for x in (self.ids, self.best, self.bound)], names=["a", "b", "w"])
 
 
 def neighbours(cells: Cells, most: int, cut: Written) -> DataFrame:
-    """(id, other, d, place): the ``most`` nearest other points of each, ties to the smaller id."""
-    schema = "id long, other long, d double"
-    home = cells.members.select("id", "vector", "cell")
-    first = cut(cells.meet(home, cells.members, nearest_kernel(most), schema))
+    """(id, other, d, place): the ``most`` nearest other points of each, ties to the smaller id among those found."""
+    length, scale = cells.pivots.shape[1], cells.scale
+
+    def kernel(row: pa.RecordBatch) -> Nearest:
+        ids = numbers(row, "a_ids", np.int64)
+        return Nearest(ids, vectors(row, "a_vectors", len(ids), length), numbers(row, "a_bound", np.float64), scale, most)
+
+    found = cells.meet(cells.blocks, cells.count, cells.blocks.select("cells", "ids", "vectors"), kernel, "id long, other long, d double")
     order = Window.partitionBy("id").orderBy("d", "other")
-    ranked = lambda rows: rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)  # noqa: E731  limited before the shuffle
-    bound = ranked(first).groupBy("id").agg(F.max(F.when(F.col("place") == most, F.col("d"))).alias("bound"))
-    seekers = home.join(bound, "id", "left").fillna(float("inf"), subset=["bound"])
-    rest = cells.meet(cells.visits(seekers, own=False), cells.members, nearest_kernel(most), schema)
-    return cut(ranked(first.unionByName(rest)))
+    return cut(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most))
+
+
+def outside(cells: Cells, seekers: DataFrame, comps: DataFrame, cut: Written) -> DataFrame:
+    """(a, b, w): for each of ``seekers`` (id, core, comp, bound) the lightest edge to another component, if it is below the bound."""
+    length, scale, n = cells.pivots.shape[1], cells.scale, seekers.count()
+
+    def kernel(row: pa.RecordBatch) -> Outside:
+        ids, (bound, core) = numbers(row, "a_ids", np.int64), (numbers(row, c, np.float64) for c in ("a_bound", "a_core"))
+        return Outside(ids, vectors(row, "a_vectors", len(ids), length), bound, scale, core, numbers(row, "a_comp", np.int64))
+
+    rows = cells.members.select("id", "vector", "cell").join(F.broadcast(seekers) if n <= FEW else seekers, "id")
+    size = min(CHUNK, max(64, math.ceil(n / (2 * cells.spark.sparkContext.defaultParallelism))))
+    rows, lots = cells.placed(rows, size)
+    held = comps.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "core", "comp"))).alias("x"))
+    held = held.select("block", F.col("x.core").alias("cores"), F.col("x.comp").alias("comps"))
+    members = cells.blocks.select("block", "cells", "ids", "vectors").join(held, "block").drop("block")
+    return cut(cells.meet(cells.packed(rows), lots, members, kernel, "a long, b long, w double"))
 
 
 def roots(targets: DataFrame, cut: Written) -> DataFrame:
@@ -165,16 +318,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def spanning_tree(points: DataFrame, cells: Cells, near: DataFrame, least: int, most: int, cut: Written) -> DataFrame:
+def spanning_tree(cells: Cells, near: DataFrame, least: int, most: int, cut: Written) -> DataFrame:
     """(a, b, w): a minimum spanning tree by mutual reachability."""
     marks = near.groupBy("id").agg(F.max(F.when(F.col("place") == least - 1, F.col("d"))).alias("core"), F.max(F.when(F.col("place") == most, F.col("d"))).alias("d"))
-    known = cut(marks.select("id", "core", F.greatest("core", F.coalesce("d", F.lit(float("inf")))).alias("floor")))  # unlisted edges weigh at least the floor
-    core = known.select("id", "core")
+    floor = F.greatest("core", F.coalesce("d", F.lit(float("inf")))).alias("floor")  # unlisted edges weigh at least this
+    comps = cut(marks.join(cells.block, "id").select("id", F.col("id").alias("comp"), "core", floor, "block"))
+    core = comps.select("id", "core")
     edges = near.join(core, "id").join(core.select(F.col("id").alias("other"), F.col("core").alias("core2")), "other")
     edges = edges.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.greatest("core", "core2", "d").alias("w")).distinct()
     edges = cut(both_ways(edges))
-    comps = cut(points.select("id", F.col("id").alias("comp")))
-    placed = cells.members.join(known, "id")
     tree = None
     while True:
         sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
@@ -188,23 +340,19 @@ def spanning_tree(points: DataFrame, cells: Cells, near: DataFrame, least: int,
             return rows.where(F.col("u") != F.col("v")).select("a", "b", "w", "u", "v")
 
         edges = cut(leaving(edges).select("a", "b", "w"))  # edges within components are done with
-        members = placed.join(comps, "id")
         bests = lambda rows: leaving(rows).where(F.col("u") != largest).groupBy("u").agg(F.min("w").alias("bound"))
-        seeking = lambda rows: members.where(F.col("comp") != largest).join(rows.withColumnRenamed("u", "comp"), "comp", "left")
-        targets = members.select("id", "vector", "cell", "part", "core", "comp")
-        fields = ["id", "vector", "core", "comp", "bound"]
+        seeking = lambda rows, comps=comps: comps.where(F.col("comp") != largest).join(rows.withColumnRenamed("u", "comp"), "comp", "left")
+        fields = ["id", "core", "comp", "bound"]
         bound = cut(bests(edges))
-        # a component without any known edge out sends one point to all cells first, for a bound
-        lone = seeking(bound).where(F.col("bound").isNull()).groupBy("comp").agg(F.min_by(F.struct("id", "vector", "core"), "id").alias("x"))
+        # a component without any known edge out sends one point to all blocks first, for a bound
+        lone = seeking(bound).where(F.col("bound").isNull()).groupBy("comp").agg(F.min_by(F.struct("id", "core"), "id").alias("x"))
         lone = cut(lone.select("x.*", "comp", F.lit(float("inf")).alias("bound")).select(*fields))
         if not lone.isEmpty():
-            more = cut(cells.meet(cells.visits(lone), targets, outside_kernel, "a long, b long, w double"))
-            edges = edges.unionByName(both_ways(more))
+            edges = edges.unionByName(both_ways(outside(cells, lone, comps, cut)))
             bound = cut(bests(edges))
         seekers = cut(seeking(bound).where(F.col("floor") < F.col("bound")).select(*fields))
         if not seekers.isEmpty():
-            more = cells.meet(cells.visits(seekers), targets, outside_kernel, "a long, b long, w double")
-            edges = edges.unionByName(both_ways(cut(more)))
+            edges = edges.unionByName(both_ways(outside(cells, seekers, comps, cut)))
         edges = cut(edges.distinct())
         order = F.struct("w", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))  # strict, so choices make no cycles
         chosen = cut(leaving(edges).where(F.col("u") != largest).groupBy("u").agg(F.min(order).alias("e"), F.min_by("v", order).alias("v")))
@@ -214,12 +362,12 @@ def spanning_tree(points: DataFrame, cells: Cells, near: DataFrame, least: int,
 
 
 def merged(comps: DataFrame, chosen: DataFrame, cut: Written) -> DataFrame:
-    """(id, comp) after each of ``chosen`` (u, v, e) has joined the component that its edge leads to."""
+    """``comps`` (id, comp, ...) after each of ``chosen`` (u, v, e) has joined the component that its edge leads to."""
     back = chosen.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     mutual = (F.col("_v") == F.col("u")) & (F.col("u") < F.col("v"))  # of two that choose each other the smaller is the end
     targets = chosen.join(back, F.col("v") == F.col("_u"), "left").select(F.col("u").alias("node"), F.when(mutual, F.col("u")).otherwise(F.col("v")).alias("target"))
     ends = roots(targets, cut).select(F.col("node").alias("comp"), "root")
-    return cut(comps.join(ends, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+    return cut(comps.join(ends, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
 
 
 def fold(points: DataFrame, tree: DataFrame, least: int, cut: Written) -> tuple[DataFrame, DataFrame]:
@@ -361,9 +509,9 @@ def labelled(rows: DataFrame, id_col: str, vector: str, least: int, cut: Written
     if n < least:
         return given.select("id", F.lit(NOISE).alias("cluster"))
     most = max(2 * least, 10)
-    cells = Cells(points, n, cut)
+    cells = Cells(points, n, most, cut)
     near = neighbours(cells, most, cut)
-    leaves, edges = fold(points, spanning_tree(points, cells, near, least, most, cut), least, cut)
+    leaves, edges = fold(points, spanning_tree(cells, near, least, most, cut), least, cut)
     births = leaves.groupBy("leaf").agg(F.min("w").alias("w")).limit(MOST_LEAVES + 1).collect()
     if len(births) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaf clusters: ask for larger ones")
