@@ -108,9 +108,8 @@ def test_few_odd_and_repeated_rows(spark):
     assert set(found(spark, {i: [1.0, 2.0] for i in range(12)}, 9).values()) == {-1}  # one cluster is none
 
 
-def test_vectors_are_written_a_few_times_however_many_cells_they_look_into(spark, monkeypatch):
-    monkeypatch.setattr(density, "PART", 8)
-    monkeypatch.setattr(density, "CHUNK", 8)
+def counted(monkeypatch):
+    """The numbers of rows with a vector in the tables that are written from now on."""
     written = []
 
     class Counted(density.Written):
@@ -121,7 +120,24 @@ def test_vectors_are_written_a_few_times_however_many_cells_they_look_into(spark
             return out
 
     monkeypatch.setattr(density, "Written", Counted)
+    return written
+
+
+def test_vectors_are_written_a_few_times_however_many_cells_they_look_into(spark, monkeypatch):
+    monkeypatch.setattr(density, "PART", 8)
+    monkeypatch.setattr(density, "CHUNK", 8)
+    written = counted(monkeypatch)
     r = np.random.default_rng(5)
     points = {i: [float(x) for x in r.normal(size=8)] for i in range(160)}  # without structure: no cell is ruled out
     assert found(spark, points, 4) == brute(points, 4)
     assert sum(written) <= 4 * len(points)
+
+
+def test_copies_are_searched_for_once(spark, monkeypatch):
+    monkeypatch.setattr(density, "PART", 10)
+    written = counted(monkeypatch)
+    r = np.random.default_rng(9)
+    base = [[float(x) for x in r.normal(size=4)] for _ in range(40)]
+    points = dict(enumerate(v for k, v in enumerate(base) for _ in range((1, 2, 3, 7)[k % 4])))
+    assert found(spark, points, 5) == brute(points, 5)
+    assert sum(written) == len(points) + 2 * len(base)  # as given, then each of them once, without and with its cell

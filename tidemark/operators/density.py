@@ -1,6 +1,6 @@
 """Density clusters of vectors: a hierarchy of mutual reachability, of which the most stable clusters are taken.
 
-Neighbours are found exactly. Vectors are packed into blocks, one row each, and blocks of seekers meet blocks of all vectors in a Cartesian
+Neighbours are found exactly, for copies of a vector once. Vectors are packed into blocks, one row each, and blocks of seekers meet blocks of all vectors in a Cartesian
 product, which reads blocks again and again but writes them once; the triangle inequality rules out those too far away, by cells around pivots. The
 spanning tree grows in Borůvka rounds: every component but the largest takes its lightest edge out, among the neighbours known or, where a
 lighter one may exist, by another search of the blocks. Points are folded into leaf clusters in about as many rounds as a cluster has points at
@@ -28,7 +28,7 @@ HELD, QUEUE = 64 << 20, 8
 #: Rows that meet a block at once, and pairs whose distances are computed at once from their differences.
 STRIP, PAIRS = 512, 16_384
 #: Leaf clusters whose tree the driver walks.
-MOST_LEAVES = 100_000
+MOST_LEAVES = 500_000
 NEAREST = 1e-9  # smaller distances count as this much in densities
 PLACES = 12  # decimals of distances
 NOISE = -1
@@ -318,11 +318,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def spanning_tree(cells: Cells, near: DataFrame, least: int, most: int, cut: Written) -> DataFrame:
-    """(a, b, w): a minimum spanning tree by mutual reachability."""
-    marks = near.groupBy("id").agg(F.max(F.when(F.col("place") == least - 1, F.col("d"))).alias("core"), F.max(F.when(F.col("place") == most, F.col("d"))).alias("d"))
-    floor = F.greatest("core", F.coalesce("d", F.lit(float("inf")))).alias("floor")  # unlisted edges weigh at least this
-    comps = cut(marks.join(cells.block, "id").select("id", F.col("id").alias("comp"), "core", floor, "block"))
+def cores(cells: Cells, near: DataFrame, copies: DataFrame, least: int, most: int, cut: Written) -> DataFrame:
+    """(id, core, floor, block): core distances, of so many ``copies`` (id, copies) each, and what edges that ``near`` doesn't list weigh at least."""
+    order = Window.partitionBy("id").orderBy("d", "other")
+    met = near.join(copies.toDF("other", "_n"), "other").join(copies, "id").withColumn("_n", F.col("copies") + F.sum("_n").over(order))
+    marks = met.groupBy("id").agg(F.min(F.when(F.col("_n") >= least, F.col("d"))).alias("core"), F.max(F.when(F.col("place") == most, F.col("d"))).alias("d"))
+    rows = cells.block.join(copies, "id").join(marks, "id", "left").withColumn("core", F.when(F.col("copies") >= least, 0.0).otherwise(F.col("core")))
+    return cut(rows.select("id", "core", F.greatest("core", F.coalesce("d", F.lit(float("inf")))).alias("floor"), "block"))
+
+
+def spanning_tree(cells: Cells, near: DataFrame, known: DataFrame, cut: Written) -> DataFrame | None:
+    """(a, b, w): a minimum spanning tree by mutual reachability, None of a single point. ``known`` has the cores."""
+    comps = known.select("id", F.col("id").alias("comp"), "core", "floor", "block")
     core = comps.select("id", "core")
     edges = near.join(core, "id").join(core.select(F.col("id").alias("other"), F.col("core").alias("core2")), "other")
     edges = edges.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.greatest("core", "core2", "d").alias("w")).distinct()
@@ -406,27 +413,29 @@ def fold(points: DataFrame, tree: DataFrame, least: int, cut: Written) -> tuple[
 
 
 class LeafTree:
-    """The tree of clusters above the leaf clusters. Equal levels are one: no cluster begins and ends at the same."""
+    """The tree of clusters above the leaf clusters (ids, in order, and levels). Equal levels are one: no cluster begins and ends at the same."""
 
-    def __init__(self, births: dict[int, float], edges: list[tuple[int, int, float]]):
-        self.number = {leaf: i for i, leaf in enumerate(sorted(births))}
-        low = [births[leaf] for leaf in sorted(births)]  # the level at which a cluster falls apart
-        self.parent, self.top = list(range(len(low))), [math.inf] * len(low)
-        group = list(range(len(low)))  # a union-find over leaves; at its roots the present cluster
-        holds = list(range(len(low)))
+    def __init__(self, leaves: np.ndarray, births: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        self.leaves, n = leaves, len(leaves)
+        low = np.concatenate([births, np.zeros(n)])  # the level at which a cluster falls apart
+        parent, top = np.arange(2 * n, dtype=np.int32), np.full(2 * n, math.inf)
+        group = np.arange(n)  # a union-find over leaves; at its roots the present cluster
+        holds, count = np.arange(n), n
 
         def find(x: int) -> int:
             while group[x] != x:
                 group[x] = x = group[group[x]]
-            return x
-
-        at, edges = 0, sorted((w, self.number[u], self.number[v]) for u, v, w in edges)
-        while at < len(edges):
-            level, met = edges[at][0], {}
-            while at < len(edges) and edges[at][0] == level:
-                x, y = find(edges[at][1]), find(edges[at][2])
+            return int(x)
+
+        order = np.lexsort((v, u, w))
+        u, v, w = np.searchsorted(leaves, u[order]), np.searchsorted(leaves, v[order]), w[order]
+        at = 0
+        while at < len(w):
+            level, met = w[at], {}
+            while at < len(w) and w[at] == level:
+                x, y = find(u[at]), find(v[at])
                 if x != y:
-                    met[y] = met.pop(x, [holds[x]]) + met.pop(y, [holds[y]])
+                    met[y] = met.pop(x, [int(holds[x])]) + met.pop(y, [int(holds[y])])
                     group[x] = y
                 at += 1
             for end, clusters in met.items():
@@ -434,47 +443,42 @@ class LeafTree:
                 if len(real) == 1:
                     to = real[0]
                 else:
-                    to = len(low)
-                    low.append(level)
-                    self.parent.append(to)
-                    self.top.append(math.inf)
+                    to, count = count, count + 1
+                    low[to] = level
                 for c in clusters:
                     if c != to:
-                        self.parent[c], self.top[c] = to, level if c in real else -math.inf
+                        parent[c], top[c] = to, level if low[c] < level else -math.inf
                 holds[end] = to
-        self.low, self.root = low, holds[find(0)]
+        self.low, self.parent, self.top, self.root = low[:count], parent[:count], top[:count], int(holds[find(0)])
 
-    def steps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parents of 1, 2, 4, ... steps, and the levels at which clusters join their parents."""
-        jumps = [np.array(self.parent, np.int32)]
+    def steps(self) -> np.ndarray:
+        """Parents of 1, 2, 4, ... steps."""
+        jumps = [self.parent]
         while (jumps[-1][jumps[-1]] != jumps[-1]).any():
             jumps.append(jumps[-1][jumps[-1]])
-        return np.stack(jumps), np.array(self.top)
-
-    def selected(self, own: dict[int, tuple[int, float]]) -> np.ndarray:
-        """For each cluster the selected one that it is in, or -1. ``own``: count and sum of densities of the points that leave a cluster."""
-        real = [c for c in range(len(self.low)) if self.top[c] != -math.inf]
-        real.sort(key=lambda c: (self.low[c], c))  # children before parents
-        size, gain, below = (dict.fromkeys(real, x) for x in (0, 0.0, 0.0))
-        children: dict[int, list[int]] = {c: [] for c in real}
-        chosen = set()
+        return np.stack(jumps)
+
+    def selected(self, own: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """For each cluster the selected one that it is in, or -1. ``own``, ``total``: count and sum of densities of the points that leave a cluster."""
+        real = np.nonzero(self.top != -np.inf)[0]
+        real = real[np.lexsort((real, self.low[real]))].tolist()  # children before parents
+        within, below, chosen = (np.zeros(len(self.low), t) for t in (np.int64, np.float64, bool))
         for c in real:
-            n, total = own.get(c, (0, 0.0))
-            size[c] = n + sum(size[x] for x in children[c])
             if c == self.root:
                 continue
-            gain[c] = total + sum(size[x] for x in children[c]) * density(self.low[c]) - size[c] * density(self.top[c])
-            if below[c] > gain[c]:
-                gain[c] = below[c]
+            size = own[c] + within[c]
+            gain = total[c] + within[c] * density(self.low[c]) - size * density(self.top[c])
+            if below[c] > gain:
+                gain = below[c]
             else:
-                chosen.add(c)
+                chosen[c] = True
             up = self.parent[c]
-            children[up].append(c)
-            below[up] += gain[c]
-        out = np.full(len(self.low), -1, np.int64)
+            within[up] += size
+            below[up] += gain
+        out = np.full(len(self.low), -1, np.int32)
         for c in reversed(real):
             up = out[self.parent[c]] if c != self.root else -1
-            out[c] = up if up >= 0 else (c if c in chosen else -1)
+            out[c] = up if up >= 0 else (c if chosen[c] else -1)
         return out
 
 
@@ -509,20 +513,28 @@ def labelled(rows: DataFrame, id_col: str, vector: str, least: int, cut: Written
     if n < least:
         return given.select("id", F.lit(NOISE).alias("cluster"))
     most = max(2 * least, 10)
-    cells = Cells(points, n, most, cut)
+    firsts = cut(points.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")))  # copies are searched for once
+    distinct = firsts.count()
+    cells = Cells(firsts.select("id", "vector"), distinct, most, cut)
     near = neighbours(cells, most, cut)
-    leaves, edges = fold(points, spanning_tree(cells, near, least, most, cut), least, cut)
-    births = leaves.groupBy("leaf").agg(F.min("w").alias("w")).limit(MOST_LEAVES + 1).collect()
+    known = cores(cells, near, firsts.select("id", "copies"), least, most, cut)
+    tree = spanning_tree(cells, near, known, cut)
+    if distinct < n:  # no edge of a copy is lighter than that to the first one
+        first = firsts.select("vector", F.col("id").alias("b")).join(known.select(F.col("id").alias("b"), F.col("core").alias("w")), "b")
+        same = points.select(F.col("id").alias("a"), "vector").join(first, "vector").where(F.col("a") != F.col("b")).select("a", "b", "w")
+        tree = cut(same if tree is None else tree.unionByName(same))
+    leaves, edges = fold(points, tree, least, cut)
+    births = leaves.groupBy("leaf").agg(F.min("w").alias("w")).limit(MOST_LEAVES + 1).toArrow().sort_by("leaf")
     if len(births) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaf clusters: ask for larger ones")
-    tree = LeafTree({r.leaf: r.w for r in births}, [tuple(r) for r in edges.collect()])  # one edge less than leaves
-    return given.join(assigned(points.sparkSession, leaves, tree, cut), "id", "left").select("id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+    joins = edges.toArrow()  # one less than leaves
+    leaf_tree = LeafTree(*(x.to_numpy() for x in (*births.select(["leaf", "w"]).columns, *joins.select(["u", "v", "w"]).columns)))
+    return given.join(assigned(leaves, leaf_tree, cut), "id", "left").select("id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
-def assigned(spark: SparkSession, leaves: DataFrame, tree: LeafTree, cut: Written) -> DataFrame:
+def assigned(leaves: DataFrame, tree: LeafTree, cut: Written) -> DataFrame:
     """(id, cluster) of the points that are in a selected cluster."""
-    (jumps, top), low = tree.steps(), np.array(tree.low)
-    keys = np.array(sorted(tree.number), np.int64)
+    jumps, top, low, keys = tree.steps(), tree.top, tree.low, tree.leaves
 
     def climb(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -534,10 +546,24 @@ def assigned(spark: SparkSession, leaves: DataFrame, tree: LeafTree, cut: Writte
 
     nodes = cut(leaves.mapInPandas(climb, "id long, node long, w double"))
     fixed = F.round(1 / F.greatest("w", F.lit(NEAREST)) * FIXED).cast("decimal(38,0)")
-    own = {r.node: (r.n, float(r.s) / FIXED) for r in nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(fixed).alias("s")).collect()}  # one row a cluster
-    chosen = tree.selected(own)
-    of = spark.createDataFrame([(int(i), int(c)) for i, c in enumerate(chosen) if c >= 0], "node long, chosen long")
-    found = cut(nodes.join(F.broadcast(of), "node").select("id", "chosen"))
-    firsts = sorted((r.first, r.chosen) for r in found.groupBy("chosen").agg(F.min("id").alias("first")).collect())
-    names = spark.createDataFrame([(c, i) for i, (_, c) in enumerate(firsts)], "chosen long, cluster int")
-    return found.join(F.broadcast(names), "chosen").select("id", "cluster")
+    left = nodes.groupBy("node").agg(F.count("*").alias("n"), (F.sum(fixed).cast("double") / FIXED).alias("s")).toArrow()  # one row a cluster
+    own, total = np.zeros(len(low), np.int64), np.zeros(len(low))
+    node = left["node"].to_numpy()
+    own[node], total[node] = left["n"].to_numpy(), left["s"].to_numpy()
+    chosen = tree.selected(own, total)
+
+    def among(names: np.ndarray, rows: DataFrame) -> DataFrame:
+        """``rows`` (id, node) of nodes that have names, with these."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                found = pd.DataFrame({"id": f["id"], "cluster": names[f["node"].to_numpy()]})
+                yield found[found["cluster"] >= 0]
+
+        return rows.select("id", "node").mapInPandas(run, "id long, cluster int")
+
+    found = cut(among(chosen, nodes)).withColumnRenamed("cluster", "node")
+    first = found.groupBy("node").agg(F.min("id").alias("id")).toArrow().sort_by("id")
+    names = np.full(len(low), -1, np.int32)
+    names[first["node"].to_numpy()] = np.arange(len(first))
+    return among(names, found)
